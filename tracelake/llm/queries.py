@@ -7,21 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelake.llm.decontaminate import contamination_report
+from tracelake.llm.html_extract import extract_pages
+from tracelake.llm.langid import language_report
+from tracelake.llm.quality_rules import quality_report
 from tracelake.llm.simhash import simhash_groups
 from tracelake.session import table
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
     "op4_simhash": op4_simhash,
+    "op7_quality_rules": op7_quality_rules,
     "op9_decontaminate": op9_decontaminate,
+    "op10_html_extract": op10_html_extract,
 }
 
 ORACLE_SQL: dict[str, str] = {}
