@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracelake.llm.chat import chain_by_turn, conversation_digests, format_conversations
 from tracelake.llm.decontaminate import contamination_report
 from tracelake.llm.html_extract import extract_pages
 from tracelake.llm.langid import language_report
@@ -26,6 +27,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return conversation_digests(format_conversations(chain_by_turn(conversations.unionByName(extra))))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_simhash": op4_simhash,
     "op7_quality_rules": op7_quality_rules,
+    "op8_chat": op8_chat,
     "op9_decontaminate": op9_decontaminate,
     "op10_html_extract": op10_html_extract,
 }
