@@ -21,68 +21,82 @@ from tracelake.session import share_code
 DIM = 512
 #: Languages that may be learned; more distinct labels raise an error, as they are no languages.
 MAX_LANGUAGES = 4096
-_CACHE_ROWS = 1 << 14
-_PLACE = 21
-_CHUNK = 1 << 20
+#: 3-grams whose vectors a task keeps, and texts that it handles together.
+_CACHE_ROWS, _TEXTS = 1 << 15, 256
+_WIDE = 21
 
 
 @cache
-def _letters() -> np.ndarray:
-    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """A number from 1 for every letter in order of code points, 0 for all else; and the code points by number."""
+    points = np.flatnonzero(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
+    number = np.zeros(0x110000, np.int32)
+    number[points] = np.arange(1, len(points) + 1)
+    return number, np.concatenate(([0], points))
 
 
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 3-grams of a whole text, as packed code points, and their counts; nothing if it has no letter."""
-    point = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    point = np.where(_letters()[point], point, 0)
-    if not point.any():
+    """Distinct 3-grams of a whole text, as packed letter numbers, and their counts; nothing if it has no letter."""
+    x = _letters()[0][np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")]
+    x = np.concatenate((np.zeros(1, np.int32), x, np.zeros(1, np.int32)))
+    blank = x == 0
+    x = x[1:][~(blank[1:] & blank[:-1])]
+    if not x.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    point = np.concatenate(([0], point, [0]))
-    point = point[(point != 0) | np.concatenate(([True], point[:-1] != 0))]
-    return np.unique(point[:-2] << 2 * _PLACE | point[1:-1] << _PLACE | point[2:], return_counts=True)
+    x = np.concatenate((np.zeros(1, np.int32), x, np.zeros(int(x[-1] != 0), np.int32)))
+    if x.max() < 1 << 10:  # 30 bits sort faster than 63
+        packed, counts = np.unique(x[:-2] << 20 | x[1:-1] << 10 | x[2:], return_counts=True)
+        packed = packed.astype(np.int64)
+        return packed >> 20 << 2 * _WIDE | (packed >> 10 & 1023) << _WIDE | packed & 1023, counts
+    x = x.astype(np.int64)
+    return np.unique(x[:-2] << 2 * _WIDE | x[1:-1] << _WIDE | x[2:], return_counts=True)
 
 
 class Encoder:
-    """Turns 3-gram counts into a bundled vector; keeps the vectors of a bounded number of 3-grams."""
+    """Turns 3-gram counts into bundled vectors; keeps the vectors of a bounded number of 3-grams."""
 
     def __init__(self, dim: int = DIM):
         self.dim = dim
-        self.letter: dict[int, int] = {}
-        self.vectors = np.zeros((0, dim), np.int8)
-        self.known = np.zeros(0, np.int64)
-        self.bound = np.zeros((0, dim), np.float32)
-
-    def _rows(self, points: np.ndarray) -> np.ndarray:
-        new = [p for p in np.unique(points).tolist() if p not in self.letter]
-        if new:
-            drawn = [np.random.default_rng(p).integers(0, 2, self.dim, dtype=np.int8) * 2 - 1 for p in new]
-            self.letter |= {p: len(self.letter) + i for i, p in enumerate(new)}
-            self.vectors = np.concatenate([self.vectors, np.array(drawn, np.int8)])
-        distinct, back = np.unique(points, return_inverse=True)
-        return np.array([self.letter[p] for p in distinct.tolist()])[back]
+        self.vectors: dict[int, np.ndarray] = {}
+        self.known, self.bound = np.zeros(0, np.int64), np.zeros((0, dim), np.float32)
+
+    def _rows(self, numbers: np.ndarray, turn: int) -> np.ndarray:
+        """Letter vectors, rotated by their place; a letter's is drawn from its code point, the blank's from 0."""
+        distinct, back = np.unique(numbers, return_inverse=True)
+        for k in distinct.tolist():
+            if k not in self.vectors:
+                self.vectors[k] = np.random.default_rng(int(_letters()[1][k])).integers(0, 2, self.dim, dtype=np.int8) * 2 - 1
+        return np.roll(np.array([self.vectors[k] for k in distinct.tolist()], np.int8), turn, axis=1)[back]
 
     def bind(self, grams: np.ndarray) -> np.ndarray:
-        low = (1 << _PLACE) - 1
-        a, b, c = (self._rows(x) for x in (grams >> 2 * _PLACE, grams >> _PLACE & low, grams & low))
-        v = np.roll(self.vectors, 2, axis=1)[a] * np.roll(self.vectors, 1, axis=1)[b] * self.vectors[c]
+        low = (1 << _WIDE) - 1
+        v = self._rows(grams >> 2 * _WIDE, 2)
+        v *= self._rows(grams >> _WIDE & low, 1)
+        v *= self._rows(grams & low, 0)
         return v.astype(np.float32)
 
     def bundle(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        if len(grams) > _CACHE_ROWS:
-            return sum(self.bundle(grams[i : i + _CACHE_ROWS], counts[i : i + _CACHE_ROWS]) for i in range(0, len(grams), _CACHE_ROWS))
-        at = np.minimum(np.searchsorted(self.known, grams), max(0, len(self.known) - 1))
-        have = self.known[at] == grams if len(self.known) else np.zeros(len(grams), bool)
-        if not have.all():
-            fresh = grams[~have]
-            if len(self.known) + len(fresh) > _CACHE_ROWS:
-                self.known, self.bound = np.zeros(0, np.int64), np.zeros((0, self.dim), np.float32)
-                fresh = grams
+        """The sum of the 3-grams' vectors, each by its count, as whole numbers."""
+        out, step = np.zeros(self.dim), 1 << 13
+        for i in range(0, len(grams), step):
+            out += counts[i : i + step].astype(np.float64) @ self.bind(grams[i : i + step])
+        return out
+
+    def bundles(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+        """bundle of each of a few texts, by way of the kept vectors."""
+        every = np.unique(np.concatenate([g for g, _ in texts]))
+        fresh = every[~np.isin(every, self.known)]
+        if len(every) > _CACHE_ROWS:
+            yield from (self.bundle(g, c) for g, c in texts)
+            return
+        if len(self.known) + len(fresh) > _CACHE_ROWS:
+            self.known, self.bound, fresh = self.known[:0], self.bound[:0], every
+        if len(fresh):
             known = np.concatenate([self.known, fresh])
             order = np.argsort(known)
-            self.bound = np.concatenate([self.bound, self.bind(fresh)])[order]
-            self.known = known[order]
-            at = np.searchsorted(self.known, grams)
-        return counts.astype(np.float32) @ self.bound[at]
+            self.known, self.bound = known[order], np.concatenate([self.bound, self.bind(fresh)])[order]
+        for grams, counts in texts:
+            yield counts.astype(np.float32) @ self.bound[np.searchsorted(self.known, grams)]
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: int = DIM) -> dict[str, np.ndarray]:
@@ -96,10 +110,16 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dim:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sums = Encoder(dim), {}
         for batch in batches:
-            for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                grams, counts = ngrams(text.as_py())
-                if len(grams):
-                    sums[lang] = sums.get(lang, 0) + encoder.bundle(grams, counts).astype(np.float64)
+            langs = batch.column(1).to_pylist()
+            for i in range(0, len(langs), _TEXTS):
+                found: dict[str, list] = {}
+                for text, lang in zip(batch.column(0)[i : i + _TEXTS], langs[i : i + _TEXTS], strict=True):
+                    found.setdefault(lang, []).append(ngrams(text.as_py()))
+                for lang, texts in found.items():
+                    grams, at = np.unique(np.concatenate([g for g, _ in texts]), return_inverse=True)
+                    counts = np.bincount(at, np.concatenate([c for _, c in texts]), len(grams))
+                    if len(grams):
+                        sums[lang] = sums.get(lang, 0) + next(encoder.bundles([(grams, counts)])).astype(np.float64)
         for lang, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(range(dim), pa.int32()), pa.array(v, pa.float64())], names=["lang", "d", "x"])
 
@@ -123,17 +143,16 @@ def identify(prototypes: dict[str, np.ndarray], dim: int = DIM) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         if not state:
             state.append(Encoder(dim))
-        names, scores = [], []
-        for text in texts:
-            grams, counts = ngrams(text.as_py())
-            name, score = "und", 0.0
-            if len(grams) and langs:
-                v = state[0].bundle(grams, counts)
-                cos = matrix @ v / max(float(np.linalg.norm(v)), 1e-12)
+        names, scores = ["und"] * len(texts), [0.0] * len(texts)
+        for first in range(0, len(texts), _TEXTS):
+            found = [(i, ngrams(texts[i].as_py())) for i in range(first, min(len(texts), first + _TEXTS))]
+            found = [(i, x) for i, x in found if len(x[0]) and langs]
+            if not found:
+                continue
+            for (i, _), v in zip(found, state[0].bundles([x for _, x in found]), strict=True):
+                cos = matrix @ v.astype(np.float32) / max(float(np.linalg.norm(v)), 1e-12)
                 best = int(cos.argmax())
-                name, score = langs[best], float(min(1.0, max(0.0, cos[best])))
-            names.append(name)
-            scores.append(score)
+                names[i], scores[i] = langs[best], float(min(1.0, max(0.0, cos[best])))
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}

@@ -10,11 +10,18 @@ from tracelake.llm.chat import chain_by_turn, conversation_digests, format_conve
 from tracelake.llm.decontaminate import contamination_report
 from tracelake.llm.html_extract import extract_pages
 from tracelake.llm.langid import language_report
+from tracelake.llm.license_scan import license_scan
+from tracelake.llm.license_texts import TEMPLATES
+from tracelake.llm.mixing import mixing_plan
 from tracelake.llm.quality_rules import quality_report
 from tracelake.llm.simhash import simhash_groups
 from tracelake.session import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"), TEMPLATES)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
@@ -23,6 +30,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_plan(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
@@ -43,8 +54,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op3_language_id": op3_language_id,
     "op4_simhash": op4_simhash,
+    "op5_mixing": op5_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op8_chat": op8_chat,
     "op9_decontaminate": op9_decontaminate,
