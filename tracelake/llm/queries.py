@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelake.llm.chat import chain_by_turn, conversation_digests, format_conversations
+from tracelake.llm.cotraining import quality_scores
 from tracelake.llm.decontaminate import contamination_report
 from tracelake.llm.html_extract import extract_pages
 from tracelake.llm.langid import language_report
@@ -15,6 +16,7 @@ from tracelake.llm.license_texts import TEMPLATES
 from tracelake.llm.mixing import mixing_plan
 from tracelake.llm.quality_rules import quality_report
 from tracelake.llm.simhash import simhash_groups
+from tracelake.llm.substring_dedup import repeated_passages
 from tracelake.session import table
 
 
@@ -22,6 +24,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"), TEMPLATES)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
@@ -34,6 +40,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_plan(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
@@ -55,9 +65,11 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_language_id": op3_language_id,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op8_chat": op8_chat,
     "op9_decontaminate": op9_decontaminate,
