@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "d11_turns"
-FAMILIES: list[str] = []
+FAMILIES: list[str] = ["relational", "activity"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
