@@ -94,11 +94,14 @@ def knn(a: DataFrame, b: DataFrame, key: str, other: str, lon: str, lat: str, me
     longitude shrink towards the poles, so rows ask as many columns as the radius spans at their latitude.
     """
     size = metres / DEGREE_M
-    cell = lambda c: F.floor(F.col(c) / size).cast("long")
+    columns = max(1, math.floor(360 / size))  # whole columns, so that the first and the last are neighbours
+    column = lambda c: F.pmod(F.floor((F.col(c) + 180) * columns / 360), F.lit(columns)).cast("long")
+    line = lambda c: F.floor(F.col(c) / size).cast("long")
     reach = F.ceil(1 / F.greatest(F.lit(0.02), F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.col("_y")) + size))))).cast("long")
-    left = a.select(F.col(key), F.col(lon).alias("_x"), F.col(lat).alias("_y"), cell(lon).alias("_cx"), cell(lat).alias("_cy"))
-    left = left.withColumn("_gx", F.explode(F.sequence(F.col("_cx") - reach, F.col("_cx") + reach))).withColumn("_gy", F.explode(F.sequence(F.col("_cy") - 1, F.col("_cy") + 1)))
-    right = b.select(F.col(other), F.col(lon).alias("_x2"), F.col(lat).alias("_y2"), cell(lon).alias("_gx"), cell(lat).alias("_gy"))
+    left = a.select(F.col(key), F.col(lon).alias("_x"), F.col(lat).alias("_y"), column(lon).alias("_cx"), line(lat).alias("_cy"))
+    around = F.array_distinct(F.transform(F.sequence(F.col("_cx") - reach, F.col("_cx") + reach), lambda x: F.pmod(x, F.lit(columns))))
+    left = left.withColumn("_gx", F.explode(around)).withColumn("_gy", F.explode(F.sequence(F.col("_cy") - 1, F.col("_cy") + 1)))
+    right = b.select(F.col(other), F.col(lon).alias("_x2"), F.col(lat).alias("_y2"), column(lon).alias("_gx"), line(lat).alias("_gy"))
     d = left.join(right, ["_gx", "_gy"]).withColumn("metres", haversine(F.col("_x"), F.col("_y"), F.col("_x2"), F.col("_y2"))).where(F.col("metres") <= metres)
     rank = F.row_number().over(W.partitionBy(key).orderBy("metres", other))
     return d.withColumn("rank", rank).where(F.col("rank") <= k).select(key, other, "metres", "rank")

@@ -54,17 +54,19 @@ def span_authors(spans: DataFrame, authors: DataFrame, file: str) -> DataFrame:
 
 
 def files_containing(texts: DataFrame, messages: DataFrame, id_col: str, text_col: str, message_id: str, message: str, words: int = 3) -> DataFrame:
-    """(id, message_id) where a text holds a whole message.
+    """(id, message_id) where a text holds a whole message; ids are unique.
 
-    Texts meet messages by the message's first words, an equi-join on the texts' word runs, and are then searched for
-    the message. Messages of up to words + 2 words have no inner run to meet by and are not looked for.
+    Texts meet messages by the message's first inner words, an equi-join on the texts' word runs that carries ids
+    alone; the pairs then meet their texts again and are searched. Messages of up to words + 2 words have no inner run
+    to meet by and are not looked for.
     """
     split = lambda c: F.split(F.col(c), " ")
-    keyed = messages.select(F.col(message_id).alias("message_id"), F.col(message).alias("_m"), F.array_join(F.slice(split(message), 2, words), " ").alias("_key")).where(F.size(F.split("_m", " ")) > words + 2)
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - words + 1)), lambda i: F.array_join(F.slice("_w", i, words), " ")))
-    t = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"), split(text_col).alias("_w")).withColumn("_runs", runs).drop("_w")
-    met = t.select("id", "_t", F.explode("_runs").alias("_key"))
-    return met.join(keyed, "_key").where(F.contains("_t", F.col("_m"))).select("id", "message_id").distinct()
+    keyed = messages.select(F.col(message_id).alias("message_id"), F.col(message).alias("_m"), F.xxhash64(F.array_join(F.slice(split(message), 2, words), " ")).alias("_key")).where(F.size(F.split("_m", " ")) > words + 2)
+    t = texts.select(F.col(id_col).alias("id"), split(text_col).alias("_w"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - words + 1)), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, words), " ")))
+    met = t.select("id", F.explode_outer(F.array_distinct(runs)).alias("_key")).join(keyed, "_key").select("id", "message_id", "_m").distinct()
+    bodies = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
+    return met.join(bodies, "id").where(F.contains("_t", F.col("_m"))).select("id", "message_id")
 
 
 def audit_results(stored: DataFrame, again: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
