@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "d11_turns"
-FAMILIES: list[str] = ["relational", "activity", "logs", "text", "analysis"]
+FAMILIES: list[str] = ["relational", "activity", "logs", "text", "analysis", "sources", "streams"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.operators import text as X
 from tracelake.operators.relational import newest_per_key
-from tracelake.session import table
+from tracelake.session import scratch, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -156,12 +156,7 @@ def f16_bm25(spark: SparkSession, d: str) -> DataFrame:
 @query(_BM25)
 def f17_inverted_index(spark: SparkSession, d: str) -> DataFrame:
     """The same search from a written index: postings by term bucket and a statistics row."""
-    import uuid
-
-    from tracelake.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}"
+    base = scratch(spark, "index")
     docs = table(spark, d, "documents")
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(8))
     X.postings(docs, "doc_id", "text").withColumn("bucket", bucket("term")).write.partitionBy("bucket").parquet(f"{base}/postings")
