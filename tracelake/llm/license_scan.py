@@ -53,11 +53,20 @@ def shingles(words: Column, size: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(words, i, size), " ")))
 
 
+def _runs(k: int) -> Column:
+    """A hash of every run of k words."""
+    return F.transform(F.sequence(F.lit(1), F.size("words") - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice("words", i, F.lit(k)), " ")))
+
+
+def _permuted(hashes: str, band: int) -> Column:
+    return F.transform(hashes, lambda h: F.xxhash64(h, F.lit(band)))
+
+
 def minhashes(items: Column, bands: int) -> Column:
     """One MinHash a band of an array of strings."""
 
     def one(band: int) -> Column:
-        return F.array_min(F.transform(items, lambda x: F.xxhash64(x, F.lit(band))))
+        return F.array_min(F.transform(items, lambda x: F.xxhash64(F.xxhash64(x), F.lit(band))))
 
     return F.array(*[one(b) for b in range(bands)])
 
@@ -80,39 +89,48 @@ def license_scan(
     columns are not read.
     """
     spark = docs.sparkSession
-    table = template_table(spark, templates)
     by_size: dict[int, list[str]] = defaultdict(list)
     for name, text in templates.items():
         if n := len(_WORD.findall(text.lower())):
             by_size[n].append(name)
-    gate = gate_words(templates, shingle, containment)
     low = F.lower(F.col(text_col))
     may = F.lit(False)
-    for w in gate:
+    for w in gate_words(templates, shingle, containment):
         may = may | low.contains(w)
     words = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
-    held = docs.where(may).select(F.col(id_col).alias("doc_id"), words.alias("words"))
+    held = docs.where(may).select(F.col(id_col).alias("doc_id"), words.alias("words")).where(F.size("words") > 0)
+    if not by_size:
+        return held.where("false").selectExpr("doc_id", "'' AS license", "0D AS containment", "0L AS first_word", "0L AS n_windows")
 
-    def windows(m: int) -> Column:
-        stride = max(1, m // 4)
-        starts = F.sequence(F.lit(0), F.greatest(F.size("words") - m, F.lit(0)) + (stride - 1), F.lit(stride))
-        return F.transform(starts, lambda s: F.struct(F.lit(m).alias("m"), s.alias("start"), F.slice("words", s + 1, m + stride - 1).alias("w")))
+    # every shingle is hashed once, and once a band; windows then only take minima
+    kinds = sorted({min(shingle, m) for m in by_size})
+    for k in kinds:
+        held = held.withColumn(f"h{k}", F.when(F.size("words") >= k, _runs(k)).otherwise(F.array().cast("array<bigint>")))
+    for k in kinds:
+        held = held.withColumn(f"b{k}", F.array(*[_permuted(f"h{k}", b) for b in range(bands)])).drop(f"h{k}")
 
-    empty = spark.createDataFrame([], "doc_id string, license string, containment double, first_word long, n_windows long")
-    if not by_size:
-        return docs.select(F.col(id_col).alias("doc_id")).where("false").join(empty.drop("doc_id"), how="cross")
-    cut_up = held.where(F.size("words") > 0).select("doc_id", F.explode_outer(F.concat(*[windows(m) for m in sorted(by_size)])).alias("x")).select("doc_id", "x.*")
-    size = lambda m: F.least(F.lit(shingle), m)
-    cut_up = cut_up.withColumn("s", shingles(F.col("w"), size(F.col("m")))).drop("w")
-    met = cut_up.withColumn("h", minhashes(F.col("s"), bands))
-    own = table.withColumn("m", F.size("words")).withColumn("ts", shingles(F.col("words"), size(F.col("m")))).drop("words")
-    signed = own.withColumn("h", minhashes(F.col("ts"), bands))
+    table = template_table(spark, templates).withColumn("m", F.size("words"))
+    signed = table.withColumn("ts", shingles(F.col("words"), F.least(F.lit(shingle), F.col("m")))).drop("words").withColumn("h", minhashes(F.col("ts"), bands))
     keyed = signed.select("m", "license", "ts", F.posexplode_outer("h").alias("band", "v"))
-    # a window goes on only with the bands that meet a template; each template that it meets is verified once
-    spread = met.select("doc_id", "m", "start", "s", F.posexplode_outer("h").alias("band", "v"))
     small = sum(n * len(names) for n, names in by_size.items()) <= BROADCAST_WORDS
+    # the values of a small collection, a few numbers a template, let windows without any band in common go at once
+    wanted = sorted({v for r in signed.select("h").collect() for v in r["h"]}) if small else None
+
+    def windows(m: int) -> Column:
+        stride, k = max(1, m // 4), min(shingle, m)
+        size = m + stride - 1
+        starts = F.sequence(F.lit(0), F.greatest(F.size("words") - m, F.lit(0)) + (stride - 1), F.lit(stride))
+        low = lambda s: F.array(*[F.array_min(F.slice(F.get(f"b{k}", F.lit(b)), s + 1, F.lit(size - k + 1))) for b in range(bands)])
+        signed = F.transform(starts, lambda s: F.struct(F.lit(m).alias("m"), s.alias("start"), low(s).alias("h")))
+        if wanted is not None:
+            signed = F.filter(signed, lambda x: F.exists(x["h"], lambda v: v.isin(*wanted)))
+        return F.transform(signed, lambda x: F.struct(x["m"].alias("m"), x["start"].alias("start"), x["h"].alias("h"), F.slice("words", x["start"] + 1, F.lit(size)).alias("w")))
+
+    cut_up = held.select("doc_id", F.explode_outer(F.concat(*[windows(m) for m in sorted(by_size)])).alias("x")).where(F.col("x").isNotNull()).select("doc_id", "x.*")
+    spread = cut_up.select("doc_id", "m", "start", "w", F.posexplode_outer("h").alias("band", "v"))
     pairs = spread.join(F.broadcast(keyed) if small else keyed, ["m", "band", "v"])
-    share = F.size(F.array_intersect("s", "ts")) / F.size("ts")
+    own = shingles(F.col("w"), F.least(F.lit(shingle), F.col("m")))
+    share = F.size(F.array_intersect(own, F.col("ts"))) / F.size("ts")
     exact = pairs.select("doc_id", "license", "start", share.alias("share")).where(F.col("share") >= containment - 1e-9).distinct()
     return exact.groupBy("doc_id", "license").agg(
         F.max("share").alias("containment"),
