@@ -8,13 +8,15 @@ difference and the pair meets in that table. 2^(r+1)-1 tables thus find every pa
 
 from __future__ import annotations
 
+import math
 import random
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -115,14 +117,113 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return fps.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of docs that stay: of each group the row with the smallest id, with docs' own columns.
+# Near copies of the training corpus: similarity of five-word shingles, not bits of one fingerprint.
+#
+# A pair that shares 0.8 of its five-word shingles differs in some nine of 64 bits, beyond what covering tables can
+# take. Two-word shingles change less under the same edits: such a pair differs in about six bits, so several
+# independent fingerprints of them, each in its own covering tables, let it meet (0.6 of pairs at 0.8, 0.8 at 0.85, over
+# 0.9 at 0.9 with three). Pairs that meet are held against 256 bits of their five-word shingles.
 
-    Rows that repeat one id count as one document: the first by text stays. If all ids of a group are null, one row
-    of each of its texts stays.
+WORD_PRINTS, CHECK_PRINTS = 3, 4
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def _runs(codes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the distinct runs of so many words; the whole text if it has fewer."""
+    size = min(size, len(codes))
+    h = np.zeros(len(codes) - size + 1, np.uint64)
+    for t in range(size):
+        h = _mixed(h * _GOLD + codes[t : t + len(h)] + np.uint64(t))
+    return np.unique(h)
+
+
+def _prints(hashes: np.ndarray, n: int) -> list[int]:
+    """n independent signed 64-bit fingerprints of a set of hashes."""
+    ones = np.zeros(n * BITS, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        part = hashes[at : at + _CHUNK]
+        wide = np.stack([_mixed(part + np.uint64((j + 1) * int(_GOLD) % (1 << 64))) for j in range(n)], axis=1)
+        ones += np.unpackbits(wide.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8").tolist()
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, w, s): the op's fingerprint and WORD_PRINTS of two-word shingles in w, CHECK_PRINTS of five-word ones in s."""
+    share_code(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, s = [], []
+            for text in batch.column(1):
+                text = text.as_py()
+                words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+                codes = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+                own = fingerprint(text)
+                w.append([own - (1 << BITS) if own >> (BITS - 1) else own, *(_prints(_runs(codes, 2), WORD_PRINTS) if words else [0] * WORD_PRINTS)])
+                s.append(_prints(_runs(codes, 5), CHECK_PRINTS) if words else [0] * CHECK_PRINTS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, pa.list_(pa.int64())), pa.array(s, pa.list_(pa.int64()))], names=["id", "w", "s"])
+
+    kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return kept.mapInArrow(run, "id long, w array<long>, s array<long>")
+
+
+def _bits_apart(x: str, y: str) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, n: t + n)
+
+
+def copy_links(nodes: DataFrame, radius: int = 4, similarity: float = 0.8) -> DataFrame:
+    """(a, b) links of nodes (node, w, s) that are near copies, as spare as fingerprint_links makes them.
+
+    Linked: the op's own fingerprints within the radius, or any other fingerprint within it and five-word shingles of
+    at least the similarity, as 64 * CHECK_PRINTS bits tell it.
+    """
+    masks = covering_masks(radius)
+    cos = 2 * similarity / (1 + similarity)
+    size, share = BITS * CHECK_PRINTS, math.acos(cos) / math.pi
+    most = round(size * share + 1.5 * math.sqrt(size * share * (1 - share)))  # of pairs at the similarity, 93 % stay within
+    n = 1 + WORD_PRINTS
+    tables = [F.struct(F.xxhash64(F.lit(f * len(masks) + t), F.col("w")[f].bitwiseAND(F.lit(m))).alias("k"), F.lit(f).alias("f")) for f in range(n) for t, m in enumerate(masks)]
+    spread = nodes.select("node", "w", F.explode_outer(F.array(*tables)).alias("x")).select("node", "x.k", F.when(F.col("x.f") == 0, F.lit(True)).otherwise(F.lit(False)).alias("own"), F.get("w", F.col("x.f")).alias("fp"))
+    low = spread.groupBy("k").agg(F.min("node").alias("p"), F.count("*").alias("n")).where("n > 1").select("k", "p")
+    met = cut(spread.join(low, "k"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """pairs (a, b, own): those of the op's own fingerprints stand, the others are held against both sketches."""
+        sure = pairs.where("own").select("a", "b")
+        x, y = nodes.select(F.col("node").alias("a"), F.col("s").alias("sa")), nodes.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+        other = pairs.where("not own").select("a", "b").distinct().join(x, "a").join(y, "b").where(_bits_apart("sa", "sb") <= most)
+        return sure.union(other.select("a", "b")).distinct()
+
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius
+    pivots = met.where("node = p").select("k", F.col("fp").alias("fp2"))
+    stars = met.where("node <> p").join(pivots, "k").where(near).select(F.col("node").alias("a"), F.col("p").alias("b"), "own")
+    star = cut(verified(stars))
+    roots = connected_components(star)
+    named = met.join(roots, "node", "left").select("k", "node", "fp", "own", F.coalesce("root", "node").alias("root"))
+    mixed = named.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("k")
+    left = cut(named.join(mixed, "k", "left_semi"))
+    right = left.select("k", F.col("node").alias("b"), F.col("fp").alias("fp2"), F.col("root").alias("root2"))
+    cross = left.join(right, "k").where((F.col("root") < F.col("root2")) & near).select(F.col("node").alias("a"), "b", "own")
+    return star.unionByName(verified(cross))
+
+
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs that stay: of each group of near copies the row with the smallest id, with docs' own columns.
+
+    Rows that repeat one id count as one document: the first by text stays. Rows with a null id stay, one of each text.
     """
-    groups = simhash_groups(docs, id_col, text_col, shingle, radius)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    sk = cut(sketches(docs, id_col, text_col))
+    kinds = sk.where("id is not null").groupBy("w", "s").agg(F.min("id").alias("node"))
+    nodes = cut(kinds)
+    roots = connected_components(copy_links(nodes, radius, similarity))
+    gone = roots.where("node <> root").select("node")
+    stay = nodes.select("node").join(gone, "node", "left_anti").select(F.col("node").alias("_id"))
+    kept = docs.join(stay, F.col(id_col).cast("long") == F.col("_id"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
     first = F.row_number().over(W.partitionBy(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col))).orderBy(F.col(text_col)))
     return kept.withColumn("_n", first).where("_n = 1").drop("_n")
