@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracelake.llm.chat import chain_by_turn, conversation_digests, format_conversations
 from tracelake.llm.cotraining import quality_scores
@@ -14,6 +15,7 @@ from tracelake.llm.langid import language_report
 from tracelake.llm.license_scan import license_scan
 from tracelake.llm.license_texts import TEMPLATES
 from tracelake.llm.mixing import mixing_plan
+from tracelake.llm.oracles import ORACLE_SQL  # noqa: F401
 from tracelake.llm.quality_rules import quality_report
 from tracelake.llm.simhash import simhash_groups
 from tracelake.llm.substring_dedup import repeated_passages
@@ -45,7 +47,8 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_report(table(spark, sf_dir, "documents"))
+    report = quality_report(table(spark, sf_dir, "documents"))
+    return report.withColumns({c: F.round(c, 6) for c in ("js_chars", "js_common")})
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,5 +78,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_html_extract": op10_html_extract,
 }
-
-ORACLE_SQL: dict[str, str] = {}
