@@ -260,3 +260,61 @@ def b19_expire(spark: SparkSession, d: str) -> DataFrame:
     """Files that the last two of five versions no longer need: the first copy of the year published twice."""
     e = P.expire(spark, _published(spark, d), 2)
     return e.groupBy("version").agg(F.count("*").alias("folders")).where("version = 2")
+
+
+@query("SELECT o_orderkey, floor(o_totalprice)::BIGINT AS o_totalprice, 'x' AS ds FROM orders")
+def b5_typed_stage(spark: SparkSession, d: str) -> DataFrame:
+    """A declared schema: columns by name, cast, extras ignored; the price is declared a whole number."""
+    t = P.Table(scratch(spark, "pub"), "shop", "typed", schema="ds string, o_totalprice decimal(18,0), o_orderkey long")
+    P.publish(table(spark, d, "orders").withColumns({"ds": F.lit("mine"), "o_totalprice": F.floor("o_totalprice")}), t, {"ds": "x"})
+    return P.read_version(spark, t).select("o_orderkey", F.col("o_totalprice").cast("long").alias("o_totalprice"), "ds")
+
+
+def _refused(spark: SparkSession, d: str) -> tuple[P.Table, list[str]]:
+    """Orders published once, then two publications that their checks refuse."""
+    t, o, errors = P.Table(scratch(spark, "pub"), "shop", "checked"), table(spark, d, "orders").select("o_orderkey", "o_custkey"), []
+    P.publish(o, t, {"ds": "a"})
+    for bad in (t.check_not_null("o_custkey"), t.check("customers are few", lambda s: s.where("o_custkey > 10"))):
+        try:
+            P.publish(o.withColumn("o_custkey", F.when(F.col("o_orderkey") % 5 > 0, F.col("o_custkey"))), bad, {"ds": "a"})
+        except P.CheckFailed as e:
+            errors.append(str(e))
+    return t, errors
+
+
+@query("SELECT 'o_custkey is null in ' || count(*) || ' rows' AS error FROM orders WHERE o_orderkey % 5 = 0")
+def b6_not_null(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(_refused(spark, d)[1][0],)], "error string")
+
+
+@query("SELECT o_orderkey, o_custkey, 'a' AS ds FROM orders")
+def b8_failed_checks_keep_rows(spark: SparkSession, d: str) -> DataFrame:
+    t, errors = _refused(spark, d)
+    assert len(errors) == 2
+    return P.read_version(spark, t)
+
+
+@query("SELECT 'NULL' AS wanted, true AS landed FROM (SELECT 1) UNION ALL SELECT 'x', false")
+def b10_waits(spark: SparkSession, d: str) -> DataFrame:
+    """Partitions are matched null-safe; one that has not landed is not there."""
+    t = P.Table(scratch(spark, "pub"), "shop", "waited", ("ds", "country"))
+    P.publish(table(spark, d, "nation"), t, {"ds": "a", "country": None})
+    rows = [("NULL", P.has_partition(spark, t, {"ds": "a", "country": None})), ("x", P.has_partition(spark, t, {"ds": "a", "country": "x"}))]
+    return spark.createDataFrame(rows, "wanted string, landed boolean")
+
+
+@query("SELECT 'shop' AS namespace, 'receipts' AS \"table\", count(*) AS rows, 5::BIGINT AS columns FROM customer WHERE c_acctbal > 0")
+def b16_receipt(spark: SparkSession, d: str) -> DataFrame:
+    t = P.Table(scratch(spark, "pub"), "shop", "receipts")
+    r = P.publish(table(spark, d, "customer").drop("c_mktsegment").where("c_acctbal > 0"), t, {"ds": "a"})
+    return spark.createDataFrame([(r["namespace"], r["table"], r["rows"], r["columns"])], "namespace string, table string, rows long, columns long")
+
+
+@query("SELECT 'one' AS base, count(*) AS n FROM nation UNION ALL SELECT 'two', count(*) FROM region")
+def b18_two_catalogs(spark: SparkSession, d: str) -> DataFrame:
+    base = scratch(spark, "pub")
+    one, two = P.Table(f"{base}/one", "shop", "t"), P.Table(f"{base}/two", "shop", "t")
+    P.publish(table(spark, d, "nation"), one, {"ds": "a"})
+    P.publish(table(spark, d, "region"), two, {"ds": "a"})
+    parts = [P.read_version(spark, t).agg(F.count("*").alias("n")).select(F.lit(n).alias("base"), "n") for n, t in (("one", one), ("two", two))]
+    return parts[0].unionByName(parts[1])

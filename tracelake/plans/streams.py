@@ -22,11 +22,11 @@ def query(sql: str | None = None):
     return keep
 
 
-def _landed(spark: SparkSession, d: str, rows: DataFrame | None = None, batches: int = 3) -> tuple[DataFrame, str]:
+def _landed(spark: SparkSession, d: str, rows: DataFrame | None = None, batches: int = 3, by: str = "ts") -> tuple[DataFrame, str]:
     """Events written as files in order of time, and a stream over them in a few batches."""
     base = scratch(spark, "stream")
     e = (table(spark, d, "events") if rows is None else rows).withColumn("ts", F.col("ts").cast("timestamp"))
-    e.repartitionByRange(batches, "ts").sortWithinPartitions("ts").write.parquet(f"{base}/in")
+    e.repartitionByRange(batches, by).sortWithinPartitions("ts").write.parquet(f"{base}/in")
     return J.read_stream(spark, f"{base}/in", e.schema, max_files=1), base
 
 
@@ -38,6 +38,16 @@ def l1_session_store(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{base}/store").select("event_id", F.col("user_id").cast("long").alias("user_id"))
 
 
+@query("SELECT event_id, event_id > min(event_id) OVER (PARTITION BY user_id, event_type, props) AS is_repeat FROM events")
+def l2_block_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """Files of a hundred events; ids are user, type and props, so that many repeat."""
+    e = table(spark, d, "events")
+    rows = e.select("event_id", "ts", F.expr("event_id div 100").alias("file"), F.concat_ws("|", "user_id", "event_type", "props").alias("id"))
+    s, base = _landed(spark, d, rows, by="file")
+    J.each_batch(s, J.refresh_blocks(f"{base}/blocks", "file", "id", ["event_id"]), f"{base}/ck").awaitTermination()
+    return J.last_folder(f"{base}/blocks", spark).select("event_id", "is_repeat")
+
+
 @query("SELECT user_id, arg_max(event_id, ts) AS event_id, max(ts) AS ts FROM events GROUP BY user_id")
 def l3_newest_wins(spark: SparkSession, d: str) -> DataFrame:
     s, base = _landed(spark, d)
@@ -102,6 +112,14 @@ def l8_land_signals(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("event_type", "ds").agg(F.count("*").alias("n"))
 
 
+@query("SELECT event_type AS signal, count(*) AS n, count(DISTINCT ts::DATE) AS days FROM events GROUP BY 1")
+def k11_telemetry(spark: SparkSession, d: str) -> DataFrame:
+    """Signals told apart by kind land in their own date-partitioned folders."""
+    s, base = _landed(spark, d)
+    J.land_signals(s, f"{base}/otlp", f"{base}/ck", "event_type", "ts").awaitTermination()
+    return spark.read.schema(s.schema.add("ds", "string")).parquet(f"{base}/otlp").groupBy(F.col("event_type").alias("signal")).agg(F.count("*").alias("n"), F.countDistinct("ds").alias("days"))
+
+
 @query("SELECT page_id FROM pages WHERE page_id NOT IN (SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-01 05:00:00')")
 def l9_refetch(spark: SparkSession, d: str) -> DataFrame:
     from tracelake.operators.relational import due

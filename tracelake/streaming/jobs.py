@@ -7,7 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
+from tracelake.operators.activity import mark_repeats
 from tracelake.operators.relational import newest_per_key
 from tracelake.operators.rules import Rule, verdict_columns
 from tracelake.session import cut
@@ -97,3 +99,30 @@ def retained(df: DataFrame, since: Column, ds: str = "ds") -> DataFrame:
 def stream_verdicts(stream: DataFrame, rules: Sequence[Rule], keys: Sequence[str]) -> DataFrame:
     """Verdicts on arriving rows: a map without state or shuffle."""
     return verdict_columns(stream, rules, keys)
+
+
+def refresh_blocks(path: str, file: str, id_col: str, order: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """A batch function that replaces the rows of the files it sees and marks repeats anew; a batch may run twice.
+
+    Batches are expected to hold a changed file whole. Two folders take turns, so no folder is read and written at once.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark, rows = batch.sparkSession, batch
+        if number:
+            old = spark.read.parquet(f"{path}/v{(number - 1) % 2}").drop("is_repeat")
+            rows = old.join(batch.select(file).distinct(), file, "left_anti").unionByName(batch)
+        mark_repeats(rows, id_col, order).write.mode("overwrite").parquet(f"{path}/v{number % 2}")
+
+    return run
+
+
+def last_folder(path: str, spark: SparkSession) -> DataFrame:
+    """What the newest batch of refresh_blocks or upsert wrote: of the two folders the one with more rows, or the first."""
+    parts = []
+    for v in (0, 1):
+        try:
+            parts.append(spark.read.parquet(f"{path}/v{v}"))
+        except AnalysisException:
+            continue
+    return max(parts, key=lambda df: df.count())
