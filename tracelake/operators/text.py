@@ -187,7 +187,7 @@ def tokens(text: Column) -> Column:
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(term, id, tf, n_terms): the inverted index of a text column."""
     t = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    return t.select("id", F.size("t").alias("n_terms"), F.explode("t").alias("term")).groupBy("term", "id", "n_terms").agg(F.count("*").alias("tf")).select("term", "id", "tf", "n_terms")
+    return t.select("id", F.size("t").alias("n_terms"), F.explode_outer("t").alias("term")).where("term is not null").groupBy("term", "id", "n_terms").agg(F.count("*").alias("tf")).select("term", "id", "tf", "n_terms")
 
 
 def bm25(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -200,7 +200,7 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, k: int
     wanted = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     terms = wanted.select("term").distinct().agg(F.collect_list("term").alias("_terms"))
     t = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")).crossJoin(F.broadcast(terms))  # one row
-    hits = t.select("id", F.size("t").alias("len"), F.explode(F.filter("t", lambda x: F.array_contains("_terms", x))).alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    hits = t.select("id", F.size("t").alias("len"), F.explode_outer(F.filter("t", lambda x: F.array_contains("_terms", x))).alias("term")).where("term is not null").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     return rank_bm25(hits, stats, wanted, k, k1, b)
 
 
@@ -216,7 +216,7 @@ def rank_bm25(hits: DataFrame, stats: DataFrame, wanted: DataFrame, k: int, k1:
 
 def key_terms(docs: DataFrame, section: str, text_col: str, k: int, min_chars: int = 4) -> DataFrame:
     """(section, term, tf, score): the k terms of each section with the highest tf-idf, sections being the documents."""
-    t = docs.select(section, F.explode(F.filter(tokens(F.col(text_col)), lambda x: F.length(x) >= min_chars)).alias("term")).groupBy(section, "term").agg(F.count("*").alias("tf"))
+    t = docs.select(section, F.explode_outer(F.filter(tokens(F.col(text_col)), lambda x: F.length(x) >= min_chars)).alias("term")).where("term is not null").groupBy(section, "term").agg(F.count("*").alias("tf"))
     n = docs.agg(F.countDistinct(section).alias("_n"))
     df = t.groupBy("term").agg(F.count("*").alias("_df"))
     s = t.join(df, "term").crossJoin(F.broadcast(n)).withColumn("score", F.col("tf") * F.ln(F.col("_n") / F.col("_df")))  # one row
