@@ -310,6 +310,10 @@ PAGES = [
     ("<div id='cookie-notice'><p>We, use, cookies</p></div><div><p>Long, text, here.</p><p>More, text.</p></div>", "Long, text, here. More, text."),
     ("<article><p>a<script>if (1 < 2) '</article>'</script>b<style>p{}</style> <!-- no -->c&nbsp;d</p><p>cut o", "ab c d cut o"),
     ("<ul><li><a href=a>x</a></li></ul><div><h2>H</h2><p>Body, of, the page</p><ul><li>one<li>two</ul></div>", "H Body, of, the page one two"),
+    ("<div class='page with-sidebar'><div class='header'><p>Site, name</p></div><main><article><header><h1>T</h1></header><p>A, b.</p><section class='comments'><article><p>reader, said</p></article></section></article><div class='related'><p>More</p></div></main></div>", "T A, b."),
+    ("<div class='post'><p>Body, text, of this page.</p></div><div id='comments'><article><p>a, b, c, d, e, f</p></article></div>", "Body, text, of this page."),
+    ("<article class='post comments-open no-sidebar'><p>Words, in, a post</p></article><article class='comment'><p>c, c, c, c, c, c, c, c</p></article>", "Words, in, a post"),
+    ("<main><article><p>one, two, three</p></article><p>promo</p></main>", "one, two, three"),
     ("", ""), (None, ""), ("<p></p>", ""), ("5 < 6 & 7 > 3", "5 < 6 & 7 > 3"),
     ("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>", "deep"),
 ]

@@ -30,8 +30,10 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}),
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar status".split())
 #: Words of class and id values that mark no article.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notice notices notification notifications alert newsletter subscribe subscription signup popup modal overlay paywall sidebar sidebars aside rail menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments commentlist disqus respond replies share sharing social related recommended recommendations widget widgets login search skip hidden".split()
+    "ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notice notices notification notifications alert newsletter subscribe subscription signup popup modal overlay paywall sidebar sidebars aside rail menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments commentlist disqus respond reply replies disclaimer share sharing social related recommended recommendations widget widgets login search skip hidden".split()
 )
+#: Those among them that mark reader comments, also on article elements and around them.
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
 PARAGRAPHS = frozenset("p pre blockquote td dd li h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.S)
@@ -39,20 +41,25 @@ _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 _MARK_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
 
-def _is_marked(attrs: str) -> bool:
+def _mark(attrs: str, in_article: bool) -> int:
+    """2 if attributes tell reader comments, 1 if another part that is no article, else 0; an article's header holds its title."""
     if not attrs or attrs.isspace():
-        return False
+        return 0
     for name, x, y, z in _ATTR.findall(attrs):
         value, name = x or y or z, name.lower()
         if name in ("class", "id"):
-            if not MARKS.isdisjoint(w.lower() for w in _MARK_WORD.findall(value)):
-                return True
+            value = re.sub(r"\b(?:comments?-(?:open|closed|count)|(?:no|has|with)-[a-z]+)\b", "", value)  # states, not parts
+            words = {w.lower() for w in _MARK_WORD.findall(value)} | set(re.split(r"[^a-z]+", value.lower()))
+            if not COMMENTS.isdisjoint(words):
+                return 2
+            if not MARKS.isdisjoint(words) or "header" in words and not in_article:
+                return 1
         elif name == "role":
             if value.strip().lower() in ROLES:
-                return True
+                return 1
         elif name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return re.search(r"(?:^|\s)hidden(?:\s|$)", attrs) is not None
+            return 1
+    return int(re.search(r"(?:^|\s)hidden(?:\s|$)", attrs) is not None)
 
 
 class Tree:
@@ -60,6 +67,7 @@ class Tree:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.end, self.cut = ["#"], [-1], [0], [False]
+        marked: list[int] = [0]
         self.chunks: list[tuple[int, str]] = []
         stack, at, size = [0], 0, len(html)
         counts: dict[str, int] = {}
@@ -115,12 +123,14 @@ class Tree:
                 continue
             top = stack[-1]
             i = len(self.tag)
-            article_head = name == "header" and (counts.get("article") or counts.get("main"))
+            in_article = bool(counts.get("article") or counts.get("main"))
             self.tag.append(name)
             self.parent.append(top)
             self.end.append(i + 1)
             plain = name not in ("html", "body", "article", "main")
-            self.cut.append(self.cut[top] or (name in DROPPED and not article_head) or (plain and _is_marked(attrs)))
+            self.cut.append(name in DROPPED and not (name == "header" and in_article))
+            found = _mark(attrs, in_article)
+            marked.append(found if plain or found == 2 and name == "article" else 0)
             if name in RAW or name in ("svg", "math"):
                 close = re.compile(rf"</{name}[\s/>]", re.I).search(html, at)
                 if close is None:
@@ -134,6 +144,18 @@ class Tree:
             counts[name] = counts.get(name, 0) + 1
         pop_to(1)
         self.end[0] = len(self.tag)
+        # whatever its class says, what is around the largest article is kept, unless it is a comment
+        articles = [i for i, tag in enumerate(self.tag) if tag in ("article", "main") and not marked[i]]
+        up = max(articles, key=lambda i: (self.end[i] - i, -i), default=0)
+        around = []
+        while up > 0:
+            around.append(up)
+            up = self.parent[up]
+        if not any(marked[i] == 2 for i in around):
+            for i in around:
+                marked[i] = 0
+        for i in range(1, len(self.tag)):
+            self.cut[i] = self.cut[self.parent[i]] or self.cut[i] or marked[i] > 0
 
 
 def _scores(tree: Tree, words: list[int], links: list[int], commas: list[int]) -> list[float]:
@@ -160,6 +182,26 @@ def _scores(tree: Tree, words: list[int], links: list[int], commas: list[int]) -
     return score
 
 
+def _article_of(tree: Tree, best: int, words: list[int]) -> int:
+    """The article that holds the best container; a section of an article is not the article.
+
+    The outermost article above it, else the main element, and of that the one article that holds most of its text.
+    """
+    up, article, main = best, 0, 0
+    while up > 0:
+        if tree.tag[up] == "article":
+            article = up
+        elif tree.tag[up] == "main":
+            main = up
+        up = tree.parent[up]
+    if article:
+        return article
+    if main:
+        inner = [i for i in range(main + 1, tree.end[main]) if tree.tag[i] == "article" and not tree.cut[i] and 2 * words[i] > words[main]]
+        return inner[0] if inner else main
+    return best
+
+
 def extract(html: str | None) -> str:
     """Main text of one whole page; empty for null, and if nothing is left."""
     if not html:
@@ -189,11 +231,7 @@ def extract(html: str | None) -> str:
     best = max(range(n), key=lambda i: (score[i] if not tree.cut[i] else -1.0, -i))
     if score[best] <= 0:
         best = next((i for i in range(n) if tree.tag[i] in ("article", "main") and words[i] and not tree.cut[i]), next((i for i in range(n) if tree.tag[i] == "body"), 0))
-    up = best
-    while up > 0:  # a section of an article is not the article
-        if tree.tag[up] in ("article", "main"):
-            best = up
-        up = tree.parent[up]
+    best = _article_of(tree, best, words)
     keep = [(best, tree.end[best])]
     if tree.parent[best] > 0:
         bar = max(10.0, 0.2 * score[best])
