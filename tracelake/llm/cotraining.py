@@ -1,10 +1,11 @@
 """Quality classifier by co-training.
 
 Two views of a document are classified apart: what it says (words and word endings of its whole text) and where and
-how it came (source, language, length and line shape). Both are naive Bayes models over binary features, which train
-by counting, so a training pass is one scan with partial sums. In every round each view labels the unlabelled
-documents it is sure of for the other view. Each view's score is calibrated on labelled documents that never train
-(isotonic regression over score bins), and the calibrated views are combined to score all documents.
+how it came (source, language, length, and the shape of its lines and words: repeats, symbols, capitals). Both are
+naive Bayes models over binary features, which train by counting, so a training pass is one scan with partial sums. In
+every round each view labels the unlabelled documents it is sure of for the other view. Each view's score is calibrated
+on labelled documents that never train (isotonic regression over score bins), and the calibrated views are combined to
+score all documents.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from tracelake.session import cut, share_code
 TEXT_BITS, META_BITS = 13, 10
 ROUNDS, CONFIDENT, PSEUDO_WEIGHT = 2, 0.95, 0.5
 _BINS, _REACH, _ROWS = 200, 4.0, 256
+_SYMBOLS = str.maketrans("", "", "#*$%&|<>!")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -35,8 +37,16 @@ def text_features(text: str | None) -> np.ndarray:
 def meta_features(text: str | None, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
     """Numbers of the features of a document's metadata; what is null is a value of its own."""
     size = n_chars if n_chars is not None else -1
-    lines = (text or "").count("\n") + 1
-    told = (f"lang={lang}", f"source={source}", f"size={max(size, 0).bit_length()}:{size < 0}", f"lines={lines.bit_length()}", f"width={(max(size, 0) // lines).bit_length()}", f"lang={lang} size={max(size, 0).bit_length()}")
+    text = text or ""
+    rows = text.split("\n")
+    words = text.split()
+    lines, n = len(rows), max(1, len(words))
+    symbols = len(text) - len(text.translate(_SYMBOLS))
+    shouted = sum(map(str.isupper, words))
+    told = (
+        f"lang={lang}", f"source={source}", f"size={max(size, 0).bit_length()}:{size < 0}", f"lines={lines.bit_length()}", f"width={(max(size, 0) // lines).bit_length()}", f"lang={lang} size={max(size, 0).bit_length()}",
+        f"repeated lines={min(10, 10 * (lines - len(set(rows))) // lines)}", f"distinct words={10 * len(set(words)) // n} of {n.bit_length()}", f"symbols={min(10, 40 * symbols // n)}", f"shouted={10 * shouted // n}",
+    )
     return np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << META_BITS) - 1) for x in told], np.int64)
 
 
