@@ -188,10 +188,12 @@ def copy_links(nodes: DataFrame, radius: int = 4, similarity: float = 0.8) -> Da
     size, share = BITS * CHECK_PRINTS, math.acos(cos) / math.pi
     most = round(size * share + 1.5 * math.sqrt(size * share * (1 - share)))  # of pairs at the similarity, 93 % stay within
     n = 1 + WORD_PRINTS
-    tables = [F.struct(F.xxhash64(F.lit(f * len(masks) + t), F.col("w")[f].bitwiseAND(F.lit(m))).alias("k"), F.lit(f).alias("f")) for f in range(n) for t, m in enumerate(masks)]
-    spread = nodes.select("node", "w", F.explode_outer(F.array(*tables)).alias("x")).select("node", "x.k", F.when(F.col("x.f") == 0, F.lit(True)).otherwise(F.lit(False)).alias("own"), F.get("w", F.col("x.f")).alias("fp"))
+    # a table's key keeps in its lowest bit whether it is of the op's own fingerprint
+    key = lambda f, t, m: F.xxhash64(F.lit(f * len(masks) + t), F.col("w")[f].bitwiseAND(F.lit(m))).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(int(f == 0)))
+    tables = [F.struct(key(f, t, m).alias("k"), F.col("w")[f].alias("fp")) for f in range(n) for t, m in enumerate(masks)]
+    spread = nodes.select("node", F.explode_outer(F.array(*tables)).alias("x")).select("node", "x.k", "x.fp")
     low = spread.groupBy("k").agg(F.min("node").alias("p"), F.count("*").alias("n")).where("n > 1").select("k", "p")
-    met = cut(spread.join(low, "k"))
+    met = cut(spread.join(low, "k").withColumn("own", F.col("k").bitwiseAND(F.lit(1)) == 1))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs (a, b, own): those of the op's own fingerprints stand, the others are held against both sketches."""
@@ -220,7 +222,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     sk = cut(sketches(docs, id_col, text_col))
     kinds = sk.where("id is not null").groupBy("w", "s").agg(F.min("id").alias("node"))
-    nodes = cut(kinds)
+    # each row is about to make over a hundred: small partitions keep their sums in memory
+    nodes = cut(kinds.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     roots = connected_components(copy_links(nodes, radius, similarity))
     gone = roots.where("node <> root").select("node")
     stay = nodes.select("node").join(gone, "node", "left_anti").select(F.col("node").alias("_id"))
