@@ -223,7 +223,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sk = cut(sketches(docs, id_col, text_col))
     kinds = sk.where("id is not null").groupBy("w", "s").agg(F.min("id").alias("node"))
     # each row is about to make over a hundred: small partitions keep their sums in memory
-    nodes = cut(kinds.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    nodes = cut(kinds.repartition(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     roots = connected_components(copy_links(nodes, radius, similarity))
     gone = roots.where("node <> root").select("node")
     stay = nodes.select("node").join(gone, "node", "left_anti").select(F.col("node").alias("_id"))
