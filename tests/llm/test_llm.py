@@ -199,6 +199,31 @@ def test_passages_of_fifty_words_are_found(spark):
     assert len(left) == 12 and left[3] == rows[3][1] and left[5] == " ".join(docs[5][:50] + docs[5][110:])
 
 
+def test_two_passages_of_one_pair_are_both_found(spark):
+    rng = random.Random(4)
+    new = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    gaps = [(0, 100), (30, 60), (50, 50), (100, 100), (0, 200)]
+    rows, want, hit = [], {}, {}
+    for i, (before, after) in enumerate(gaps * 6):
+        p, q = new(60), new(60)
+        rows += [(2 * i, " ".join(new(20) + p + new(before) + q + new(20))), (2 * i + 1, " ".join(new(30) + p + new(after) + q + new(30)))]
+        want[2 * i + 1] = set(range(30, 90)) | set(range(90 + after, 150 + after))
+    for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r["match_id"] == r["doc_id"] - 1 and r["identity"] >= 0.8
+        hit.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    assert hit == want
+
+
+def test_parts_of_a_chain_that_reach_the_identity():
+    a = np.arange(300, dtype=np.uint16)
+    b = np.concatenate((a[:60], 1000 + np.arange(14), a[60:120], 2000 + np.arange(90), a[120:180])).astype(np.uint16)
+    chain = [(0, 0, 60), (60, 74, 60), (120, 224, 60)]
+    assert substring_dedup.align(a, b, chain) == [(0, 120, 0, 134, 120), (120, 180, 224, 284, 60)]
+    assert substring_dedup.align(a, b, chain[:2]) == [(0, 120, 0, 134, 120)]
+    three = np.concatenate((a[:60], 1000 + np.arange(25), a[60:120], 2000 + np.arange(25), a[120:180])).astype(np.uint16)
+    assert substring_dedup.align(a, three, [(0, 0, 60), (60, 85, 60), (120, 170, 60)]) == [(0, 120, 0, 145, 120), (60, 180, 85, 230, 120)]
+
+
 def test_fenwick_chain_is_the_best_chain():
     rng = random.Random(7)
     for _ in range(40):
