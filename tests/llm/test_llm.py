@@ -175,6 +175,22 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     assert set(range(30)) <= kept and len(kept - set(range(30))) <= 2
 
 
+def test_pairs_go_by_their_exact_similarity(spark):
+    rng = random.Random(3)
+    new = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    rows, near = [], set()
+    for i, other in enumerate((50, 41, 33, 25, 20, 16, 10, 5) * 12):
+        w = new(204)  # 200 shingles, of which 200 - other stay: similarities of 0.60, 0.66, 0.72, 0.78, 0.82, 0.85, 0.90, 0.95
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[: 204 - other] + new(other)))]
+        if 200 - other >= 0.8 * (200 + other):
+            near.add(2 * i + 1)
+    kept = {r["doc_id"] for r in simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = {i for i, _ in rows} - kept
+    text = dict(rows)
+    # below 0.8 only what the op's own four bits link
+    assert near <= gone and all((simhash.fingerprint(text[i]) ^ simhash.fingerprint(text[i - 1])).bit_count() <= 4 for i in gone - near)
+
+
 # passages
 
 

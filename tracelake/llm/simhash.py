@@ -120,11 +120,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 # Near copies of the training corpus: similarity of five-word shingles, not bits of one fingerprint.
 #
 # A pair that shares 0.8 of its five-word shingles differs in some nine of 64 bits, beyond what covering tables can
-# take. Two-word shingles change less under the same edits: such a pair differs in about six bits, so several
-# independent fingerprints of them, each in its own covering tables, let it meet (0.6 of pairs at 0.8, 0.8 at 0.85, over
-# 0.9 at 0.9 with three). Pairs that meet are held against 256 bits of their five-word shingles.
+# take. Such pairs meet in bands of MinHash values instead: over 0.999 of those at 0.8 share one of BANDS bands of ROWS
+# values. Pairs that meet are first held against 256 bits, within bounds that pairs at 0.8 do not reach in practice, and
+# then against each other's sets of shingles.
 
-WORD_PRINTS, CHECK_PRINTS = 3, 4
+BANDS, ROWS, CHECK_PRINTS = 24, 6, 4
+_SLACK = 6  # standard deviations; sets of few shingles differ in more bits than large ones
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -153,8 +154,27 @@ def _prints(hashes: np.ndarray, n: int) -> list[int]:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8").tolist()
 
 
+_ODD, _ADD = (np.random.default_rng(17).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[1], [0]], np.uint64))
+
+
+def _bands(hashes: np.ndarray) -> list[int]:
+    """A signed 64-bit key, even, for each band of the MinHash values of a set of hashes."""
+    least = np.full(BANDS * ROWS, np.uint64((1 << 64) - 1))
+    for at in range(0, len(hashes), 1 << 12):
+        least = np.minimum(least, (hashes[at : at + (1 << 12), None] * _ODD + _ADD).min(0))
+    key = np.arange(1, BANDS + 1).astype(np.uint64)
+    for values in least.reshape(BANDS, ROWS).T:
+        key = _mixed(key * _GOLD + values)
+    return (key & ~np.uint64(1)).view(np.int64).tolist()
+
+
+def _codes(text: str | None) -> np.ndarray:
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    return np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, w, s): the op's fingerprint and WORD_PRINTS of two-word shingles in w, CHECK_PRINTS of five-word ones in s."""
+    """(id, w, s): the op's fingerprint and the keys of BANDS bands in w, CHECK_PRINTS of five-word shingles in s."""
     share_code(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,57 +182,78 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             w, s = [], []
             for text in batch.column(1):
                 text = text.as_py()
-                words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-                codes = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+                codes = _codes(text)
                 own = fingerprint(text)
-                w.append([own - (1 << BITS) if own >> (BITS - 1) else own, *(_prints(_runs(codes, 2), WORD_PRINTS) if words else [0] * WORD_PRINTS)])
-                s.append(_prints(_runs(codes, 5), CHECK_PRINTS) if words else [0] * CHECK_PRINTS)
+                runs = _runs(codes, 5) if len(codes) else codes
+                w.append([own - (1 << BITS) if own >> (BITS - 1) else own, *(_bands(runs) if len(codes) else [0] * BANDS)])
+                s.append(_prints(runs, CHECK_PRINTS) if len(codes) else [0] * CHECK_PRINTS)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, pa.list_(pa.int64())), pa.array(s, pa.list_(pa.int64()))], names=["id", "w", "s"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return kept.mapInArrow(run, "id long, w array<long>, s array<long>")
 
 
+def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, h): 32-bit hashes of the distinct five-word shingles of the documents whose ids are in ids (node)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for text in batch.column(1):
+                codes = _codes(text.as_py())
+                sets.append(np.unique((_runs(codes, 5) >> np.uint64(32)).astype(np.uint32)).view(np.int32) if len(codes) else np.zeros(0, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "h"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    return texts.join(ids, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, h array<int>")
+
+
 def _bits_apart(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, n: t + n)
 
 
-def copy_links(nodes: DataFrame, radius: int = 4, similarity: float = 0.8) -> DataFrame:
+def copy_links(nodes: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, similarity: float = 0.8) -> DataFrame:
     """(a, b) links of nodes (node, w, s) that are near copies, as spare as fingerprint_links makes them.
 
-    Linked: the op's own fingerprints within the radius, or any other fingerprint within it and five-word shingles of
-    at least the similarity, as 64 * CHECK_PRINTS bits tell it.
+    Linked: the op's own fingerprints within the radius, or a band in common and five-word shingles of at least the
+    similarity (Jaccard), counted in docs, whose ids the nodes are.
     """
     masks = covering_masks(radius)
     cos = 2 * similarity / (1 + similarity)
     size, share = BITS * CHECK_PRINTS, math.acos(cos) / math.pi
-    most = round(size * share + 1.5 * math.sqrt(size * share * (1 - share)))  # of pairs at the similarity, 93 % stay within
-    n = 1 + WORD_PRINTS
+    most = round(size * share + _SLACK * math.sqrt(size * share * (1 - share)))
     # a table's key keeps in its lowest bit whether it is of the op's own fingerprint
-    key = lambda f, t, m: F.xxhash64(F.lit(f * len(masks) + t), F.col("w")[f].bitwiseAND(F.lit(m))).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(int(f == 0)))
-    tables = [F.struct(key(f, t, m).alias("k"), F.col("w")[f].alias("fp")) for f in range(n) for t, m in enumerate(masks)]
-    spread = nodes.select("node", F.explode_outer(F.array(*tables)).alias("x")).select("node", "x.k", "x.fp")
+    key = lambda t, m: F.xxhash64(F.lit(t), F.col("w")[0].bitwiseAND(F.lit(m))).bitwiseOR(F.lit(1))
+    tables = [F.struct(key(t, m).alias("k"), F.col("w")[0].alias("fp")) for t, m in enumerate(masks)]
+    bands = F.transform(F.slice("w", 2, BANDS), lambda k: F.struct(k.alias("k"), F.lit(None).cast("long").alias("fp")))
+    spread = nodes.select("node", F.explode(F.concat(F.array(*tables), bands)).alias("x")).select("node", "x.k", "x.fp")
     low = spread.groupBy("k").agg(F.min("node").alias("p"), F.count("*").alias("n")).where("n > 1").select("k", "p")
     met = cut(spread.join(low, "k").withColumn("own", F.col("k").bitwiseAND(F.lit(1)) == 1))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b, own): those of the op's own fingerprints stand, the others are held against both sketches."""
-        sure = pairs.where("own").select("a", "b")
-        x, y = nodes.select(F.col("node").alias("a"), F.col("s").alias("sa")), nodes.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-        other = pairs.where("not own").select("a", "b").distinct().join(x, "a").join(y, "b").where(_bits_apart("sa", "sb") <= most)
-        return sure.union(other.select("a", "b")).distinct()
+        """Of pairs (a, b), those whose shingles are as similar as asked."""
+        pairs = cut(pairs)
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = cut(shingle_sets(docs, ids, id_col, text_col))
+        x, y = sets.toDF("a", "ha"), sets.toDF("b", "hb")
+        both = F.size(F.array_intersect("ha", "hb"))
+        return pairs.join(x, "a").join(y, "b").where(both >= similarity * (F.size("ha") + F.size("hb") - both)).select("a", "b")
 
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius
-    pivots = met.where("node = p").select("k", F.col("fp").alias("fp2"))
-    stars = met.where("node <> p").join(pivots, "k").where(near).select(F.col("node").alias("a"), F.col("p").alias("b"), "own")
-    star = cut(verified(stars))
+    pivots = met.where("node = p and own").select("k", F.col("fp").alias("fp2")).distinct()
+    sure = met.where("node <> p and own").join(pivots, "k").where(near).select(F.col("node").alias("a"), F.col("p").alias("b")).distinct()
+    x, y = nodes.select(F.col("node").alias("a"), F.col("s").alias("sa")), nodes.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+    other = met.where("node <> p and not own").select(F.col("node").alias("a"), F.col("p").alias("b")).distinct()
+    other = other.join(x, "a").join(y, "b").where(_bits_apart("sa", "sb") <= most).select("a", "b").distinct()
+    star = cut(sure.union(verified(other)).distinct())
     roots = connected_components(star)
     named = met.join(roots, "node", "left").select("k", "node", "fp", "own", F.coalesce("root", "node").alias("root"))
     mixed = named.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("k")
-    left = cut(named.join(mixed, "k", "left_semi"))
-    right = left.select("k", F.col("node").alias("b"), F.col("fp").alias("fp2"), F.col("root").alias("root2"))
-    cross = left.join(right, "k").where((F.col("root") < F.col("root2")) & near).select(F.col("node").alias("a"), "b", "own")
-    return star.unionByName(verified(cross))
+    left = cut(named.join(mixed, "k", "left_semi").join(nodes.select("node", "s"), "node"))
+    right = left.select("k", F.col("node").alias("b"), F.col("fp").alias("fp2"), F.col("root").alias("root2"), F.col("s").alias("s2"))
+    alike = F.when(F.col("own"), near).otherwise(_bits_apart("s", "s2") <= most)
+    cross = cut(left.join(right, "k").where((F.col("root") < F.col("root2")) & alike).select(F.col("node").alias("a"), "b", "own").distinct())
+    return star.unionByName(cross.where("own").select("a", "b")).unionByName(verified(cross.where("not own").select("a", "b"))).distinct()
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, similarity: float = 0.8) -> DataFrame:
@@ -224,7 +265,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kinds = sk.where("id is not null").groupBy("w", "s").agg(F.min("id").alias("node"))
     # each row is about to make over a hundred: small partitions keep their sums in memory
     nodes = cut(kinds.repartition(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    roots = connected_components(copy_links(nodes, radius, similarity))
+    roots = connected_components(copy_links(nodes, docs, id_col, text_col, radius, similarity))
     gone = roots.where("node <> root").select("node")
     stay = nodes.select("node").join(gone, "node", "left_anti").select(F.col("node").alias("_id"))
     kept = docs.join(stay, F.col(id_col).cast("long") == F.col("_id"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
