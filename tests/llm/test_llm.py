@@ -230,6 +230,32 @@ def test_two_passages_of_one_pair_are_both_found(spark):
     assert hit == want
 
 
+def test_fuzzy_passages_are_found_by_few_seeds(spark):
+    rng = random.Random(6)
+    new = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    rows = []
+    for every in (6, 8, 10):
+        for _ in range(40):
+            i, p = len(rows), new(60)
+            fuzzy = [w if k % every != every - 1 else new(1)[0] for k, w in enumerate(p)]
+            rows += [(i, " ".join(new(40) + p + new(40))), (i + 1, " ".join(new(50) + fuzzy + new(30)))]
+    found = {r["doc_id"] for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(i % 2 for i in found)
+    share = [len([i for i in found if 80 * n <= i < 80 * n + 80]) for n in range(3)]
+    assert share[0] >= 32 and share[1] >= 36 and share[2] >= 38
+
+
+def test_passages_whose_seeds_others_hold_first(spark):
+    rng = random.Random(9)
+    new = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    p = new(60)
+    # no earlier document holds more than a sixth of the passage
+    rows = [(i, " ".join(new(40) + p[max(0, 10 * i - 4) : 10 * i + 10] + new(40))) for i in range(6)]
+    rows += [(10, " ".join(new(30) + p + new(30))), (11, " ".join(new(20) + p + new(50)))]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert any((r["doc_id"], r["match_id"]) == (11, 10) and r["end"] - r["start"] >= 58 for r in got)
+
+
 def test_parts_of_a_chain_that_reach_the_identity():
     a = np.arange(300, dtype=np.uint16)
     b = np.concatenate((a[:60], 1000 + np.arange(14), a[60:120], 2000 + np.arange(90), a[120:180])).astype(np.uint16)
