@@ -27,7 +27,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, driver_
 
 
 def share_code(spark: SparkSession) -> None:
-    """Let Python workers import this library when the driver found it by its working directory."""
+    """Let Python workers that see the driver's folders import this library; other clusters need it installed or sent with --py-files."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = f"{ROOT}:{env.get('PYTHONPATH', '')}".rstrip(":")
@@ -39,10 +39,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir; only where it is unset, as in tests, take a temporary one."""
+    """Use the shared folder named in spark.checkpoint.dir; only where it is unset, and the master local, take a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracelake-ck-", dir="/tmp"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracelake-ck-", dir="/tmp"))
+
+
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """So many column names that df, whatever its columns are called, does not have."""
+    taken, i = {c.lower() for c in df.columns}, 0
+    out: list[str] = []
+    while len(out) < n:
+        if f"_own{i}" not in taken:
+            out.append(f"_own{i}")
+        i += 1
+    return out
 
 
 def cut(df: DataFrame) -> DataFrame:
