@@ -3,7 +3,10 @@
 A page becomes a tree. Every paragraph earns points for its length and commas and passes them to its ancestors: all to
 the parent, half to the grandparent, less further up. A container's points are discounted by its link density. The best
 container is kept, with those of its siblings that score well enough or read like paragraphs; parts that are no
-article by their element, role or class (menus, adverts, forms, notices, reader comments) are cut out before.
+article by their element, role or class (menus, adverts, forms, notices, reader comments) are cut out before. A class
+or id tells such a part if a whole token says so (``cookie-banner``, ``related-posts``); a token that holds such a word
+beside others (``related-work``) does only for containers that are mostly links or ask for input. Paragraphs go by
+their class only as adverts.
 """
 
 from __future__ import annotations
@@ -20,46 +23,65 @@ from tracelake.session import share_code
 
 # Element names of HTML by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes".split())
+RAW = frozenset("script style noscript template iframe textarea title noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - frozenset("body dd dt head html legend li option tbody td tfoot th thead tr".split()) | frozenset(["li", "dd", "dt"])
-DROPPED = frozenset("head nav header footer aside form script style noscript template iframe svg math canvas object select button textarea dialog menu datalist audio video map".split())
+DROPPED = frozenset("head nav header footer aside form script style noscript template iframe select button textarea dialog menu datalist".split())
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead"}, {"table"})}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar status".split())
-#: Words of class and id values that mark no article.
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notice notices notification notifications alert newsletter subscribe subscription signup popup modal overlay paywall sidebar sidebars aside rail menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments commentlist disqus respond reply replies disclaimer share sharing social related recommended recommendations widget widgets login search skip hidden".split()
-)
-#: Those among them that mark reader comments, also on article elements and around them.
+#: Words of class and id values that mark no article; among them those of adverts and of reader comments.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promoted promotion cookie cookies consent gdpr".split())
 COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+MARKS = ADVERTS | COMMENTS | frozenset(
+    "banner notice notices notification notifications alert newsletter subscribe subscription signup popup modal overlay paywall sidebar sidebars aside rail menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar disclaimer share sharing social related recommended recommendations widget widgets login search skip hidden".split()
+)
+#: Words that may stand beside them in a token without changing what it says.
+NEUTRAL = frozenset("area article articles bar block body bottom box button buttons card cards col column container content entries entry form global group header holder icons inner item items js left link links list main message module news outer page pane panel placeholder popup post posts primary region right row secondary section site slot sticky stories story text thread title top unit view wrap wrapper zone".split())
+#: Elements that hold article text themselves; their class never says that they are menus or comments.
+PLAIN = frozenset("html body article main p pre blockquote li dd dt td th tr tbody thead tfoot caption figcaption h1 h2 h3 h4 h5 h6 a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark math q rp rt ruby s samp small span strong sub sup svg text time tspan tt u var xmp".split())
+ASKS = frozenset("input select textarea button form".split())
 PARAGRAPHS = frozenset("p pre blockquote td dd li h1 h2 h3 h4 h5 h6".split())
+#: What attributes say of an element: nothing, perhaps no article, no article, an advert, reader comments.
+NOTHING, PERHAPS, PART, ADVERT, COMMENT = range(5)
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _MARK_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
 
+def _token(token: str, in_article: bool) -> int:
+    """What one class or id says."""
+    words = [w.lower() for w in _MARK_WORD.findall(token)]
+    for whole in (words, [w for w in re.split(r"[^a-z]+", token.lower()) if w]):
+        told = MARKS.intersection(whole)
+        if "header" in whole and not in_article:
+            told |= {"header"}
+        if told:
+            if not (told | NEUTRAL).issuperset(whole):
+                return PERHAPS
+            return COMMENT if told & COMMENTS else ADVERT if told & ADVERTS else PART
+    return NOTHING
+
+
 def _mark(attrs: str, in_article: bool) -> int:
-    """2 if attributes tell reader comments, 1 if another part that is no article, else 0; an article's header holds its title."""
+    """What an element's attributes say; an article's header holds its title."""
     if not attrs or attrs.isspace():
-        return 0
+        return NOTHING
+    told = NOTHING
     for name, x, y, z in _ATTR.findall(attrs):
         value, name = x or y or z, name.lower()
         if name in ("class", "id"):
-            value = re.sub(r"\b(?:comments?-(?:open|closed|count)|(?:no|has|with)-[a-z]+)\b", "", value)  # states, not parts
-            words = {w.lower() for w in _MARK_WORD.findall(value)} | set(re.split(r"[^a-z]+", value.lower()))
-            if not COMMENTS.isdisjoint(words):
-                return 2
-            if not MARKS.isdisjoint(words) or "header" in words and not in_article:
-                return 1
+            told = max([told, *(_token(t, in_article) for t in value.split())])
         elif name == "role":
             if value.strip().lower() in ROLES:
-                return 1
+                told = max(told, PART)
         elif name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return 1
-    return int(re.search(r"(?:^|\s)hidden(?:\s|$)", attrs) is not None)
+            told = max(told, PART)
+    if re.search(r"(?:^|\s)hidden(?:\s|/|$)", _ATTR.sub(" ", attrs)):
+        told = max(told, PART)
+    return told
 
 
 class Tree:
@@ -67,7 +89,8 @@ class Tree:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.end, self.cut = ["#"], [-1], [0], [False]
-        marked: list[int] = [0]
+        marked: list[int] = [NOTHING]
+        asks: list[int] = []
         self.chunks: list[tuple[int, str]] = []
         stack, at, size = [0], 0, len(html)
         counts: dict[str, int] = {}
@@ -117,8 +140,10 @@ class Tree:
                 d = depth_of(same, within)
                 if d:
                     pop_to(d)
-            if name in BLOCK or name == "br":
+            if name in BLOCK or name in ("br", "xmp"):
                 self.chunks.append((stack[-1], " "))
+            if name in ASKS:
+                asks.append(stack[-1])
             if name in VOID:
                 continue
             top = stack[-1]
@@ -127,12 +152,15 @@ class Tree:
             self.tag.append(name)
             self.parent.append(top)
             self.end.append(i + 1)
-            plain = name not in ("html", "body", "article", "main")
             self.cut.append(name in DROPPED and not (name == "header" and in_article))
             found = _mark(attrs, in_article)
-            marked.append(found if plain or found == 2 and name == "article" else 0)
-            if name in RAW or name in ("svg", "math"):
+            if name in PLAIN and not (found == COMMENT and name == "article" or found == ADVERT and name in PARAGRAPHS):
+                found = NOTHING
+            marked.append(found)
+            if name in RAW or name == "xmp":
                 close = re.compile(rf"</{name}[\s/>]", re.I).search(html, at)
+                if name == "xmp":  # its text is no markup
+                    self.chunks += [(i, html[at : close.start() if close else size].replace("&", "&amp;")), (top, " ")]
                 if close is None:
                     at = size
                 else:
@@ -145,17 +173,37 @@ class Tree:
         pop_to(1)
         self.end[0] = len(self.tag)
         # whatever its class says, what is around the largest article is kept, unless it is a comment
-        articles = [i for i, tag in enumerate(self.tag) if tag in ("article", "main") and not marked[i]]
+        articles = [i for i, tag in enumerate(self.tag) if tag in ("article", "main") and marked[i] < PART]
         up = max(articles, key=lambda i: (self.end[i] - i, -i), default=0)
         around = []
         while up > 0:
             around.append(up)
             up = self.parent[up]
-        if not any(marked[i] == 2 for i in around):
+        if not any(marked[i] == COMMENT for i in around):
             for i in around:
-                marked[i] = 0
+                marked[i] = NOTHING
+        if PERHAPS in marked:
+            self._decide(marked, asks)
         for i in range(1, len(self.tag)):
-            self.cut[i] = self.cut[self.parent[i]] or self.cut[i] or marked[i] > 0
+            self.cut[i] = self.cut[self.parent[i]] or self.cut[i] or marked[i] > NOTHING
+
+    def _decide(self, marked: list[int], asks: list[int]) -> None:
+        """Of elements that are perhaps no article, those that are mostly links or ask for input are none."""
+        n = len(self.tag)
+        size, links, forms, in_link = [0] * n, [0] * n, [0] * n, [False] * n
+        for i in range(1, n):
+            in_link[i] = self.tag[i] == "a" or in_link[self.parent[i]]
+        for i, t in self.chunks:
+            size[i] += len(t.strip())
+            links[i] += len(t.strip()) if in_link[i] else 0
+        for i in asks:
+            forms[i] += 1
+        for i in range(n - 1, 0, -1):
+            for total in (size, links, forms):
+                total[self.parent[i]] += total[i]
+        for i in range(1, n):
+            if marked[i] == PERHAPS:
+                marked[i] = PART if 2 * links[i] > size[i] or forms[i] and size[i] < 500 else NOTHING
 
 
 def _scores(tree: Tree, words: list[int], links: list[int], commas: list[int]) -> list[float]:
