@@ -1,11 +1,11 @@
 """Quality classifier by co-training.
 
-Two views of a document are classified apart: what it says (words and word endings of its whole text) and where and
-how it came (source, language, length, and the shape of its lines and words: repeats, symbols, capitals). Both are
-naive Bayes models over binary features, which train by counting, so a training pass is one scan with partial sums. In
-every round each view labels the unlabelled documents it is sure of for the other view. Each view's score is calibrated
-on labelled documents that never train (isotonic regression over score bins), and the calibrated views are combined to
-score all documents.
+Two views of a document are classified apart, with nothing in common: what it says (words and word endings of its whole
+text, and the form of that text: repeats, symbols, capitals, lines) and its page metadata (source, language, recorded
+length, and their crosses). Both are naive Bayes models over binary features, which train by counting, so a training
+pass is one scan with partial sums. In every round each view labels the unlabelled documents it is sure of for the
+other view. Labelled documents are dealt over three parts: most train, some calibrate each view's score (isotonic
+regression over score bins), and the rest, held out, do neither. The calibrated views are combined to score all documents.
 """
 
 from __future__ import annotations
@@ -20,38 +20,46 @@ from pyspark.sql import functions as F
 
 from tracelake.session import cut, share_code
 
-TEXT_BITS, META_BITS = 13, 10
+#: Features of the text view (words, then form) and of the metadata view, as powers of two.
+WORD_BITS, FORM_BITS, META_BITS = 13, 9, 10
+#: Blocks of features by view: a score is the sum of the mean log odds of each block.
+BLOCKS = (((0, 1 << WORD_BITS), (1 << WORD_BITS, (1 << WORD_BITS) + (1 << FORM_BITS))), ((0, 1 << META_BITS),))
+WIDTHS = tuple(b[-1][1] for b in BLOCKS)
 ROUNDS, CONFIDENT, PSEUDO_WEIGHT = 2, 0.95, 0.5
+NO_PART, TRAIN, CALIBRATE, TEST = range(4)
 _BINS, _REACH, _ROWS = 200, 4.0, 256
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>!")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 def text_features(text: str | None) -> np.ndarray:
-    """Numbers of the features of a whole text: its distinct lower-cased words and their last three bytes."""
-    words = set((text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split())
-    ends = {w[-3:] + b"\0" for w in words}
-    return np.fromiter((zlib.crc32(x) & ((1 << TEXT_BITS) - 1) for x in (*words, *ends)), np.int64, len(words) + len(ends))
-
-
-def meta_features(text: str | None, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """Numbers of the features of a document's metadata; what is null is a value of its own."""
-    size = n_chars if n_chars is not None else -1
+    """Numbers of the features of a whole text: its distinct lower-cased words and their last three bytes, and its form."""
     text = text or ""
+    every = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    words = set(every)
+    ends = {w[-3:] + b"\0" for w in words}
+    said = np.fromiter((zlib.crc32(x) & ((1 << WORD_BITS) - 1) for x in (*words, *ends)), np.int64, len(words) + len(ends))
     rows = text.split("\n")
-    words = text.split()
-    lines, n = len(rows), max(1, len(words))
+    lines, n = len(rows), max(1, len(every))
     symbols = len(text) - len(text.translate(_SYMBOLS))
-    shouted = sum(map(str.isupper, words))
-    told = (
-        f"lang={lang}", f"source={source}", f"size={max(size, 0).bit_length()}:{size < 0}", f"lines={lines.bit_length()}", f"width={(max(size, 0) // lines).bit_length()}", f"lang={lang} size={max(size, 0).bit_length()}",
-        f"repeated lines={min(10, 10 * (lines - len(set(rows))) // lines)}", f"distinct words={10 * len(set(words)) // n} of {n.bit_length()}", f"symbols={min(10, 40 * symbols // n)}", f"shouted={10 * shouted // n}",
+    shouted = sum(map(str.isupper, text.split()))
+    form = (
+        f"words={len(every).bit_length()}", f"lines={lines.bit_length()}", f"width={(len(text) // lines).bit_length()}", f"repeated lines={min(10, 10 * (lines - len(set(rows))) // lines)}",
+        f"distinct words={10 * len(words) // n} of {n.bit_length()}", f"symbols={min(10, 40 * symbols // n)}", f"shouted={10 * shouted // n}",
     )
+    shape = np.array([zlib.crc32(x.encode()) & ((1 << FORM_BITS) - 1) for x in form], np.int64)
+    return np.concatenate((said, shape + (1 << WORD_BITS)))
+
+
+def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    """Numbers of the features of a document's metadata; what is null is a value of its own."""
+    size = "none" if n_chars is None else int(4 * np.log2(max(n_chars, 0) + 1))
+    told = (f"lang={lang}", f"source={source}", f"size={size}", f"lang={lang} size={size}", f"source={source} lang={lang}")
     return np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << META_BITS) - 1) for x in told], np.int64)
 
 
-def _packed(numbers: np.ndarray, bits: int) -> bytes:
-    there = np.zeros(1 << bits, np.uint8)
+def _packed(numbers: np.ndarray, width: int) -> bytes:
+    there = np.zeros(width, np.uint8)
     there[numbers] = 1
     return zlib.compress(np.packbits(there).tobytes(), 1)
 
@@ -61,10 +69,10 @@ def _dense(packed: list[bytes]) -> np.ndarray:
 
 
 def features(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """(id, label, held, text, meta): packed features of every row of docs with its label, cut to a written table.
+    """(id, label, part, text, meta): packed features of every row of docs with its label, cut to a written table.
 
-    label: 1 or 0, null where unlabelled; an id with several labels takes their rounded mean. held: a fifth of the
-    labelled ids, by crc32, that calibrates and never trains.
+    label: 1 or 0, null where unlabelled; an id with several labels takes their rounded mean. part, by crc32 of the id:
+    of five shares of the labelled, one calibrates (CALIBRATE), one is held out (TEST), and the others train (TRAIN).
     """
     share_code(docs.sparkSession)
     told = {c: F.col(c).cast(t) if c in docs.columns else F.lit(None).cast(t) for c, t in (("lang", "string"), ("source", "string"), ("n_chars", "long"))}
@@ -75,28 +83,33 @@ def features(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             text, meta = [], []
             for t, *rest in zip(batch.column(1), *[batch.column(i).to_pylist() for i in (2, 3, 4)], strict=True):
                 t = t.as_py()
-                text.append(_packed(text_features(t), TEXT_BITS))
-                meta.append(_packed(meta_features(t, *rest), META_BITS))
+                text.append(_packed(text_features(t), WIDTHS[0]))
+                meta.append(_packed(meta_features(*rest), WIDTHS[1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.binary()), pa.array(meta, pa.binary())], names=["id", "text", "meta"])
 
     made = rows.mapInArrow(run, "id long, text binary, meta binary")
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
-    held = F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0
-    return cut(made.join(known, "id", "left").select("id", "label", (F.col("label").isNotNull() & held).alias("held"), "text", "meta"))
+    share = F.crc32(F.col("id").cast("string").cast("binary")) % 5
+    part = F.when(F.col("label").isNull(), NO_PART).when(share == 0, CALIBRATE).when(share == 1, TEST).otherwise(TRAIN)
+    return cut(made.join(known, "id", "left").select("id", "label", part.alias("part"), "text", "meta"))
 
 
 class View:
     """Naive Bayes over one view with a calibrated score. counts: documents of each class by feature; last the class size."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, blocks: tuple[tuple[int, int], ...]):
+        self.blocks = blocks
         size = counts[:, -1:]
         chance = (counts[:, :-1] + 0.5) / (size + 1.0)
         self.weight = (np.log(chance[1]) - np.log(chance[0])).astype(np.float32)
         self.edges, self.value = np.zeros(0), np.full(1, (size[1, 0] + 1) / (size.sum() + 2))
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Mean log odds of a document's features: long texts are no surer than short ones."""
-        return np.clip(x @ self.weight / np.maximum(x.sum(1), 1), -_REACH, _REACH)
+        """Mean log odds of a document's features, summed over blocks: long texts are no surer than short ones."""
+        total = np.zeros(len(x))
+        for lo, hi in self.blocks:
+            total += x[:, lo:hi] @ self.weight[lo:hi] / np.maximum(x[:, lo:hi].sum(1), 1)
+        return np.clip(total, -_REACH, _REACH)
 
     def calibrate(self, hist: np.ndarray) -> None:
         """Isotonic regression of labels on score bins; hist: labelled documents by class and bin."""
@@ -136,24 +149,24 @@ def _summed(rows: DataFrame, run, width: int) -> np.ndarray:
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Labels (-1: none), held flags and dense features of a few rows at a time."""
+    """Labels (-1: none), parts and dense features of a few rows at a time."""
     for i in range(0, len(batch), _ROWS):
         part = batch.slice(i, _ROWS)
         label = np.array([-1 if x is None else x for x in part.column("label").to_pylist()])
-        yield label, np.array(part.column("held").to_pylist(), bool), _dense(part.column("text").to_pylist()), _dense(part.column("meta").to_pylist())
+        yield label, part.column("part").to_numpy(), _dense(part.column("text").to_pylist()), _dense(part.column("meta").to_pylist())
 
 
 def _train(rows: DataFrame, views: tuple[View, View] | None, confident: float, pseudo_weight: float) -> tuple[View, View]:
     """Both views counted anew: labelled documents count for both, surely scored unlabelled ones for the other view."""
-    sizes = ((1 << TEXT_BITS) + 1, (1 << META_BITS) + 1)
+    sizes = (WIDTHS[0] + 1, WIDTHS[1] + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
-            for label, held, *x in _pieces(batch):
+            for label, share, *x in _pieces(batch):
                 total = np.zeros((2, sum(sizes)))
                 for k in (0, 1):
                     part = total[:, : sizes[0]] if k == 0 else total[:, sizes[0] :]
-                    weight = np.array([(label == c) & ~held for c in (0, 1)], np.float32)
+                    weight = np.array([(label == c) & (share == TRAIN) for c in (0, 1)], np.float32)
                     if views is not None:
                         p = views[1 - k].chance(views[1 - k].score(x[1 - k]))
                         weight += pseudo_weight * np.array([(label < 0) & (p <= 1 - confident), (label < 0) & (p >= confident)], np.float32)
@@ -161,9 +174,9 @@ def _train(rows: DataFrame, views: tuple[View, View] | None, confident: float, p
                     part[:, -1] = weight.sum(1)
                 yield total
 
-    used = rows if views is not None else rows.where("label is not null and not held")
+    used = rows if views is not None else rows.where(F.col("part") == TRAIN)
     total = _summed(used, run, sum(sizes))
-    return View(total[:, : sizes[0]]), View(total[:, sizes[0] :])
+    return View(total[:, : sizes[0]], BLOCKS[0]), View(total[:, sizes[0] :], BLOCKS[1])
 
 
 def _calibrate(rows: DataFrame, views: tuple[View, View]) -> None:
@@ -175,7 +188,7 @@ def _calibrate(rows: DataFrame, views: tuple[View, View]) -> None:
                     np.add.at(total, (label, bins(views[k].score(x[k])) + k * _BINS), 1)
                 yield total
 
-    hist = _summed(rows.where("held"), run, 2 * _BINS)
+    hist = _summed(rows.where(F.col("part") == CALIBRATE), run, 2 * _BINS)
     for k in (0, 1):
         views[k].calibrate(hist[:, k * _BINS : (k + 1) * _BINS])
 
@@ -183,7 +196,8 @@ def _calibrate(rows: DataFrame, views: tuple[View, View]) -> None:
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rounds: int = ROUNDS, confident: float = CONFIDENT, pseudo_weight: float = PSEUDO_WEIGHT, keep_at: float = 0.5) -> DataFrame:
     """(doc_id, held_out, p_text, p_meta, score, kept): one row per row of docs.
 
-    score: the combined chance of good quality; kept: score >= keep_at. A null text has no text features and is scored
+    held_out: labelled, but neither trained nor calibrated on. score: the combined chance of good quality; kept: score
+    >= keep_at. Ids are whole numbers. A null text has no text features and is scored
     by its metadata; null metadata is a value of its own; labels without a document, or null, are not used. Without
     labels every score is 0.5. Repeated rows each come back and each count. Extra columns are not read.
     """
@@ -193,7 +207,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     for _ in range(rounds):
         views = _train(rows, views, confident, pseudo_weight)
         _calibrate(rows, views)
-    base = rows.where("label is not null and not held").agg(F.avg("label")).first()[0]
+    base = rows.where(F.col("part") == TRAIN).agg(F.avg("label")).first()[0]
     prior = min(max(0.5 if base is None else base, 1e-3), 1 - 1e-3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +217,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 out = [np.concatenate([o, v.chance(v.score(y))]) for o, v, y in zip(out, views, x, strict=True)]
             odds = sum(np.log(p) - np.log1p(-p) for p in (np.clip(o, 1e-4, 1 - 1e-4) for o in out)) - (np.log(prior) - np.log1p(-prior))
             score = 1 / (1 + np.exp(-odds))
-            cols = [batch.column(0), batch.column(2), *[pa.array(o, pa.float64()) for o in out], pa.array(score, pa.float64()), pa.array(score >= keep_at, pa.bool_())]
+            cols = [batch.column(0), pa.array(batch.column(2).to_numpy() == TEST, pa.bool_()), *[pa.array(o, pa.float64()) for o in out], pa.array(score, pa.float64()), pa.array(score >= keep_at, pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "p_text", "p_meta", "score", "kept"])
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, p_text double, p_meta double, score double, kept boolean")
