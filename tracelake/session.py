@@ -26,11 +26,18 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, driver_
     )
 
 
+#: Rows that Python workers are handed at once where the session leaves Spark's default of 10,000: whole texts are large.
+ARROW_ROWS = 1000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def share_code(spark: SparkSession) -> None:
-    """Let Python workers that see the driver's folders import this library; other clusters need it installed or sent with --py-files."""
+    """Prepare Python workers: let those that see the driver's folders import this library (other clusters need it installed or sent with --py-files), and hand them whole texts in small batches."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = f"{ROOT}:{env.get('PYTHONPATH', '')}".rstrip(":")
+    if spark.conf.get(_ARROW, "10000") == "10000":
+        spark.conf.set(_ARROW, ARROW_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
