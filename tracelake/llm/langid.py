@@ -16,11 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.session import share_code
+from tracelake.session import free_names, share_code
 
 DIM = 512
-#: Languages that may be learned; more distinct labels raise an error, as they are no languages.
-MAX_LANGUAGES = 4096
 #: 3-grams whose vectors a task keeps, and texts that it handles together.
 _CACHE_ROWS, _TEXTS = 1 << 15, 256
 _WIDE = 21
@@ -58,7 +56,9 @@ class Encoder:
     def __init__(self, dim: int = DIM):
         self.dim = dim
         self.vectors: dict[int, np.ndarray] = {}
-        self.known, self.bound = np.zeros(0, np.int64), np.zeros((0, dim), np.float32)
+        # kept 3-grams in order, and the rows of bound that hold their vectors
+        self.known, self.slots = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.bound = np.zeros((_CACHE_ROWS, dim), np.float32)
 
     def _rows(self, numbers: np.ndarray, turn: int) -> np.ndarray:
         """Letter vectors, rotated by their place; a letter's is drawn from its code point, the blank's from 0."""
@@ -90,20 +90,26 @@ class Encoder:
             yield from (self.bundle(g, c) for g, c in texts)
             return
         if len(self.known) + len(fresh) > _CACHE_ROWS:
-            self.known, self.bound, fresh = self.known[:0], self.bound[:0], every
+            self.known, self.slots, fresh = self.known[:0], self.slots[:0], every
         if len(fresh):
+            first = len(self.known)
+            for i in range(0, len(fresh), 1 << 12):
+                part = fresh[i : i + (1 << 12)]
+                self.bound[first + i : first + i + len(part)] = self.bind(part)
             known = np.concatenate([self.known, fresh])
             order = np.argsort(known)
-            self.known, self.bound = known[order], np.concatenate([self.bound, self.bind(fresh)])[order]
+            self.known, self.slots = known[order], np.concatenate([self.slots, np.arange(first, len(known))])[order]
         for grams, counts in texts:
-            yield counts.astype(np.float32) @ self.bound[np.searchsorted(self.known, grams)]
+            rows = self.bound[self.slots[np.searchsorted(self.known, grams)]]
+            # float32 is exact below 2^24
+            yield counts @ rows if counts.sum() >= 1 << 24 else (counts.astype(np.float32) @ rows).astype(np.float64)
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: int = DIM) -> dict[str, np.ndarray]:
     """Prototypes by language over all rows of docs with a non-null language and a letter.
 
     Tasks bundle what they read into one vector a language; the sums over tasks are taken on the executors, and the
-    driver gets dim numbers a language.
+    driver gets dim numbers a language, a partition at a time.
     """
     share_code(docs.sparkSession)
 
@@ -125,11 +131,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dim:
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
     # whole numbers below 2^53: the sums don't depend on the order of the tasks
-    sums = rows.mapInArrow(run, "lang string, d int, x double").groupBy("lang", "d").agg(F.sum("x").alias("x")).limit(MAX_LANGUAGES * dim + 1).collect()
-    if len(sums) > MAX_LANGUAGES * dim:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
+    sums = rows.mapInArrow(run, "lang string, d int, x double").groupBy("lang", "d").agg(F.sum("x").alias("x"))
     out: dict[str, np.ndarray] = {}
-    for r in sums:
+    for r in sums.toLocalIterator():
         out.setdefault(r["lang"], np.zeros(dim))[r["d"]] = r["x"]
     return {k: v / max(np.linalg.norm(v), 1e-12) for k, v in sorted(out.items())}
 
@@ -177,8 +181,12 @@ def language_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.1, dim: int = DIM) -> DataFrame:
-    """The rows of docs whose language is told with at least min_score, with docs' own columns."""
+    """The rows of docs whose language is told with at least min_score, with docs' own columns and lang as it was told.
+
+    Null texts and texts without a letter are not told and go; so do all texts if nothing was learned. Null languages
+    and ids are no bar. Repeated rows are told alike; an empty table gives an empty result; columns may have any names.
+    """
     prototypes = train(docs.where(~held_out(id_col) & F.col(id_col).isNotNull()), text_col, lang_col, dim)
-    p = identify(prototypes, dim)(F.col(text_col))
-    name = "_lang_of"
-    return docs.withColumn(name, p).where((F.col(f"{name}.lang") != "und") & (F.col(f"{name}.score") >= min_score)).select(*docs.columns)
+    (name,) = free_names(docs, 1)
+    told = docs.withColumn(name, identify(prototypes, dim)(F.col(text_col))).where((F.col(f"{name}.lang") != "und") & (F.col(f"{name}.score") >= min_score))
+    return told.select(*[F.col(f"{name}.lang").cast(docs.schema[c].dataType).alias(c) if c == lang_col else F.col(f"`{c}`") for c in docs.columns])
