@@ -6,14 +6,16 @@ of m shingles that must share ceil(c*m) of them shares at least one of its m - c
 where the pattern would lie (its offset is subtracted; it must fit within the text), and the pattern-sized window of
 the document there is verified exactly.
 
-Benchmarks are split into blocks of bounded size; each block is broadcast to the scan of the documents, and further
-blocks follow in further passes over the same rows, so the benchmark may be of any size and nothing is shuffled.
+Benchmarks are split into blocks of a bounded number of bytes, long items into pieces. Each block is broadcast to two
+scans of the documents: one counts its shingles, one searches. The first block's search yields a row for every document;
+further blocks yield rows for the documents that they hit, which are then joined by id. Texts are never shuffled by a
+report, and blocks cost two scans each, so the benchmark may be of any size.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -23,10 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.session import share_code
+from tracelake.session import cut, free_names, share_code
 
-#: Benchmark words that are broadcast at once; a longer single item makes a block of its own.
-BLOCK_WORDS = 1_000_000
+#: Bytes of benchmark text that are broadcast at once, as arrays and a table of distinct words of some 30 MB; a longer
+#: item makes a block of its own where whole items are compared, else it is cut into pieces of PIECE_WORDS words.
+BLOCK_BYTES = 1 << 20
+PIECE_WORDS = 1 << 13
 #: A-Z become a-z and every ASCII character that is no letter or digit becomes a space; bytes above 127 stay.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -45,47 +49,87 @@ def _codes(ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     known = np.cumsum(np.concatenate(([0], ids > 0)))
     at = np.flatnonzero(known[k:] - known[:n] == k)
-    code = np.zeros(len(at), np.uint64)
-    for t in range(k):
-        code = (code ^ ids[at + t].astype(np.uint64)) * _MIX
+    return _mixed(ids[at + t] for t in range(k)), at
+
+
+def _mixed(columns: Iterator[np.ndarray]) -> np.ndarray:
+    code = np.uint64(0)
+    for x in columns:
+        code = (code ^ x.astype(np.uint64)) * _MIX
         code ^= code >> np.uint64(29)
-    return code, at
+    return code
 
 
 class _Shingles:
-    """Shingles of one length of a block: a sorted code table with a bit table in front."""
+    """Items of a block that are cut into shingles of one length, and the windows of those items, as arrays."""
 
-    def __init__(self, k: int, patterns: list[tuple[int, ...]]):
+    def __init__(self, k: int, items: list[tuple[int, np.ndarray]], window: int | None):
         self.k = k
-        numbers: dict[tuple[int, ...], int] = {}
-        self.patterns = []
-        for p in patterns:
-            self.patterns.append([numbers.setdefault(p[i : i + k], len(numbers)) for i in range(len(p) - k + 1)])
-        self.ids = np.array(list(numbers), dtype=np.int64).reshape(len(numbers), k)
-        code = np.concatenate([_codes(row, k)[0] for row in self.ids]) if len(numbers) else np.zeros(0, np.uint64)
-        if len(np.unique(code)) < len(code):
-            raise ValueError("two benchmark shingles share a hash; change the mixing constant")
-        self.order = np.argsort(code)
+        self.tokens = np.concatenate([x for _, x in items]).astype(np.int64)
+        sizes = np.array([len(x) for _, x in items])
+        begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        inside = np.concatenate([np.arange(n - k + 1) + b for n, b in zip(sizes, begin, strict=True)])
+        self.ids, number = np.unique(self.tokens[inside[:, None] + np.arange(k)], axis=0, return_inverse=True)
+        # the number of the shingle that begins at a token
+        self.number_at = np.full(len(self.tokens), -1, np.int64)
+        self.number_at[inside] = number.ravel()
+        width = np.minimum(window or sizes, sizes)
+        n_windows = sizes - width + 1
+        self.start = np.concatenate([np.arange(n) + b for n, b in zip(n_windows, begin, strict=True)])
+        self.size = np.repeat(width, n_windows)
+        self.owner = np.repeat(np.array([i for i, _ in items]), n_windows)
+        code = _mixed(self.ids[:, t] for t in range(k))
+        self.order = np.argsort(code, kind="stable")
         self.code = code[self.order]
         self.bits = np.zeros(1 << _TABLE_BITS, bool)
         self.bits[self.code >> np.uint64(64 - _TABLE_BITS)] = True
 
     def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of known shingles and their numbers, word for word."""
+        """Positions of known shingles and their numbers, word for word; of shingles that share a hash each is tried."""
         code, at = _codes(ids, self.k)
         maybe = np.flatnonzero(self.bits[code >> np.uint64(64 - _TABLE_BITS)])
         code, at = code[maybe], at[maybe]
-        where = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
-        hit = self.code[where] == code
-        at, number = at[hit], self.order[where[hit]]
+        low = np.searchsorted(self.code, code)
+        n = np.searchsorted(self.code, code, "right") - low
+        at = np.repeat(at, n)
+        number = self.order[np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
         same = np.ones(len(at), bool)
         for t in range(self.k):
             same &= ids[at + t] == self.ids[number, t]
         return at[same], number[same]
 
+    def numbers(self, j: int) -> np.ndarray:
+        """The shingles of a window."""
+        return self.number_at[self.start[j] : self.start[j] + self.size[j] - self.k + 1]
+
+    def choose(self, seen: np.ndarray, containment: float) -> None:
+        """The prefix of every window: the rarest shingles over all documents that no match can do without, as postings by shingle."""
+        rank = np.empty(len(self.ids), np.int64)
+        rank[np.lexsort((np.arange(len(self.ids)), seen))] = np.arange(len(self.ids))
+        rows: list[np.ndarray] = []
+        if containment >= 1:  # one shingle of each window
+            for width in np.unique(self.size).tolist():
+                own = np.flatnonzero(self.size == width)
+                for part in np.array_split(own, -(-len(own) // 4096)):
+                    of = self.number_at[self.start[part][:, None] + np.arange(width - self.k + 1)]
+                    offset = rank[of].argmin(1)
+                    rows.append(np.stack([of[np.arange(len(part)), offset], part, offset], axis=1))
+        else:
+            for j in range(len(self.start)):
+                numbers = self.numbers(j)
+                distinct = np.unique(numbers)
+                need = math.ceil(containment * len(distinct) - 1e-9)
+                rare = distinct[np.argsort(rank[distinct])][: len(distinct) - need + 1]
+                offset = np.flatnonzero(np.isin(numbers, rare))
+                rows.append(np.stack([numbers[offset], np.full(len(offset), j), offset], axis=1))
+        post = np.concatenate(rows)
+        post = post[np.argsort(post[:, 0], kind="stable")]
+        self.first = np.searchsorted(post[:, 0], np.arange(len(self.ids) + 1))
+        self.post = post[:, 1:]
+
 
 class Block:
-    """Patterns of some benchmark items, ready to be searched in documents.
+    """Some benchmark items, ready to be searched in documents.
 
     window: words of a pattern; an item of fewer words is one pattern. None: every item is one pattern.
     """
@@ -93,19 +137,15 @@ class Block:
     def __init__(self, items: list[tuple[str, str]], window: int | None, shingle: int, containment: float):
         self.vocab: dict[bytes, int] = {}
         self.containment = containment
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        self.names = sorted({item for item, _ in items})
+        index = {item: i for i, item in enumerate(self.names)}
+        by_k: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item, text in items:
-            ids = tuple(self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text))
-            size = min(window or len(ids), len(ids))
-            for i in range(len(ids) - size + 1 if ids else 0):
-                owners[ids[i : i + size]].add(item)
-        by_k: dict[int, list[tuple[int, ...]]] = defaultdict(list)
-        for p in sorted(owners):
-            by_k[min(shingle, len(p))].append(p)
-        self.tables = [_Shingles(k, by_k[k]) for k in sorted(by_k)]
-        self.owners = [[sorted(owners[p]) for p in by_k[t.k]] for t in self.tables]
-        self.words = [by_k[t.k] for t in self.tables]
-        self.prefix: list[dict[int, list[tuple[int, int]]]] = []
+            words = words_of(text)
+            if words:
+                ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words])
+                by_k.setdefault(min(shingle, window or len(ids), len(ids)), []).append((index[item], ids))
+        self.tables = [_Shingles(k, by_k[k], window) for k in sorted(by_k)]
 
     def numbered(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.vocab.get, words, repeat(0)), np.int64, len(words))
@@ -114,71 +154,49 @@ class Block:
         for t, table in enumerate(self.tables):
             yield t, table.find(ids)[1]
 
-    def order_by_rarity(self, seen: dict[tuple[int, int], int]) -> None:
-        """Choose the prefix of every pattern: the rarest shingles over all documents that no match can do without."""
-        for t, table in enumerate(self.tables):
-            starts: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for j, numbers in enumerate(table.patterns):
-                distinct = dict.fromkeys(numbers)
-                need = math.ceil(self.containment * len(distinct) - 1e-9)
-                rare = sorted(distinct, key=lambda s: (seen.get((t, s), 0), s))[: len(distinct) - need + 1]
-                for s in rare:
-                    starts[s] += [(j, o) for o, x in enumerate(numbers) if x == s][: 1 if self.containment >= 1 else None]
-            self.prefix.append(dict(starts))
-
-    def pack(self) -> None:
-        """Prefix postings as arrays, so that whole documents are proposed and verified without a loop."""
-        self.post = []
-        for t, (table, starts) in enumerate(zip(self.tables, self.prefix, strict=True)):
-            lists = [starts.get(s, []) for s in range(len(table.ids))]
-            first = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-            flat = np.array([y for x in lists for y in x], dtype=np.int64).reshape(-1, 2)
-            size = np.array([len(p) for p in self.words[t]], dtype=np.int64)
-            begin = np.concatenate(([0], np.cumsum(size)))
-            self.post.append((first, flat, size, begin, np.array([w for p in self.words[t] for w in p], dtype=np.int64)))
+    def choose(self, seen: list[np.ndarray]) -> None:
+        for table, n in zip(self.tables, seen, strict=True):
+            table.choose(n, self.containment)
 
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans of hit words (start, end) and the items they belong to."""
         spans: list[tuple[int, int]] = []
         items: set[str] = set()
         ids = self.numbered(words)
-        for t, table in enumerate(self.tables):
+        for table in self.tables:
             at, number = table.find(ids)
-            first, flat, size, begin, all_words = self.post[t]
-            n_post = first[number + 1] - first[number]
+            n_post = table.first[number + 1] - table.first[number]
             if not n_post.any():
                 continue
             pos = np.repeat(at, n_post)
-            at_post = np.arange(len(pos)) - np.repeat(np.cumsum(n_post) - n_post, n_post) + np.repeat(first[number], n_post)
-            j, start = flat[at_post, 0], pos - flat[at_post, 1]
+            row = np.arange(len(pos)) - np.repeat(np.cumsum(n_post) - n_post, n_post) + np.repeat(table.first[number], n_post)
+            j, start = table.post[row, 0], pos - table.post[row, 1]
             if self.containment >= 1:
-                fits = (start >= 0) & (start + size[j] <= len(ids))
+                fits = (start >= 0) & (start + table.size[j] <= len(ids))
                 j, start = j[fits], start[fits]
-                for o in range(int(size[j].max()) if len(j) else 0):
-                    inside = o < size[j]
+                for o in range(int(table.size[j].max()) if len(j) else 0):
+                    inside = o < table.size[j]
                     ok = ~inside
-                    ok[inside] = ids[start[inside] + o] == all_words[begin[j[inside]] + o]
+                    ok[inside] = ids[start[inside] + o] == table.tokens[table.start[j[inside]] + o]
                     j, start = j[ok], start[ok]
-                for x, s in zip(j.tolist(), start.tolist(), strict=True):
-                    spans.append((s, s + int(size[x])))
-                    items.update(self.owners[t][x])
+                spans += zip(start.tolist(), (start + table.size[j]).tolist(), strict=True)
+                items.update(self.names[i] for i in np.unique(table.owner[j]).tolist())
             else:
-                for x in np.unique(j):
-                    found = self._windows(t, int(x), at, number, np.unique(start[j == x]), len(ids))
+                for x in np.unique(j).tolist():
+                    found = self._windows(table, x, at, number, np.unique(start[j == x]))
                     if found:
                         spans += found
-                        items.update(self.owners[t][x])
+                        items.add(self.names[table.owner[x]])
         return spans, items
 
-    def _windows(self, t: int, x: int, at: np.ndarray, number: np.ndarray, starts: np.ndarray, n: int) -> list[tuple[int, int]]:
+    def _windows(self, table: _Shingles, x: int, at: np.ndarray, number: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
         """Spans of the item's shingles in those item-sized windows that contain enough of them."""
-        k, own = self.tables[t].k, set(self.tables[t].patterns[x])
-        size, need = len(self.words[t][x]), math.ceil(self.containment * len(own) - 1e-9)
-        slack = size
-        near = np.isin(number, np.fromiter(own, np.int64, len(own)))
+        own = np.unique(table.numbers(x))
+        k, size, need = table.k, int(table.size[x]), math.ceil(self.containment * len(own) - 1e-9)
+        near = np.isin(number, own)
         pos, num = at[near], number[near]
         close = np.searchsorted(starts, pos)
-        reach = np.minimum(np.abs(pos - starts[np.minimum(close, len(starts) - 1)]), np.abs(pos - starts[np.maximum(close - 1, 0)])) <= size + slack
+        reach = np.minimum(np.abs(pos - starts[np.minimum(close, len(starts) - 1)]), np.abs(pos - starts[np.maximum(close - 1, 0)])) <= 2 * size
         pos, num = pos[reach].tolist(), num[reach].tolist()
         held: Counter = Counter()
         lo, spans = 0, []
@@ -194,66 +212,79 @@ class Block:
         return spans
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, str]]]:
-    """Item texts in blocks of about block_words words, read one block at a time."""
+def _pieces(benchmark: DataFrame, item_col: str, text_col: str, window: int | None) -> DataFrame:
+    """(i, t): items, where windows are compared as pieces of bounded length that hold each window whole."""
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t"))
-    chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = max(1, math.ceil(chars / (6 * block_words)))
+    if window is None:
+        return items
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = words_of(text.as_py())
+                parts = [b" ".join(words[at : at + PIECE_WORDS + window - 1]).decode("utf-8", "surrogatepass") for at in range(0, max(1, len(words) - window + 1), PIECE_WORDS)]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(parts), pa.string()), pa.array(parts, pa.string())], names=["i", "t"])
+
+    return items.mapInArrow(run, "i string, t string")
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int | None, shingle: int, containment: float, block_bytes: int) -> Iterator[Block]:
+    """Blocks of about block_bytes bytes of item texts, read one at a time."""
+    pieces = _pieces(benchmark, item_col, text_col, window)
+    n = max(1, math.ceil((pieces.agg(F.sum(F.octet_length("t"))).first()[0] or 0) / block_bytes))
+    if n > 1:
+        pieces = cut(pieces)
     for b in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b)
-        rows = [(r["i"], r["t"]) for r in part.collect()]
-        if rows:
-            yield rows
+        part = pieces if n == 1 else pieces.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
+        block = Block([(r["i"], r["t"]) for r in part.collect()], window, shingle, containment)
+        if block.tables:
+            yield block
 
 
-def _shingle_counts(docs: DataFrame, block: Block) -> dict[tuple[int, int], int]:
-    """How often each shingle of the block occurs over all documents, summed on the executors first."""
+def _counted(docs: DataFrame, text_col: str, block: Block) -> Block:
+    """The block with its prefixes, chosen by how often each shingle occurs over all documents; summed on the executors first."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         sums = [np.zeros(len(t.ids), np.int64) for t in own.tables]
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for t, numbers in own.count(own.numbered(words_of(text))):
+            for text in batch.column(0):
+                for t, numbers in own.count(own.numbered(words_of(text.as_py()))):
                     np.add.at(sums[t], numbers, 1)
         for t, s in enumerate(sums):
             at = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t), pa.int32()), pa.array(at, pa.int64()), pa.array(s[at], pa.int64())], names=["t", "s", "n"])
 
-    rows = docs.select("_text").mapInArrow(run, "t int, s long, n long").groupBy("t", "s").agg(F.sum("n").alias("n")).collect()
+    seen = [np.zeros(len(t.ids), np.int64) for t in block.tables]
+    for r in docs.select(text_col).mapInArrow(run, "t int, s long, n long").groupBy("t", "s").agg(F.sum("n").alias("n")).collect():
+        seen[r["t"]][r["s"]] = r["n"]
     shared.unpersist()
-    return {(r["t"], r["s"]): r["n"] for r in rows}
+    block.choose(seen)
+    return block
 
 
-def _search(docs: DataFrame, block: Block, first: bool) -> DataFrame:
-    """Adds this block's spans and items to the columns _spans and _items; the first block makes them."""
+def _search(docs: DataFrame, text_col: str, block: Block | None, keep: list[str], names: list[str], all_rows: bool) -> DataFrame:
+    """The columns keep of docs with n_words, spans and items, under the given names; without all_rows of documents that are hit only."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
-    schema = T.StructType([f for f in docs.schema.fields if f.name not in ("_spans", "_items", "_n_words")])
-    schema = schema.add("_n_words", "long").add("_spans", T.ArrayType(T.IntegerType())).add("_items", T.ArrayType(T.StringType()))
-    names = schema.names
+    told = [F.col(f"`{c}`") for c in keep]
+    schema = T.StructType([*docs.select(*told).schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.IntegerType())), T.StructField(names[2], T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            texts = table.column("_text")
-            spans = [[] for _ in range(len(table))] if first else table.column("_spans").to_pylist()
-            items = [[] for _ in range(len(table))] if first else table.column("_items").to_pylist()
-            counts = []
-            for i, text in enumerate(texts):
+            counts, spans, items = [], [], []
+            for text in batch.column(len(keep)):
                 words = words_of(text.as_py())
+                found, owners = own.search(words) if words and own is not None else ([], set())
                 counts.append(len(words))
-                found, owners = own.search(words) if words else ([], set())
-                if found:
-                    old = list(zip(spans[i][::2], spans[i][1::2], strict=True))
-                    spans[i] = [y for x in merge_spans(old + found) for y in x]
-                    items[i] = list(items[i]) + sorted(owners)
-            cols = [table.column(c).combine_chunks() for c in names[:-3]]
-            cols += [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                spans.append([y for x in merge_spans(found) for y in x])
+                items.append(sorted(owners))
+            cols = [*batch.columns[: len(keep)], pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+            out = pa.RecordBatch.from_arrays(cols, names=schema.names)
+            yield out if all_rows else out.filter(pa.array([bool(x) for x in items], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*told, F.col(text_col)).toDF(*keep, *free_names(docs.select(*told), 1)).mapInArrow(run, schema)
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -277,7 +308,7 @@ def benchmark_hits(
     window: int | None = 10,
     shingle: int = 2,
     containment: float = 1.0,
-    block_words: int = BLOCK_WORDS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(doc_id, n_words, spans, items): one row per row of docs.
 
@@ -287,19 +318,31 @@ def benchmark_hits(
     hits nothing. Other columns are not read.
     """
     share_code(docs.sparkSession)
-    cur = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    first = True
-    for rows in _blocks(benchmark, item_col, item_text_col, block_words):
-        block = Block(rows, window, shingle, containment)
-        if not block.tables:
-            continue
-        block.order_by_rarity(_shingle_counts(cur, block))
-        block.pack()
-        cur = _search(cur, block, first)
-        first = False
-    if first:
-        cur = _search(cur, Block([], window, shingle, containment), True)
-    return cur.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_spans").alias("spans"), F.array_sort(F.array_distinct("_items")).alias("items"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    out, more = None, []
+    for block in _blocks(benchmark, item_col, item_text_col, window, shingle, containment, block_bytes):
+        found = _search(rows, "text", _counted(rows, "text", block), ["doc_id", "h"], ["n_words", "spans", "items"], out is None)
+        if out is None:
+            out = found
+        else:
+            more.append(cut(found.select("doc_id", "h", "spans", "items").distinct()))
+    if out is None:
+        out = _search(rows, "text", None, ["doc_id", "h"], ["n_words", "spans", "items"], True)
+    if more:
+        each = more[0]
+        for x in more[1:]:
+            each = each.unionByName(x)
+        sums = each.groupBy(F.col("doc_id").alias("i"), F.col("h").alias("g")).agg(F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("t"))
+
+        def merged(spans: pa.Array) -> pa.Array:
+            return pa.array([[y for p in merge_spans(list(zip(x[::2], x[1::2], strict=True))) for y in p] for x in spans.to_pylist()], pa.list_(pa.int32()))
+
+        merged.__annotations__ = {"spans": pa.Array, "return": pa.Array}
+        met = out.join(sums, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left")
+        none = F.array().cast("array<int>"), F.array().cast("array<string>")
+        spans = F.arrow_udf(merged, "array<int>")(F.concat("spans", F.coalesce("s", none[0])))
+        out = met.select("doc_id", "n_words", spans.alias("spans"), F.concat("items", F.coalesce("t", none[1])).alias("items"))
+    return out.select("doc_id", "n_words", "spans", F.array_sort(F.array_distinct("items")).alias("items"))
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -325,17 +368,28 @@ def decontaminate(
     window: int | None = None,
     shingle: int = 5,
     containment: float = 0.8,
-    block_words: int = BLOCK_WORDS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """The rows of docs in which no benchmark item occurs, with docs' own columns, in one scan per block."""
+    """The rows of docs in which no benchmark item occurs, with docs' own columns.
+
+    An item occurs where an item-sized window holds containment of its shingles, whatever the window holds besides.
+    Null, empty and word-free texts hold no item and stay, as do null ids; repeated rows are judged alike; items with a
+    null id or no words match nothing, so that all rows stay for an empty benchmark; an empty table gives an empty
+    result; columns may have any names. Beyond one block of benchmark items the rows are shuffled once.
+    """
     share_code(docs.sparkSession)
-    cur, first = docs.withColumn("_text", F.col(text_col)), True
-    for rows in _blocks(benchmark, item_col, item_text_col, block_words):
-        block = Block(rows, window, shingle, containment)
-        if not block.tables:
-            continue
-        block.order_by_rarity(_shingle_counts(cur, block))
-        block.pack()
-        cur = _search(cur, block, first).where(F.size("_items") == 0)
-        first = False
-    return cur.select(*docs.columns)
+    out, gone, names = None, None, free_names(docs, 5)
+    for block in _blocks(benchmark, item_col, item_text_col, window, shingle, containment, block_bytes):
+        _counted(docs, text_col, block)
+        if out is None:
+            out = _search(docs, text_col, block, docs.columns, names[:3], True).where(F.size(names[2]) == 0)
+        else:
+            rows = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+            hit = cut(_search(rows, "text", block, ["h"], names[:3], False).select("h").distinct())
+            gone = hit if gone is None else gone.union(hit)
+    if out is None:
+        return docs
+    if gone is not None:
+        # equal hashes of whole texts stand for equal texts
+        out = out.join(gone.distinct().withColumnRenamed("h", names[3]), F.xxhash64(text_col) == F.col(names[3]), "left_anti")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
