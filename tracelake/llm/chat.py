@@ -1,9 +1,10 @@
 """Chat formatting of reply trees.
 
-Messages form trees by parent ids. Iterative self-joins enumerate the root-to-leaf paths: every message holds the run
-of ancestors found so far and the next ancestor to ask, and each round asks all of them for their own run, so runs
-double and the rounds grow with the logarithm of the depth. Paths are ranked in their conversation by score and the
-chosen ones are formatted as one text each, with the spans that carry loss.
+Messages form trees by parent ids. Iterative self-joins enumerate the root-to-leaf paths by doubling: every message
+knows its ancestor at a distance of 1, 2, 4 and so on, and every leaf, with the ancestors it has found so far, asks each
+of them for the one that much further up. Rounds thus grow with the logarithm of the depth, and rows with the length of
+the paths. Paths are ranked in their conversation by score and the chosen ones are formatted as one text each, with the
+spans that carry loss.
 
 Template: a turn is ``### Role: text </turn>`` and a line feed. Texts are escaped so that neither mark can appear in
 them: a backslash is doubled, ``##`` becomes ``#\\#`` and ``</`` becomes ``<\\/``; taking every backslash away that is
@@ -53,45 +54,36 @@ def chain_by_turn(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     return rows.select("conv", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-#: Rounds in which runs of ancestors double; then the leaves alone go on, in steps of 2^ROUNDS ancestors.
-DOUBLINGS = 5
-
-
 def _key(col: str) -> Column:
     """Null conversations meet each other in joins too."""
     return F.coalesce(F.col(col).cast("string"), F.lit("\0"))
 
 
-def _ask(rows: DataFrame, above: DataFrame) -> DataFrame:
-    """Each row's run of ancestors, put behind the run of the next ancestor it has to ask."""
-    asked = above.select(F.col("ck").alias("ck2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("run").alias("run2"), F.col("score").alias("score2"))
-    met = rows.join(asked, (F.col("ck") == F.col("ck2")) & (F.col("up") == F.col("n2")), "left")
-    run = F.when(F.col("n2").isNull(), F.col("run")).otherwise(F.concat("run2", "run"))
-    return cut(met.select("ck", "conv", "node", F.col("up2").alias("up"), run.alias("run"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score")))
-
-
-def paths(tree: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(ck, conv, leaf, path, score): every root-to-leaf path as node ids from the root, with the sum of its scores.
+def paths(tree: DataFrame) -> DataFrame:
+    """(ck, conv, leaf, node, up): every message of every root-to-leaf path, with its distance from the leaf.
 
-    A message whose parent is missing is a root. Messages hold at most 2^DOUBLINGS ancestors, and leaves their whole
-    path. A cycle of parents that leads to a leaf raises after max_rounds; one without a leaf gives no path.
+    A message whose parent is missing is a root. A cycle of parents that leads to a leaf raises; one without a leaf
+    gives no path.
     """
-    slim = cut(tree.select(_key("conv").alias("ck"), "conv", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")))
-    there = slim.select(F.col("ck").alias("ck2"), F.col("node").alias("up"))
-    cur = slim.join(there, (F.col("ck") == F.col("ck2")) & (F.col("parent") == F.col("up")), "left")
-    cur = cut(cur.select("ck", "conv", "node", "up", F.array("node").alias("run"), "score"))
-    waits = lambda df: not df.where(F.col("up").isNotNull()).isEmpty()
-    for _ in range(DOUBLINGS):
-        if not waits(cur):
-            break
-        cur = _ask(cur, cur)
-    parents = slim.where(F.col("parent").isNotNull()).select("ck", F.col("parent").alias("node")).distinct()
-    leaves = cur.join(parents, ["ck", "node"], "left_anti").select(*cur.columns)
-    for _ in range(max_rounds):
-        if not waits(leaves):
-            return leaves.select("ck", "conv", F.col("node").alias("leaf"), F.col("run").alias("path"), "score")
-        leaves = _ask(leaves, cur)
-    raise ValueError("a reply tree has a cycle")
+    slim = cut(tree.select(_key("conv").alias("ck"), "conv", "node", "parent"))
+    there = slim.select("ck", F.col("node").alias("above"))
+    links = slim.where(F.col("parent").isNotNull())
+    far = cut(links.join(there, (links["ck"] == there["ck"]) & (F.col("parent") == F.col("above"))).select(links["ck"], "node", "above"))
+    leaves = slim.join(links.select("ck", F.col("parent").alias("node")).distinct(), ["ck", "node"], "left_anti")
+    steps = leaves.select("ck", "conv", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    size, most = 1, slim.count()
+    while not far.isEmpty():
+        if size > most:  # no path is as long
+            if steps.where(F.col("up") >= most).isEmpty():
+                break
+            raise ValueError("a reply tree has a cycle")
+        step = far.select(F.col("ck").alias("ck2"), F.col("node").alias("n2"), "above")
+        more = steps.join(step, (F.col("ck") == F.col("ck2")) & (F.col("node") == F.col("n2")))
+        steps = cut(steps.unionByName(more.select("ck", "conv", "leaf", F.col("above").alias("node"), (F.col("up") + size).alias("up"))))
+        on = far.select("ck", "node", F.col("above").alias("mid"))
+        far = cut(on.join(step, (F.col("ck") == F.col("ck2")) & (F.col("mid") == F.col("n2"))).select("ck", "node", "above"))
+        size *= 2
+    return steps
 
 
 def format_conversations(tree: DataFrame, top: int = 1, loss_role: str = LOSS_ROLE) -> DataFrame:
@@ -102,10 +94,12 @@ def format_conversations(tree: DataFrame, top: int = 1, loss_role: str = LOSS_RO
     are empty. An empty table gives an empty result.
     """
     rank = F.row_number().over(W.partitionBy("ck").orderBy(F.col("score").desc(), "leaf"))
-    chosen = paths(tree).withColumn("rank", rank).where(F.col("rank") <= top)
-    steps = chosen.select("ck", "conv", "leaf", "rank", F.posexplode("path").alias("at", "node"))
     words = tree.select(_key("conv").alias("ck"), "node", escape_role(F.col("role")).alias("r"), escape(F.col("text")).alias("t"), (F.col("role") == loss_role).alias("loss"))
-    turns = steps.join(words, ["ck", "node"])
+    steps = paths(tree)
+    worth = tree.select(_key("conv").alias("ck"), "node", F.coalesce("score", F.lit(0.0)).alias("s"))
+    scores = steps.join(worth, ["ck", "node"]).groupBy("ck", "leaf").agg(F.sum("s").alias("score"))
+    chosen = scores.withColumn("rank", rank).where(F.col("rank") <= top).select("ck", "leaf", "rank")
+    turns = steps.join(chosen, ["ck", "leaf"]).withColumn("at", -F.col("up")).join(words, ["ck", "node"])
     lines = turns.groupBy("ck", "leaf", "rank").agg(F.first("conv").alias("conv"), F.array_sort(F.collect_list(F.struct("at", "r", "t", F.coalesce("loss", F.lit(False)).alias("loss")))).alias("turns"))
     mark = lambda x: F.concat(F.lit(HEAD), x["r"], F.lit(COLON))
     lines = lines.withColumn("parts", F.transform("turns", lambda x: F.concat(mark(x), x["t"], F.lit(END))))
