@@ -38,9 +38,11 @@ def test_prefix_budget_at_its_bounds(spark, n):
     assert len(tight) == min(n, 3) and all(r["reason"] == ("bytes" if n > 3 else None) for r in tight)
 
 
-def test_oversized_first_row_returns_nothing(spark):
-    df = spark.createDataFrame([("g", 0, "x" * 50), ("g", 1, "y")], "g string, i int, t string")
-    assert relational.prefix_budget(df, ["g"], ["i"], "t", 5, 10).count() == 0
+def test_oversized_first_row_is_told(spark):
+    df = spark.createDataFrame([("g", 0, "x" * 50), ("h", 1, "y")], "g string, i int, t string")
+    got = relational.prefix_budget(df, ["g"], ["i"], "t", 5, 10).orderBy("g").collect()
+    assert [tuple(r) for r in got] == [("g", None, None, 1, 0, True, "oversized_row"), ("h", 1, "y", 1, 1, False, None)]
+    assert [r["reason"] for r in relational.prefix_budget(df, ["g"], ["i"], "t", 0, 10).collect()] == ["rows", "rows"]
 
 
 def test_islands_and_repeats(spark):

@@ -103,9 +103,13 @@ def flaky(results: DataFrame, test: str, outcome: str) -> DataFrame:
 
 
 def exploded_api(pages: DataFrame, schema: str, body: str, items: str) -> DataFrame:
-    """Rows of a JSON body's list: the columns of the page and those of the items; unknown fields are kept in the body."""
-    parsed = pages.withColumn("_p", F.from_json(body, schema))
-    return parsed.select(*pages.columns, F.explode(f"_p.{items}").alias("_i")).select(*[c for c in pages.columns if c != body], "_i.*")
+    """Rows of a JSON body's list: the columns of the page and those of the items, and each item whole as JSON (raw), with the fields that schema does not name.
+
+    A page whose list is empty or missing is kept as one row without an item.
+    """
+    parsed = pages.withColumn("_p", F.from_json(body, schema)).withColumn("_raw", F.from_json(F.get_json_object(body, f"$.{items}"), "array<string>"))
+    whole = F.explode_outer(F.when(F.size(f"_p.{items}") > 0, F.arrays_zip(F.col(f"_p.{items}").alias("i"), F.col("_raw").alias("r")))).alias("_x")
+    return parsed.select(*pages.columns, whole).select(*[c for c in pages.columns if c != body], "_x.i.*", F.col("_x.r").alias("raw"))
 
 
 def timed(jobs: DataFrame, started: str, ended: str, status: str, conclusion: str) -> DataFrame:

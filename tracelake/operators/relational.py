@@ -88,8 +88,11 @@ def due_tables(sources: DataFrame, log: DataFrame, table: str, status: str, fini
 def prefix_budget(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], text: str, max_rows: int, max_bytes: int) -> DataFrame:
     """Per group the longest prefix of rows within a row and a byte budget; no row is skipped to fit a later one.
 
-    Adds returned, total, truncated and reason (rows, bytes or null) to every row that is returned.
+    Adds returned, total, truncated and reason (rows, bytes or null) to every row that is returned. A group whose first
+    row alone is over the budget returns none: one row stands for it, with its keys, nulls for the other columns, and
+    the reason oversized_row (rows, if no row may be returned at all).
     """
+    columns = df.columns
     w = W.partitionBy(*keys).orderBy(*order)
     every = W.partitionBy(*keys)
     df = df.withColumns({"_n": F.row_number().over(w), "_bytes": F.sum(F.coalesce(F.octet_length(text), F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0)), "total": F.count("*").over(every)})
@@ -97,8 +100,10 @@ def prefix_budget(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     df = df.withColumn("returned", F.count_if(fits).over(every))
     # the sum never falls, so the rows that fit are a prefix
     over = F.max(F.when((F.col("_n") == F.col("returned") + 1) & (F.col("_bytes") > max_bytes), 1)).over(every)
-    df = df.withColumn("_over", over).where(fits)
-    return df.withColumns({"truncated": F.col("returned") < F.col("total"), "reason": F.when(F.col("returned") == F.col("total"), None).when((F.col("returned") >= max_rows) | F.col("_over").isNull(), "rows").otherwise("bytes")}).drop("_n", "_bytes", "_over")
+    none = F.col("returned") == 0
+    df = df.withColumn("_over", over).where(fits | none & (F.col("_n") == 1))
+    df = df.withColumns({c: F.when(~none, F.col(c)) for c in columns if c not in keys})
+    return df.withColumns({"truncated": F.col("returned") < F.col("total"), "reason": F.when(F.col("returned") == F.col("total"), None).when(none & F.lit(max_rows > 0), "oversized_row").when((F.col("returned") >= max_rows) | F.col("_over").isNull(), "rows").otherwise("bytes")}).drop("_n", "_bytes", "_over")
 
 
 def pack_batches(df: DataFrame, group: Sequence[str], key: str, size: Column, limit: int) -> DataFrame:
@@ -115,9 +120,8 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], s
 
 
 def lower_median(values: str) -> Column:
-    """The lower middle of the sorted values of a group; groups must be small enough to list."""
-    listed = F.array_sort(F.collect_list(values))
-    return F.try_element_at(listed, F.floor((F.size(listed) + 1) / 2).cast("int"))
+    """The lower middle of the sorted numbers of a group, counted by value, not listed."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{values}`)")
 
 
 def with_total(df: DataFrame, key: str, aggs: Sequence[Column], total: str = "TOTAL") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelake.session import cut
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -21,12 +23,14 @@ class Rule:
     base: str | None = None
 
 
-def json_nodes(df: DataFrame, id_col: str, json: str, depth: int = 6) -> DataFrame:
-    """(id, path, key, kind, value): the nodes of a JSON column, level by level down to depth."""
+def json_nodes(df: DataFrame, id_col: str, json: str) -> DataFrame:
+    """(id, path, key, kind, value): the nodes of a JSON column, level by level until none is left."""
     start = df.select(F.col(id_col).alias("id"), F.lit("$").alias("path"), F.lit(None).cast("string").alias("key"), F.try_parse_json(json).alias("v")).where(F.col("v").isNotNull())
     levels, cur = [start], start
-    for _ in range(depth):
-        cur = _deeper(cur)
+    while True:
+        cur = cut(_deeper(cur))
+        if cur.isEmpty():
+            break
         levels.append(cur)
     every = levels[0]
     for level in levels[1:]:
@@ -45,21 +49,43 @@ def _deeper(level: DataFrame) -> DataFrame:
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
-    """(tree_id, node_id, anc_id, anc_tag, anc_depth): every ancestor of every node, by its span in pre-order.
+    """(tree_id, node_id, anc_id, anc_tag, up): every ancestor of every node, up levels above it.
 
-    Trees are the join key, so a pair never leaves its tree; a node has as many rows as its depth.
+    Found by doubling: rows are as many as the nodes' depths together, and rounds grow with the logarithm of the depth.
     """
-    up = nodes.select("tree_id", F.col("node_id").alias("anc_id"), F.col("tag").alias("anc_tag"), F.col("depth").alias("anc_depth"), (F.col("node_id") + F.col("descendants")).alias("_last"))
-    j = nodes.select("tree_id", "node_id").join(up, "tree_id")
-    return j.where((F.col("node_id") > F.col("anc_id")) & (F.col("node_id") <= F.col("_last"))).drop("_last")
+    far = cut(nodes.where(F.col("parent_id").isNotNull()).select("tree_id", "node_id", F.col("parent_id").alias("anc_id")))
+    every, size = far.withColumn("up", F.lit(1)), 1
+    while not far.isEmpty():
+        step = far.select("tree_id", F.col("node_id").alias("anc_id"), F.col("anc_id").alias("above"))
+        on = every.join(step, ["tree_id", "anc_id"]).select("tree_id", "node_id", F.col("above").alias("anc_id"), (F.col("up") + size).alias("up"))
+        every = cut(every.unionByName(on))
+        far = cut(far.join(step, ["tree_id", "anc_id"]).select("tree_id", "node_id", F.col("above").alias("anc_id")))
+        size *= 2
+    return every.join(nodes.select("tree_id", F.col("node_id").alias("anc_id"), F.col("tag").alias("anc_tag")), ["tree_id", "anc_id"]).select("tree_id", "node_id", "anc_id", "anc_tag", "up")
 
 
 def node_context(nodes: DataFrame) -> DataFrame:
     """nodes' ids with the tags above them, outermost first."""
-    a = ancestors(nodes).groupBy("tree_id", "node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("anc_depth", "anc_tag"))), lambda x: x["anc_tag"]), "/").alias("above"))
+    a = ancestors(nodes).groupBy("tree_id", "node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "anc_tag"))), lambda x: x["anc_tag"]), "/").alias("above"))
     return nodes.select("tree_id", "node_id", "tag").join(a, ["tree_id", "node_id"], "left").withColumn("above", F.coalesce("above", F.lit("")))
 
 
+def statement_facts(nodes: DataFrame) -> DataFrame:
+    """Per statement (id) over json_nodes: its nodes, leaves and deepest level, the distinct keys, and whether it holds a null or a list."""
+    level = F.size(F.split("path", r"[.\[]"))
+    leaf = ~F.col("kind").isin("OBJECT", "ARRAY")
+    return nodes.groupBy("id").agg(
+        F.count("*").alias("nodes"), F.count_if(leaf).alias("leaves"), F.max(level).cast("long").alias("depth"),
+        F.array_join(F.array_sort(F.collect_set("key")), ",").alias("keys"), F.bool_or(F.col("kind").isin("VOID")).alias("has_null"), F.bool_or(F.col("kind") == "ARRAY").alias("has_list"),
+    )
+
+
+def call_facts(statements: DataFrame, call: Sequence[str], lists: Sequence[str] = (), flags: Sequence[str] = (), largest: Sequence[str] = ()) -> DataFrame:
+    """Statement facts folded to one row a call: lists joined and flattened to their distinct values, in order, flags or-ed, and the largest of the rest."""
+    flat = lambda c: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))), ",").alias(c)
+    return statements.groupBy(*call).agg(*[flat(c) for c in lists], *[F.bool_or(c).alias(c) for c in flags], *[F.max(c).alias(c) for c in largest])
+
+
 def tree_shape(nodes: DataFrame) -> DataFrame:
     """Per tree: nodes, depth, links, headings, and the most children of one node."""
     kids = nodes.where(F.col("parent_id").isNotNull()).groupBy("tree_id", "parent_id").agg(F.count("*").alias("_k")).groupBy("tree_id").agg(F.max("_k").alias("widest"))
@@ -77,7 +103,7 @@ def chain_max(nodes: DataFrame, tag: str) -> DataFrame:
 
 def owners(nodes: DataFrame, tags: Sequence[str], holders: Sequence[str]) -> DataFrame:
     """Elements of tags with the nearest enclosing holder, or else the sibling before them."""
-    a = ancestors(nodes).where(F.col("anc_tag").isin(*holders)).groupBy("tree_id", "node_id").agg(F.max_by("anc_id", "anc_depth").alias("holder"))
+    a = ancestors(nodes).where(F.col("anc_tag").isin(*holders)).groupBy("tree_id", "node_id").agg(F.min_by("anc_id", "up").alias("holder"))
     before = nodes.withColumn("sibling", F.lag("node_id").over(W.partitionBy("tree_id", "parent_id").orderBy("node_id")))
     return before.where(F.col("tag").isin(*tags)).join(a, ["tree_id", "node_id"], "left").select("tree_id", "node_id", "tag", F.coalesce("holder", "sibling").alias("owner"))
 

@@ -56,7 +56,8 @@ def similar(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, bl
     """(query, key, cosine): the k vectors nearest to each query vector, by exact cosine.
 
     Queries go out in blocks of bounded size; each task multiplies its rows with a block and keeps its own k best for
-    every query, so what is shuffled is k rows a query and task. Null and zero vectors match nothing.
+    every query, so what is shuffled is k rows a query and task. Null and zero vectors match nothing; no queries give an
+    empty result. Keys are whole numbers.
     """
     share_code(df.sparkSession)
     wanted = queries.select(F.col(key).alias("q"), F.col(vector).alias("v")).where(F.col("v").isNotNull())
@@ -89,12 +90,14 @@ def similar(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, bl
             yield pd.DataFrame({"query": np.repeat(qs, have), "key": best[0].ravel(), "cosine": best[1].ravel()})
 
         parts.append(df.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(run, "query long, key long, cosine double"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "query long, key long, cosine double")
     every = reduce(DataFrame.unionByName, parts)
     return every.withColumn("_r", F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("cosine", 12)), "key"))).where(F.col("_r") <= k).drop("_r")
 
 
 def near_dupes(df: DataFrame, key: str, code: str, radius: int, width: int = 64) -> DataFrame:
-    """(a, b, bits): pairs of distinct codes within a radius, with each code's least key.
+    """(a, b, bits): pairs of distinct codes within a radius, each by its least key; and every other row of a code with its least key, at 0 bits.
 
     The width bits are cut in radius + 1 bands; codes within the radius agree in one band at least, the join key.
     """
@@ -104,4 +107,5 @@ def near_dupes(df: DataFrame, key: str, code: str, radius: int, width: int = 64)
     t = one.select(F.col("key"), F.col(code).alias("c"), F.explode(F.array(*bands)).alias("x")).select("key", "c", "x.*")
     j = t.select(F.col("key").alias("a"), F.col("c").alias("ca"), "band", "part").join(t.select(F.col("key").alias("b"), F.col("c").alias("cb"), "band", "part"), ["band", "part"])
     bits = F.bit_count(F.col("ca").bitwiseXOR(F.col("cb")))
-    return j.where((F.col("a") < F.col("b")) & (bits <= radius)).select("a", "b", bits.alias("bits")).distinct()
+    copies = df.select(F.col(key).alias("b"), F.col(code).alias("c")).join(one.select(F.col("key").alias("a"), F.col(code).alias("c")), "c").where("a <> b").select("a", "b", F.lit(0).alias("bits"))
+    return j.where((F.col("a") < F.col("b")) & (bits <= radius)).select("a", "b", bits.alias("bits")).distinct().unionByName(copies)

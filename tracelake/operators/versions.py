@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelake.operators.relational import range_join
+
 
 def path_history(tree: DataFrame, log: DataFrame, path: str, last: int) -> DataFrame:
-    """A path in each of the last versions of log (version, ts); versions without it give no row."""
-    recent = log.orderBy(F.desc("ts")).limit(last)
+    """A path in each of the last versions of log (version, ts), of equal times the greater version; versions without it give no row."""
+    recent = log.orderBy(F.desc("ts"), F.desc("version")).limit(last)
     return tree.where(F.col("path") == path).join(F.broadcast(recent), "version")  # last rows
 
 
+def read_versions(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
+    """A dataset as it stands in the folders of several versions, as one relation with the column version; columns that a version lacks are null in it."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [spark.read.parquet(p).withColumn("version", F.lit(v).cast("long")) for v, p in sorted(paths.items())])
+
+
 def distinct_contents(history: DataFrame, key: Sequence[str], blob: str, version: str) -> DataFrame:
     """The versions that hold each content of a path."""
     return history.groupBy(*key, blob).agg(F.array_join(F.transform(F.array_sort(F.collect_list(version)), lambda x: x.cast("string")), ",").alias("versions"), F.count("*").alias("n"))
@@ -47,26 +55,33 @@ def added_lines(before: DataFrame, after: DataFrame, key: str, text: str) -> Dat
     return numbered(after).join(numbered(before), [key, "line", "copy"], "left_anti")
 
 
-def span_authors(spans: DataFrame, authors: DataFrame, file: str) -> DataFrame:
-    """spans (file, start, end) with the authors of their lines; lines meet spans of their own file only."""
-    j = spans.join(authors, file, "left").where(F.col("line").isNull() | F.col("line").between(F.col("start"), F.col("end")))
-    return j.groupBy(file, "start", "end").agg(F.array_join(F.array_sort(F.collect_set(F.col("author").cast("string"))), ",").alias("authors"))
+def span_authors(spans: DataFrame, authors: DataFrame, file: str, width: int = 1024) -> DataFrame:
+    """spans (file, start, end) with the authors of their lines; spans without any have none. Lines meet spans of their own file by bins of width lines."""
+    held = range_join(authors.select(file, "line", "author"), spans.select(file, "start", "end", (F.col("end") + 1).alias("_after")).distinct(), "line", "start", "_after", width, [file])
+    by = held.groupBy(file, "start", "end").agg(F.array_join(F.array_sort(F.collect_set(F.col("author").cast("string"))), ",").alias("authors"))
+    return spans.select(file, "start", "end").distinct().join(by, [file, "start", "end"], "left").withColumn("authors", F.coalesce("authors", F.lit("")))
 
 
-def files_containing(texts: DataFrame, messages: DataFrame, id_col: str, text_col: str, message_id: str, message: str, words: int = 3) -> DataFrame:
+def files_containing(texts: DataFrame, messages: DataFrame, id_col: str, text_col: str, message_id: str, message: str, words: int = 3, block: int = 200) -> DataFrame:
     """(id, message_id) where a text holds a whole message; ids are unique.
 
     Texts meet messages by the message's first inner words, an equi-join on the texts' word runs that carries ids
     alone; the pairs then meet their texts again and are searched. Messages of up to words + 2 words have no inner run
-    to meet by and are not looked for.
+    to meet by: they are looked for in every text, in blocks of block messages and a scan each.
     """
     split = lambda c: F.split(F.col(c), " ")
+    short = messages.where(F.col(message).isNotNull() & (F.size(split(message)) <= words + 2)).select(F.col(message_id).alias("i"), F.col(message).alias("m")).distinct()
+    kind = messages.schema[message_id].dataType
+    found, n = [], -(-short.count() // block)
+    for b in range(n):
+        wanted = F.array(*[F.struct(F.lit(r["i"]).cast(kind).alias("i"), F.lit(r["m"]).alias("m")) for r in short.where(F.pmod(F.xxhash64("i", "m"), F.lit(n)) == b).collect()])
+        found.append(texts.select(F.col(id_col).alias("id"), F.explode(F.filter(wanted, lambda x: F.contains(F.col(text_col), x["m"]))).alias("x")).select("id", F.col("x.i").alias("message_id")))
     keyed = messages.select(F.col(message_id).alias("message_id"), F.col(message).alias("_m"), F.xxhash64(F.array_join(F.slice(split(message), 2, words), " ")).alias("_key")).where(F.size(F.split("_m", " ")) > words + 2)
     t = texts.select(F.col(id_col).alias("id"), split(text_col).alias("_w"))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - words + 1)), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, words), " ")))
     met = t.select("id", F.explode_outer(F.array_distinct(runs)).alias("_key")).join(keyed, "_key").select("id", "message_id", "_m").distinct()
     bodies = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
-    return met.join(bodies, "id").where(F.contains("_t", F.col("_m"))).select("id", "message_id")
+    return reduce(DataFrame.unionByName, found, met.join(bodies, "id").where(F.contains("_t", F.col("_m"))).select("id", "message_id"))
 
 
 def audit_results(stored: DataFrame, again: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

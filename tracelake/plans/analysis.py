@@ -13,7 +13,7 @@ from tracelake.operators import similarity as J
 from tracelake.operators import spatial as S
 from tracelake.operators import text as X
 from tracelake.operators import versions as G
-from tracelake.session import cut, table
+from tracelake.session import cut, scratch, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -45,7 +45,7 @@ def _versions(spark: SparkSession, d: str) -> DataFrame:
 _VERSIONS = "WITH tree AS (SELECT o_orderkey % 5 AS version, o_custkey::VARCHAR AS path, max(md5(o_orderpriority)) AS blob FROM orders GROUP BY ALL), log AS (SELECT o_orderkey % 5 AS version, max(o_orderdate) + to_days((o_orderkey % 5)::INT) AS ts FROM orders GROUP BY 1) "
 
 
-@query(_VERSIONS + "SELECT version, path, blob FROM tree WHERE path = '899' AND version IN (SELECT version FROM log ORDER BY ts DESC LIMIT 3)")
+@query(_VERSIONS + "SELECT version, path, blob FROM tree WHERE path = '899' AND version IN (SELECT version FROM log ORDER BY ts DESC, version DESC LIMIT 3)")
 def g2_path_history(spark: SparkSession, d: str) -> DataFrame:
     log = table(spark, d, "orders").groupBy((F.col("o_orderkey") % 5).alias("version")).agg(F.max("o_orderdate").alias("m")).select("version", (F.col("m") + F.make_dt_interval(F.col("version").cast("int"))).alias("ts"))
     return G.path_history(_versions(spark, d), log, "899", 3).select("version", "path", "blob")
@@ -56,10 +56,14 @@ def g3_distinct_contents(spark: SparkSession, d: str) -> DataFrame:
     return G.distinct_contents(_versions(spark, d), ["path"], "blob", "version")
 
 
-@query("SELECT o_orderkey % 5 AS version, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+@query("SELECT v AS version, count(*) AS n, round(sum(o_totalprice), 2) AS total, CASE WHEN v >= 3 THEN count(o_orderpriority) ELSE 0 END AS told FROM orders, range(5) r(v) WHERE o_orderkey % 5 <= v GROUP BY v")
 def g4_read_versions(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").withColumn("version", F.col("o_orderkey") % 5)
-    return o.groupBy("version").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    """Orders as a dataset that grows over five versions and gains a column in the fourth."""
+    base, o = scratch(spark, "versions"), table(spark, d, "orders")
+    for v in range(5):
+        o.where(F.col("o_orderkey") % 5 <= v).select("o_orderkey", "o_totalprice", *["o_orderpriority"] * (v >= 3)).write.parquet(f"{base}/v{v}")
+    every = G.read_versions(spark, {v: f"{base}/v{v}" for v in range(5)})
+    return every.groupBy("version").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.count("o_orderpriority").alias("told"))
 
 
 @query("""WITH b AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 11 <> 0), a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 13 <> 0)
@@ -102,7 +106,7 @@ def g8_span_authors(spark: SparkSession, d: str) -> DataFrame:
     return G.span_authors(spans, o.select("file", F.col("o_orderkey").alias("line"), F.col("o_orderpriority").alias("author")), "file")
 
 
-@query("SELECT doc_id AS id, item_id AS message_id FROM documents JOIN (SELECT item_id, split_part(text, '.', 1) AS m FROM benchmark) ON contains(text, m) WHERE len(string_split(m, ' ')) > 5")
+@query("SELECT doc_id AS id, item_id AS message_id FROM documents JOIN (SELECT item_id, split_part(text, '.', 1) AS m FROM benchmark) ON contains(text, m)")
 def g9_files_containing(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "benchmark").select("item_id", F.split_part("text", F.lit("."), F.lit(1)).alias("m"))
     return G.files_containing(table(spark, d, "documents"), m, "doc_id", "text", "item_id", "m")
@@ -152,24 +156,42 @@ def g14_call_sites(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id AS id, '$' AS path, NULL AS key, 'OBJECT' AS kind, NULL AS value FROM events UNION ALL SELECT event_id, '$.k', 'k', 'BIGINT', json_extract_string(props, '$.k') FROM events")
 def h1_json_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return H.json_nodes(table(spark, d, "events"), "event_id", "props", 3)
+    return H.json_nodes(table(spark, d, "events"), "event_id", "props")
 
 
-@query("""SELECT user_id, event_type, count(*) AS n, max(value) AS top, count_if(value > 50) AS big, bool_or(value > 200) AS huge FROM events GROUP BY ALL""")
+@query("""SELECT event_id AS id, 6 + 2 * (event_id % 3 = 0)::BIGINT + event_id % 4 AS nodes, 2 + (event_id % 3 = 0)::BIGINT + event_id % 4 AS leaves, 4 + (event_id % 3 = 0)::BIGINT AS depth,
+array_to_string(list_concat(range(event_id % 4)::VARCHAR[], CASE WHEN event_id % 3 = 0 THEN ['args', 'cmd', 'k', 'more', 'props', 'type', 'x'] ELSE ['args', 'cmd', 'k', 'props', 'type'] END), ',') AS keys, true AS has_list FROM events""")
 def h2_statement_facts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("value").alias("top"), F.count_if(F.col("value") > 50).alias("big"), F.bool_or(F.col("value") > 200).alias("huge"))
+    """Each event as a nested JSON statement of several levels, with lists."""
+    i, args = F.col("event_id"), F.sequence(F.lit(1), F.lit(4))
+    cmd = F.struct(F.col("event_type").alias("type"), F.struct(F.lit(1).alias("k"), F.when(i % 3 == 0, F.struct(F.lit(2).alias("x"))).alias("more")).alias("props"), F.slice(args, F.lit(1), (i % 4).cast("int")).alias("args"))
+    body = F.to_json(F.struct(cmd.alias("cmd")))
+    return H.statement_facts(H.json_nodes(table(spark, d, "events").select("event_id", body.alias("body")), "event_id", "body")).drop("has_null")
 
 
-@query("SELECT page_id AS tree_id, 1 AS longest FROM pages WHERE contains(html, '<li>')")
+_UP = _HEAP.replace("WITH t", "WITH RECURSIVE t") + ", up AS (SELECT tree_id, node_id, parent_id AS anc, 1 AS up FROM n WHERE parent_id IS NOT NULL UNION ALL SELECT up.tree_id, up.node_id, p.parent_id, up + 1 FROM up JOIN n p ON p.tree_id = up.tree_id AND p.node_id = up.anc WHERE p.parent_id IS NOT NULL) "
+
+
+@query(_UP + "SELECT tree_id, max(c) + 1 AS longest FROM (SELECT a.tree_id, a.node_id, count(b.node_id) AS c FROM n a LEFT JOIN up ON up.tree_id = a.tree_id AND up.node_id = a.node_id LEFT JOIN n b ON b.tree_id = up.tree_id AND b.node_id = up.anc AND b.tag = a.tag WHERE a.tag = 'building' GROUP BY ALL) GROUP BY 1")
 def h3_chain_max(spark: SparkSession, d: str) -> DataFrame:
-    return H.chain_max(X.page_nodes(table(spark, d, "pages")), "li").select("tree_id", F.col("longest").cast("int").alias("longest"))
+    return H.chain_max(_nodes(spark, d), "building")
+
+
+@query(_UP + "SELECT n.tree_id, n.node_id, n.tag, coalesce(string_agg(b.tag, '/' ORDER BY up.up DESC), '') AS above FROM n LEFT JOIN up ON up.tree_id = n.tree_id AND up.node_id = n.node_id LEFT JOIN n b ON b.tree_id = up.tree_id AND b.node_id = up.anc GROUP BY ALL")
+def h6_tree_context(spark: SparkSession, d: str) -> DataFrame:
+    return H.node_context(cut(_nodes(spark, d)))
+
+
+@query(_UP + """, hold AS (SELECT up.tree_id, up.node_id, arg_min(b.node_id, up.up) AS holder FROM up JOIN n b ON b.tree_id = up.tree_id AND b.node_id = up.anc WHERE b.tag IN ('building', 'machinery') GROUP BY ALL), sib AS (SELECT *, lag(node_id) OVER (PARTITION BY tree_id, parent_id ORDER BY node_id) AS sibling FROM n)
+SELECT tree_id, node_id, tag, coalesce(holder, sibling) AS owner FROM sib LEFT JOIN hold USING (tree_id, node_id) WHERE tag IN ('household', 'furniture')""")
+def h8_tree_owners(spark: SparkSession, d: str) -> DataFrame:
+    return H.owners(cut(_nodes(spark, d)), ["household", "furniture"], ["building", "machinery"])
 
 
 @query("SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types, bool_or(value > 200) AS huge, max(value) AS top FROM events GROUP BY 1")
 def h4_call_facts(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.collect_set("event_type").alias("types"), F.bool_or(F.col("value") > 200).alias("huge"), F.max("value").alias("top"))
-    types = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))), ",")
-    return parts.groupBy("user_id").agg(types.alias("types"), F.bool_or("huge").alias("huge"), F.max("top").alias("top"))
+    return H.call_facts(parts, ["user_id"], ["types"], ["huge"], ["top"])
 
 
 @query("""WITH w AS (SELECT o_custkey AS call_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, CASE o_orderkey % 3 WHEN 0 THEN '-x' WHEN 1 THEN '-v' ELSE 'w' || o_orderkey % 10 END AS word FROM orders), b AS (SELECT *, lag(word) OVER (PARTITION BY call_id ORDER BY pos) AS before FROM w),
@@ -343,16 +365,21 @@ def j2_scenes(spark: SparkSession, d: str) -> DataFrame:
     return J.scenes(_codes(spark, d), "stream", "vec_id", "code", 30).drop("settled")
 
 
-@query()
+def _scenes_of(e: str, p: str) -> str:
+    """CTEs of the scenes over frames e, with the prefix p."""
+    return f"{p}b AS (SELECT *, bit_count(xor(code, lag(code) OVER (PARTITION BY stream ORDER BY vec_id))) AS change FROM {e}), {p}g AS (SELECT *, sum(CASE WHEN change >= 30 THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY vec_id) AS scene FROM {p}b), {p}sc AS (SELECT stream, scene, min(vec_id) AS start, max(vec_id) AS fin, count(*) AS members, max(change) AS max_change, coalesce(arg_max(vec_id, (-change, vec_id)) FILTER (change < 30), min(vec_id)) AS settled FROM {p}g GROUP BY ALL)"
+
+
+@query(_CODES + ", c AS (SELECT * FROM e WHERE vec_id % 20 < 10), " + _scenes_of("c", "c") + ", busy AS (SELECT * FROM csc QUALIFY row_number() OVER (PARTITION BY stream ORDER BY members DESC, scene) <= 3), m AS (SELECT * FROM c UNION ALL SELECT * FROM e WHERE vec_id % 20 >= 10 AND EXISTS (SELECT 1 FROM busy WHERE busy.stream = e.stream AND e.vec_id BETWEEN busy.start AND busy.fin)), " + _scenes_of("m", "m") + ' SELECT stream, CAST(scene AS BIGINT) AS scene, start, fin AS "end", members, max_change, settled FROM msc')
 def j3_refine(spark: SparkSession, d: str) -> DataFrame:
     t = _codes(spark, d)
     coarse = t.where("vec_id % 20 < 10")
     return J.refine(J.scenes(coarse, "stream", "vec_id", "code", 30), coarse, t.where("vec_id % 20 >= 10"), "stream", "vec_id", "code", 30, 3)
 
 
-@query(_SCENES + "SELECT p.event_id, CAST(sc.scene AS BIGINT) AS scene FROM (SELECT event_id, event_id % 10 AS stream FROM events WHERE event_id < 600) p LEFT JOIN sc ON sc.stream = p.stream AND p.event_id BETWEEN start AND fin")
+@query(_SCENES + "SELECT p.event_id, CAST(sc.scene AS BIGINT) AS scene FROM (SELECT event_id, event_id % 10 AS stream FROM events) p LEFT JOIN sc ON sc.stream = p.stream AND p.event_id BETWEEN start AND fin")
 def j4_attach(spark: SparkSession, d: str) -> DataFrame:
-    points = table(spark, d, "events").where("event_id < 600").select("event_id", (F.col("event_id") % 10).alias("stream"))
+    points = table(spark, d, "events").select("event_id", (F.col("event_id") % 10).alias("stream"))
     return J.attach(points, J.scenes(_codes(spark, d), "stream", "vec_id", "code", 30), "stream", "event_id").select("event_id", "scene")
 
 
@@ -363,7 +390,7 @@ def j5_similar(spark: SparkSession, d: str) -> DataFrame:
     return J.similar(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", 5).withColumn("cosine", F.round("cosine", 6))
 
 
-@query(_CODES + ", o AS (SELECT code, min(vec_id) AS k FROM e GROUP BY 1) SELECT a.k AS a, b.k AS b, bit_count(xor(a.code, b.code)) AS bits FROM o a JOIN o b ON a.k < b.k AND bit_count(xor(a.code, b.code)) <= 12")
+@query(_CODES + ", o AS (SELECT code, min(vec_id) AS k FROM e GROUP BY 1) SELECT a.k AS a, b.k AS b, bit_count(xor(a.code, b.code)) AS bits FROM o a JOIN o b ON a.k < b.k AND bit_count(xor(a.code, b.code)) <= 12 UNION ALL SELECT o.k, e.vec_id, 0 FROM e JOIN o ON o.code = e.code WHERE e.vec_id <> o.k")
 def j6_near_dupes(spark: SparkSession, d: str) -> DataFrame:
     return J.near_dupes(_codes(spark, d), "vec_id", "code", 12, 63)
 
@@ -449,13 +476,13 @@ def k10_profile_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    n, c, o = table(spark, d, "nation"), table(spark, d, "customer").where("c_acctbal >= 0"), table(spark, d, "orders")
+    n, c, o = table(spark, d, "nation"), table(spark, d, "customer"), table(spark, d, "orders")
     nodes = [(table(spark, d, "region"), "region", "r_regionkey", "r_name"), (n, "nation", "n_nationkey", "n_name"), (c, "customer", "c_custkey", "c_name")]
     edges = [(n, "in", "concat('nation:', n_nationkey)", "concat('region:', n_regionkey)"), (c, "lives", "concat('customer:', c_custkey)", "concat('nation:', c_nationkey)"), (o, "bought", "concat('order:', o_orderkey)", "concat('customer:', o_custkey)")]
     return K.graph_views(nodes, edges)
 
 
-_EDGES = "WITH RECURSIVE edge AS (SELECT 'nation:' || n_nationkey AS src, 'region:' || n_regionkey AS dst, 'in' AS label FROM nation UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'lives' FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 'bought' FROM orders) "
+_EDGES = "WITH RECURSIVE edge AS (SELECT 'nation:' || n_nationkey AS src, 'region:' || n_regionkey AS dst, 'in' AS label FROM nation UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'lives' FROM customer UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 'bought' FROM orders) "
 
 
 @query(_EDGES.replace("RECURSIVE ", "") + "SELECT label, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM edge GROUP BY 1")
@@ -463,16 +490,16 @@ def k12_graph_views(spark: SparkSession, d: str) -> DataFrame:
     return _graph(spark, d)[1].groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
 
 
-@query(_EDGES + ", r AS (SELECT 'order:' || o_orderkey AS node, 0 AS hop FROM orders WHERE o_orderkey % 100 = 0 UNION SELECT dst, hop + 1 FROM r JOIN edge ON src = node WHERE hop < 3) SELECT node, min(hop) AS hop FROM r GROUP BY 1")
+@query(_EDGES + ", r AS (SELECT 'order:' || o_orderkey AS node, 0 AS hop FROM orders UNION SELECT dst, hop + 1 FROM r JOIN edge ON src = node WHERE hop < 3) SELECT node, min(hop) AS hop FROM r GROUP BY 1")
 def k13_hops(spark: SparkSession, d: str) -> DataFrame:
-    start = table(spark, d, "orders").where("o_orderkey % 100 = 0").select(F.concat(F.lit("order:"), "o_orderkey").alias("node"))
+    start = table(spark, d, "orders").select(F.concat(F.lit("order:"), "o_orderkey").alias("node"))
     return K.hops(_graph(spark, d)[1], start, 3)
 
 
-@query("""SELECT r_name, n_name, count(DISTINCT c_custkey) AS customers, count(o_orderkey) AS orders FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9950 LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""")
+@query("""SELECT r_name, n_name, count(DISTINCT c_custkey) AS customers, count(o_orderkey) AS orders FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""")
 def k14_org_rollup(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("o"))
-    c = table(spark, d, "customer").where("c_acctbal > 9950").join(orders, "c_custkey", "left").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("customers"), F.sum(F.coalesce("o", F.lit(0))).alias("orders"))
+    c = table(spark, d, "customer").join(orders, "c_custkey", "left").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("customers"), F.sum(F.coalesce("o", F.lit(0))).alias("orders"))
     n = table(spark, d, "nation").join(c, "n_nationkey", "left")
     j = table(spark, d, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"), "left")
     return j.select("r_name", "n_name", F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("orders", F.lit(0)).alias("orders"))

@@ -20,10 +20,10 @@ CASTS: dict[str, dict[str, str]] = {
     "d21_author_hygiene": {"flagged": "BIGINT"},
     "e13_coverage_by_file": {"failures": "BIGINT"},
     "g11_compare_sides": {"different": "BIGINT", "missing": "BIGINT"},
-    "h2_statement_facts": {"big": "BIGINT"},
     "h5_classify_words": {"number": "BIGINT"},
     "j1_hamming": {"bits": "INTEGER"},
     "j2_scenes": {"max_change": "INTEGER"},
+    "j3_refine": {"max_change": "INTEGER"},
     "j6_near_dupes": {"bits": "INTEGER"},
 }
 

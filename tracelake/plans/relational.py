@@ -202,18 +202,18 @@ def c25_top_k(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment").orderBy(key.desc_nulls_last(), "c_custkey").limit(25)
 
 
-@query("""SELECT name, day, n FROM (UNPIVOT (PIVOT (SELECT event_type, ts::DATE::VARCHAR AS day FROM events) ON event_type USING count(*) GROUP BY day) ON COLUMNS(* EXCLUDE day) INTO NAME name VALUE n)""")
+@query("SELECT t.name, d.day, count(e.event_id) AS n FROM (SELECT DISTINCT event_type AS name FROM events) t CROSS JOIN (SELECT DISTINCT ts::DATE::VARCHAR AS day FROM events) d LEFT JOIN events e ON e.event_type = t.name AND e.ts::DATE::VARCHAR = d.day GROUP BY ALL")
 def c26_pivot_unpivot(spark: SparkSession, d: str) -> DataFrame:
     wide = table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).pivot("event_type").count().fillna(0)
     names = [c for c in wide.columns if c != "day"]
     return wide.unpivot("day", names, "name", "n").select("name", "day", "n")
 
 
-@query("""WITH r AS (SELECT doc_id, lang, row_number() OVER w AS n, sum(strlen(text)) OVER w AS b, count(*) OVER (PARTITION BY lang) AS total FROM documents WINDOW w AS (PARTITION BY lang ORDER BY doc_id)),
+@query("""WITH r AS (SELECT doc_id, lang, row_number() OVER w AS n, sum(strlen(text)) OVER w AS b, count(*) OVER (PARTITION BY lang) AS total FROM (SELECT doc_id, text, concat_ws('-', lang, doc_id % 20) AS lang FROM documents) WINDOW w AS (PARTITION BY lang ORDER BY doc_id)),
 s AS (SELECT *, count_if(n <= 30 AND b <= 60000) OVER (PARTITION BY lang) AS returned FROM r), t AS (SELECT *, max(CASE WHEN n = returned + 1 AND b > 60000 THEN 1 END) OVER (PARTITION BY lang) AS over FROM s)
-SELECT doc_id, lang, returned, total, returned < total AS truncated, CASE WHEN returned = total THEN NULL WHEN returned >= 30 OR over IS NULL THEN 'rows' ELSE 'bytes' END AS reason FROM t WHERE n <= 30 AND b <= 60000""")
+SELECT CASE WHEN returned > 0 THEN doc_id END AS doc_id, lang, returned, total, returned < total AS truncated, CASE WHEN returned = total THEN NULL WHEN returned = 0 THEN 'oversized_row' WHEN returned >= 30 OR over IS NULL THEN 'rows' ELSE 'bytes' END AS reason FROM t WHERE n <= 30 AND b <= 60000 OR returned = 0 AND n = 1""")
 def c27_prefix_budget(spark: SparkSession, d: str) -> DataFrame:
-    return R.prefix_budget(table(spark, d, "documents"), ["lang"], ["doc_id"], "text", 30, 60_000).select("doc_id", "lang", "returned", "total", "truncated", "reason")
+    return R.prefix_budget(table(spark, d, "documents").withColumn("lang", F.concat_ws("-", "lang", F.col("doc_id") % 20)), ["lang"], ["doc_id"], "text", 30, 60_000).select("doc_id", "lang", "returned", "total", "truncated", "reason")
 
 
 @query("""SELECT role, conv_id, size, CAST(floor(coalesce(sum(size) OVER (PARTITION BY role ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 20000) AS BIGINT) AS batch

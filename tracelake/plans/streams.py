@@ -30,6 +30,14 @@ def _landed(spark: SparkSession, d: str, rows: DataFrame | None = None, batches:
     return J.read_stream(spark, f"{base}/in", e.schema, max_files=1), base
 
 
+def _close(spark: SparkSession, d: str, s: DataFrame, base: str, *rows: dict) -> None:
+    """Write rows of a far later time behind a stream: they close every window, so that the stream's result is whole."""
+    last = table(spark, d, "events").agg(F.max("ts").cast("timestamp").alias("ts"))
+    for row in rows:
+        made = last.select((F.col("ts") + F.expr("interval 90 days")).alias("ts"))
+        made.select(*[F.col("ts") if c == "ts" else F.lit(row.get(c)).cast(s.schema[c].dataType).alias(c) for c in s.columns]).write.mode("append").parquet(f"{base}/in")
+
+
 @query("SELECT event_id, user_id FROM events")
 def l1_session_store(spark: SparkSession, d: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
@@ -52,8 +60,7 @@ def l2_block_refresh(spark: SparkSession, d: str) -> DataFrame:
 def l3_newest_wins(spark: SparkSession, d: str) -> DataFrame:
     s, base = _landed(spark, d)
     J.each_batch(s.select("user_id", "event_id", "ts"), J.upsert(f"{base}/new", ["user_id"], ["ts", "event_id"]), f"{base}/ck").awaitTermination()
-    newest = spark.read.parquet(f"{base}/new/v*")
-    return newest.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.max("ts").alias("ts"))
+    return J.last_folder(f"{base}/new", spark)
 
 
 @query("SELECT event_id, user_id FROM events")
@@ -64,13 +71,14 @@ def l4_first_copies(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out")
 
 
-@query("""SELECT c.event_id AS call_key, r.returned_at FROM (SELECT event_id, ts FROM events WHERE event_type = 'click') c JOIN (SELECT event_id - 1 AS k, ts AS returned_at FROM events WHERE event_type = 'view') r ON r.k = c.event_id AND r.returned_at BETWEEN c.ts AND c.ts + INTERVAL 1 HOUR""")
+@query("""SELECT c.event_id AS call_key, r.returned_at FROM (SELECT event_id, ts FROM events WHERE event_type = 'click') c LEFT JOIN (SELECT event_id - 1 AS k, ts AS returned_at FROM events WHERE event_type = 'view') r ON r.k = c.event_id AND r.returned_at BETWEEN c.ts AND c.ts + INTERVAL 1 HOUR""")
 def l5_paired(spark: SparkSession, d: str) -> DataFrame:
     s, base = _landed(spark, d)
+    _close(spark, d, s, base, {"event_id": -10, "event_type": "click"}, {"event_id": -20, "event_type": "view"})
     calls = s.where("event_type = 'click'").select(F.col("event_id").alias("k"), "ts")
     results = s.where("event_type = 'view'").select((F.col("event_id") - 1).alias("k"), "ts")
     J.run_available(J.paired(calls, results, "k", "ts", "40 days", "1 hour").select("call_key", "returned_at"), f"{base}/out", f"{base}/ck").awaitTermination()
-    return spark.read.schema("call_key long, returned_at timestamp").parquet(f"{base}/out").where("returned_at is not null")
+    return spark.read.schema("call_key long, returned_at timestamp").parquet(f"{base}/out").where("call_key >= 0")
 
 
 _SESSIONS = """WITH f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS s FROM events), g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS i FROM f), w AS (SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 12 HOUR AS ended, count(*) AS n FROM g GROUP BY user_id, i) """
@@ -79,29 +87,27 @@ _SESSIONS = """WITH f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY us
 @query(_SESSIONS + "SELECT * FROM w")
 def l6_live_windows(spark: SparkSession, d: str) -> DataFrame:
     s, base = _landed(spark, d)
-    last = table(spark, d, "events").agg(F.max("ts")).first()[0]
-    late = spark.createDataFrame([(last,)], "ts timestamp").select(F.lit(-1).cast("long").alias("user_id"), (F.col("ts") + F.expr("interval 90 days")).alias("ts"))
-    # one row of a far later time closes every window, so that the stream's result is whole
-    late.select(*[F.col(c) if c in late.columns else F.lit(None).cast(s.schema[c].dataType).alias(c) for c in s.columns]).write.mode("append").parquet(f"{base}/in")
+    _close(spark, d, s, base, {"user_id": -1})
     J.run_available(J.live_windows(s, "user_id", "ts", "12 hours", "40 days"), f"{base}/out", f"{base}/ck").awaitTermination()
     return spark.read.parquet(f"{base}/out").where("user_id >= 0")
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS started, event_type, count(*) AS n FROM events GROUP BY ALL")
-def l7_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
+def _windows_of(spark: SparkSession, d: str, size: str, slide: str | None) -> DataFrame:
+    """Windows of a stream with a watermark, each written once, when it is closed."""
     s, base = _landed(spark, d)
-    out = J.windowed_counts(s, "ts", "event_type", "1 hour", None, None)
+    _close(spark, d, s, base, {})
+    J.run_available(J.windowed_counts(s, "ts", "event_type", size, slide, "40 days"), f"{base}/out", f"{base}/ck").awaitTermination()
+    return spark.read.parquet(f"{base}/out").where("event_type is not null")
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out")
 
-    out.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS started, event_type, count(*) AS n FROM events GROUP BY ALL")
+def l7_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _windows_of(spark, d, "1 hour", None)
 
 
 @query("SELECT started, event_type, count(*) AS n FROM (SELECT unnest(generate_series(time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 23 HOUR, time_bucket(INTERVAL 1 HOUR, ts), INTERVAL 1 HOUR)) AS started, event_type FROM events) GROUP BY ALL")
 def l7_sliding_counts(spark: SparkSession, d: str) -> DataFrame:
-    return J.windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 day", "1 hour", None)
+    return _windows_of(spark, d, "1 day", "1 hour")
 
 
 @query("SELECT event_type, ts::DATE::VARCHAR AS ds, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY ALL")

@@ -79,14 +79,14 @@ def f8_compare_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _markdown(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as Markdown: a heading, the text's first line, a fenced code block, a deeper heading."""
-    first = F.split_part("text", F.lit("\n"), F.lit(1))
-    md = F.concat(F.lit("# Doc "), "doc_id", F.lit("\n"), first, F.lit("\n```sql\n# not a heading\nSELECT "), "n_chars", F.lit(";\n```\n## Source "), "source", F.lit("\ntail"))
+    """Documents as Markdown: a heading, the whole text quoted line by line, a fenced code block, a deeper heading."""
+    quoted = F.concat(F.lit("> "), F.replace("text", F.lit("\n"), F.lit("\n> ")))
+    md = F.concat(F.lit("# Doc "), "doc_id", F.lit("\n"), quoted, F.lit("\n```sql\n# not a heading\nSELECT "), "n_chars", F.lit(";\n```\n## Source "), "source", F.lit("\ntail"))
     return table(spark, d, "documents").select("doc_id", md.alias("md"))
 
 
 @query("""SELECT doc_id AS id, s.n AS section, s.n AS level, CASE s.n WHEN 1 THEN 'Doc ' || doc_id ELSE 'Source ' || source END AS title, CASE s.n WHEN 1 THEN 'Doc ' || doc_id ELSE 'Doc ' || doc_id || ' > Source ' || source END AS breadcrumb,
-md5(CASE s.n WHEN 1 THEN split_part(text, chr(10), 1) || chr(10) || '```sql' || chr(10) || '# not a heading' || chr(10) || 'SELECT ' || n_chars || ';' || chr(10) || '```' ELSE 'tail' END) AS content_md5 FROM documents, (VALUES (1), (2)) s(n)""")
+md5(CASE s.n WHEN 1 THEN '> ' || replace(text, chr(10), chr(10) || '> ') || chr(10) || '```sql' || chr(10) || '# not a heading' || chr(10) || 'SELECT ' || n_chars || ';' || chr(10) || '```' ELSE 'tail' END) AS content_md5 FROM documents, (VALUES (1), (2)) s(n)""")
 def f9_md_sections(spark: SparkSession, d: str) -> DataFrame:
     s = X.md_sections(_markdown(spark, d), "doc_id", "md")
     return s.select("id", F.col("section").cast("int").alias("section"), "level", "title", "breadcrumb", F.md5(F.encode("content", "utf-8")).alias("content_md5"))
@@ -97,7 +97,7 @@ def f9_md_code_blocks(spark: SparkSession, d: str) -> DataFrame:
     return X.md_code_blocks(_markdown(spark, d), "doc_id", "md").select("id", "language", "code")
 
 
-@query("SELECT doc_id AS id, 4::BIGINT AS line_no, 'comment' AS rule FROM documents UNION ALL SELECT doc_id, 5, 'select' FROM documents UNION ALL SELECT doc_id, 5, 'seven' FROM documents WHERE contains(n_chars::VARCHAR, '7')")
+@query("SELECT doc_id AS id, len(string_split(text, chr(10))) + 3 AS line_no, 'comment' AS rule FROM documents UNION ALL SELECT doc_id, len(string_split(text, chr(10))) + 4, 'select' FROM documents UNION ALL SELECT doc_id, len(string_split(text, chr(10))) + 4, 'seven' FROM documents WHERE contains(n_chars::VARCHAR, '7')")
 def f10_audit_lines(spark: SparkSession, d: str) -> DataFrame:
     return X.audit_lines(_markdown(spark, d), {"comment": "# ", "select": "SELECT", "seven": "7"}, "doc_id", "md")
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tracelake.session import share_code
 
@@ -167,25 +168,37 @@ def stages(df: DataFrame, key: str, fns: Sequence[tuple[str, Callable[[dict], st
     return cur if failed is None else cur.unionByName(failed)
 
 
-def snapshot_tables(sources: dict[str, Callable[[], DataFrame]], path: str, log_path: str, spark: SparkSession, at: Column) -> DataFrame:
-    """Copy each source to its own folder through a staging folder; (table, rows, status, error) goes to the pull log.
+def snapshot_tables(sources: dict[str, Callable[[], DataFrame]], path: str, log_path: str, spark: SparkSession, at: Column, parallel: int = 4) -> DataFrame:
+    """Copy each source to a new folder of its own, a few at a time; (table_name, rows, status, error, folder, finished) goes to the pull log.
 
-    A source that fails leaves its last copy as it was and an error row in the log.
+    The log says which folder of a table is its copy (read_snapshot), so a copy is replaced whole or not at all, and a
+    source that fails, at any point, leaves its last copy as it was and an error row in the log.
     """
-    rows = []
-    for name, source in sources.items():
+
+    def pull(item: tuple[str, Callable[[], DataFrame]]) -> tuple:
+        name, source = item
+        folder = f"{path}/{name}/{uuid.uuid4().hex}"
         try:
-            source().write.mode("overwrite").parquet(f"{path}/_staging/{name}")
-            staged = spark.read.parquet(f"{path}/_staging/{name}")
-            staged.write.mode("overwrite").parquet(f"{path}/{name}")
-            rows.append((name, staged.count(), "ok", None))
-        except (AnalysisException, OSError, ValueError) as e:
-            rows.append((name, None, "error", str(e)[:200]))
-    log = spark.createDataFrame(rows, "table_name string, rows long, status string, error string").withColumn("finished", at)
+            source().write.parquet(folder)
+            return name, spark.read.parquet(folder).count(), "ok", None, folder
+        except Exception as e:  # whatever a source raises is its receipt
+            return name, None, "error", str(e)[:200], None
+
+    with ThreadPoolExecutor(parallel) as pool:
+        rows = list(pool.map(pull, sources.items()))
+    log = spark.createDataFrame(rows, "table_name string, rows long, status string, error string, folder string").withColumn("finished", at)
     log.write.mode("append").parquet(log_path)
     return log
 
 
+def read_snapshot(spark: SparkSession, log_path: str, name: str) -> DataFrame:
+    """The last whole copy of a table; one that was never pulled is refused."""
+    row = spark.read.parquet(log_path).where((F.col("table_name") == name) & (F.col("status") == "ok")).agg(F.max_by("folder", "finished").alias("f")).first()
+    if row["f"] is None:
+        raise LookupError(f"{name} was never pulled")
+    return spark.read.parquet(row["f"])
+
+
 def read_jdbc(spark: SparkSession, url: str, name: str, column: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
     """A database table read in parallel ranges of a numeric column."""
     return spark.read.format("jdbc").options(url=url, dbtable=name, partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts), **options).load()
@@ -219,13 +232,19 @@ def infer_semantic_types(df: DataFrame, sample: int | None = None) -> DataFrame:
     return g.groupBy("column").agg(F.max_by("semantic", F.struct("votes", "semantic")).alias("semantic"), F.max("votes").alias("votes"))
 
 
-def publish_objects(df: DataFrame, path: str, producer: str, run: str) -> DataFrame:
-    """Write df once under its run's name with a manifest of file checksums; a run that was written is refused."""
+def publish_objects(df: DataFrame, path: str, producer: str, run: str, max_rows: int = 100_000) -> DataFrame:
+    """Write df once under its run's name with a manifest of its files; a run that was written is refused.
+
+    The manifest has each file's checksum, length, rows, the schema and the time of publication. Files are bounded by
+    max_rows, since a checksum reads a file whole.
+    """
     target = f"{path}/producer={producer}/run={run}"
-    df.write.mode("errorifexists").parquet(f"{target}/data")
+    df.write.mode("errorifexists").option("maxRecordsPerFile", max_rows).parquet(f"{target}/data")
     spark = df.sparkSession
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{target}/data")
     names = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), "length")
+    counts = spark.read.parquet(f"{target}/data").groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("rows"))
+    names = names.join(counts, "file", "left").withColumns({"rows": F.coalesce("rows", F.lit(0)), "schema": F.lit(df.schema.simpleString()), "published": F.current_timestamp()})
     names.write.mode("errorifexists").parquet(f"{target}/manifest")
     return spark.read.parquet(f"{target}/manifest")
 

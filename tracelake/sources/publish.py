@@ -118,7 +118,7 @@ def publish(df: DataFrame, table: Table, partition: dict[str, str], mode: str =
         if counts[c]:
             raise CheckFailed(f"{c} is null in {counts[c]} rows")
     for name, violations in table.checks:
-        n = violations(stage).limit(1000).count()
+        n = violations(stage).count()
         if n:
             raise CheckFailed(f"{name}: {n} violations")
     known = manifest(spark, table)

@@ -29,6 +29,31 @@ def each_batch(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint:
     return df.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _stored(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
+    """What a folder holds, whatever stream wrote it; None if there is none."""
+    try:
+        return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def _turn(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
+    """The rows of the folder that was written last, as the note beside it says, and the number of the other folder."""
+    note = _stored(spark, f"{path}/last")
+    if note is None:
+        return None, 0
+    v = note.first()["v"]
+    return spark.read.parquet(f"{path}/v{v}"), 1 - v
+
+
+def _write_turn(rows: DataFrame, path: str, v: int) -> None:
+    """Write a folder whole, then note that it is the last."""
+    rows.write.mode("overwrite").parquet(f"{path}/v{v}")
+    rows.sparkSession.range(1).select(F.lit(v).alias("v")).write.mode("overwrite").parquet(f"{path}/last")
+
+
 def rewrite_sessions(path: str, key: str) -> Callable[[DataFrame, int], None]:
     """A batch function that rewrites the partitions of the keys it sees, whole, with what is stored and what is new.
 
@@ -36,9 +61,8 @@ def rewrite_sessions(path: str, key: str) -> Callable[[DataFrame, int], None]:
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        both = batch
-        if number:
-            stored = batch.sparkSession.read.schema(batch.schema).parquet(path)
+        both, stored = batch, _stored(batch.sparkSession, path, batch.schema)
+        if stored is not None:
             both = stored.join(batch.select(key).distinct(), key, "left_semi").select(*batch.columns).unionByName(batch)
         cut(both.distinct()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
@@ -46,15 +70,11 @@ def rewrite_sessions(path: str, key: str) -> Callable[[DataFrame, int], None]:
 
 
 def upsert(path: str, keys: Sequence[str], version: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """A batch function that keeps the newest row of every key in alternating folders; safe to run twice on one batch."""
+    """A batch function that keeps the newest row of every key in alternating folders; safe to run twice on one batch, or by a new stream over a store."""
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if number == 0:
-            newest_per_key(batch, keys, version).write.mode("overwrite").parquet(f"{path}/v0")
-            return
-        old = spark.read.parquet(f"{path}/v{(number - 1) % 2}")
-        newest_per_key(old.unionByName(batch), keys, version).write.mode("overwrite").parquet(f"{path}/v{number % 2}")
+        old, v = _turn(batch.sparkSession, path)
+        _write_turn(newest_per_key(batch if old is None else old.unionByName(batch), keys, version), path, v)
 
     return run
 
@@ -108,21 +128,24 @@ def refresh_blocks(path: str, file: str, id_col: str, order: Sequence[str]) -> C
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        spark, rows = batch.sparkSession, batch
-        if number:
-            old = spark.read.parquet(f"{path}/v{(number - 1) % 2}").drop("is_repeat")
-            rows = old.join(batch.select(file).distinct(), file, "left_anti").unionByName(batch)
-        mark_repeats(rows, id_col, order).write.mode("overwrite").parquet(f"{path}/v{number % 2}")
+        old, v = _turn(batch.sparkSession, path)
+        rows = batch
+        if old is not None:
+            rows = old.drop("is_repeat").join(batch.select(file).distinct(), file, "left_anti").unionByName(batch)
+        _write_turn(mark_repeats(rows, id_col, order), path, v)
 
     return run
 
 
+def files_to_refresh(listing: DataFrame, stored: DataFrame, file: str, modified: str, since: Column, overlap: Column) -> DataFrame:
+    """Files of a listing that changed since the last refresh less an overlap, or that are not stored yet."""
+    known = stored.select(file).distinct().withColumn("_known", F.lit(True))
+    return listing.join(known, file, "left").where((F.col(modified) >= since - overlap) | F.col("_known").isNull()).select(*listing.columns)
+
+
 def last_folder(path: str, spark: SparkSession) -> DataFrame:
-    """What the newest batch of refresh_blocks or upsert wrote: of the two folders the one with more rows, or the first."""
-    parts = []
-    for v in (0, 1):
-        try:
-            parts.append(spark.read.parquet(f"{path}/v{v}"))
-        except AnalysisException:
-            continue
-    return max(parts, key=lambda df: df.count())
+    """What the newest batch of refresh_blocks or upsert wrote."""
+    rows, _ = _turn(spark, path)
+    if rows is None:
+        raise LookupError(f"nothing is stored in {path}")
+    return rows
