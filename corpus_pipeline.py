@@ -18,28 +18,48 @@ from tracelake.llm.substring_dedup import cut_passages
 from tracelake.session import ensure_checkpoint_dir, table
 
 
+# Of every stage: columns may have any names beside those of documents, which all come back; an empty table gives an
+# empty result; ids are whole numbers.
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told stay."""
+    """Documents whose language can be told stay, and lang becomes the language told.
+
+    Null texts and texts without a letter go. Null ids, languages and sources are no bar; repeated rows are told alike.
+    """
     return keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, the one with the smallest id."""
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Rows that repeat an id count once, the first by text; of rows with a null id one of each text stays; null and empty
+    texts are copies of each other.
+    """
     return simhash_dedup(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document holds are cut out; documents with nothing left go."""
+    """Passages that a document with a smaller id holds are cut out; documents with nothing left go.
+
+    Rows with a null id or text stay as they are; rows that repeat an id are cut alike.
+    """
     return cut_passages(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts hold none; items with a null id or no words match nothing.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens meet tempered source, language and topic shares, with each row's sample_prob."""
+    """A sample whose tokens meet tempered source, language and topic shares, with each row's sample_prob.
+
+    Nulls are categories of their own; rows are drawn by their id, those without one by their text.
+    """
     return mix(docs)
 
 

@@ -156,16 +156,19 @@ def attachment_fields(lines: DataFrame, json: str) -> DataFrame:
     return lines.select("*", F.explode(fields).alias("key", "val"))
 
 
-def threads(edges: DataFrame, depth: int = 20) -> DataFrame:
-    """(node, root, depth) of (child, parent) rows, walked up a level a round until nothing moves."""
+def threads(edges: DataFrame) -> DataFrame:
+    """(node, root, depth) of (child, parent) rows, by doubling: every round asks each node's present root for its own. A circle raises."""
     cur = cut(edges.select(F.col("child").alias("node"), F.col("parent").alias("root"), F.lit(1).alias("depth")))
-    up = edges.select(F.col("child").alias("_c"), F.col("parent").alias("_p"))
-    for _ in range(depth):
-        step = cur.join(up, F.col("root") == F.col("_c"), "left")
+    reach, most = 1, cur.count()
+    while True:
+        up = cur.select(F.col("node").alias("root"), F.col("root").alias("_p"), F.col("depth").alias("_d"))
+        step = cur.join(up, "root", "left")
         if step.where("_p is not null").isEmpty():
             return cur
-        cur = cut(step.select("node", F.coalesce("_p", "root").alias("root"), (F.col("depth") + F.col("_p").isNotNull().cast("int")).alias("depth")))
-    raise ValueError("threads are deeper than allowed, or run in a circle")
+        if reach > most:
+            raise ValueError("threads run in a circle")
+        cur = cut(step.select("node", F.coalesce("_p", "root").alias("root"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")))
+        reach *= 2
 
 
 def retro(calls: DataFrame, session: str, text: str, phrase: str, flags: dict[str, Column]) -> DataFrame:

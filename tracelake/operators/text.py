@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.session import share_code
+from tracelake.session import cut, share_code
 
 _KINDS = {"p": "paragraph", "pre": "code", "li": "item", "title": "title", "td": "cell", "th": "cell", **{f"h{i}": "heading" for i in range(1, 7)}}
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -181,7 +181,7 @@ def frontier(log: DataFrame, seeds: DataFrame, recent: DataFrame, per_host: int)
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}]+"), "")
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -195,12 +195,14 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, k: int
 
     Only the query's terms are exploded from a text, so no full index is shuffled. Counts cover all documents.
     """
-    size = F.size(tokens(F.col(text_col)))
-    stats = docs.agg(F.count("*").alias("_n"), F.avg(size).alias("_avg"))
     wanted = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     terms = wanted.select("term").distinct().agg(F.collect_list("term").alias("_terms"))
     t = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")).crossJoin(F.broadcast(terms))  # one row
-    hits = t.select("id", F.size("t").alias("len"), F.explode_outer(F.filter("t", lambda x: F.array_contains("_terms", x))).alias("term")).where("term is not null").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    held = F.when(F.arrays_overlap("t", "_terms"), F.filter("t", lambda x: F.array_contains("_terms", x)))
+    # one row a document: every text is split once
+    slim = cut(t.select("id", F.size("t").alias("len"), held.alias("held")))
+    stats = slim.agg(F.count("*").alias("_n"), F.avg("len").alias("_avg"))
+    hits = slim.where("held is not null").select("id", "len", F.explode("held").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     return rank_bm25(hits, stats, wanted, k, k1, b)
 
 

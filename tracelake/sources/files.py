@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.session import share_code
@@ -46,9 +47,12 @@ def read_many(spark: SparkSession, paths: Sequence[str], **options: str) -> Data
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file_path, line_no, content) of text files; a whole file is one task's row, split where it is read."""
-    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("p", "content"))
-    return t.select("file_path", (F.col("p") + 1).cast("long").alias("line_no"), "content")
+    """(file_path, line_no, content) of text files of any size: lines are numbered within each block of a file, after the lines of the blocks before it."""
+    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_block"), F.col("value").alias("content"), F.monotonically_increasing_id().alias("_i"))
+    before = F.sum("n").over(W.partitionBy("file_path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
+    blocks = t.groupBy("file_path", "_block").agg(F.count("*").alias("n")).select("file_path", "_block", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(W.partitionBy("file_path", "_block").orderBy("_i"))
+    return t.withColumn("_n", own).join(blocks, ["file_path", "_block"]).select("file_path", (F.col("_n") + F.col("_before")).alias("line_no"), "content")
 
 
 def select_lines(lines: DataFrame, first: int | None = None, last: int | None = None, tail: int | None = None) -> DataFrame:
