@@ -88,19 +88,22 @@ def test_spatial_edges(spark):
     assert one == pytest.approx(1113.19, abs=0.01)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1 << 18])
+def test_components(spark, small):
     import random
 
     rng = random.Random(3)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(200)] + [(5, 5), (None, 3)]
-    got = dict(rows(connected_components(spark.createDataFrame(edges, "a int, b int")), "node"))
+    got = dict(rows(connected_components(spark.createDataFrame(edges, "a long, b long"), small=small), "node"))
     root = {}
     find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
     for x, y in edges:
         if x is not None and x != y:
             root[max(find(x), find(y))] = min(find(x), find(y))
     assert got == {x: find(x) for x in root if find(x) != x}
-    assert connected_components(spark.createDataFrame([], "a int, b int")).count() == 0
+    assert connected_components(spark.createDataFrame([], "a long, b long"), small=small).count() == 0
+    named = connected_components(spark.createDataFrame([("x", "y"), ("z", "y")], "a string, b string"))
+    assert rows(named, "node") == [("y", "x"), ("z", "x")]
 
 
 def test_near_dupes_equals_all_pairs(spark):
@@ -110,7 +113,7 @@ def test_near_dupes_equals_all_pairs(spark):
     codes = [rng.getrandbits(62) for _ in range(40)]
     codes += [c ^ (1 << rng.randrange(62)) ^ (1 << rng.randrange(62)) for c in codes]
     got = {(r["a"], r["b"]) for r in similarity.near_dupes(spark.createDataFrame(list(enumerate(codes)), "id int, c long"), "id", "c", 3).collect()}
-    assert got == {(i, j) for i in range(80) for j in range(i + 1, 80) if 0 < (codes[i] ^ codes[j]).bit_count() <= 3}
+    assert got == {(i, j) for i in range(80) for j in range(i + 1, 80) if (codes[i] ^ codes[j]).bit_count() <= 3}  # copies too
 
 
 def test_markdown_fences(spark):
@@ -157,3 +160,85 @@ def test_objects_are_written_once_and_audited(spark, tmp_path):
     assert [r["verdict"] for r in files.audit_objects(spark, str(tmp_path), "p", "r").collect()] == ["ok"]
     df.write.mode("append").parquet(f"{tmp_path}/producer=p/run=r/data")
     assert {r["verdict"] for r in files.audit_objects(spark, str(tmp_path), "p", "r").collect()} == {"ok", "extra"}
+
+
+def test_stores_survive_a_new_stream_and_a_shrink(spark, tmp_path):
+    from tracelake.streaming import jobs
+
+    make = lambda *r: spark.createDataFrame(list(r), "k string, v int, file string")
+    put = jobs.upsert(f"{tmp_path}/u", ["k"], ["v"])
+    put(make(("a", 1, "f"), ("b", 1, "f")), 0)
+    put(make(("a", 3, "f"), ("b", 0, "f")), 1)
+    put(make(("a", 3, "f"), ("b", 0, "f")), 1)  # a batch that is run again
+    put(make(("c", 1, "f")), 0)  # a new stream over the same store
+    assert rows(jobs.last_folder(f"{tmp_path}/u", spark).select("k", "v"), "k") == [("a", 3), ("b", 1), ("c", 1)]
+    keep = jobs.rewrite_sessions(f"{tmp_path}/s", "k")
+    keep(make(("a", 1, "f"), ("b", 1, "f")), 0)
+    keep(make(("a", 2, "f")), 0)
+    assert rows(spark.read.parquet(f"{tmp_path}/s").select("k", "v"), "k", "v") == [("a", 1), ("a", 2), ("b", 1)]
+    blocks = jobs.refresh_blocks(f"{tmp_path}/b", "file", "k", ["v"])
+    blocks(make(*[(f"k{i}", i, "f1") for i in range(5)]), 0)
+    blocks(make(("k0", 9, "f1")), 1)  # the newest batch holds fewer rows
+    assert rows(jobs.last_folder(f"{tmp_path}/b", spark).select("k", "v", "is_repeat"), "k") == [("k0", 9, False)]
+    with pytest.raises(LookupError):
+        jobs.last_folder(f"{tmp_path}/none", spark)
+    listing = spark.createDataFrame([("old", at("08:00:00")), ("late", at("09:58:00")), ("new", at("11:00:00")), ("unseen", at("01:00:00"))], "file string, modified timestamp")
+    seen = spark.createDataFrame([("old",), ("late",), ("late",), ("new",)], "file string")
+    todo = jobs.files_to_refresh(listing, seen, "file", "modified", F.lit(at("10:00:00")), F.expr("interval 5 minutes"))
+    assert sorted(r["file"] for r in todo.collect()) == ["late", "new", "unseen"]
+
+
+def test_snapshots_swap_whole(spark, tmp_path):
+    from pyspark.sql.types import LongType
+
+    broken = F.udf(lambda i: 1 // (i - 3), LongType())
+    log = f"{tmp_path}/log"
+    pull = lambda n, fail, when: files.snapshot_tables({"t": lambda: spark.range(n).select((broken("id") if fail else F.col("id")).alias("id")), "u": lambda: spark.range(1)}, str(tmp_path), log, spark, F.lit(at(when)))
+    pull(4, False, "10:00:00")
+    assert {r["table_name"]: r["status"] for r in pull(5, True, "11:00:00").collect()} == {"t": "error", "u": "ok"}
+    assert files.read_snapshot(spark, log, "t").count() == 4  # a source that fails while it runs leaves its last copy
+    pull(2, False, "12:00:00")
+    assert files.read_snapshot(spark, log, "t").count() == 2
+    with pytest.raises(LookupError):
+        files.read_snapshot(spark, log, "none")
+
+
+def test_api_pages_keep_empty_pages_and_unknown_fields(spark):
+    pages = spark.createDataFrame([(1, '{"jobs": [{"id": 5, "extra": {"x": 1}}]}'), (2, '{"jobs": []}'), (3, "{}")], "run int, body string")
+    got = logs.exploded_api(pages, "jobs array<struct<id: bigint>>", "body", "jobs").orderBy("run").collect()
+    assert [(r["run"], r["id"], r["raw"]) for r in got] == [(1, 5, '{"id":5,"extra":{"x":1}}'), (2, None, None), (3, None, None)]
+
+
+def test_trees_of_any_depth(spark):
+    deep = "[" * 8 + "1" + "]" * 8
+    assert rules.json_nodes(spark.createDataFrame([(1, deep), (2, "{"), (3, None)], "i int, j string"), "i", "j").count() == 9
+    nodes = spark.createDataFrame([(1, i, i - 1 if i else None, "t" if i % 2 else "s") for i in range(20)], "tree_id int, node_id long, parent_id long, tag string")
+    assert rules.ancestors(nodes).count() == 20 * 19 // 2
+    assert rules.chain_max(nodes, "t").first()["longest"] == 10
+
+
+def test_edges_of_small_operators(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, v array<double>")
+    assert similarity.similar(df, df.where("false"), "id", "v", 3).collect() == []
+    codes = spark.createDataFrame([(1, 7), (2, 7), (3, 1 << 40)], "id int, c long")
+    assert [tuple(r) for r in similarity.near_dupes(codes, "id", "c", 1).collect()] == [(1, 2, 0)]
+    texts = spark.createDataFrame([(1, "a b c d e f g"), (2, "x y")], "i int, t string")
+    said = spark.createDataFrame([(1, "x y"), (2, "b c d e f g"), (3, "zz"), (4, None)], "m int, s string")
+    from tracelake.operators import versions
+
+    assert rows(versions.files_containing(texts, said, "i", "t", "m", "s", block=1), "id", "message_id") == [(1, 2), (2, 1)]
+    tie = spark.createDataFrame([(1, 5), (2, 5), (3, 4)], "version int, ts int")
+    tree = spark.createDataFrame([(v, "p", f"b{v}") for v in (1, 2, 3)], "version int, path string, blob string")
+    assert [r["version"] for r in versions.path_history(tree, tie, "p", 1).collect()] == [2]
+    wide = spark.createDataFrame([(i % 2, float(i)) for i in range(7)], "k int, v double")
+    assert rows(wide.groupBy("k").agg(relational.lower_median("v").alias("m")), "k") == [(0, 2.0), (1, 3.0)]
+
+
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"line {i}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    try:
+        got = files.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 5000 and all(r["content"] == f"line {r['line_no'] - 1}" for r in got)

@@ -74,8 +74,10 @@ def files_containing(texts: DataFrame, messages: DataFrame, id_col: str, text_co
     kind = messages.schema[message_id].dataType
     found, n = [], -(-short.count() // block)
     for b in range(n):
-        wanted = F.array(*[F.struct(F.lit(r["i"]).cast(kind).alias("i"), F.lit(r["m"]).alias("m")) for r in short.where(F.pmod(F.xxhash64("i", "m"), F.lit(n)) == b).collect()])
-        found.append(texts.select(F.col(id_col).alias("id"), F.explode(F.filter(wanted, lambda x: F.contains(F.col(text_col), x["m"]))).alias("x")).select("id", F.col("x.i").alias("message_id")))
+        part = short.where(F.pmod(F.xxhash64("i", "m"), F.lit(n)) == b).collect()
+        if part:
+            wanted = F.array(*[F.struct(F.lit(r["i"]).cast(kind).alias("i"), F.lit(r["m"]).alias("m")) for r in part])
+            found.append(texts.select(F.col(id_col).alias("id"), F.explode(F.filter(wanted, lambda x: F.contains(F.col(text_col), x["m"]))).alias("x")).select("id", F.col("x.i").alias("message_id")))
     keyed = messages.select(F.col(message_id).alias("message_id"), F.col(message).alias("_m"), F.xxhash64(F.array_join(F.slice(split(message), 2, words), " ")).alias("_key")).where(F.size(F.split("_m", " ")) > words + 2)
     t = texts.select(F.col(id_col).alias("id"), split(text_col).alias("_w"))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - words + 1)), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, words), " ")))
