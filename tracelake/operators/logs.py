@@ -151,6 +151,11 @@ def typical(runs: DataFrame, keys: Sequence[str], value: str, order: str) -> Dat
     return runs.join(mid, list(keys)).groupBy(*keys).agg(F.min_by(F.struct(order, value), F.struct(away, F.col(order))).alias("_r")).select(*keys, "_r.*")
 
 
+def series_split(df: DataFrame, keys: Sequence[str], ts: str, cut_at: Column, value: str) -> DataFrame:
+    """(keys, series, n, mean): a value before and after a cut time; rows at the cut count as after."""
+    return df.groupBy(*keys, F.when(F.col(ts) >= cut_at, "after").otherwise("before").alias("series")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+
+
 def coverage_share(known: DataFrame, ran: DataFrame, key: str, seconds: str) -> DataFrame:
     """How much of the known time was not run: one row."""
     j = known.join(ran.select(key).distinct().withColumn("_ran", F.lit(True)), key, "left")

@@ -179,6 +179,19 @@ def frontier(log: DataFrame, seeds: DataFrame, recent: DataFrame, per_host: int)
     return todo.withColumn("_r", F.row_number().over(W.partitionBy("host").orderBy("url"))).where(F.col("_r") <= per_host).select("host", "url")
 
 
+def doc_catalog(log: DataFrame, url: str, pattern: str, ts: str, value: str, classes: Sequence[str]) -> DataFrame:
+    """(name, a column a class): the newest value of every name and URL class; pattern: groups of class and name, other URLs are left out."""
+    told = log.select(F.regexp_extract(url, pattern, 1).alias("_c"), F.regexp_extract(url, pattern, 2).alias("name"), F.col(ts).alias("_t"), F.col(value).alias("_v")).where("name <> ''")
+    return told.groupBy("name").agg(*[F.max_by(F.when(F.col("_c") == c, F.col("_v")), F.when(F.col("_c") == c, F.col("_t"))).alias(c) for c in classes]).where(" OR ".join(f"`{c}` IS NOT NULL" for c in classes))
+
+
+def signatures(docs: DataFrame, registry: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
+    """(keys, n_docs, values, registered): documented signatures with their values in order, and whether any of them is in the registry (order)."""
+    j = docs.join(registry.select(order).distinct().withColumn("_there", F.lit(1)), order, "left")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value].cast("string")), ",")
+    return j.groupBy(*keys).agg(F.count("*").alias("n_docs"), listed.alias("values"), (F.count("_there") > 0).alias("registered"))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}]+"), "")

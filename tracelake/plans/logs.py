@@ -207,8 +207,7 @@ def e23_typical_run(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, CASE WHEN ts >= TIMESTAMP '2024-01-15' THEN 'after' ELSE 'before' END AS series, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY ALL")
 def e24_series_split(spark: SparkSession, d: str) -> DataFrame:
-    side = F.when(F.col("ts") >= F.lit("2024-01-15").cast("timestamp"), "after").otherwise("before").alias("series")
-    return table(spark, d, "events").groupBy("event_type", side).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    return L.series_split(table(spark, d, "events"), ["event_type"], "ts", F.lit("2024-01-15").cast("timestamp"), "value").withColumn("mean", F.round("mean", 4))
 
 
 @query("SELECT count(*) AS known, count(r) AS ran, round(100 * sum(CASE WHEN r IS NULL THEN p_retailprice ELSE 0 END) / sum(p_retailprice), 4) AS uncovered_percent FROM part LEFT JOIN (SELECT DISTINCT l_partkey AS r FROM lineitem WHERE l_quantity > 47) ON r = p_partkey")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.operators import text as X
-from tracelake.operators.relational import newest_per_key
 from tracelake.session import scratch, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -114,17 +113,14 @@ def f12_doc_catalog(spark: SparkSession, d: str) -> DataFrame:
     """Fetches of two URL classes, told by template; the newest body of each name, joined."""
     kind = F.when(F.col("event_type") == "view", "page").when((F.col("event_type") == "click") & (F.col("user_id") % 5 > 0), "config")
     log = table(spark, d, "events").select(F.concat(F.lit("https://x.org/"), kind, F.lit("/"), "user_id", F.lit(".json")).alias("url"), "ts", "event_id").where("url is not null")
-    log = log.select(F.regexp_extract("url", r"^https://x\.org/(\w+)/(\w+)\.json$", 1).alias("class"), F.regexp_extract("url", r"/(\w+)\.json$", 1).cast("long").alias("name"), "ts", "event_id")
-    newest = newest_per_key(log, ["class", "name"], ["ts"])
-    a, b = newest.where("class = 'page'").select("name", F.col("event_id").alias("page")), newest.where("class = 'config'").select("name", F.col("event_id").alias("config"))
-    return a.join(b, "name", "full_outer")
+    return X.doc_catalog(log, "url", r"^https://x\.org/(\w+)/(\w+)\.json$", "ts", "event_id", ["page", "config"]).withColumn("name", F.col("name").cast("long"))
 
 
 @query("""SELECT p_brand AS fn, p_type AS kind, count(*) AS n_docs, string_agg(p_size, ',' ORDER BY p_partkey) AS sizes, count(DISTINCT s.s_suppkey) > 0 AS registered FROM part LEFT JOIN supplier s ON s.s_suppkey = p_partkey GROUP BY ALL""")
 def f13_signatures(spark: SparkSession, d: str) -> DataFrame:
-    p, s = table(spark, d, "part"), table(spark, d, "supplier").select(F.col("s_suppkey").alias("p_partkey"), F.lit(1).alias("there"))
-    g = p.join(s, "p_partkey", "left").groupBy(F.col("p_brand").alias("fn"), F.col("p_type").alias("kind")).agg(F.count("*").alias("n_docs"), F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))).alias("l"), (F.count("there") > 0).alias("registered"))
-    return g.select("fn", "kind", "n_docs", F.array_join(F.transform("l", lambda x: x["p_size"].cast("string")), ",").alias("sizes"), "registered")
+    part = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("fn"), F.col("p_type").alias("kind"), "p_size")
+    known = table(spark, d, "supplier").select(F.col("s_suppkey").alias("p_partkey"))
+    return X.signatures(part, known, ["fn", "kind"], "p_partkey", "p_size").withColumnRenamed("values", "sizes")
 
 
 @query("""SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1) AS path, nullif(split_part(regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1), '/', 2), '') AS segment FROM pages""")
