@@ -71,9 +71,70 @@ def test_rows_of_odd_tables(spark):
     assert mixing.mix(docs).columns == [*docs.columns, "sample_prob"]
 
 
+CLASHES = "_n _n_words _spans _items _u _lang_of _cut_id _left _own0 _own1 _own2 _own3 _own4 _own5 _text node root id h p sig bands fp".split()
+
+
+@pytest.mark.parametrize("stage", ["language", "copies", "passages", "leaks", "mix"])
+def test_stages_keep_columns_of_any_name(spark, stage):
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choice(NAMES) + str(rng.randrange(90)) for _ in range(90)), "en", f"s{i % 2}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").select("*", *[F.concat(F.lit(f"{c}-"), "doc_id").alias(c) for c in CLASHES])
+    bench = benchmark_of(spark, [(1, " ".join(NAMES) * 2)])
+    run = {"language": langid.keep_identified, "copies": simhash.simhash_dedup, "passages": substring_dedup.cut_passages, "leaks": lambda d: decontaminate.decontaminate(d, bench), "mix": lambda d: mixing.mix(d, rate=0.9)}[stage]
+    got = run(docs).collect()
+    assert len(got) > 10 and all(r[c] == f"{c}-{r['doc_id']}" for r in got for c in CLASHES)
+
+
+def test_repeated_ids_and_null_ids_of_the_dedup(spark):
+    a, b = " ".join(NAMES), " ".join(reversed(NAMES))
+    rows = [(1, a), (1, a), (2, b), (2, f"{b} more"), (None, a), (None, a), (None, b), (3, None), (4, ""), (5, a)]
+    got = sorted(map(tuple, simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (None, a), (None, b), (3, None)], key=str)
+
+
 # language
 
 
+@tables
+def test_predictions_by_hand(spark):
+    """Letter by letter in plain Python, from the definition: no cache, no batches, no packing."""
+    import zlib
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
+    dim = langid.DIM
+    vectors: dict[str, np.ndarray] = {}
+
+    def vector(c):
+        if c not in vectors:
+            vectors[c] = np.random.default_rng(ord(c) if c != " " else 0).integers(0, 2, dim, dtype=np.int8).astype(np.int64) * 2 - 1
+        return vectors[c]
+
+    def bundle(text):
+        clean = " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split())
+        out = np.zeros(dim, np.int64)
+        if clean:
+            grams: dict[str, int] = {}
+            for g in (f" {clean} "[i : i + 3] for i in range(len(clean))):
+                grams[g] = grams.get(g, 0) + 1
+            for g, n in grams.items():
+                out += n * np.roll(vector(g[0]), 2) * np.roll(vector(g[1]), 1) * vector(g[2])
+        return out, bool(clean)
+
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in docs.doc_id}
+    made = {r.doc_id: bundle(r.text) for r in docs.itertuples()}
+    sums: dict[str, np.ndarray] = {}
+    for r in docs.itertuples():
+        if not held[r.doc_id] and r.lang is not None:
+            sums[r.lang] = sums.get(r.lang, 0) + made[r.doc_id][0]
+    got = {r["doc_id"]: r for r in QUERIES["op3_language_id"](spark, SF).collect()}
+    assert len(got) == len(docs)
+    for i, (v, told) in made.items():
+        cos = {k: float(v @ s / (np.linalg.norm(v) * np.linalg.norm(s))) for k, s in sums.items()} if told else {}
+        best = max(sorted(cos), key=cos.get) if cos else "und"
+        assert got[i]["held_out"] == held[i]
+        assert abs(got[i]["score"] - max(cos.get(best, 0.0), 0.0)) < 1e-4 and (got[i]["lang_pred"] == best or sorted(cos.values())[-1] - sorted(cos.values())[-2] < 1e-4)
+
+
 def test_language_accuracy_and_und(spark):
     rng = random.Random(2)
     alphabets = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklmnop"}
@@ -139,26 +200,48 @@ def test_masks_cover_every_pair():
         assert any(m & diff == 0 for m in masks)
 
 
-def test_links_of_a_large_group_stay_few(spark):
+def _brute_groups(points, radius=4):
+    """The smallest fingerprint reachable from each, by comparing all pairs."""
+    p = np.array(points, np.int64)
+    label = np.arange(len(p))
+    near = [np.flatnonzero(np.bitwise_count(p ^ x) <= radius) for x in p]
+    while True:
+        new = np.array([label[n].min() for n in near])
+        if (new == label).all():
+            return {points[i]: points[label[i]] for i in range(len(points))}
+        label = new
+
+
+@pytest.mark.parametrize(("n", "spread", "large"), [(600, 4, 64), (600, 4, 8), (1500, 9, 16), (300, 6, 1)])
+def test_large_groups_of_fingerprints_by_hand(spark, n, spread, large):
+    rng = random.Random(n + spread)
+    centre = rng.getrandbits(62)
+    points = sorted({centre ^ sum(1 << b for b in rng.sample(range(62), rng.randrange(0, spread))) for _ in range(n)} | {rng.getrandbits(62) for _ in range(50)})
+    got = {r["fp"]: r["root"] for r in simhash.fingerprint_groups(spark.createDataFrame([(p,) for p in points], "fp long"), large=large).collect()}
+    assert {p: got.get(p, p) for p in points} == _brute_groups(points)
+
+
+def test_cost_of_a_group_within_eight_bits(spark, monkeypatch):
     rng = random.Random(4)
-    centre = rng.getrandbits(63)
-    points = sorted({centre ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(0, 4))) for _ in range(600)})
-    links = simhash.fingerprint_links(spark.createDataFrame([(p,) for p in points], "fp long"))
-    roots = {x: x for x in points}
-    find = lambda x: x if roots[x] == x else find(roots[x])
-    rows = links.collect()
-    for a, b in rows:
-        assert (a ^ b).bit_count() <= 4
-        roots[find(a)] = find(b)
-    brute = {x: x for x in points}
-    top = lambda x: x if brute[x] == x else top(brute[x])
-    for i, a in enumerate(points):
-        for b in points[:i]:
-            if (a ^ b).bit_count() <= 4:
-                brute[top(a)] = top(b)
-    groups = lambda f: sorted(sorted(x for x in points if f(x) == r) for r in {f(x) for x in points})
-    assert groups(find) == groups(top)
-    assert len(rows) < 40 * len(points)
+    centre = rng.getrandbits(62)
+    sizes = {}
+    for n in (1000, 4000):
+        points = sorted({centre ^ sum(1 << b for b in rng.sample(range(62), rng.randrange(0, 9))) for _ in range(n)})
+        seen = []
+
+        def counted(points, divide, near, levels, large=64, seen=seen, plain=simhash.bucket_groups):
+            def near2(pairs, ends):
+                pairs = simhash.cut(pairs)
+                seen.append(pairs.count())
+                return near(pairs, ends)
+
+            return plain(points, divide, near2, levels, large)
+
+        with monkeypatch.context() as m:
+            m.setattr(simhash, "bucket_groups", counted)
+            simhash.fingerprint_groups(spark.createDataFrame([(p,) for p in points], "fp long"), large=16).count()
+        sizes[n] = sum(seen)
+    assert sizes[4000] < 6 * sizes[1000]
 
 
 def test_near_copies_go_and_clean_documents_stay(spark):
@@ -191,6 +274,52 @@ def test_pairs_go_by_their_exact_similarity(spark):
     assert near <= gone and all((simhash.fingerprint(text[i]) ^ simhash.fingerprint(text[i - 1])).bit_count() <= 4 for i in gone - near)
 
 
+@tables
+def test_similar_documents_of_the_tables_meet(spark):
+    """All pairs of sf0.01 whose five-word shingles have a Jaccard similarity of 0.8 or more, found by brute force, end in one group."""
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+    ids, holders = sorted(sets), {}
+    for i in ids:
+        for s in sets[i]:
+            holders.setdefault(s, []).append(i)
+    shared: dict[tuple, int] = {}
+    for own in holders.values():
+        for n, b in enumerate(own):
+            for a in own[:n]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    near = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    kept = {r["doc_id"] for r in simhash.simhash_dedup(docs).collect()}
+    assert len(near) > 20 and not [p for p in near if p[0] in kept and p[1] in kept]
+
+
+def test_copies_of_one_text_make_one_group_at_small_cost(spark, monkeypatch):
+    rng = random.Random(14)
+    new = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    base = new(150)
+    texts = []
+    for _ in range(300):
+        w = list(base)
+        for _ in range(rng.randrange(1, 6)):  # similarities of some 0.6 to 0.95 to each other
+            w[rng.randrange(150)] = new(1)[0]
+        texts.append(" ".join(w))
+    sets = [{tuple(w[j : j + 5]) for j in range(146)} for w in map(str.split, texts)]
+    group = list(range(300))
+    for i in range(300):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) and group[i] != group[j]:
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    kept = {r["doc_id"] for r in simhash.simhash_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    # op4's own bits may link more
+    assert 0 in kept and kept <= set(group)
+
+
 # passages
 
 
@@ -256,6 +385,51 @@ def test_passages_whose_seeds_others_hold_first(spark):
     assert any((r["doc_id"], r["match_id"]) == (11, 10) and r["end"] - r["start"] >= 58 for r in got)
 
 
+def test_phrases_that_many_hold_hide_no_passage(spark):
+    rng = random.Random(10)
+    new = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    p = new(60)
+    rows = [(i, " ".join(p[i : i + 5])) for i in range(56)] + [(100, " ".join(new(40) + p + new(40))), (101, " ".join(new(10) + p + new(70)))]
+    # and each phrase in other texts between the two
+    rows += [(200 + i, " ".join(new(20) + p[i % 56 : i % 56 + 5] + new(20))) for i in range(400)] + [(900, " ".join(new(15) + p + new(5)))]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spans = {i: {w for r in got if r["doc_id"] == i for w in range(r["start"], r["end"])} for i in (101, 900)}
+    assert spans == {101: set(range(10, 70)), 900: set(range(15, 75))} and {r["doc_id"] for r in got} == {101, 900}
+
+
+def test_exact_passages_against_all_pairs(spark):
+    rng = random.Random(11)
+    phrases = [[rng.choice(NAMES) + str(rng.randrange(9)) for _ in range(rng.choice([4, 8, 60, 75]))] for _ in range(40)]
+    rows = []
+    for i in range(80):
+        words = []
+        for _ in range(rng.randrange(1, 6)):
+            words += rng.choice(phrases) if rng.random() < 0.6 else [rng.choice(NAMES) + str(rng.randrange(9)) for _ in range(rng.randrange(30))]
+        rows.append((i, words))
+    held: dict[tuple, int] = {}
+    want = {}
+    for i, w in rows:
+        runs = [tuple(w[j : j + 50]) for j in range(len(w) - 49)]
+        want[i] = {j + t for j, r in enumerate(runs) if held.get(r, i) < i for t in range(50)}
+        for r in runs:
+            held.setdefault(r, i)
+    found: dict[int, set] = {}
+    for r in substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect():
+        found.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    assert sum(map(len, want.values())) > 1000
+    assert all(want[i] <= found.get(i, set()) for i, _ in rows)
+
+
+def test_holders_of_a_hot_seed_make_chunks():
+    rng = np.random.default_rng(1)
+    h, doc = np.repeat(np.array([7, 9], np.uint64), (500, 3)), np.concatenate((rng.permutation(500), [1, 2, 3])).astype(np.int64)
+    keys, ctx, doc, pos = substring_dedup._chunked(h, np.zeros(503, np.int32), doc, np.zeros(503, np.int32))
+    assert len(keys) < 600 and (keys == 7).sum() < 20 and (keys == 9).sum() == 3
+    order = np.lexsort((doc, keys))
+    x, _, y, _ = substring_dedup.paired(keys[order], ctx[order], doc[order], pos[order])
+    assert (x > y).all() and set(range(1, 500)) <= set(x.tolist())
+
+
 def test_parts_of_a_chain_that_reach_the_identity():
     a = np.arange(300, dtype=np.uint16)
     b = np.concatenate((a[:60], 1000 + np.arange(14), a[60:120], 2000 + np.arange(90), a[120:180])).astype(np.uint16)
@@ -287,7 +461,7 @@ def test_every_window_of_runs_has_a_seed():
     codes = np.random.default_rng(0).integers(0, 1 << 32, 500).astype(np.uint64)
     at, _ = substring_dedup.seeds(codes)
     n = 500 - substring_dedup.K + 1
-    assert all(((at >= i) & (at < i + substring_dedup.WINDOW)).any() for i in range(n - substring_dedup.WINDOW + 1))
+    assert all(((at >= i) & (at < i + substring_dedup.GAP)).any() for i in range(n - substring_dedup.GAP + 1))
     assert len(substring_dedup.seeds(np.ones(5000, np.uint64))[0]) < 1000
 
 
@@ -300,9 +474,44 @@ def test_item_windows_need_four_fifths(spark):
     docs = [(1, f"x {item.upper()}, y"), (2, " ".join(w[:12])), (3, " ".join([*w[:10], "other", *w[10:]])), (4, " ".join([*w[:18], "b", "c"])), (5, "clean text")]
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), benchmark_of(spark, [(1, item), (2, "")])
     assert {r["doc_id"] for r in decontaminate.decontaminate(df, bench).collect()} == {2, 3, 5}
-    many = decontaminate.contamination_report(df, bench, block_words=1).orderBy("doc_id").collect()
+    many = decontaminate.contamination_report(df, bench, block_bytes=1).orderBy("doc_id").collect()
     assert many == decontaminate.contamination_report(df, bench).orderBy("doc_id").collect()
     assert [r["n_hit"] for r in many] == [20, 12, 20, 18, 0]
+    assert {r["doc_id"] for r in decontaminate.decontaminate(df, bench, block_bytes=1).collect()} == {2, 3, 5}
+
+
+def test_many_blocks_and_pieces_by_hand(spark, monkeypatch):
+    rng = random.Random(20)
+    word = lambda: rng.choice(NAMES)
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 3, 9, 10, 11, 40, 90])))) for i in range(60)] + [(3, "the cat"), (70, None), (None, "cat"), (71, " . ")]
+    docs = [(i, " ".join(word() for _ in range(rng.randrange(0, 120)))) for i in range(60)]
+    docs += [(100 + i, f"{docs[i][1]} {(items[i][1] or '').upper()}! x") for i in range(40)] + [(7, None), (7, docs[7][1]), (None, docs[8][1])]
+    held = {}
+    for i, t in items:
+        w = (t or "").split() if i is not None else []
+        w = [x for x in w if x != "."]
+        held.setdefault(str(i), []).extend(tuple(w[j : j + min(10, len(w))]) for j in range(max(0, len(w) - 9) or 1) if w)
+    want = []
+    for i, t in docs:
+        w = [x.lower() for x in re.findall(r"[A-Za-z0-9]+", t or "")]
+        hit, found = set(), set()
+        for item, windows in held.items():
+            for p in windows:
+                for j in range(len(w) - len(p) + 1):
+                    if tuple(w[j : j + len(p)]) == p:
+                        hit |= set(range(j, j + len(p)))
+                        found.add(item)
+        want.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), benchmark_of(spark, items)
+    scans = []
+    plain = decontaminate._search
+    monkeypatch.setattr(decontaminate, "_search", lambda *a: scans.append(a) or plain(*a))
+    for block_bytes, piece in ((1 << 20, 1 << 13), (400, 1 << 13), (400, 7)):
+        scans.clear()
+        monkeypatch.setattr(decontaminate, "PIECE_WORDS", piece)
+        got = decontaminate.contamination_report(df, bench, block_bytes=block_bytes)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+        assert (len(scans) == 1) == (block_bytes > 400)
 
 
 # mixing
@@ -319,10 +528,48 @@ def test_raking_meets_margins_and_both_ways_agree(spark):
         share = tokens.groupby(got[m]).sum() / tokens.sum()
         assert all(abs(share[k] - v) < 1e-4 for k, v in want.items())
     assert abs((got.n_tokens * got.sampled).sum() / got.n_tokens.sum() - 0.2) < 0.05
-    d = mixing.described(df)
-    a = mixing.cell_probabilities(d, 0.2, targets=targets, rounds=5)[0].toPandas().set_index(list(mixing.MARGINS)).p
-    b = mixing.cell_probabilities(d, 0.2, targets=targets, rounds=5, driver_cells=1)[0].toPandas().set_index(list(mixing.MARGINS)).p
-    assert len(a) == len(b) and (a - b.reindex(a.index)).abs().max() < 1e-9
+    d = mixing.described(df)[0]
+    for want in (targets, {"source": {"s0": 0.0, "s1": 0.9, "s2": 0.1}}):  # the second is out of reach
+        a = mixing.cell_probabilities(d, 0.2, targets=want)[0].toPandas().set_index(list(mixing.MARGINS)).p
+        b = mixing.cell_probabilities(d, 0.2, targets=want, driver_cells=1)[0].toPandas().set_index(list(mixing.MARGINS)).p
+        assert len(a) == len(b) and (a - b.reindex(a.index)).abs().max() < 1e-9
+    assert not mixing.reached_margins(mixing.mixing_plan(df, rate=0.2, targets=targets), 0.2, targets=targets).where("missed").count()
+    far = mixing.reached_margins(mixing.mixing_plan(df, rate=0.6, targets=want), 0.6, targets=want).where("margin = 'source'").toPandas().set_index("category")
+    assert far.missed["s1"] and far.target["s1"] == 0.9 and far.reached["s1"] < 0.9
+
+
+@tables
+def test_plan_of_the_tables_by_hand(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas().set_index("doc_id")
+    plan = QUERIES["op5_mixing"](spark, SF).toPandas().set_index("doc_id")
+    assert sorted(plan.index) == sorted(docs.index)
+    assert all(plan.n_tokens[i] == len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in docs.text.items())
+    assert (plan.source == docs.source.fillna("(none)")[plan.index]).all() and (plan.lang == docs.lang.fillna("(none)")[plan.index]).all()
+    assert plan.topic.nunique() > 2 and ((plan.topic == "(none)") == (plan.n_tokens == 0)).all()
+    # plain raking, cell by cell, to the same end
+    cells = {k: float(v) for k, v in plan.groupby(["source", "lang", "topic"]).n_tokens.sum().items()}
+    whole, p = sum(cells.values()), dict.fromkeys(cells, 0.4)
+    for _ in range(2000):
+        for m in range(3):
+            sums: dict[str, float] = {}
+            have: dict[str, float] = {}
+            for k, t in cells.items():
+                sums[k[m]] = sums.get(k[m], 0.0) + t
+                have[k[m]] = have.get(k[m], 0.0) + t * p[k]
+            power = {c: t**0.8 for c, t in sums.items() if t}
+            share = {c: x / sum(power.values()) for c, x in power.items()}
+            p = {k: min(1.0, v * share.get(k[m], 0.0) * 0.4 * whole / have[k[m]]) if have[k[m]] else v for k, v in p.items()}
+    assert all(abs(r.prob - p[r.source, r.lang, r.topic]) < 0.01 for r in plan.itertuples())
+    assert abs((plan.n_tokens * plan.sampled).sum() / whole - 0.4) < 0.1
+
+
+def test_topics_follow_the_words(spark):
+    rng = random.Random(12)
+    themes = [["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(30)] for _ in range(4)]
+    rows = [(i, " ".join(rng.choice(themes[i % 4]) if rng.random() < 0.7 else rng.choice(NAMES) for _ in range(80)), "en", "s") for i in range(200)]
+    got = mixing.mixing_plan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas()
+    purity = sum(got[got.topic == t].doc_id.mod(4).value_counts().max() for t in got.topic.unique()) / len(got)
+    assert purity > 0.95
 
 
 # quality
@@ -360,7 +607,21 @@ def test_trees_are_ranked_and_read_back(spark):
     assert len(two["loss_spans"]) == 1 and two["formatted"][start : start + size] == "two"
 
 
-@pytest.mark.parametrize("n", [1, 2, 33, 150])
+def test_cycles_raise_and_odd_conversations_are_whole(spark):
+    kinds = "conv string, node long, parent long, role string, text string, score double"
+    with pytest.raises(ValueError, match="cycle"):
+        chat.paths(spark.createDataFrame([("c", 1, 2, "u", "a", 0.0), ("c", 2, 1, "u", "b", 0.0), ("c", 3, 2, "u", "c", 0.0)], kinds)).count()
+    assert chat.paths(spark.createDataFrame([("c", 1, 2, "u", "a", 0.0), ("c", 2, 1, "u", "b", 0.0)], kinds)).count() == 0
+    rows = [(1, 0, "user", "a", 1), (1, 0, "user", "a", 1), (1, 0, "user", "b", 1), (None, None, None, None, 1), (2, 5, "assistant", None, 1)]
+    many = "conv_id long, turn long, role string, text string, node long"
+    got = chat.conversation_digests(chat.format_conversations(chat.chain_by_turn(spark.createDataFrame(rows, many)))).collect()
+    assert sorted(((r["conv_id"], r["n_turns"]) for r in got), key=str) == [(1, 3), (2, 1), (None, 1)]
+    assert chat.conversation_digests(chat.format_conversations(chat.chain_by_turn(spark.createDataFrame([], many)))).count() == 0
+    tie = [("c", 1, None, "user", "q", 0.0), ("c", 3, 1, "assistant", "late", 1.0), ("c", 2, 1, "assistant", "first", 1.0)]
+    assert [r["leaf"] for r in chat.format_conversations(spark.createDataFrame(tie, kinds), top=2).orderBy("rank").collect()] == [2, 3]
+
+
+@pytest.mark.parametrize("n", [1, 2, 33, 150, 1025])
 def test_long_chains_are_whole(spark, n):
     rows = spark.range(n).selectExpr("7L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('m', id) AS text")
     got = chat.conversation_digests(chat.format_conversations(chat.chain_by_turn(rows))).collect()
@@ -381,6 +642,11 @@ PAGES = [
     ("<div class='post'><p>Body, text, of this page.</p></div><div id='comments'><article><p>a, b, c, d, e, f</p></article></div>", "Body, text, of this page."),
     ("<article class='post comments-open no-sidebar'><p>Words, in, a post</p></article><article class='comment'><p>c, c, c, c, c, c, c, c</p></article>", "Words, in, a post"),
     ("<main><article><p>one, two, three</p></article><p>promo</p></main>", "one, two, three"),
+    ("<article><p>One</p><p class='related-work'>Two</p><p id='notice-of-change'>Three</p><p>x <math><mi>a</mi><mo>+</mo><mi>b</mi></math></p><xmp>if <a> &amp; b</xmp></article>", "One Two Three x a+b if <a> &amp; b"),
+    ("<article><p>One</p><div class='related-work'><p>Kept, prose</p></div><div class='related-reading'><a href=x>Link</a> <a href=y>Link</a></div><div class='search-tips'>Ask <input name=q></div></article>", "One Kept, prose"),
+    ("<article><p>One</p><p class='ad'>Buy</p><div class='ad-slot'>Buy</div><div class='cookieBanner'>We use</div><section id='post-comments'><p>reader</p></section><pre><span class='hljs-comment'># note</span> <span class='comment'># two</span></pre></article>", "One # note # two"),
+    ("<article><p class='hidden-gems menu-prices'>Kept</p><svg><text>label</text></svg><canvas>drawn</canvas></article>", "Kept labeldrawn"),
+    ("<div class='search results'><p title='a hidden b'>Odd, class.</p><p>But, text.</p></div>", ""),
     ("", ""), (None, ""), ("<p></p>", ""), ("5 < 6 & 7 > 3", "5 < 6 & 7 > 3"),
     ("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>", "deep"),
 ]
@@ -391,6 +657,56 @@ def test_main_text(html, text):
     assert html_extract.extract(html) == text
 
 
+def _made_page(rng, wrap):
+    """A page with menus, adverts, notices, forms, comments and other parts around an article of known text."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8)))
+    say = lambda n: ", ".join(" ".join(word() for _ in range(rng.randrange(3, 9))) for _ in range(n)) + "."
+    links = lambda n: "".join(f"<li><a href='/{word()}'>{word()} {word()}</a></li>" for _ in range(n))
+    junk = [
+        lambda: f"<nav><ul>{links(5)}</ul></nav>", lambda: f"<div class='{rng.choice(['ad', 'ad-slot top', 'sponsored-box', 'cookie-banner', 'newsletter-signup'])}'><p>{say(2)}</p></div>",
+        lambda: f"<form><p>{say(1)}</p><input name=q></form>", lambda: f"<aside><p>{say(2)}</p></aside>", lambda: "<script>if (1 < 2) '<p>no</p>'</script>",
+        lambda: f"<div id='comments' class='comment-list'><article class='comment'><p>{say(3)}</p></article></div>", lambda: f"<div class='more-{word()} related-{word()}'><ul>{links(4)}</ul></div>",
+    ]
+    blocks, want = [], []
+    for _ in range(rng.randrange(3, 12)):
+        t, kind = say(rng.randrange(1, 6)), rng.choice(["p", "p", "p", "p class='related-work lead'", "h2", "blockquote", "div class='text-block'", "p id='notice-of-change'"])
+        shown = t.replace(",", "&#44;", 1) if rng.random() < 0.3 else t
+        shown = f"{shown[:5]}<b>{shown[5:9]}</b>{shown[9:]}" if "&" not in shown and rng.random() < 0.3 else shown
+        blocks.append(f"<{kind}>{shown}</{kind.split()[0]}>" if rng.random() < 0.8 or kind != "p" else f"<p>{shown}\n")
+        want.append(t)
+        if rng.random() < 0.3:
+            blocks.append(rng.choice(junk)())
+    head = f"<h1>{say(1)}</h1>"
+    want.insert(0, head[4:-5])
+    body = wrap.format(head + "".join(blocks))
+    page = f"<html><head><title>{word()}</title><style>p{{}}</style></head><body><header><p>{say(1)}</p></header>{''.join(rng.choice(junk)() for _ in range(3))}{body}{rng.choice(junk)()}<footer>{say(1)}</footer></body></html>"
+    return page, " ".join(" ".join(want).split())
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main><article class='post no-sidebar'>{}</article></main>", "<div>{}</div>", "<div class='story-7 entry'><div>{}</div></div>", "<section id='content'>{}</section>"])
+def test_made_pages_by_construction(wrap):
+    rng = random.Random(wrap)
+    for _ in range(60):
+        page, want = _made_page(rng, wrap)
+        assert html_extract.extract(page) == want
+
+
+@tables
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_scores_alone_find_the_articles(tag):
+    import pandas as pd
+
+    for html in pd.read_parquet(f"{SF}/pages.parquet").html[:200]:
+        bare = html.replace("<article>", f"<{tag}>").replace("</article>", f"</{tag}>")
+        assert html_extract.extract(bare) == html_extract.extract(html)
+
+
+def test_repeated_pages_and_extra_columns(spark):
+    rows = [(1, "u", "<article><p>a</p></article>", "x"), (1, "u", "<article><p>a</p></article>", "x"), (None, None, None, None)]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted(tuple(r) for r in got if r["page_id"]) == [(1, "u", "a", 1)] * 2 and len(got) == 3
+
+
 def test_page_rows(spark):
     rows = [(i, None if i % 2 else "u", h) for i, (h, _) in enumerate(PAGES)]
     got = {r["page_id"]: r for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}

@@ -37,6 +37,16 @@ def test_planted_cases(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["mixture"])
 
 
+def test_empty_tables_and_null_ids(spark, tmp_path):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, rows in (("none", []), ("odd", [(None, "some words of a text", None, None, None), (1, None, "en", "s", 0), (2, "other words of a text", "en", None, None)])):
+        docs = spark.createDataFrame(rows, kinds)
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns[:5] == docs.columns and out.count() <= len(rows), name
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="needs the given tables")
 def test_runs_over_the_tables(spark):
     out = corpus_pipeline.run(spark, SF)

@@ -4,14 +4,18 @@ A fingerprint has 64 bits. For radius r a random map gives every bit position a
 v in that space names one table, whose mask keeps the positions with <m(position), v> = 1. The at most r positions in
 which two fingerprints differ span at most r dimensions, so some v is orthogonal to all of them: its mask hides every
 difference and the pair meets in that table. 2^(r+1)-1 tables thus find every pair within the radius, with no misses.
+
+A bucket is not compared all with all. Its members within the radius of the one that meets most others are linked to
+that; then only members of different groups are left to compare. Where those are many, the bucket is divided: its members agree on all
+bits that its mask shows, so a second family of masks over the hidden bits alone covers every pair in it again, and a
+third one after that. A bucket of the last level agrees on all but some eight bits, which bounds it, whatever the data.
 """
 
 from __future__ import annotations
 
-import math
 import random
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.functions.graph import connected_components
-from tracelake.session import cut, share_code
+from tracelake.session import cut, free_names, share_code
 
 BITS = 64
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -55,9 +59,12 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
         return 0
     n = max(1, len(words) - shingle + 1)
     ones, hashed = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
+    ends = ends[min(shingle, len(words)) - 1 :].tolist()
     for at in range(0, n, _CHUNK):
-        last = min(n, at + _CHUNK)
-        h = np.array([hashed(b" ".join(words[i : i + shingle]), 42) for i in range(at, last)], dtype="<u8")
+        h = np.array([hashed(line[i:j], 42) for i, j in zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK], strict=True)], dtype="<u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
@@ -75,29 +82,108 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return kept.mapInArrow(run, "id long, fp long")
 
 
-def fingerprint_links(points: DataFrame, radius: int = 4) -> DataFrame:
-    """(a, b) links over distinct fingerprints (column fp) whose closure is that of all links within the radius.
+#: Members of a bucket that are compared directly where they are of different groups; larger buckets are divided first.
+LARGE = 64
+LEVELS = 3
+
+
+def _joined(labels: DataFrame | None, more: DataFrame) -> DataFrame:
+    """(node, root) of labels, whose roots are labelled by more in turn."""
+    if labels is None:
+        return more
+    step = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return cut(labels.join(step, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(more))
+
+
+def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows whose root is labelled anew."""
+    step = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    rest = [c for c in rows.columns if c != "root"]
+    return rows.join(step, "root", "left").select(*rest, F.coalesce("top", "root").alias("root"))
+
 
-    In every bucket of every table the members within the radius of the bucket's smallest fingerprint are linked to it:
-    at most one link a member, however large the bucket. The components so far are labelled, and only members of
-    different components that meet in a bucket are compared with each other. A group of near copies therefore costs
-    links in proportion to its size, not to its square, and no pair of different components is left uncompared.
+Near = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def bucket_groups(points: DataFrame, divide: Callable[[DataFrame, int], DataFrame], near: Near, levels: int, large: int = LARGE, stars: int = 1, tag: DataFrame | None = None, meets: Callable[[Column, Column], Column] | None = None) -> DataFrame | None:
+    """(node, root): groups of points (x, root) whose roots are linked; None if there are no links.
+
+    divide(rows, level) adds k, the buckets of that level, to rows (x, root, and what divide itself adds); near(pairs,
+    ends) keeps those of pairs (a, ra, b), roots ra of a, that are links, given the present roots (b, rb) of all. Links
+    are those of members of one bucket with different roots, and roots are the smallest of their group. In each bucket
+    the members are linked to the one that meets most others, then, stars - 1 times, those that are not of its largest
+    group to another member of that; and of those that are then still of different groups, all are compared. Buckets of
+    over large members are divided by the next level first, as long as there is one. With tag (x, s), only pairs whose s
+    meet are compared at the end.
     """
-    masks = covering_masks(radius)
-    spread = points.select(
-        "fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks)])).alias("s")
-    ).select("fp", "s.t", "s.k")
-    low = spread.groupBy("t", "k").agg(F.min("fp").alias("p"), F.count("*").alias("n")).where("n > 1").select("t", "k", "p")
-    within = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= radius
-    met = cut(spread.join(low, ["t", "k"]))
-    star = cut(met.where((F.col("fp") != F.col("p")) & within("fp", "p")).select(F.col("fp").alias("a"), F.col("p").alias("b")).distinct())
-    roots = connected_components(star)
-    named = met.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("t", "k", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed = named.groupBy("t", "k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t", "k")
-    left = cut(named.join(mixed, ["t", "k"], "left_semi"))
-    x, y = left.toDF("t", "k", "a", "ra"), left.toDF("t", "k", "b", "rb")
-    cross = x.join(y, ["t", "k"]).where((F.col("ra") < F.col("rb")) & within("a", "b")).select("a", "b").distinct()
-    return star.unionByName(cross)
+    own = points.select(F.col("x").alias("b"), "root")
+    labels, rows, cross = None, points, None
+
+    def settle(pairs: DataFrame, met: DataFrame | None) -> DataFrame | None:
+        """Add the links among pairs to labels; met with its roots as they are then."""
+        nonlocal labels
+        ends = (own if labels is None else _named(own, labels)).withColumnRenamed("root", "rb")
+        found = connected_components(near(pairs, ends).join(ends, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        if found.isEmpty():
+            return met
+        labels = _joined(labels, found)
+        return None if met is None else _named(met, found)
+
+    mixed = lambda df: df.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("k", "n")
+    for level in range(levels + 1):
+        if level == levels or rows is None:
+            if cross is not None:
+                settle(cross, None)
+            break
+        rows = divide(rows, level)
+        met = cut(rows.join(mixed(rows), "k"))
+        # the text of which others are copies meets more of them than any copy does
+        seen = met.groupBy("x").agg(F.sum("n").alias("seen_by"))
+        order = F.shiftleft("seen_by", 20).bitwiseOR(F.xxhash64("x").bitwiseAND(F.lit((1 << 20) - 1)))
+        pivot = met.select("k", "x").join(seen, "x").groupBy("k").agg(F.max_by("x", order).alias("p"))
+        met = met.drop("n")
+        star = met.join(pivot, "k").where("x <> p").select(F.col("x").alias("a"), F.col("root").alias("ra"), F.col("p").alias("b"))
+        met = settle(star if cross is None else cross.unionByName(star), met)
+        for i in range(1, stars):
+            met = cut(met.join(mixed(met), "k", "left_semi"))
+            if met.isEmpty():
+                break
+            groups = met.groupBy("k", "root").agg(F.count("*").alias("n"), F.max_by("x", F.xxhash64("x", F.lit(i))).alias("x"))
+            main = groups.groupBy("k").agg(F.max_by("x", "n").alias("p"))
+            met = settle(met.join(main, "k").where("x <> p").select(F.col("x").alias("a"), F.col("root").alias("ra"), F.col("p").alias("b")), met)
+        left = met.join(mixed(met), "k")
+        left = cut(left if tag is None else left.join(tag, "x"))
+        last = level + 1 == levels
+        small = left if last else left.where(F.col("n") <= large)
+        also = [] if tag is None else ["s"]
+        x = small.select("k", F.col("x").alias("a"), F.col("root").alias("ra"), *also)
+        y = small.select("k", F.col("x").alias("b"), F.col("root").alias("rb2"), *[F.col(c).alias("s2") for c in also])
+        n_large = 0 if last else left.where(F.col("n") > large).count()
+        apart = F.col("ra") < F.col("rb2")
+        both = x.join(y, "k").where(apart if meets is None else apart & meets(F.col("s"), F.col("s2")))
+        cross = both.select("a", "ra", "b") if n_large or not left.isEmpty() else None
+        rows = left.where(F.col("n") > large).drop("k", "n").distinct() if n_large else None
+    return labels
+
+
+def fingerprint_groups(points: DataFrame, radius: int = 4, large: int = LARGE) -> DataFrame:
+    """(fp, root): the smallest fingerprint that is reachable over links within the radius, for distinct ones (column fp) that have a link."""
+
+    def divide(rows: DataFrame, level: int) -> DataFrame:
+        seen = F.col("seen") if level else F.lit(0).cast("long")
+        shown = [seen.bitwiseOR(F.lit(m).cast("long")) for m in covering_masks(radius, 11 + level)]
+        keys = [F.struct(F.xxhash64(m, F.col("x").bitwiseAND(m)).alias("k"), m.alias("seen")) for m in shown]
+        return rows.select("x", "root", F.explode(F.array(*keys)).alias("t")).select("x", "root", "t.k", "t.seen")
+
+    def near(pairs: DataFrame, _: DataFrame) -> DataFrame:
+        return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
+
+    groups = bucket_groups(points.select(F.col("fp").alias("x"), F.col("fp").alias("root")), divide, near, LEVELS, large)
+    return points.select("fp", F.col("fp").alias("root")).limit(0) if groups is None else groups.withColumnRenamed("node", "fp")
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -105,14 +191,14 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     fingerprint: 16 lowercase hex digits. component_id: the smallest id reachable over links of at most radius
     differing bits. Null and word-free texts have fingerprint zero and are linked like any other; a null id is carried
-    but never names a component unless all ids of the component are null. Repeated rows each come back. Other columns,
+    but never names a component unless all ids of the component are null. Ids are whole numbers. Repeated rows each come back. Other columns,
     whatever their names, are not read. An empty table gives an empty result.
     """
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
-    classes = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    points = cut(classes)
-    roots = connected_components(fingerprint_links(points.select("fp"), radius))
-    rooted = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    # each row is about to make 31: many partitions, however small the table of fingerprints is
+    points = cut(fps.groupBy("fp").agg(F.min("id").alias("least")).repartition(_partitions(docs)))
+    roots = fingerprint_groups(points.select("fp"), radius)
+    rooted = points.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -120,12 +206,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 # Near copies of the training corpus: similarity of five-word shingles, not bits of one fingerprint.
 #
 # A pair that shares 0.8 of its five-word shingles differs in some nine of 64 bits, beyond what covering tables can
-# take. Such pairs meet in bands of MinHash values instead: over 0.999 of those at 0.8 share one of BANDS bands of ROWS
-# values. Pairs that meet are first held against 256 bits, within bounds that pairs at 0.8 do not reach in practice, and
-# then against each other's sets of shingles.
-
-BANDS, ROWS, CHECK_PRINTS = 24, 6, 4
-_SLACK = 6  # standard deviations; sets of few shingles differ in more bits than large ones
+# take. Such pairs meet in bands of MinHash values instead: over 0.9996 of those at 0.8 share one of BANDS bands of ROWS
+# values. Of those that meet, pairs whose MinHash values agree too rarely are left out (one in 10^4 at 0.8), and the rest
+# are held against each other's whole sets of shingles.
+
+BANDS, ROWS = 20, 5
+#: Longs of a signature, 16 MinHash values in each, four bits of each value; and how many of them have to agree.
+SIGNATURE = BANDS * ROWS // 16
+AGREE = 64
+#: Ids of documents that are broadcast at most; more of them are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -144,28 +234,29 @@ def _runs(codes: np.ndarray, size: int) -> np.ndarray:
     return np.unique(h)
 
 
-def _prints(hashes: np.ndarray, n: int) -> list[int]:
-    """n independent signed 64-bit fingerprints of a set of hashes."""
-    ones = np.zeros(n * BITS, np.int64)
-    for at in range(0, len(hashes), _CHUNK):
-        part = hashes[at : at + _CHUNK]
-        wide = np.stack([_mixed(part + np.uint64((j + 1) * int(_GOLD) % (1 << 64))) for j in range(n)], axis=1)
-        ones += np.unpackbits(wide.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8").tolist()
-
-
 _ODD, _ADD = (np.random.default_rng(17).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[1], [0]], np.uint64))
 
 
-def _bands(hashes: np.ndarray) -> list[int]:
-    """A signed 64-bit key, even, for each band of the MinHash values of a set of hashes."""
+def _minima(hashes: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS MinHash values of a set of hashes."""
     least = np.full(BANDS * ROWS, np.uint64((1 << 64) - 1))
-    for at in range(0, len(hashes), 1 << 12):
-        least = np.minimum(least, (hashes[at : at + (1 << 12), None] * _ODD + _ADD).min(0))
+    for at in range(0, len(hashes), 1 << 9):
+        least = np.minimum(least, (hashes[at : at + (1 << 9), None] * _ODD + _ADD).min(0))
+    return least
+
+
+def _bands(least: np.ndarray) -> list[int]:
+    """A signed 64-bit key for each band of MinHash values."""
     key = np.arange(1, BANDS + 1).astype(np.uint64)
     for values in least.reshape(BANDS, ROWS).T:
         key = _mixed(key * _GOLD + values)
-    return (key & ~np.uint64(1)).view(np.int64).tolist()
+    return key.view(np.int64).tolist()
+
+
+def _signature(least: np.ndarray) -> list[int]:
+    """Four mixed bits of each value, packed."""
+    bits = (_mixed(least[: 16 * SIGNATURE]) & np.uint64(15)).reshape(SIGNATURE, 16) << (4 * np.arange(16)).astype(np.uint64)
+    return np.bitwise_or.reduce(bits, axis=1).view(np.int64).tolist()
 
 
 def _codes(text: str | None) -> np.ndarray:
@@ -174,23 +265,24 @@ def _codes(text: str | None) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, w, s): the op's fingerprint and the keys of BANDS bands in w, CHECK_PRINTS of five-word shingles in s."""
+    """(id, fp, bands, sig) of every row with an id: the op's fingerprint, and the band keys and signature of its five-word shingles."""
     share_code(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w, s = [], []
+            fps, bands, sig = [], [], []
             for text in batch.column(1):
                 text = text.as_py()
                 codes = _codes(text)
-                own = fingerprint(text)
-                runs = _runs(codes, 5) if len(codes) else codes
-                w.append([own - (1 << BITS) if own >> (BITS - 1) else own, *(_bands(runs) if len(codes) else [0] * BANDS)])
-                s.append(_prints(runs, CHECK_PRINTS) if len(codes) else [0] * CHECK_PRINTS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, pa.list_(pa.int64())), pa.array(s, pa.list_(pa.int64()))], names=["id", "w", "s"])
+                least = _minima(_runs(codes, 5) if len(codes) else codes)
+                fps.append(fingerprint(text))
+                bands.append(_bands(least))
+                sig.append(_signature(least))
+            kinds = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64()), pa.array(bands, kinds), pa.array(sig, kinds)], names=["id", "fp", "bands", "sig"])
 
-    kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return kept.mapInArrow(run, "id long, w array<long>, s array<long>")
+    kept = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return kept.mapInArrow(run, "id long, fp long, bands array<long>, sig array<long>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,70 +296,77 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_c
                 sets.append(np.unique((_runs(codes, 5) >> np.uint64(32)).astype(np.uint32)).view(np.int32) if len(codes) else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "h"])
 
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    return texts.join(ids, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, h array<int>")
+    return texts.join(F.broadcast(ids) if few else ids, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, h array<int>")
+
+
+def _agreeing(x: Column, y: Column) -> Column:
+    """How many of the packed four-bit values of two signatures are equal."""
+    def of(i: int) -> Column:
+        d = x[i].bitwiseXOR(y[i])
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        return F.lit(16) - F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
 
+    total = of(0)
+    for i in range(1, SIGNATURE):
+        total = total + of(i)
+    return total
 
-def _bits_apart(x: str, y: str) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, n: t + n)
 
+#: Times that a bucket's members are held against one member of its largest group before all of those left are compared.
+STARS = 4
 
-def copy_links(nodes: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, similarity: float = 0.8) -> DataFrame:
-    """(a, b) links of nodes (node, w, s) that are near copies, as spare as fingerprint_links makes them.
 
-    Linked: the op's own fingerprints within the radius, or a band in common and five-word shingles of at least the
-    similarity (Jaccard), counted in docs, whose ids the nodes are.
+def copy_groups(nodes: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame | None:
+    """(node, root): groups of nodes (node, root, bands, sig) whose roots are linked by near copies; None if there are none.
+
+    Near copies share a band and have five-word shingles of at least the similarity (Jaccard), counted in docs, whose
+    ids the nodes are. Texts are read once, for the shingles of all that share a band with one of another root.
     """
-    masks = covering_masks(radius)
-    cos = 2 * similarity / (1 + similarity)
-    size, share = BITS * CHECK_PRINTS, math.acos(cos) / math.pi
-    most = round(size * share + _SLACK * math.sqrt(size * share * (1 - share)))
-    # a table's key keeps in its lowest bit whether it is of the op's own fingerprint
-    key = lambda t, m: F.xxhash64(F.lit(t), F.col("w")[0].bitwiseAND(F.lit(m))).bitwiseOR(F.lit(1))
-    tables = [F.struct(key(t, m).alias("k"), F.col("w")[0].alias("fp")) for t, m in enumerate(masks)]
-    bands = F.transform(F.slice("w", 2, BANDS), lambda k: F.struct(k.alias("k"), F.lit(None).cast("long").alias("fp")))
-    spread = nodes.select("node", F.explode(F.concat(F.array(*tables), bands)).alias("x")).select("node", "x.k", "x.fp")
-    low = spread.groupBy("k").agg(F.min("node").alias("p"), F.count("*").alias("n")).where("n > 1").select("k", "p")
-    met = cut(spread.join(low, "k").withColumn("own", F.col("k").bitwiseAND(F.lit(1)) == 1))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those whose shingles are as similar as asked."""
-        pairs = cut(pairs)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = cut(shingle_sets(docs, ids, id_col, text_col))
-        x, y = sets.toDF("a", "ha"), sets.toDF("b", "hb")
+    bands, sigs = nodes.select(F.col("node").alias("x"), "bands"), nodes.select(F.col("node").alias("x"), F.col("sig").alias("s"))
+    agree = lambda x, y: _agreeing(x, y) >= AGREE
+    sets: list[DataFrame] = []
+
+    def divide(rows: DataFrame, _: int) -> DataFrame:
+        return rows.join(bands, "x").select("x", "root", F.explode("bands").alias("k"))
+
+    def near(pairs: DataFrame, ends: DataFrame) -> DataFrame:
+        pairs = pairs.distinct().join(ends, "b").where("ra <> rb").select("a", "ra", "b")
+        if not sets:
+            pairs = cut(pairs)
+            sets.append(cut(shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), id_col, text_col)))
+        alike = pairs.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b").where(agree(F.col("sa"), F.col("sb"))).select("a", "ra", "b")
         both = F.size(F.array_intersect("ha", "hb"))
-        return pairs.join(x, "a").join(y, "b").where(both >= similarity * (F.size("ha") + F.size("hb") - both)).select("a", "b")
-
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius
-    pivots = met.where("node = p and own").select("k", F.col("fp").alias("fp2")).distinct()
-    sure = met.where("node <> p and own").join(pivots, "k").where(near).select(F.col("node").alias("a"), F.col("p").alias("b")).distinct()
-    x, y = nodes.select(F.col("node").alias("a"), F.col("s").alias("sa")), nodes.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    other = met.where("node <> p and not own").select(F.col("node").alias("a"), F.col("p").alias("b")).distinct()
-    other = other.join(x, "a").join(y, "b").where(_bits_apart("sa", "sb") <= most).select("a", "b").distinct()
-    star = cut(sure.union(verified(other)).distinct())
-    roots = connected_components(star)
-    named = met.join(roots, "node", "left").select("k", "node", "fp", "own", F.coalesce("root", "node").alias("root"))
-    mixed = named.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("k")
-    left = cut(named.join(mixed, "k", "left_semi").join(nodes.select("node", "s"), "node"))
-    right = left.select("k", F.col("node").alias("b"), F.col("fp").alias("fp2"), F.col("root").alias("root2"), F.col("s").alias("s2"))
-    alike = F.when(F.col("own"), near).otherwise(_bits_apart("s", "s2") <= most)
-    cross = cut(left.join(right, "k").where((F.col("root") < F.col("root2")) & alike).select(F.col("node").alias("a"), "b", "own").distinct())
-    return star.unionByName(cross.where("own").select("a", "b")).unionByName(verified(cross.where("not own").select("a", "b"))).distinct()
+        met = alike.join(sets[0].toDF("a", "ha"), "a").join(sets[0].toDF("b", "hb"), "b")
+        return met.where(both >= similarity * (F.size("ha") + F.size("hb") - both)).select("a", "ra", "b").distinct()
+
+    return bucket_groups(nodes.select(F.col("node").alias("x"), "root"), divide, near, 1, stars=STARS, tag=sigs, meets=agree)
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that stay: of each group of near copies the row with the smallest id, with docs' own columns.
 
-    Rows that repeat one id count as one document: the first by text stays. Rows with a null id stay, one of each text.
+    Near copies: rows whose fingerprints are within the radius, or whose five-word shingles are as similar as asked.
+    Null, empty and word-free texts are copies of each other. Rows that repeat one id count as one document: the first
+    by text stays. Rows with a null id stay, one of each text. Ids are whole numbers. An empty table gives an empty
+    result; columns may have any names. A whole text is shuffled once, to meet the decision on its id; a second time
+    if over BROADCAST_IDS documents have to be held against others.
     """
     sk = cut(sketches(docs, id_col, text_col))
-    kinds = sk.where("id is not null").groupBy("w", "s").agg(F.min("id").alias("node"))
-    # each row is about to make over a hundred: small partitions keep their sums in memory
-    nodes = cut(kinds.repartition(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    roots = connected_components(copy_links(nodes, docs, id_col, text_col, radius, similarity))
-    gone = roots.where("node <> root").select("node")
-    stay = nodes.select("node").join(gone, "node", "left_anti").select(F.col("node").alias("_id"))
-    kept = docs.join(stay, F.col(id_col).cast("long") == F.col("_id"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
-    first = F.row_number().over(W.partitionBy(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col))).orderBy(F.col(text_col)))
-    return kept.withColumn("_n", first).where("_n = 1").drop("_n")
+    kinds = cut(sk.groupBy("fp", "bands", "sig").agg(F.min("id").alias("node")).repartition(_partitions(docs)))
+    fps = kinds.groupBy("fp").agg(F.min("node").alias("least"))
+    roots = fingerprint_groups(fps.select("fp"), radius)
+    rooted = fps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("r"), "least")
+    named = rooted.join(rooted.groupBy("r").agg(F.min("least").alias("root")), "r").select("fp", "root")
+    nodes = cut(kinds.join(named, "fp").select("node", "root", "bands", "sig").repartition(_partitions(docs)))
+    groups = copy_groups(nodes, docs, id_col, text_col, similarity)
+    ends = nodes.select("node", "root") if groups is None else _named(nodes.select("node", "root"), groups)
+    own, number = free_names(docs, 2)
+    stay = ends.where("node = root").select(F.col("node").alias(own)).distinct()
+    key = F.col(id_col).cast("long")
+    kept = docs.join(stay, key == F.col(own), "left_semi")
+    first = lambda by: F.row_number().over(W.partitionBy(by).orderBy(F.col(text_col)))
+    blank = docs.where(F.col(id_col).isNull())
+    return kept.withColumn(number, first(key)).unionByName(blank.withColumn(number, first(F.col(text_col)))).where(F.col(number) == 1).drop(number)
