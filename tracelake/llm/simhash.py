@@ -105,7 +105,7 @@ def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
 Near = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def bucket_groups(points: DataFrame, divide: Callable[[DataFrame, int], DataFrame], near: Near, levels: int, large: int = LARGE, stars: int = 1, tag: DataFrame | None = None, meets: Callable[[Column, Column], Column] | None = None) -> DataFrame | None:
+def bucket_groups(points: DataFrame, divide: Callable[[DataFrame, int], DataFrame], near: Near, levels: int, large: int = LARGE, stars: int = 1, tag: Callable[[], DataFrame] | None = None, meets: Callable[[Column, Column], Column] | None = None) -> DataFrame | None:
     """(node, root): groups of points (x, root) whose roots are linked; None if there are no links.
 
     divide(rows, level) adds k, the buckets of that level, to rows (x, root, and what divide itself adds); near(pairs,
@@ -113,8 +113,8 @@ def bucket_groups(points: DataFrame, divide: Callable[[DataFrame, int], DataFram
     are those of members of one bucket with different roots, and roots are the smallest of their group. In each bucket
     the members are linked to the one that meets most others, then, stars - 1 times, those that are not of its largest
     group to another member of that; and of those that are then still of different groups, all are compared. Buckets of
-    over large members are divided by the next level first, as long as there is one. With tag (x, s), only pairs whose s
-    meet are compared at the end.
+    over large members are divided by the next level first, as long as there is one. With tag() (x, s), that comparison
+    is of s, within the join, and only pairs whose s meet leave it.
     """
     own = points.select(F.col("x").alias("b"), "root")
     labels, rows, cross = None, points, None
@@ -152,7 +152,7 @@ def bucket_groups(points: DataFrame, divide: Callable[[DataFrame, int], DataFram
             main = groups.groupBy("k").agg(F.max_by("x", "n").alias("p"))
             met = settle(met.join(main, "k").where("x <> p").select(F.col("x").alias("a"), F.col("root").alias("ra"), F.col("p").alias("b")), met)
         left = met.join(mixed(met), "k")
-        left = cut(left if tag is None else left.join(tag, "x"))
+        left = cut(left if tag is None else left.join(tag(), "x"))
         last = level + 1 == levels
         small = left if last else left.where(F.col("n") <= large)
         also = [] if tag is None else ["s"]
@@ -327,22 +327,27 @@ def copy_groups(nodes: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_
     """
     bands, sigs = nodes.select(F.col("node").alias("x"), "bands"), nodes.select(F.col("node").alias("x"), F.col("sig").alias("s"))
     agree = lambda x, y: _agreeing(x, y) >= AGREE
+    shared = lambda x, y: F.size(F.array_intersect(x, y))
+    similar = lambda x, y: shared(x, y) * (1 + similarity) >= similarity * (F.size(x) + F.size(y)) - 1e-9
     sets: list[DataFrame] = []
 
     def divide(rows: DataFrame, _: int) -> DataFrame:
         return rows.join(bands, "x").select("x", "root", F.explode("bands").alias("k"))
 
     def near(pairs: DataFrame, ends: DataFrame) -> DataFrame:
-        pairs = pairs.distinct().join(ends, "b").where("ra <> rb").select("a", "ra", "b")
-        if not sets:
+        pairs = pairs.distinct()
+        if not sets:  # the first pairs name every member of a bucket that has several roots
             pairs = cut(pairs)
             sets.append(cut(shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), id_col, text_col)))
+        pairs = pairs.join(ends, "b").where("ra <> rb").select("a", "ra", "b")
         alike = pairs.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b").where(agree(F.col("sa"), F.col("sb"))).select("a", "ra", "b")
-        both = F.size(F.array_intersect("ha", "hb"))
         met = alike.join(sets[0].toDF("a", "ha"), "a").join(sets[0].toDF("b", "hb"), "b")
-        return met.where(both >= similarity * (F.size("ha") + F.size("hb") - both)).select("a", "ra", "b").distinct()
+        return met.where(similar(F.col("ha"), F.col("hb"))).select("a", "ra", "b").distinct()
 
-    return bucket_groups(nodes.select(F.col("node").alias("x"), "root"), divide, near, 1, stars=STARS, tag=sigs, meets=agree)
+    def tag() -> DataFrame:
+        return sigs.join(sets[0].toDF("x", "h"), "x").select("x", F.struct("s", "h").alias("s"))
+
+    return bucket_groups(nodes.select(F.col("node").alias("x"), "root"), divide, near, 1, stars=STARS, tag=tag, meets=lambda x, y: agree(x["s"], y["s"]) & similar(x["h"], y["h"]))
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, similarity: float = 0.8) -> DataFrame:
