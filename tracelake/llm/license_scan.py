@@ -27,7 +27,7 @@ _WORD = re.compile(r"[a-z0-9]+")
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """(license, words): templates as a table; a large collection may come as any DataFrame of this shape."""
+    """(license, words): templates as a table."""
     rows = [(k, _WORD.findall(v.lower())) for k, v in sorted(templates.items())]
     return spark.createDataFrame([r for r in rows if r[1]], "license string, words array<string>")
 
