@@ -64,4 +64,24 @@ h AS (SELECT row, i, n, item_id FROM p JOIN v USING (n, win)), k AS (SELECT row,
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN k USING (row) LEFT JOIN o USING (row)"""
 
 
-ORACLE_SQL = {"op1_license_scan": license_sql(), "op7_quality_rules": quality_sql(), "op8_chat": chat_sql(), "op9_decontaminate": decontaminate_sql()}
+def exact_sql() -> str:
+    return """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW w AS (PARTITION BY t)"""
+
+
+def runs_sql() -> str:
+    """Stretches of equal five-word runs at one distance within a text; the CRC-32 bit by bit."""
+    step = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda s, b: list_reduce(list_prepend(xor(s, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: " + step + ")), 4294967295)"
+    return rf"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, {crc} AS h FROM documents), e AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+p AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) ELSE w END AS w FROM e),
+f AS (SELECT doc_id, i, hash(w[i + 1], w[i + 2], w[i + 3], w[i + 4], w[i + 5]) AS k FROM p, LATERAL (SELECT unnest(range(n - 4)) AS i) WHERE n >= 6),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM f x JOIN f y ON x.doc_id = y.doc_id AND x.k = y.k AND x.i < y.i JOIN p ON p.doc_id = x.doc_id AND 4 * (y.i - x.i) <= p.n),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + 4 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m) GROUP BY doc_id, q, island),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+b AS (SELECT doc_id, start, length, period FROM r x QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+l AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM r GROUP BY doc_id),
+o AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r), c AS (SELECT t.doc_id, string_agg(t.x, ' ' ORDER BY t.i) AS t FROM (SELECT doc_id, i, w[i + 1] AS x FROM p, LATERAL (SELECT unnest(range(n)) AS i)) t ANTI JOIN o ON o.doc_id = t.doc_id AND o.i = t.i GROUP BY t.doc_id)
+SELECT p.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli, sha256(coalesce(l.t, '')) AS runs_sha256, sha256(coalesce(c.t, '')) AS collapsed_sha256 FROM p LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
+ORACLE_SQL = {"op1_license_scan": license_sql(), "op7_quality_rules": quality_sql(), "op8_chat": chat_sql(), "op9_decontaminate": decontaminate_sql(), "op11_periodic_runs": runs_sql(), "op13_exact_dedup": exact_sql()}

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from tracelake.llm.chat import chain_by_turn, conversation_digests, format_conversations
 from tracelake.llm.cotraining import quality_scores
 from tracelake.llm.decontaminate import contamination_report
+from tracelake.llm.exact_dedup import exact_groups
 from tracelake.llm.html_extract import extract_pages
 from tracelake.llm.langid import language_report
 from tracelake.llm.license_scan import license_scan
 from tracelake.llm.license_texts import TEMPLATES
 from tracelake.llm.mixing import mixing_plan
 from tracelake.llm.oracles import ORACLE_SQL  # noqa: F401
+from tracelake.llm.periodic_runs import periodic_report, with_periodic_tails, words_of
 from tracelake.llm.quality_rules import quality_report
 from tracelake.llm.simhash import simhash_groups
 from tracelake.llm.substring_dedup import repeated_passages
@@ -66,6 +68,15 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select("doc_id", words_of(F.col("text")).alias("words"))
+    return periodic_report(words, with_periodic_tails(F.col("words"), F.col("doc_id")))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(table(spark, sf_dir, "documents"), keep="last")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_substring_dedup": op2_substring_dedup,
@@ -77,4 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_decontaminate": op9_decontaminate,
     "op10_html_extract": op10_html_extract,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op13_exact_dedup": op13_exact_dedup,
 }
