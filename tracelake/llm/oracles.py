@@ -64,6 +64,15 @@ h AS (SELECT row, i, n, item_id FROM p JOIN v USING (n, win)), k AS (SELECT row,
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN k USING (row) LEFT JOIN o USING (row)"""
 
 
+def search_sql() -> str:
+    words = lambda t: f"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH q AS (SELECT DISTINCT item_id, unnest({words('text')}) AS term FROM benchmark WHERE item_id IS NOT NULL), d AS (SELECT row_number() OVER () AS row, doc_id, {words("coalesce(text, '')")} AS w FROM documents),
+c AS (SELECT count(*) AS n_all, sum(len(w))::BIGINT AS l_all FROM d WHERE len(w) > 0), t AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * n_all + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t, c GROUP BY term, n_all), m AS (SELECT row, doc_id, 100 - 90 + (90 * len(w) * n_all) // l_all AS m FROM d, c),
+s AS (SELECT item_id, row, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN t USING (term) JOIN f USING (term) JOIN m USING (row) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10"""
+
+
 def exact_sql() -> str:
     return """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW w AS (PARTITION BY t)"""
 
@@ -84,4 +93,4 @@ o AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i
 SELECT p.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli, sha256(coalesce(l.t, '')) AS runs_sha256, sha256(coalesce(c.t, '')) AS collapsed_sha256 FROM p LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)"""
 
 
-ORACLE_SQL = {"op1_license_scan": license_sql(), "op7_quality_rules": quality_sql(), "op8_chat": chat_sql(), "op9_decontaminate": decontaminate_sql(), "op11_periodic_runs": runs_sql(), "op13_exact_dedup": exact_sql()}
+ORACLE_SQL = {"op1_license_scan": license_sql(), "op7_quality_rules": quality_sql(), "op8_chat": chat_sql(), "op9_decontaminate": decontaminate_sql(), "op11_periodic_runs": runs_sql(), "op12_lexical_search": search_sql(), "op13_exact_dedup": exact_sql()}

@@ -13,6 +13,7 @@ from tracelake.llm.decontaminate import contamination_report
 from tracelake.llm.exact_dedup import exact_groups
 from tracelake.llm.html_extract import extract_pages
 from tracelake.llm.langid import language_report
+from tracelake.llm.lexical_search import ranked_documents
 from tracelake.llm.license_scan import license_scan
 from tracelake.llm.license_texts import TEMPLATES
 from tracelake.llm.mixing import mixing_plan
@@ -73,6 +74,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_report(words, with_periodic_tails(F.col("words"), F.col("doc_id")))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="last")
 
@@ -89,5 +94,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_html_extract": op10_html_extract,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_lexical_search": op12_lexical_search,
     "op13_exact_dedup": op13_exact_dedup,
 }
