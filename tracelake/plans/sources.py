@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.sources import files as S
 from tracelake.sources import publish as P
-from tracelake.session import scratch, table
+from tracelake.session import cut, scratch, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -189,8 +189,8 @@ def _published(spark: SparkSession, d: str) -> P.Table:
     t = P.Table(scratch(spark, "pub"), "shop", "orders", schema="ds string, o_orderkey long, o_totalprice double").check_not_null("o_orderkey")
     t = t.check("key is unique", lambda s: s.groupBy("o_orderkey").count().where("count > 1"))
     o = table(spark, d, "orders")
-    for year, rows in (("1996", "year(o_orderdate) = 1996"), ("1997", "year(o_orderdate) = 1997"), ("1997", "year(o_orderdate) = 1997 and o_orderkey % 2 = 0"), ("1998", "false"), ("1998", "year(o_orderdate) = 1998")):
-        P.publish(o.where(rows).withColumn("ds", F.lit("wrong")).withColumn("extra", F.lit(1)), t, {"ds": year}, at=datetime(2024, 1, 1))
+    for day, (year, rows) in enumerate((("1996", "year(o_orderdate) = 1996"), ("1997", "year(o_orderdate) = 1997"), ("1997", "year(o_orderdate) = 1997 and o_orderkey % 2 = 0"), ("1998", "false"), ("1998", "year(o_orderdate) = 1998")), 1):
+        P.publish(o.where(rows).withColumn("ds", F.lit("wrong")).withColumn("extra", F.lit(1)), t, {"ds": year}, at=datetime(2024, 1, day))
     return t
 
 
@@ -226,11 +226,11 @@ def b7_check_violations(spark: SparkSession, d: str) -> DataFrame:
     return found.agg(F.count("*").alias("violations"))
 
 
-@query("SELECT '1998' AS latest, true AS landed, false AS other FROM (SELECT 1)")
+@query(_PUBLISHED + "SELECT ds AS latest, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM p WHERE ds = (SELECT max(ds) FROM p) GROUP BY ds")
 def b11_latest_partition(spark: SparkSession, d: str) -> DataFrame:
     t = _published(spark, d)
-    row = (P.latest_partition(spark, t), P.has_partition(spark, t, {"ds": "1996"}), P.has_partition(spark, t, {"ds": "2010"}))
-    return spark.createDataFrame([row], "latest string, landed boolean, other boolean")
+    latest = P.latest_partition(spark, t)
+    return P.read_version(spark, t).where(F.col("ds") == latest).groupBy(F.col("ds").alias("latest")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderpriority = '1-URGENT' GROUP BY 1")
@@ -258,11 +258,32 @@ def b17_read_versions(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("SELECT 2::BIGINT AS version, 1::BIGINT AS folders FROM (SELECT 1)")
+@query("""SELECT v AS version, v BETWEEN 4 AND 5 AS readable, CASE WHEN v = 4 THEN (SELECT count(*) FROM orders WHERE year(o_orderdate) = 1996 OR year(o_orderdate) = 1997 AND o_orderkey % 2 = 0) WHEN v = 5 THEN (SELECT count(*) FROM orders WHERE year(o_orderdate) IN (1996, 1998) OR year(o_orderdate) = 1997 AND o_orderkey % 2 = 0) END AS n,
+CASE WHEN v = 3 THEN (SELECT count(*) FROM orders WHERE year(o_orderdate) = 1997) WHEN v = 6 THEN (SELECT count(*) FROM orders WHERE year(o_orderdate) <> 1997) END AS swept FROM (SELECT unnest(range(1, 7)) AS v)""")
 def b19_expire(spark: SparkSession, d: str) -> DataFrame:
-    """Files that the last two of five versions no longer need: the first copy of the year published twice."""
-    e = P.expire(spark, _published(spark, d), 2)
-    return e.groupBy("version").agg(F.count("*").alias("folders")).where("version = 2")
+    """Five versions a day apart, of which those older than the fourth day expire, and a publication that its checks refused.
+
+    A row a version: whether it can be read after the sweep and its rows; swept: rows of the files that were deleted, at
+    the version that made way for them. The year published twice loses its first copy, and the refused rows go too.
+    """
+    t = _published(spark, d)
+    try:
+        P.publish(table(spark, d, "orders").where("year(o_orderdate) <> 1997"), t.check("none", lambda s: s), {"ds": "1999"})
+    except P.CheckFailed:
+        pass
+    P.expire(spark, t, datetime(2024, 1, 4))
+    late = datetime(2100, 1, 1)
+    strays = [r["path"] for r in P.stray_files(spark, t, late).collect()]
+    rows = spark.read.schema("ds string, o_orderkey long").parquet(*strays)
+    swept = cut(rows.groupBy(F.when(F.col("ds") == "1997", 3).otherwise(6).cast("long").alias("version")).agg(F.count("*").alias("swept")))
+    P.sweep(spark, t, late)
+    known = []
+    for v in range(1, 7):
+        try:
+            known.append((v, True, P.read_version(spark, t, v).count()))
+        except LookupError:
+            known.append((v, False, None))
+    return spark.createDataFrame(known, "version long, readable boolean, n long").join(swept, "version", "left")
 
 
 @query("SELECT o_orderkey, floor(o_totalprice)::BIGINT AS o_totalprice, 'x' AS ds FROM orders")
@@ -297,13 +318,15 @@ def b8_failed_checks_keep_rows(spark: SparkSession, d: str) -> DataFrame:
     return P.read_version(spark, t)
 
 
-@query("SELECT 'NULL' AS wanted, true AS landed FROM (SELECT 1) UNION ALL SELECT 'x', false")
+@query("SELECT coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END, 'NULL') AS wanted, true AS landed, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT 'x', false, 0")
 def b10_waits(spark: SparkSession, d: str) -> DataFrame:
-    """Partitions are matched null-safe; one that has not landed is not there."""
-    t = P.Table(scratch(spark, "pub"), "shop", "waited", ("ds", "country"))
-    P.publish(table(spark, d, "nation"), t, {"ds": "a", "country": None})
-    rows = [("NULL", P.has_partition(spark, t, {"ds": "a", "country": None})), ("x", P.has_partition(spark, t, {"ds": "a", "country": "x"}))]
-    return spark.createDataFrame(rows, "wanted string, landed boolean")
+    """Partitions of two keys are matched null-safe; one that has not landed is not there."""
+    t, o = P.Table(scratch(spark, "pub"), "shop", "waited", ("ds", "status")), table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    for status, rows in (("F", "o_orderstatus = 'F'"), ("O", "o_orderstatus = 'O'"), (None, "o_orderstatus = 'P'")):
+        P.publish(o.where(rows), t, {"ds": "a", "status": status})
+    landed = [(s or "NULL", P.has_partition(spark, t, {"ds": "a", "status": s})) for s in ("F", "O", None, "x")]
+    n = P.read_version(spark, t).groupBy(F.coalesce("status", F.lit("NULL")).alias("wanted")).agg(F.count("*").alias("n"))
+    return spark.createDataFrame(landed, "wanted string, landed boolean").join(n, "wanted", "left").fillna(0, ["n"])
 
 
 @query("SELECT 'shop' AS namespace, 'receipts' AS \"table\", count(*) AS rows, 5::BIGINT AS columns FROM customer WHERE c_acctbal > 0")
@@ -313,11 +336,11 @@ def b16_receipt(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(r["namespace"], r["table"], r["rows"], r["columns"])], "namespace string, table string, rows long, columns long")
 
 
-@query("SELECT 'one' AS base, count(*) AS n FROM nation UNION ALL SELECT 'two', count(*) FROM region")
+@query("SELECT 'one' AS base, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders UNION ALL SELECT 'two', count(*), round(sum(c_acctbal), 2) FROM customer")
 def b18_two_catalogs(spark: SparkSession, d: str) -> DataFrame:
     base = scratch(spark, "pub")
     one, two = P.Table(f"{base}/one", "shop", "t"), P.Table(f"{base}/two", "shop", "t")
-    P.publish(table(spark, d, "nation"), one, {"ds": "a"})
-    P.publish(table(spark, d, "region"), two, {"ds": "a"})
-    parts = [P.read_version(spark, t).agg(F.count("*").alias("n")).select(F.lit(n).alias("base"), "n") for n, t in (("one", one), ("two", two))]
+    P.publish(table(spark, d, "orders").select(F.col("o_totalprice").alias("v")), one, {"ds": "a"})
+    P.publish(table(spark, d, "customer").select(F.col("c_acctbal").alias("v")), two, {"ds": "a"})
+    parts = [P.read_version(spark, t).agg(F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("total")).select(F.lit(n).alias("base"), "n", "total") for n, t in (("one", one), ("two", two))]
     return parts[0].unionByName(parts[1])

@@ -1,23 +1,29 @@
 """Checked publication of partitioned, versioned tables in a folder.
 
-A table is a folder of snapshots and a manifest. A publication stages the typed rows, runs all checks in one pass,
-writes the snapshot's files and commits by adding a manifest row last: readers see whole versions only, and a failed
-check or a lost job leaves the table as it was.
+A table is a folder of snapshots and a log of commits. A publication stages the typed rows, runs all checks in one pass,
+writes the snapshot's files and commits last, under a version number that one writer alone can take: readers see whole
+versions only, and a failed check or a lost job leaves the table as it was. Old versions expire by age; a sweep then
+deletes every file that no version left needs, those of lost jobs too.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-_MANIFEST = "version long, partition string, folder string, rows long, columns string, at timestamp"
+from tracelake.sources.commits import CommitLog, delete_folder
+
+#: One entry a commit. kind: overwrite and insert touch one partition, replace the whole table; expire ends all versions before its own floor.
+_MANIFEST = "version long, kind string, partition string, folder string, rows long, columns string, at timestamp, floor long"
 
 
 class CheckFailed(ValueError):
@@ -50,40 +56,54 @@ class Table:
         return replace(self, checks=(*self.checks, (name, violations)))
 
 
+def _log(spark: SparkSession, table: Table) -> CommitLog:
+    return CommitLog(spark, f"{table.path}/_log")
+
+
 def manifest(spark: SparkSession, table: Table) -> DataFrame:
+    """The commits of a table, one row each."""
     try:
-        return spark.read.schema(_MANIFEST).parquet(f"{table.path}/_manifest")
-    except AnalysisException:
+        return spark.read.schema(_MANIFEST).json(f"{table.path}/_log")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], _MANIFEST)
 
 
 def versions(spark: SparkSession, table: Table) -> DataFrame:
-    """(version, at, rows): one row a committed version."""
-    return manifest(spark, table).groupBy("version").agg(F.min("at").alias("at"), F.sum("rows").alias("rows"))
+    """(version, at, rows): one row a version that can be read, with the rows that its commit wrote."""
+    known = manifest(spark, table)
+    floor = known.agg(F.coalesce(F.max("floor"), F.lit(0)).alias("f"))
+    return known.where("kind <> 'expire'").join(F.broadcast(floor), F.col("version") >= F.col("f")).select("version", "at", "rows")
+
 
+def _spans(spark: SparkSession, table: Table) -> DataFrame:
+    """(version, until, folder, rows): from which version on, and before which, the files of a commit are part of the table.
 
-def _live(spark: SparkSession, table: Table, version: int | None) -> list:
-    """The manifest rows whose files make up a version: for each partition the last one, and none before a replacement."""
-    rows = manifest(spark, table).where(F.lit(version is None) | (F.col("version") <= F.lit(version or 0))).orderBy("version").collect()
-    live: dict[str, list] = {}
-    for r in rows:
-        if r["partition"] == "*":
-            live = {"*": [r]}
-        elif r["partition"].endswith("+"):
-            live.setdefault(r["partition"][:-1], []).append(r)
-        else:
-            live[r["partition"]] = [r]
-    return [r for part in live.values() for r in part if r["rows"]]
+    A later overwrite of its partition ends it, and so does a later replacement of the whole table. One row a commit.
+    """
+    m = manifest(spark, table).where("kind <> 'expire'")
+    later = lambda kind, *by: F.min(F.when(F.col("kind") == kind, F.col("version"))).over(W.partitionBy(*by).orderBy("version").rowsBetween(1, W.unboundedFollowing))
+    ends = F.least(F.when(F.col("kind") != "replace", later("overwrite", "partition")), later("replace", F.lit(0)))
+    return m.select("version", ends.alias("until"), "folder", "rows").where("rows > 0")
+
+
+def live_folders(spark: SparkSession, table: Table, version: int) -> DataFrame:
+    """(folder, rows): what makes up one version."""
+    return _spans(spark, table).where((F.col("version") <= version) & (F.col("until").isNull() | (F.col("until") > version))).select("folder", "rows")
 
 
 def read_version(spark: SparkSession, table: Table, version: int | None = None) -> DataFrame:
-    """A version of a table, the newest if none is named."""
-    rows = _live(spark, table, version)
-    known = manifest(spark, table).orderBy(F.desc("version")).limit(1).collect()
-    if not known:
-        raise LookupError(f"{table.namespace}.{table.name} was never published")
-    schema = T._parse_datatype_string(known[0]["columns"])
-    return spark.read.schema(schema).parquet(*[r["folder"] for r in rows]) if rows else spark.createDataFrame([], schema)
+    """A version of a table, the newest if none is named; one that was never committed, or has expired, is refused."""
+    known = versions(spark, table)
+    if version is not None:
+        known = known.where(F.col("version") == version)
+    wanted = known.agg(F.max("version")).first()[0]
+    if wanted is None:
+        raise LookupError(f"{table.namespace}.{table.name} has no version {'' if version is None else version} to read".replace("  ", " "))
+    schema = T._parse_datatype_string(_log(spark, table).read(wanted)["columns"])
+    folders = [r["folder"] for r in live_folders(spark, table, wanted).select("folder").collect()]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
 def staged(df: DataFrame, table: Table, partition: dict[str, str]) -> DataFrame:
@@ -98,7 +118,7 @@ def staged(df: DataFrame, table: Table, partition: dict[str, str]) -> DataFrame:
         cols = [F.lit(partition[f.name]).cast(f.dataType).alias(f.name) if f.name in partition else F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in want.fields]
         return df.select(*cols)
     own = [c for c in df.columns if c not in partition]
-    return df.select(*[F.col(f"`{c}`") for c in own], *[F.lit(v).alias(k) for k, v in partition.items()])
+    return df.select(*[F.col(f"`{c}`") for c in own], *[F.lit(v).cast("string").alias(k) for k, v in partition.items()])
 
 
 def publish(df: DataFrame, table: Table, partition: dict[str, str], mode: str = "overwrite", at: datetime | None = None) -> dict:
@@ -111,8 +131,8 @@ def publish(df: DataFrame, table: Table, partition: dict[str, str], mode: str =
     spark = df.sparkSession
     rows = staged(df, table, partition)
     folder = f"{table.path}/data/{uuid.uuid4().hex}"
-    rows.write.option("compression", "zstd").parquet(f"{folder}/_stage")
-    stage = spark.read.schema(rows.schema).parquet(f"{folder}/_stage")
+    rows.write.option("compression", "zstd").parquet(f"{folder}/stage")
+    stage = spark.read.schema(rows.schema).parquet(f"{folder}/stage")
     counts = stage.agg(F.count("*").alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in table.not_null]).first()
     for c in table.not_null:
         if counts[c]:
@@ -121,26 +141,34 @@ def publish(df: DataFrame, table: Table, partition: dict[str, str], mode: str =
         n = violations(stage).count()
         if n:
             raise CheckFailed(f"{name}: {n} violations")
-    known = manifest(spark, table)
-    last = known.agg(F.max("version")).first()[0] or 0
-    if last and mode != "replace":
-        have = T._parse_datatype_string(known.orderBy(F.desc("version")).first()["columns"])
-        if sorted(f.name for f in have.fields) != sorted(rows.columns):
-            raise ValueError("the table has other columns; replace it")
-        stage = stage.select(*[F.col(f.name).cast(f.dataType) for f in have.fields])
-        if stage.schema.simpleString() != rows.schema.simpleString():
-            stage.write.option("compression", "zstd").parquet(f"{folder}/_typed")
-            folder = f"{folder}/_typed"
-        else:
-            folder = f"{folder}/_stage"
-        columns = have
-    else:
-        folder, columns = f"{folder}/_stage", rows.schema
-    part = {"overwrite": "/".join(f"{k}={v}" for k, v in partition.items()), "replace": "*"}.get(mode, "/".join(f"{k}={v}" for k, v in partition.items()) + "+")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.fields)
-    row = (last + 1, part, folder, counts["_n"], ddl, at or datetime(1970, 1, 1))
-    spark.createDataFrame([row], _MANIFEST).coalesce(1).write.mode("append").parquet(f"{table.path}/_manifest")
-    return {"namespace": table.namespace, "table": table.name, "version": last + 1, "rows": counts["_n"], "columns": len(columns.fields)}
+    log = _log(spark, table)
+    number = log.latest()[0] + 1
+    while True:
+        # what another writer has committed meanwhile is looked at again before each try
+        columns, at_folder = _fitted(spark, log, number, stage, rows.schema, folder, mode)
+        entry = {
+            "version": number, "kind": mode, "partition": None if mode == "replace" else json.dumps(partition, sort_keys=True), "folder": at_folder, "rows": counts["_n"],
+            "columns": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.fields), "at": _stamp(at),
+        }
+        if log.commit(number, entry):
+            return {"namespace": table.namespace, "table": table.name, "version": number, "rows": counts["_n"], "columns": len(columns.fields)}
+        number = max(number, log.latest()[0]) + 1
+
+
+def _fitted(spark: SparkSession, log: CommitLog, number: int, stage: DataFrame, schema: T.StructType, folder: str, mode: str) -> tuple[T.StructType, str]:
+    """The columns that a commit of staged rows has, in the order of the table before it, and the folder that holds them so."""
+    before = [n for n in log.numbers() if n < number]
+    if mode == "replace" or not before:
+        return schema, f"{folder}/stage"
+    have = T._parse_datatype_string(log.read(before[-1])["columns"])
+    if sorted(f.name for f in have.fields) != sorted(schema.names):
+        raise ValueError("the table has other columns; replace it")
+    typed = stage.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in have.fields])
+    if typed.schema.simpleString() == schema.simpleString():
+        return have, f"{folder}/stage"
+    at = f"{folder}/typed-{number}"
+    typed.write.option("compression", "zstd").parquet(at)
+    return have, at
 
 
 def has_table(spark: SparkSession, table: Table) -> bool:
@@ -165,12 +193,61 @@ def latest_partition(spark: SparkSession, table: Table, key: str = "ds") -> str:
     return found
 
 
-def expire(spark: SparkSession, table: Table, keep: int) -> DataFrame:
-    """(version, folder) of files that the last keep versions no longer need; the caller may delete them."""
-    known = [r["version"] for r in versions(spark, table).orderBy("version").collect()]
-    needed = {r["folder"] for v in known[-keep:] for r in _live(spark, table, v)}
-    m = manifest(spark, table).select("version", "folder").collect()
-    return spark.createDataFrame([(r["version"], r["folder"]) for r in m if r["folder"] not in needed], "version long, folder string")
+def _utc(at: datetime) -> datetime:
+    return at if at.tzinfo else at.replace(tzinfo=UTC)
+
+
+def _stamp(at: datetime | None) -> str:
+    """A time as it is committed; now, if none is given. Times without a zone are in UTC."""
+    return _utc(at or datetime.now(UTC)).astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+
+
+def expire(spark: SparkSession, table: Table, older_than: datetime) -> list[int]:
+    """End the versions that were committed before a time, but never the newest; their numbers come back.
+
+    An expired version can't be read from then on. Files stay until they are swept.
+    """
+    known = versions(spark, table)
+    newest = known.agg(F.max("version")).first()[0]
+    if newest is None:
+        return []
+    # a version is kept with all that follow it: a later one may have an earlier time where clocks differ
+    kept = known.where((F.col("at") >= F.lit(_utc(older_than))) | (F.col("version") == newest)).agg(F.min("version")).first()[0]
+    gone = [r["version"] for r in known.where(F.col("version") < kept).orderBy("version").collect()]
+    log = _log(spark, table)
+    while gone:  # another writer may take the number
+        number = log.latest()[0] + 1
+        if log.commit(number, {"version": number, "kind": "expire", "floor": kept, "columns": log.read(number - 1)["columns"], "at": _stamp(None)}):
+            break
+    return gone
+
+
+def stray_files(spark: SparkSession, table: Table, older_than: datetime) -> DataFrame:
+    """(path, length, modified, folder) of the data files that no version left needs and that were written before a time.
+
+    The time spares publications that are still on their way: choose it further back than any job runs. Files are listed
+    by Spark, which does so on the executors where there are many folders, and never opened.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{table.path}/data").select("path", "length", F.col("modificationTime").alias("modified"))
+    files = files.withColumn("folder", F.regexp_extract("path", r"/data/([0-9a-f]{32}/[^/]+)/[^/]*$", 1))
+    first = versions(spark, table).agg(F.min("version").alias("first"))
+    spans = _spans(spark, table).join(F.broadcast(first), F.col("until").isNull() | (F.col("until") > F.col("first")))
+    needed = spans.select(F.regexp_extract("folder", r"/data/([0-9a-f]{32}/[^/]+)$", 1).alias("folder"))
+    return files.join(needed, "folder", "left_anti").where(F.col("modified") < F.lit(_utc(older_than))).select("path", "length", "modified", "folder")
+
+
+def sweep(spark: SparkSession, table: Table, older_than: datetime) -> dict:
+    """Delete the stray files of a table, folder by folder; {folders, files, bytes} comes back.
+
+    Expired versions lose their files by it, and so do publications that failed. A sweep that is cut short leaves strays
+    to the next one.
+    """
+    found = {"folders": 0, "files": 0, "bytes": 0}
+    strays = stray_files(spark, table, older_than).groupBy("folder").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    for r in strays.toLocalIterator():
+        delete_folder(spark, f"{table.path}/data/{r['folder']}")
+        found = {"folders": found["folders"] + 1, "files": found["files"] + r["files"], "bytes": found["bytes"] + r["bytes"]}
+    return found
 
 
 @dataclass(frozen=True)
