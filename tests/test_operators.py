@@ -162,26 +162,9 @@ def test_objects_are_written_once_and_audited(spark, tmp_path):
     assert {r["verdict"] for r in files.audit_objects(spark, str(tmp_path), "p", "r").collect()} == {"ok", "extra"}
 
 
-def test_stores_survive_a_new_stream_and_a_shrink(spark, tmp_path):
+def test_files_to_refresh(spark):
     from tracelake.streaming import jobs
 
-    make = lambda *r: spark.createDataFrame(list(r), "k string, v int, file string")
-    put = jobs.upsert(f"{tmp_path}/u", ["k"], ["v"])
-    put(make(("a", 1, "f"), ("b", 1, "f")), 0)
-    put(make(("a", 3, "f"), ("b", 0, "f")), 1)
-    put(make(("a", 3, "f"), ("b", 0, "f")), 1)  # a batch that is run again
-    put(make(("c", 1, "f")), 0)  # a new stream over the same store
-    assert rows(jobs.last_folder(f"{tmp_path}/u", spark).select("k", "v"), "k") == [("a", 3), ("b", 1), ("c", 1)]
-    keep = jobs.rewrite_sessions(f"{tmp_path}/s", "k")
-    keep(make(("a", 1, "f"), ("b", 1, "f")), 0)
-    keep(make(("a", 2, "f")), 0)
-    assert rows(spark.read.parquet(f"{tmp_path}/s").select("k", "v"), "k", "v") == [("a", 1), ("a", 2), ("b", 1)]
-    blocks = jobs.refresh_blocks(f"{tmp_path}/b", "file", "k", ["v"])
-    blocks(make(*[(f"k{i}", i, "f1") for i in range(5)]), 0)
-    blocks(make(("k0", 9, "f1")), 1)  # the newest batch holds fewer rows
-    assert rows(jobs.last_folder(f"{tmp_path}/b", spark).select("k", "v", "is_repeat"), "k") == [("k0", 9, False)]
-    with pytest.raises(LookupError):
-        jobs.last_folder(f"{tmp_path}/none", spark)
     listing = spark.createDataFrame([("old", at("08:00:00")), ("late", at("09:58:00")), ("new", at("11:00:00")), ("unseen", at("01:00:00"))], "file string, modified timestamp")
     seen = spark.createDataFrame([("old",), ("late",), ("late",), ("new",)], "file string")
     todo = jobs.files_to_refresh(listing, seen, "file", "modified", F.lit(at("10:00:00")), F.expr("interval 5 minutes"))

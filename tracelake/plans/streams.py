@@ -43,7 +43,7 @@ def l1_session_store(spark: SparkSession, d: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     s, base = _landed(spark, d)
     J.each_batch(s.select("event_id", "user_id"), J.rewrite_sessions(f"{base}/store", "user_id"), f"{base}/ck").awaitTermination()
-    return spark.read.parquet(f"{base}/store").select("event_id", F.col("user_id").cast("long").alias("user_id"))
+    return J.read_store(spark, f"{base}/store")
 
 
 @query("SELECT event_id, event_id > min(event_id) OVER (PARTITION BY user_id, event_type, props) AS is_repeat FROM events")
@@ -52,15 +52,15 @@ def l2_block_refresh(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     rows = e.select("event_id", "ts", F.expr("event_id div 100").alias("file"), F.concat_ws("|", "user_id", "event_type", "props").alias("id"))
     s, base = _landed(spark, d, rows, by="file")
-    J.each_batch(s, J.refresh_blocks(f"{base}/blocks", "file", "id", ["event_id"]), f"{base}/ck").awaitTermination()
-    return J.last_folder(f"{base}/blocks", spark).select("event_id", "is_repeat")
+    J.each_batch(s, J.refresh_blocks(f"{base}/blocks", "file"), f"{base}/ck").awaitTermination()
+    return J.read_blocks(spark, f"{base}/blocks", "id", ["event_id"]).select("event_id", "is_repeat")
 
 
 @query("SELECT user_id, arg_max(event_id, ts) AS event_id, max(ts) AS ts FROM events GROUP BY user_id")
 def l3_newest_wins(spark: SparkSession, d: str) -> DataFrame:
     s, base = _landed(spark, d)
     J.each_batch(s.select("user_id", "event_id", "ts"), J.upsert(f"{base}/new", ["user_id"], ["ts", "event_id"]), f"{base}/ck").awaitTermination()
-    return J.last_folder(f"{base}/new", spark)
+    return J.read_store(spark, f"{base}/new")
 
 
 @query("SELECT event_id, user_id FROM events")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
 
@@ -75,3 +76,13 @@ def delete_folder(spark: SparkSession, path: str) -> bool:
     """Remove a folder with all it holds, on any file system that Spark knows."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def child_folders(spark: SparkSession, path: str, older_than: datetime | None = None) -> list[str]:
+    """The names of the folders right below a folder, or of those last changed before a time (in UTC, if it has no zone)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    until = None if older_than is None else 1000 * (older_than if older_than.tzinfo else older_than.replace(tzinfo=UTC)).timestamp()
+    return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and (until is None or s.getModificationTime() < until)]

@@ -7,12 +7,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from tracelake.operators.activity import mark_repeats
 from tracelake.operators.relational import newest_per_key
 from tracelake.operators.rules import Rule, verdict_columns
-from tracelake.session import cut
+from tracelake.streaming.store import BucketStore, batch_source
 
 
 def read_stream(spark: SparkSession, path: str, schema, max_files: int = 100) -> DataFrame:
@@ -29,56 +28,32 @@ def each_batch(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint:
     return df.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _stored(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
-    """What a folder holds, whatever stream wrote it; None if there is none."""
-    try:
-        return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
+def rewrite_sessions(path: str, key: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A batch function that adds the rows it sees to the sessions of their keys; equal rows stay as many as they are.
 
-
-def _turn(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
-    """The rows of the folder that was written last, as the note beside it says, and the number of the other folder."""
-    note = _stored(spark, f"{path}/last")
-    if note is None:
-        return None, 0
-    v = note.first()["v"]
-    return spark.read.parquet(f"{path}/v{v}"), 1 - v
-
-
-def _write_turn(rows: DataFrame, path: str, v: int) -> None:
-    """Write a folder whole, then note that it is the last."""
-    rows.write.mode("overwrite").parquet(f"{path}/v{v}")
-    rows.sparkSession.range(1).select(F.lit(v).alias("v")).write.mode("overwrite").parquet(f"{path}/last")
-
-
-def rewrite_sessions(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A batch function that rewrites the partitions of the keys it sees, whole, with what is stored and what is new.
-
-    The stored rows are cut from the folder that is written to by a checkpoint; a batch that runs twice changes nothing.
+    The buckets of the keys are rewritten, no others. A batch that runs twice is taken in once.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        both, stored = batch, _stored(batch.sparkSession, path, batch.schema)
-        if stored is not None:
-            both = stored.join(batch.select(key).distinct(), key, "left_semi").select(*batch.columns).unionByName(batch)
-        cut(both.distinct()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+        BucketStore(batch.sparkSession, path, [key], buckets).merge(batch, lambda old, new: old.unionByName(new), batch_source(batch), number)
 
     return run
 
 
-def upsert(path: str, keys: Sequence[str], version: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """A batch function that keeps the newest row of every key in alternating folders; safe to run twice on one batch, or by a new stream over a store."""
+def upsert(path: str, keys: Sequence[str], version: Sequence[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A batch function that keeps the newest row of every key; safe to run twice on one batch, or by a new stream over a store."""
 
     def run(batch: DataFrame, number: int) -> None:
-        old, v = _turn(batch.sparkSession, path)
-        _write_turn(newest_per_key(batch if old is None else old.unionByName(batch), keys, version), path, v)
+        BucketStore(batch.sparkSession, path, keys, buckets).merge(batch, lambda old, new: newest_per_key(old.unionByName(new), keys, version))
 
     return run
 
 
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """What the batches of rewrite_sessions, upsert or refresh_blocks have stored."""
+    return BucketStore(spark, path, []).read()
+
+
 def first_copies(stream: DataFrame, key: str, ts: str, late: str) -> DataFrame:
     """Each id once, as long as its copies come within the lateness."""
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
@@ -121,31 +96,26 @@ def stream_verdicts(stream: DataFrame, rules: Sequence[Rule], keys: Sequence[str
     return verdict_columns(stream, rules, keys)
 
 
-def refresh_blocks(path: str, file: str, id_col: str, order: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """A batch function that replaces the rows of the files it sees and marks repeats anew; a batch may run twice.
+def refresh_blocks(path: str, file: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A batch function that replaces the rows of the files it sees; a batch may run twice.
 
-    Batches are expected to hold a changed file whole. Two folders take turns, so no folder is read and written at once.
+    Batches are expected to hold a changed file whole.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        old, v = _turn(batch.sparkSession, path)
-        rows = batch
-        if old is not None:
-            rows = old.drop("is_repeat").join(batch.select(file).distinct(), file, "left_anti").unionByName(batch)
-        _write_turn(mark_repeats(rows, id_col, order), path, v)
+        replace = lambda old, new: old.join(new.select(file).distinct(), file, "left_anti").unionByName(new)
+        BucketStore(batch.sparkSession, path, [file], buckets).merge(batch, replace)
 
     return run
 
 
+def read_blocks(spark: SparkSession, path: str, id_col: str, order: Sequence[str]) -> DataFrame:
+    """The rows that refresh_blocks has stored, with repeats marked: whether a row is the first of its id may change with any other file, so it is told when rows are read."""
+    return mark_repeats(read_store(spark, path), id_col, order)
+
+
 def files_to_refresh(listing: DataFrame, stored: DataFrame, file: str, modified: str, since: Column, overlap: Column) -> DataFrame:
     """Files of a listing that changed since the last refresh less an overlap, or that are not stored yet."""
     known = stored.select(file).distinct().withColumn("_known", F.lit(True))
     return listing.join(known, file, "left").where((F.col(modified) >= since - overlap) | F.col("_known").isNull()).select(*listing.columns)
 
-
-def last_folder(path: str, spark: SparkSession) -> DataFrame:
-    """What the newest batch of refresh_blocks or upsert wrote."""
-    rows, _ = _turn(spark, path)
-    if rows is None:
-        raise LookupError(f"nothing is stored in {path}")
-    return rows
