@@ -136,12 +136,15 @@ def turns(prompts: DataFrame, replies: DataFrame, key: str, ts: str, take: Seque
 
 
 def live_sessions(last_seen: DataFrame, now: Column, minutes: int, exempt: Sequence[str]) -> DataFrame:
-    """Sessions (session, branch, last) active in the last minutes, with idle minutes and the others on their branch."""
+    """(session, branch, idle, n_others): sessions (session, branch, last) active in the last minutes, with idle minutes and how many others are live on their branch.
+
+    Exempt branches have no others. Who the others are is the rows of the same branch: a session's row does not list
+    them, so that a busy branch costs no pairs.
+    """
     idle = F.floor((F.unix_seconds(now) - F.unix_seconds(F.col("last").cast("timestamp"))) / 60)
     live = last_seen.withColumn("idle", idle).where(F.col("idle").between(0, minutes))
-    others = live.where(~F.col("branch").isin(*exempt)).select(F.col("session").alias("other"), "branch")
-    met = live.join(others, "branch", "left").groupBy("session", "branch", "idle").agg(F.array_sort(F.collect_set(F.when(F.col("other") != F.col("session"), F.col("other")))).alias("others"))
-    return met
+    many = live.where(F.col("branch").isNotNull() & ~F.col("branch").isin(*exempt)).groupBy("branch").agg((F.count("*") - 1).alias("n_others"))
+    return live.join(many, "branch", "left").select("session", "branch", "idle", F.coalesce("n_others", F.lit(0)).cast("long").alias("n_others"))
 
 
 def external_actions(calls: DataFrame, rules: DataFrame, text: str) -> DataFrame:

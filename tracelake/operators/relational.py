@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelake.session import cut
+
 
 def asof_join(left: DataFrame, right: DataFrame, on: str, left_ts: str, right_ts: str, take: Sequence[str], strict: bool = False, bucket_seconds: int | None = None) -> DataFrame:
     """left with the columns take of the last right row of the same key at or before (strict: before) its time.
@@ -85,32 +87,70 @@ def due_tables(sources: DataFrame, log: DataFrame, table: str, status: str, fini
     return found.orderBy(F.col("overdue").desc_nulls_first(), table).limit(n)
 
 
-def prefix_budget(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], text: str, max_rows: int, max_bytes: int) -> DataFrame:
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column], parts: int | None = None) -> DataFrame:
+    """df with a running total of each of sums over the rows of its group in order, the row itself included; groups may be of any size.
+
+    Two passes: rows are dealt by ranges of group and order, so that a large group lies in many tasks, and each range
+    sums up what it has of a group; then every row adds up within its range, beginning with what the ranges before it
+    have of the group. A range has at most one group that began before it, so those beginnings are few and are broadcast.
+    Rows of equal order follow each other as they come: make the order unique where that matters. Null values add
+    nothing; null keys are a group, null orders come first.
+    """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    value, total, part, row = (f"_{x}" for x in ("value", "total", "part", "row"))
+    by = [F.col(f"`{c}`").asc_nulls_first() for c in (*keys, *order)]
+    df = df.withColumns({f"{value}{i}": c for i, c in enumerate(sums.values())}).repartitionByRange(n, *by)
+    # written down: a range that is dealt anew may have other bounds
+    dealt = cut(df.sortWithinPartitions(*by).withColumns({part: F.spark_partition_id(), row: F.monotonically_increasing_id()}))
+    k = [F.col(f"`{c}`") for c in keys]
+    own = dealt.groupBy(part, *k).agg(*[F.sum(f"{value}{i}").alias(f"{total}{i}") for i in range(len(sums))])
+    before = W.partitionBy(*k).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    begins = own.withColumns({f"{total}{i}": F.coalesce(F.sum(f"{total}{i}").over(before), F.lit(0)) for i in range(len(sums))} | {row: F.row_number().over(W.partitionBy(*k).orderBy(part))})
+    begins = begins.where(F.col(row) > 1).select(F.col(part).alias("_p"), *[c.alias(f"_k{i}") for i, c in enumerate(k)], *[f"{total}{i}" for i in range(len(sums))])
+    same = F.col(part) == F.col("_p")
+    for i, c in enumerate(k):
+        same = same & c.eqNullSafe(F.col(f"_k{i}"))
+    local = W.partitionBy(part, *k).orderBy(row).rowsBetween(W.unboundedPreceding, 0)
+    met = dealt.join(F.broadcast(begins), same, "left")  # at most one row a range
+    for i, name in enumerate(sums):
+        met = met.withColumn(name, F.coalesce(F.sum(f"{value}{i}").over(local), F.lit(0)) + F.coalesce(f"{total}{i}", F.lit(0)))
+    return met.drop(part, row, "_p", *[f"_k{i}" for i in range(len(k))], *[f"{x}{i}" for x in (value, total) for i in range(len(sums))])
+
+
+def prefix_budget(df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, max_rows: int, max_bytes: int) -> DataFrame:
     """Per group the longest prefix of rows within a row and a byte budget; no row is skipped to fit a later one.
 
     Adds returned, total, truncated and reason (rows, bytes or null) to every row that is returned. A group whose first
     row alone is over the budget returns none: one row stands for it, with its keys, nulls for the other columns, and
-    the reason oversized_row (rows, if no row may be returned at all).
+    the reason oversized_row (rows, if no row may be returned at all). Groups may be of any size: their rows are added up
+    in ranges, and what comes after is sums by group.
     """
     columns = df.columns
-    w = W.partitionBy(*keys).orderBy(*order)
-    every = W.partitionBy(*keys)
-    df = df.withColumns({"_n": F.row_number().over(w), "_bytes": F.sum(F.coalesce(F.octet_length(text), F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0)), "total": F.count("*").over(every)})
+    df = cut(running_totals(df, keys, order, {"_n": F.lit(1), "_bytes": F.octet_length(text).cast("long")}))
     fits = (F.col("_n") <= max_rows) & (F.col("_bytes") <= max_bytes)
-    df = df.withColumn("returned", F.count_if(fits).over(every))
-    # the sum never falls, so the rows that fit are a prefix
-    over = F.max(F.when((F.col("_n") == F.col("returned") + 1) & (F.col("_bytes") > max_bytes), 1)).over(every)
+    k = [F.col(f"`{c}`") for c in keys]
+    # the sum never falls, so the rows that fit are a prefix, and the first that does not is over the bytes if its sum is
+    found = df.groupBy(*k).agg(F.count("*").alias("total"), F.count_if(fits).alias("returned"), F.min(F.when(F.col("_bytes") > max_bytes, F.col("_n"))).alias("_over"))
+    found = found.select(*[c.alias(f"_k{i}") for i, c in enumerate(k)], "total", "returned", "_over")
+    same = F.lit(True)
+    for i, c in enumerate(k):
+        same = same & c.eqNullSafe(F.col(f"_k{i}"))
     none = F.col("returned") == 0
-    df = df.withColumn("_over", over).where(fits | none & (F.col("_n") == 1))
-    df = df.withColumns({c: F.when(~none, F.col(c)) for c in columns if c not in keys})
-    return df.withColumns({"truncated": F.col("returned") < F.col("total"), "reason": F.when(F.col("returned") == F.col("total"), None).when(none & F.lit(max_rows > 0), "oversized_row").when((F.col("returned") >= max_rows) | F.col("_over").isNull(), "rows").otherwise("bytes")}).drop("_n", "_bytes", "_over")
+    df = df.where(fits | (F.col("_n") == 1)).join(found, same).where(fits | none)
+    df = df.withColumns({c: F.when(~none, F.col(f"`{c}`")) for c in columns if c not in keys})
+    over = F.coalesce(F.col("_over") == F.col("returned") + 1, F.lit(False))
+    reason = F.when(F.col("returned") == F.col("total"), None).when(none & F.lit(max_rows > 0), "oversized_row").when((F.col("returned") >= max_rows) | ~over, "rows").otherwise("bytes")
+    return df.withColumns({"truncated": F.col("returned") < F.col("total"), "reason": reason}).drop("_n", "_bytes", "_over", *[f"_k{i}" for i in range(len(k))])
 
 
 def pack_batches(df: DataFrame, group: Sequence[str], key: str, size: Column, limit: int) -> DataFrame:
-    """(group, key, size, batch): keys of a group in order, packed to batches of about limit; a key stays whole."""
+    """(group, key, size, batch): keys of a group in order, packed to batches of about limit; a key stays whole.
+
+    Groups may be of any size: their keys are added up in ranges.
+    """
     sums = df.groupBy(*group, key).agg(F.sum(size).alias("size"))
-    before = F.coalesce(F.sum("size").over(W.partitionBy(*group).orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return sums.withColumn("batch", F.floor(before / limit).cast("long"))
+    run = running_totals(sums, group, [key], {"_until": F.col("size")})
+    return run.withColumn("batch", F.floor((F.col("_until") - F.coalesce("size", F.lit(0))) / limit).cast("long")).drop("_until")
 
 
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], starts: Column, name: str = "island") -> DataFrame:

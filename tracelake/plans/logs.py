@@ -78,7 +78,7 @@ def e4_file_durations(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_LINES + r"""SELECT line_no, CAST(regexp_extract(content, 'setup=([\d.]+)', 1) AS DOUBLE) AS setup, CAST(regexp_extract(content, 'call=([\d.]+)', 1) AS DOUBLE) AS call, CAST(regexp_extract(content, 'setup=([\d.]+)', 1) AS DOUBLE) + CAST(regexp_extract(content, 'call=([\d.]+)', 1) AS DOUBLE) + 1 AS wall FROM lines WHERE starts_with(content, 'phases: ')""")
 def e5_phase_map(spark: SparkSession, d: str) -> DataFrame:
-    t = _lines(spark, d).where(F.col("content").startswith("phases: ")).withColumn("m", L.phase_map(F.substring("content", 9, 1000)))
+    t = _lines(spark, d).where(F.col("content").startswith("phases: ")).withColumn("m", L.phase_map(F.substr("content", F.lit(9))))
     return t.select("line_no", F.col("m")["setup"].alias("setup"), F.col("m")["call"].alias("call"), F.aggregate(F.map_values("m"), F.lit(0.0), lambda s, x: s + x).alias("wall"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.operators import text as X
+from tracelake.operators.text_index import TextIndex
 from tracelake.session import scratch, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -151,16 +152,15 @@ def f16_bm25(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_BM25)
 def f17_inverted_index(spark: SparkSession, d: str) -> DataFrame:
-    """The same search from a written index: postings by term bucket and a statistics row."""
-    base = scratch(spark, "index")
-    docs = table(spark, d, "documents")
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(8))
-    X.postings(docs, "doc_id", "text").withColumn("bucket", bucket("term")).write.partitionBy("bucket").parquet(f"{base}/postings")
-    docs.agg(F.count("*").alias("_n"), F.avg(F.size(X.tokens(F.col("text")))).alias("_avg")).write.parquet(f"{base}/stats")
-    index, stats = spark.read.parquet(f"{base}/postings"), spark.read.parquet(f"{base}/stats")
-    wanted = spark.createDataFrame(_QUERIES, "query string, text string").select("query", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    hits = index.join(wanted.select("term", bucket("term").cast("int").alias("bucket")).distinct(), ["bucket", "term"], "left_semi").select("id", F.col("n_terms").alias("len"), "term", "tf")
-    return X.rank_bm25(hits, stats, wanted, 20, 1.2, 0.75).withColumn("score", F.round("score", 6))
+    """The same search from a written index that was refreshed: at first every fifth document has another text, every seventh is missing, and others are there that are then removed."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    index = TextIndex(spark, scratch(spark, "index"), 8)
+    stale = docs.where("doc_id % 7 > 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("heavy idiot "), "text")).otherwise(F.col("text")))
+    extra = docs.select((-1 - F.col("doc_id")).alias("doc_id"), "text")
+    index.refresh(stale.unionByName(extra))
+    index.refresh(docs.where("doc_id % 7 = 0 OR doc_id % 5 = 0"), extra.select("doc_id"))
+    queries = spark.createDataFrame(_QUERIES, "query string, text string")
+    return index.search(queries, 20).withColumn("score", F.round("score", 6))
 
 
 @query(_TOKENS + """, c AS (SELECT source, term, count(*) AS tf FROM (SELECT source, unnest(t) AS term FROM t) WHERE length(term) >= 4 GROUP BY ALL), n AS (SELECT count(DISTINCT source) AS n FROM documents), f AS (SELECT term, count(*) AS df FROM c GROUP BY 1)

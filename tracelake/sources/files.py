@@ -186,7 +186,7 @@ def snapshot_tables(sources: dict[str, Callable[[], DataFrame]], path: str, log_
             source().write.parquet(folder)
             return name, spark.read.parquet(folder).count(), "ok", None, folder
         except Exception as e:  # whatever a source raises is its receipt
-            return name, None, "error", str(e)[:200], None
+            return name, None, "error", str(e), None
 
     with ThreadPoolExecutor(parallel) as pool:
         rows = list(pool.map(pull, sources.items()))
