@@ -11,40 +11,52 @@ from html import unescape
 
 import pandas as pd
 
-_TOKEN = re.compile(r"<(script|style)[^>]*>(.*?)</\1>|<!--.*?-->|<![^>]*>|<(/?)([a-z][a-z0-9]*)([^>]*)>|([^<]+)", re.S)
-_ENDLESS = {"meta", "br", "img", "hr", "input", "link"}
-
-
 def _table(sf: str, name: str) -> pd.DataFrame:
     return pd.read_parquet(f"{sf}/{name}.parquet")
 
 
+_ENDLESS = {"meta", "br", "img", "hr", "input", "link"}
+_LINE = {"a", "b", "i", "em", "strong", "span", "code", "sub", "sup"}
+_TAG = re.compile(r"<!--.*?-->|<!DOCTYPE[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+
+
 def _elements(html: str) -> list[dict]:
-    """The elements of a page of the given template: a new paragraph ends the one that is open, with what is open in it."""
+    """The elements of a page of the given template, each with the pieces of text and the elements in it, in order.
+
+    An element ends at its end tag, at that of an element around it, and a paragraph also where the next block begins.
+    """
     out: list[dict] = []
-    path: list[int] = []
-
-    def begin(tag: str) -> None:
-        above = path[-1] if path else None
-        out.append({"id": len(out), "up": above, "tag": tag, "chain": [out[i]["tag"] for i in path], "text": "", "above": list(path)})
-
-    for raw, inner, closing, tag, _, text in _TOKEN.findall(html):
-        if raw:
-            begin(raw)
-            out[-1]["text"] = inner
-        elif text and path:
-            out[path[-1]]["text"] += unescape(text)
-        elif tag and closing:
-            if any(out[i]["tag"] == tag for i in path):
-                while out[path.pop()]["tag"] != tag:
-                    pass
+    path: list[dict] = []
+    at = 0
+    while at < len(html):
+        m = _TAG.search(html, at)
+        if text := html[at : m.start() if m else len(html)]:
+            if path:
+                path[-1]["parts"].append(unescape(text))
+        if not m:
+            break
+        at = m.end()
+        tag = (m[2] or "").lower()
+        if tag and m[1]:
+            names = [e["tag"] for e in path]
+            if tag in names:
+                k = len(names) - 1 - names[::-1].index(tag)
+                if not (tag in _LINE and any(n not in _LINE for n in names[k + 1 :])):
+                    del path[k:]
         elif tag:
-            if tag == "p":
-                while path and out[path[-1]]["tag"] in ("p", "b"):
-                    path.pop()
-            begin(tag)
-            if tag not in _ENDLESS:
-                path.append(len(out) - 1)
+            names = [e["tag"] for e in path]
+            if tag not in _LINE and tag not in _ENDLESS and "p" in names:
+                del path[names.index("p") :]
+            e = {"id": len(out), "up": path[-1]["id"] if path else None, "tag": tag, "chain": [x["tag"] for x in path], "above": [x["id"] for x in path], "parts": []}
+            if path:
+                path[-1]["parts"].append(e)
+            out.append(e)
+            if tag in ("script", "style"):
+                end = html.find(f"</{tag}", at)
+                e["parts"].append(html[at : end if end >= 0 else len(html)])
+                at = html.find(">", end) + 1 if end >= 0 else len(html)
+            elif tag not in _ENDLESS:
+                path.append(e)
     return out
 
 
@@ -58,8 +70,36 @@ def _below(nodes: list[dict], i: int) -> int:
 
 def f1_page_blocks(sf: str) -> list[tuple]:
     kinds = {"p": "paragraph", "pre": "code", "li": "item", "title": "title", "td": "cell", "th": "cell"} | {f"h{i}": "heading" for i in range(1, 7)}
-    clean = lambda t: re.sub(r"\s+", " ", t, flags=re.A).strip(" ")
-    return [(p, n["id"], kinds[n["tag"]], int(n["tag"][1]) if kinds[n["tag"]] == "heading" else None, clean(n["text"])) for p, nodes in _pages(sf) for n in nodes if n["tag"] in kinds]
+    fold = lambda t: " ".join(t.split())
+
+    def told(e: dict, whole: bool) -> str:
+        """The text in an element but for that of blocks in it."""
+        return "".join(p if isinstance(p, str) else " " if p["tag"] in kinds or p["tag"] in ("script", "style") else told(p, True) if p["tag"] in _LINE else f" {told(p, True)} " for p in e["parts"])
+
+    out = []
+    for page, nodes in _pages(sf):
+        found = []
+
+        def walk(e: dict) -> None:
+            if e["tag"] in kinds:
+                found.append((e["id"], kinds[e["tag"]], int(e["tag"][1]) if kinds[e["tag"]] == "heading" else None, fold(told(e, True))))
+            loose = ""
+            for p in [*e["parts"], None]:
+                line = p is not None and (isinstance(p, str) or p["tag"] in _LINE)
+                if line:
+                    loose += p if isinstance(p, str) else told(p, True)
+                elif fold(loose):
+                    if e["tag"] not in kinds and e["tag"] not in _LINE and e["tag"] not in ("script", "style"):
+                        found.append((e["id"], "text", None, fold(loose)))
+                    loose = ""
+                if isinstance(p, dict):
+                    walk(p)
+
+        for n in nodes:
+            if n["up"] is None:
+                walk(n)
+        out += [(page, i, *b) for i, b in enumerate(found)]
+    return out
 
 
 def f5_page_nodes(sf: str) -> list[tuple]:

@@ -3,87 +3,64 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelake.operators.page_tree import Tree
 from tracelake.session import cut, share_code
 
-_KINDS = {"p": "paragraph", "pre": "code", "li": "item", "title": "title", "td": "cell", "th": "cell", **{f"h{i}": "heading" for i in range(1, 7)}}
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+_NODES = {"tree_id": "long", "node_id": "long", "parent_id": "long", "depth": "int", "tag": "string", "path": "string", "attrs": "map<string,string>", "text": "string", "descendants": "long"}
 
 
-class _Nodes(HTMLParser):
-    """Elements in page order: (id, parent, depth, tag, path, attributes, own text, last id below)."""
+def _from_trees(pages: DataFrame, columns: list[Column], html_col: str, kinds: dict[str, str], take: Callable[[Tree], list[list]]) -> DataFrame:
+    """Rows of every page's tree, each behind some columns of the page; a page is parsed once, by the task that reads it."""
+    share_code(pages.sparkSession)
+    shape = pa.schema([(name, _ARROW[kind]) for name, kind in kinds.items()])
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.rows: list[list] = []
-        self.open: list[int] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *own, html = (c.to_pylist() for c in batch.columns)
+            out = [[*page, *row] for *page, text in zip(*own, html, strict=True) for row in take(Tree(text))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(shape)], schema=shape)
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "p" and self.open and self.rows[self.open[-1]][3] in ("p", "b"):
-            while self.open and self.rows[self.open[-1]][3] in ("p", "b"):
-                self.open.pop()
-        parent = self.open[-1] if self.open else None
-        path = f"{self.rows[parent][4]}/{tag}" if parent is not None else tag
-        self.rows.append([len(self.rows), parent, len(self.open), tag, path, {k: v or "" for k, v in attrs}, "", 0])
-        if tag not in _VOID:
-            self.open.append(len(self.rows) - 1)
+    return pages.select(*columns, F.col(html_col).alias("html")).mapInArrow(run, ", ".join(f"{k} {v}" for k, v in kinds.items()))
 
-    def handle_endtag(self, tag: str) -> None:
-        for d in range(len(self.open) - 1, -1, -1):
-            if self.rows[self.open[d]][3] == tag:
-                del self.open[d:]
-                return
 
-    def handle_data(self, data: str) -> None:
-        if self.open:
-            self.rows[self.open[-1]][6] += data
+def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(tree_id, node_id, parent_id, depth, tag, path, attrs, text, descendants): the elements of every page, pre-order.
 
-    def done(self) -> list[list]:
-        below = [0] * len(self.rows)
-        for i in range(len(self.rows) - 1, -1, -1):
-            if self.rows[i][1] is not None:
-                below[self.rows[i][1]] += below[i] + 1
-            self.rows[i][7] = below[i]
-        return self.rows
+    End tags that HTML lets authors leave out are implied; text is an element's own, without that of elements in it.
+    """
 
+    def rows(tree: Tree) -> list[list]:
+        return [[*r[:5], list(r[5].items()), *r[6:]] for r in tree.rows]
 
-def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(tree_id, node_id, parent_id, depth, tag, path, attrs, text, descendants): the elements of every page, pre-order."""
-    share_code(pages.sparkSession)
+    return _from_trees(pages, [F.col(id_col).cast("long")], html_col, _NODES, rows)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for page, html in zip(pdf["id"], pdf["html"], strict=True):
-                p = _Nodes()
-                p.feed(html or "")
-                p.close()
-                out += [[page, *row] for row in p.done()]
-            yield pd.DataFrame(out, columns=["tree_id", "node_id", "parent_id", "depth", "tag", "path", "attrs", "text", "descendants"]).astype({"parent_id": "Int64"})
-
-    rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
-    return rows.mapInPandas(run, "tree_id long, node_id long, parent_id long, depth int, tag string, path string, attrs map<string,string>, text string, descendants long")
 
+def page_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(tree_id, pos, node_id, kind, level, content): headings, paragraphs, code, items, cells and other text, in page order.
 
-def page_blocks(pages: DataFrame, **columns) -> DataFrame:
-    """(tree_id, node_id, kind, level, content): headings, paragraphs, code, items and cells in page order."""
-    kinds = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
-    n = page_nodes(pages, **columns).withColumn("kind", F.try_element_at(kinds, F.col("tag"))).where(F.col("kind").isNotNull())
-    level = F.when(F.col("kind") == "heading", F.substring("tag", 2, 1).cast("int"))
-    return n.select("tree_id", "node_id", "kind", level.alias("level"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("content"))
+    The content of a block is all its text, that of inline elements too, but not that of blocks inside it.
+    """
+    kinds = {"tree_id": "long", "pos": "int", "node_id": "long", "kind": "string", "level": "int", "content": "string"}
+    return _from_trees(pages, [F.col(id_col).cast("long")], html_col, kinds, lambda tree: [[i, *b] for i, b in enumerate(tree.blocks)])
 
 
 def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, href, url): links of well-formed anchors, in page order, resolved against the page's URL."""
-    hrefs = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit('<a\\s+href="([^"]*)"'), F.lit(1))
-    t = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("_base"), F.posexplode(hrefs).alias("pos", "href"))
-    return t.withColumn("url", resolve(F.col("_base"), F.col("href"))).drop("_base")
+    """(id, pos, href, url): the anchors of a page that have a href, in page order, resolved against the page's URL.
+
+    Attributes may be in any order and case, quoted or not; anchors in comments and scripts are none.
+    """
+    anchors = lambda tree: [[i, h] for i, h in enumerate(r[5]["href"].strip() for r in tree.rows if r[3] == "a" and "href" in r[5])]
+    kinds = {"id": "long", "_base": "string", "pos": "int", "href": "string"}
+    found = _from_trees(pages, [F.col(id_col).cast("long"), F.col(url_col)], html_col, kinds, anchors)
+    return found.withColumn("url", resolve(F.col("_base"), F.col("href"))).drop("_base")
 
 
 def resolve(base: Column, href: Column) -> Column:
