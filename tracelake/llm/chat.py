@@ -100,18 +100,15 @@ def format_conversations(tree: DataFrame, top: int = 1, loss_role: str = LOSS_RO
     scores = steps.join(worth, ["ck", "node"]).groupBy("ck", "leaf").agg(F.sum("s").alias("score"))
     chosen = scores.withColumn("rank", rank).where(F.col("rank") <= top).select("ck", "leaf", "rank")
     turns = steps.join(chosen, ["ck", "leaf"]).withColumn("at", -F.col("up")).join(words, ["ck", "node"])
-    lines = turns.groupBy("ck", "leaf", "rank").agg(F.first("conv").alias("conv"), F.array_sort(F.collect_list(F.struct("at", "r", "t", F.coalesce("loss", F.lit(False)).alias("loss")))).alias("turns"))
-    mark = lambda x: F.concat(F.lit(HEAD), x["r"], F.lit(COLON))
-    lines = lines.withColumn("parts", F.transform("turns", lambda x: F.concat(mark(x), x["t"], F.lit(END))))
-    sizes = F.transform("parts", lambda p: F.length(p))
-    lines = lines.withColumn("sizes", sizes)
-    starts = F.aggregate("sizes", F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    lines = lines.withColumn("starts", starts)
-    spans = F.filter(
-        F.transform("turns", lambda x, i: F.when(x["loss"], F.struct((F.get("starts", i) + F.length(mark(x))).alias("start"), F.length(x["t"]).alias("length")))),
-        lambda s: s.isNotNull(),
-    )
-    return lines.select("conv", "leaf", "rank", F.array_join("parts", "").alias("formatted"), spans.alias("loss_spans"))
+    mark = F.concat(F.lit(HEAD), F.col("r"), F.lit(COLON))
+    turns = turns.select("ck", "leaf", "rank", "conv", "at", F.coalesce("loss", F.lit(False)).alias("loss"), F.length(mark).alias("before"), F.length("t").alias("size"), F.concat(mark, F.col("t"), F.lit(END)).alias("part"))
+    # where a turn's text begins: the lengths of all turns before it, added up row by row
+    path = W.partitionBy("ck", "leaf").orderBy("at")
+    sums = F.coalesce(F.sum(F.length("part")).over(path.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    turns = turns.withColumn("span", F.when(F.col("loss"), F.struct((sums + F.col("before")).cast("int").alias("start"), F.col("size").alias("length"))))
+    lines = turns.groupBy("ck", "leaf").agg(F.first("rank").alias("rank"), F.first("conv").alias("conv"), F.array_sort(F.collect_list(F.struct("at", "part", "span"))).alias("turns"))
+    spans = F.filter(F.transform("turns", lambda x: x["span"]), lambda s: s.isNotNull())
+    return lines.select("conv", "leaf", "rank", F.array_join(F.transform("turns", lambda x: x["part"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -127,7 +124,9 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the output alone."""
     df = formatted.withColumn("_turns", read_back(F.col("formatted")))
     told = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    lost = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
+    # in four bytes a code point a span is found without counting from the start; the outer array holds the one conversion
+    cut_out = lambda b: F.transform("loss_spans", lambda s: unescape(F.decode(F.substring(b, 4 * s["start"] + 1, 4 * s["length"]), "UTF-32")))
+    lost = F.array_join(F.flatten(F.transform(F.array(F.encode("formatted", "UTF-32")), cut_out)), "")
     df = df.withColumn("_loss", lost)
     return df.select(
         F.col("conv").alias("conv_id"),
