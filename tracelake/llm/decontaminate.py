@@ -35,6 +35,8 @@ PIECE_WORDS = 1 << 13
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 20
+#: Candidates that are looked at together.
+SLICE = 1 << 18
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -75,15 +77,34 @@ class _Shingles:
         self.number_at[inside] = number.ravel()
         width = np.minimum(window or sizes, sizes)
         n_windows = sizes - width + 1
-        self.start = np.concatenate([np.arange(n) + b for n, b in zip(n_windows, begin, strict=True)])
-        self.size = np.repeat(width, n_windows)
-        self.owner = np.repeat(np.array([i for i, _ in items]), n_windows)
+        start = np.concatenate([np.arange(n) + b for n, b in zip(n_windows, begin, strict=True)])
+        self._distinct(start, np.repeat(width, n_windows), np.repeat(np.array([i for i, _ in items]), n_windows))
         code = _mixed(self.ids[:, t] for t in range(k))
         self.order = np.argsort(code, kind="stable")
         self.code = code[self.order]
         self.bits = np.zeros(1 << _TABLE_BITS, bool)
         self.bits[self.code >> np.uint64(64 - _TABLE_BITS)] = True
 
+    def _distinct(self, start: np.ndarray, size: np.ndarray, owner: np.ndarray) -> None:
+        """One window for all that hold the same words, and the items it belongs to."""
+        first, number, n = [], np.empty(len(start), np.int64), 0
+        for width in np.unique(size).tolist():
+            own = np.flatnonzero(size == width)
+            words = np.ascontiguousarray(self.tokens[start[own][:, None] + np.arange(width)])
+            _, at, which = np.unique(words.view(np.dtype((np.void, words.itemsize * width))).ravel(), return_index=True, return_inverse=True)
+            first.append(own[at])
+            number[own] = n + which.ravel()
+            n += len(at)
+        first = np.concatenate(first)
+        self.start, self.size = start[first], size[first]
+        pairs = np.unique(np.stack([number, owner], axis=1), axis=0)
+        self.owner = pairs[:, 1]
+        self.first_owner = np.searchsorted(pairs[:, 0], np.arange(n + 1))
+
+    def owners(self, j: np.ndarray) -> list[int]:
+        """The items that some of the windows belong to."""
+        return sorted({i for x in np.unique(j).tolist() for i in self.owner[self.first_owner[x] : self.first_owner[x + 1]].tolist()})
+
     def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of known shingles and their numbers, word for word; of shingles that share a hash each is tried."""
         code, at = _codes(ids, self.k)
@@ -159,35 +180,55 @@ class Block:
             table.choose(n, self.containment)
 
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Spans of hit words (start, end) and the items they belong to."""
-        spans: list[tuple[int, int]] = []
+        """Disjoint spans of hit words (start, end) and the items they belong to."""
         items: set[str] = set()
         ids = self.numbered(words)
+        hit = np.zeros(len(ids) + 1, np.int64)  # how many spans open and close at a word
         for table in self.tables:
             at, number = table.find(ids)
             n_post = table.first[number + 1] - table.first[number]
-            if not n_post.any():
-                continue
-            pos = np.repeat(at, n_post)
-            row = np.arange(len(pos)) - np.repeat(np.cumsum(n_post) - n_post, n_post) + np.repeat(table.first[number], n_post)
-            j, start = table.post[row, 0], pos - table.post[row, 1]
-            if self.containment >= 1:
-                fits = (start >= 0) & (start + table.size[j] <= len(ids))
-                j, start = j[fits], start[fits]
-                for o in range(int(table.size[j].max()) if len(j) else 0):
-                    inside = o < table.size[j]
-                    ok = ~inside
-                    ok[inside] = ids[start[inside] + o] == table.tokens[table.start[j[inside]] + o]
-                    j, start = j[ok], start[ok]
-                spans += zip(start.tolist(), (start + table.size[j]).tolist(), strict=True)
-                items.update(self.names[i] for i in np.unique(table.owner[j]).tolist())
-            else:
-                for x in np.unique(j).tolist():
-                    found = self._windows(table, x, at, number, np.unique(start[j == x]))
-                    if found:
-                        spans += found
-                        items.add(self.names[table.owner[x]])
-        return spans, items
+            # candidates are taken in slices, however many windows share a shingle
+            edges = np.searchsorted(np.cumsum(n_post), np.arange(SLICE, int(n_post.sum()) + SLICE, SLICE), "right")
+            low = 0
+            tried: dict[int, set[int]] = {}
+            for high in [*edges[:-1].tolist(), len(at)]:
+                high = max(high, low + 1)
+                if low >= len(at):
+                    break
+                j, start = self._candidates(table, at[low:high], number[low:high], n_post[low:high], len(ids))
+                low = high
+                if self.containment >= 1:
+                    for o in range(int(table.size[j].max()) if len(j) else 0):
+                        inside = o < table.size[j]
+                        ok = ~inside
+                        ok[inside] = ids[start[inside] + o] == table.tokens[table.start[j[inside]] + o]
+                        j, start = j[ok], start[ok]
+                    np.add.at(hit, start, 1)
+                    np.add.at(hit, start + table.size[j], -1)
+                    items.update(self.names[i] for i in table.owners(j))
+                else:
+                    for x in np.unique(j).tolist():
+                        tried.setdefault(x, set()).update(np.unique(start[j == x]).tolist())
+            for x, starts in tried.items():
+                found = self._windows(table, x, at, number, np.array(sorted(starts)))
+                for a, b in found:
+                    hit[a] += 1
+                    hit[b] -= 1
+                if found:
+                    items.update(self.names[i] for i in table.owners(np.array([x])))
+        inside = np.concatenate(([False], np.cumsum(hit) > 0, [False]))
+        ends = np.flatnonzero(inside[1:] != inside[:-1])
+        return list(zip(ends[::2].tolist(), ends[1::2].tolist(), strict=True)), items
+
+    def _candidates(self, table: _Shingles, at: np.ndarray, number: np.ndarray, n_post: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Windows that shingles at some positions propose, and where in the text they would begin; exact ones have to fit in."""
+        pos = np.repeat(at, n_post)
+        row = np.arange(len(pos)) - np.repeat(np.cumsum(n_post) - n_post, n_post) + np.repeat(table.first[number], n_post)
+        j, start = table.post[row, 0], pos - table.post[row, 1]
+        if self.containment >= 1:
+            fits = (start >= 0) & (start + table.size[j] <= n_words)
+            j, start = j[fits], start[fits]
+        return j, start
 
     def _windows(self, table: _Shingles, x: int, at: np.ndarray, number: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
         """Spans of the item's shingles in those item-sized windows that contain enough of them."""
@@ -199,7 +240,7 @@ class Block:
         reach = np.minimum(np.abs(pos - starts[np.minimum(close, len(starts) - 1)]), np.abs(pos - starts[np.maximum(close - 1, 0)])) <= 2 * size
         pos, num = pos[reach].tolist(), num[reach].tolist()
         held: Counter = Counter()
-        lo, spans = 0, []
+        lo, told, spans = 0, 0, []
         for hi in range(len(pos)):
             held[num[hi]] += 1
             while pos[hi] + k - pos[lo] > size:
@@ -208,7 +249,8 @@ class Block:
                     del held[num[lo]]
                 lo += 1
             if len(held) >= need:
-                spans += [(p, p + k) for p in pos[lo : hi + 1]]
+                spans += [(p, p + k) for p in pos[max(lo, told) : hi + 1]]
+                told = hi + 1
         return spans
 
 
