@@ -92,6 +92,20 @@ def l6_live_windows(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").where("user_id >= 0")
 
 
+@query(_SESSIONS + "SELECT user_id, started, ended - INTERVAL 12 HOUR AS last_seen, n FROM w")
+def l6_idle_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """The same sessions from state by key: each is sent by a timer once it has been idle for twelve hours."""
+    s, base = _landed(spark, d)
+    _close(spark, d, s, base, {"user_id": -1})
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.ROCKSDB)
+    try:
+        J.run_available(J.idle_sessions(s, "user_id", "ts", 12 * 3600, "40 days"), f"{base}/out", f"{base}/ck").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.parquet(f"{base}/out").where("user_id >= 0")
+
+
 def _windows_of(spark: SparkSession, d: str, size: str, slide: str | None) -> DataFrame:
     """Windows of a stream with a watermark, each written once, when it is closed."""
     s, base = _landed(spark, d)

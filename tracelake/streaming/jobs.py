@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from tracelake.operators.activity import mark_repeats
 from tracelake.operators.relational import newest_per_key
@@ -73,6 +75,72 @@ def live_windows(stream: DataFrame, key: str, ts: str, gap: str, late: str) -> D
     return t.select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
+class _LastSeen(StatefulProcessor):
+    """Per key the stretches of activity that may still grow; one that has been silent for gap seconds of event time is sent and forgotten."""
+
+    def __init__(self, gap_s: int) -> None:
+        self._gap = pd.Timedelta(seconds=gap_s)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._open = handle.getListState("open", "started timestamp, seen timestamp, n bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = [tuple(r) for r in self._open.get()] if self._open.exists() else []
+        for pdf in rows:
+            held += [(t, t, 1) for t in pdf["ts"].dropna()]
+        merged: list[tuple] = []
+        for started, seen, n in sorted((pd.Timestamp(a), pd.Timestamp(b), int(n)) for a, b, n in held):
+            if merged and started - merged[-1][1] < self._gap:
+                merged[-1] = (merged[-1][0], max(seen, merged[-1][1]), merged[-1][2] + n)
+            else:
+                merged.append((started, seen, n))
+        self._keep(merged)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        held = [(pd.Timestamp(a), pd.Timestamp(b), int(n)) for a, b, n in (tuple(r) for r in self._open.get())] if self._open.exists() else []
+        over = [x for x in held if _ms(x[1] + self._gap) <= now]
+        self._keep([x for x in held if x not in over])
+        if over:
+            yield pd.DataFrame({"key": [key[0]] * len(over), "started": [x[0] for x in over], "last_seen": [x[1] for x in over], "n": [x[2] for x in over]})
+
+    def _keep(self, held: list[tuple]) -> None:
+        for timer in self._handle.listTimers():
+            self._handle.deleteTimer(timer)
+        if held:
+            self._open.put(held)
+            self._handle.registerTimer(min(_ms(seen + self._gap) for _, seen, _ in held))
+        else:
+            self._open.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _ms(t: pd.Timestamp) -> int:
+    """Milliseconds, up: a timer must not go off before its time."""
+    return -(-t.value // 1_000_000)
+
+
+def idle_sessions(stream: DataFrame, key: str, ts: str, gap_seconds: int, late: str) -> DataFrame:
+    """(key, started, last_seen, n): a key's stretch of activity, once it has been silent for so long.
+
+    Last-seen state by key with a timer: a stretch is sent when the watermark passes its last row by the gap, and its
+    state goes with it, so that state holds what was active within the gap and the lateness. Rows may come in any order
+    within the lateness; a row without a time tells nothing; a null key is a key. The same stretches as a batch finds.
+    Needs the state store of RocksDB (spark.sql.streaming.stateStore.providerClass).
+    """
+    kind = stream.schema[key].dataType.simpleString()
+    slim = stream.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", late)
+    return slim.groupBy("key").transformWithStateInPandas(_LastSeen(gap_seconds), f"key {kind}, started timestamp, last_seen timestamp, n bigint", "Append", "EventTime").withColumnRenamed("key", key)
+
+
+#: The state store that keyed state with timers asks for.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def windowed_counts(stream: DataFrame, ts: str, kind: str, size: str, slide: str | None, late: str | None) -> DataFrame:
     """(started, kind, n) by tumbling or sliding windows; the same call serves a table."""
     t = stream.withWatermark(ts, late) if late else stream
