@@ -72,6 +72,18 @@ def a5_read_ndjson(spark: SparkSession, d: str) -> DataFrame:
     return v.select(F.variant_get("id", "$", "string").alias("id"), F.variant_get("kind", "$", "string").alias("kind"), F.variant_get("extra", "$.k", "int").alias("k"))
 
 
+@query("""SELECT 'id' AS field, count(*) AS n, 'STRING' AS kinds, false AS mixed FROM events UNION ALL SELECT 'v', count(*), 'NUMBER,STRING', true FROM events UNION ALL SELECT 'k.' || event_type, count(*), 'ARRAY', false FROM events GROUP BY event_type
+UNION ALL SELECT 'maybe', count(*), 'BOOLEAN,NULL', false FROM events WHERE event_id % 3 > 0 UNION ALL SELECT NULL, count(*), '', false FROM events WHERE event_id % 5 = 0""")
+def a5_discover_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Events as JSON lines with a field named by their kind and values of mixed kinds, and a broken line for every fifth."""
+    v = F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise(F.concat(F.lit('"'), "event_type", F.lit('"')))
+    maybe = F.when(F.col("event_id") % 3 == 1, ', "maybe": null').when(F.col("event_id") % 3 == 2, ', "maybe": true').otherwise("")
+    body = F.concat(F.lit('{"id": "'), "event_id", F.lit('", "v": '), v, F.lit(', "k.'), "event_type", F.lit('": [1]'), maybe, F.lit("}"))
+    e = table(spark, d, "events")
+    lines = e.select(body.alias("content")).union(e.where("event_id % 5 = 0").select(F.concat(F.lit('{"id": '), "event_type")))
+    return S.discover_fields(lines).select("field", "n", F.array_join(F.array_sort(F.map_keys("types")), ",").alias("kinds"), "mixed")
+
+
 @query("SELECT source || '-' || doc_id % 10 AS part, count(DISTINCT 1) AS files, CAST(sum(length(replace(text, chr(10), ''))) AS BIGINT) AS chars FROM documents GROUP BY 1")
 def a6_read_docs(spark: SparkSession, d: str) -> DataFrame:
     """Documents as text files, one for each source and last digit of the id."""
@@ -97,9 +109,26 @@ def a8_parquet_stats(spark: SparkSession, d: str) -> DataFrame:
     return S.parquet_stats(spark, base).groupBy(F.regexp_extract("file_path", "event_type=([^/]+)", 1).alias("event_type")).agg(F.sum("rows").alias("rows"))
 
 
-@query("SELECT 'l_orderkey' AS \"column\", count(*) AS n, count(*) - count(l_orderkey) AS nulls, min(l_orderkey)::VARCHAR AS low, max(l_orderkey)::VARCHAR AS high FROM lineitem UNION ALL SELECT 'l_returnflag', count(*), count(*) - count(l_returnflag), min(l_returnflag), max(l_returnflag) FROM lineitem")
+_LINEITEM = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, count(*) - count({c}) AS nulls, regexp_replace(min({c})::VARCHAR, '^-0.0$', '0.0') AS low, max({c})::VARCHAR AS high FROM lineitem" for c in _LINEITEM))
 def a9_profile(spark: SparkSession, d: str) -> DataFrame:
-    return S.profile(table(spark, d, "lineitem")).where(F.col("column").isin("l_orderkey", "l_returnflag")).select("column", "n", "nulls", "low", "high")
+    """Every column, merged from the profiles of the two kinds of line status."""
+    t = table(spark, d, "lineitem").select(*_LINEITEM)
+    parts = S.profile(t.where("l_linestatus = 'F'")).unionByName(S.profile(t.where("l_linestatus <> 'F'")))
+    return S.merge_profiles(parts).select("column", "n", "nulls", "low", "high")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", {q} AS rank, true AS close FROM lineitem HAVING count(*) > 0" for c in ("l_extendedprice", "l_partkey", "l_quantity") for q in (0.1, 0.5, 0.99)))
+def a9_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles of merged sketches: whether the share of rows below and up to each encloses its rank, within 1.5 %."""
+    t, ranks = table(spark, d, "lineitem").select("l_extendedprice", "l_partkey", "l_quantity", "l_linestatus"), (0.1, 0.5, 0.99)
+    parts = S.profile(t.where("l_linestatus = 'F'")).unionByName(S.profile(t.where("l_linestatus <> 'F'")))
+    q = S.quantiles(S.merge_profiles(parts), ranks).select("column", F.posexplode("quantiles").alias("i", "v")).select("column", F.get(F.array(*map(F.lit, ranks)), F.col("i")).alias("rank"), "v")
+    long = t.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in t.columns[:3]])).alias("s")).select("s.*")
+    share = long.join(F.broadcast(q), "column").groupBy("column", "rank").agg(F.avg((F.col("x") < F.col("v")).cast("int")).alias("below"), F.avg((F.col("x") <= F.col("v")).cast("int")).alias("upto"))
+    return share.select("column", F.col("rank").cast("decimal(3,2)").alias("rank"), ((F.col("below") - 0.015 <= F.col("rank")) & (F.col("upto") + 0.015 >= F.col("rank"))).alias("close"))
 
 
 @query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")

@@ -63,11 +63,37 @@ def select_lines(lines: DataFrame, first: int | None = None, last: int | None =
     return lines.where(F.col("line_no").between(first or 1, last if last is not None else (1 << 62)))
 
 
-def read_ndjson_shallow(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:
-    """JSON lines with the wanted top-level fields as VARIANT columns; lines that are no JSON object are left out."""
-    lines = read_lines(spark, path).withColumn("v", F.try_parse_json("content"))
-    kept = lines.where(F.schema_of_variant("v").startswith("OBJECT"))
-    return kept.select("file_path", "line_no", *[F.try_variant_get("v", f"$.{f}", "variant").alias(f) for f in fields])
+def discover_fields(lines: DataFrame, column: str = "content") -> DataFrame:
+    """(field, n, types, mixed): the top-level fields of JSON lines, how many lines have each, and the kinds of its values.
+
+    One pass over the lines, counted before the shuffle. types: a map from kind to lines; kinds are OBJECT, ARRAY, STRING,
+    NUMBER, BOOLEAN and NULL; mixed: more than one kind but NULL. The field null stands for lines that are no JSON
+    object. A field that an object repeats refuses the line, as it does in VARIANT.
+    """
+    v = F.try_parse_json(column)
+    kind = F.schema_of_variant("v")
+    t = lines.select(v.alias("v")).select("v", F.coalesce(kind.startswith("OBJECT"), F.lit(False)).alias("good"))
+    good = t.where("good")
+    fields = good.lateralJoin(good.sparkSession.tvf.variant_explode(F.col("v").outer())).select(F.col("key").alias("field"), F.schema_of_variant("value").alias("s"))
+    told = F.when(F.col("s").startswith("OBJECT"), "OBJECT").when(F.col("s").startswith("ARRAY"), "ARRAY").when(F.col("s") == "VOID", "NULL").when(F.col("s").isin("STRING", "BOOLEAN"), F.col("s")).otherwise("NUMBER")
+    every = fields.select("field", told.alias("kind")).unionByName(t.where(~F.col("good")).select(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("kind")))
+    n = every.groupBy("field", "kind").agg(F.count("*").alias("n"))
+    pairs = F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("kind", "n"))))
+    return n.groupBy("field").agg(F.sum("n").alias("n"), F.map_from_entries(pairs).alias("types"), (F.count_if(F.col("kind") != "NULL") > 1).alias("mixed"))
+
+
+def read_ndjson_shallow(spark: SparkSession, path: str, fields: Sequence[str] | None = None) -> DataFrame:
+    """JSON lines with their top-level fields as VARIANT columns; lines that are no JSON object are left out.
+
+    fields: which, in this order; if not given, all that any line has, by name (one more pass). Values of mixed kinds
+    stay as they are in VARIANT.
+    """
+    lines = read_lines(spark, path)
+    if fields is None:
+        fields = sorted(r["field"] for r in discover_fields(lines).where("field is not null").select("field").collect())  # one row a field
+    kept = lines.withColumn("v", F.try_parse_json("content")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    at = lambda f: '$["' + f.replace("\\", "\\\\").replace('"', '\\"') + '"]'
+    return kept.select("file_path", "line_no", *[F.try_variant_get("v", at(f), "variant").alias(f) for f in fields])
 
 
 def list_files(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
@@ -78,27 +104,54 @@ def list_files(spark: SparkSession, path: str, content: bool = False) -> DataFra
 
 
 def parquet_stats(spark: SparkSession, path: str) -> DataFrame:
-    """(file_path, rows, row_groups, bytes) of Parquet files, counted by file without reading a column.
-
-    Counting rows by file reads footers alone; row groups are the row index blocks that Spark sees.
-    """
+    """(file_path, rows, bytes) of Parquet files, counted by file without reading a column."""
     sizes = list_files(spark, path).select(F.col("path").alias("file_path"), F.col("length").alias("bytes"))
     rows = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file_path")).groupBy("file_path").agg(F.count("*").alias("rows"))
     norm = lambda c: F.regexp_replace(c, "^([a-z]+:)/+", "$1/")
     return rows.withColumn("file_path", norm("file_path")).join(sizes.withColumn("file_path", norm("file_path")), "file_path")
 
 
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+#: Items of a quantile sketch: 400 keep ranks within about 0.7 % (a KLL sketch), in some 4 kB.
+SKETCH_K = 400
+
+
 def profile(df: DataFrame) -> DataFrame:
-    """(column, type, n, nulls, distinct, low, high): one pass over df; distinct is approximate."""
-    cols = [c for c, t in df.dtypes if not t.startswith(("array", "map", "struct", "binary", "variant"))]
-    types = dict(df.dtypes)
+    """(column, type, n, nulls, distinct, low, high, keys, ranks): one pass over df.
+
+    distinct is approximate. low and high are as strings. keys and ranks are sketches of fixed size, of the values and,
+    for numbers, of their order: they can be stored, and profiles of parts merged (merge_profiles) and asked for quantiles
+    (quantiles). Columns of nested or binary types are left out.
+    """
+    cols = [(c, t) for c, t in df.dtypes if not t.startswith(("array", "map", "struct", "binary", "variant"))]
     aggs = []
-    for i, c in enumerate(cols):
+    for i, (c, t) in enumerate(cols):
         col = F.col(f"`{c}`")
-        aggs.append(F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("type"), F.count("*").alias("n"), F.count_if(col.isNull()).alias("nulls"), F.approx_count_distinct(col).alias("distinct"), F.min(col).cast("string").alias("low"), F.max(col).cast("string").alias("high")).alias(f"c{i}"))
+        number = t.startswith(_NUMBERS)
+        ranks = F.kll_sketch_agg_double(col.cast("double"), F.lit(SKETCH_K)) if number else F.lit(None).cast("binary")
+        keys = F.hll_sketch_agg(col.cast("string"))
+        aggs.append(F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.count("*").alias("n"), F.count_if(col.isNull()).alias("nulls"), F.hll_sketch_estimate(keys).alias("distinct"), F.min(col).cast("string").alias("low"), F.max(col).cast("string").alias("high"), keys.alias("keys"), ranks.alias("ranks")).alias(f"c{i}"))
     return df.agg(*aggs).select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(cols))])).alias("p")).select("p.*")
 
 
+def merge_profiles(profiles: DataFrame) -> DataFrame:
+    """The profile of the whole from profiles of its parts, whose rows are in one table; a column's type has to be the same in all."""
+    number = F.col("type").rlike(f"^({'|'.join(_NUMBERS)})")
+    order = F.struct(F.when(number, F.col("low").try_cast("double")).alias("x"), F.col("low").alias("y"))
+    top = F.struct(F.when(number, F.col("high").try_cast("double")).alias("x"), F.col("high").alias("y"))
+    g = profiles.groupBy("column", "type").agg(
+        F.sum("n").alias("n"), F.sum("nulls").alias("nulls"), F.hll_union_agg("keys").alias("keys"), F.min(F.when(F.col("low").isNotNull(), order))["y"].alias("low"),
+        F.max(F.when(F.col("high").isNotNull(), top))["y"].alias("high"), F.kll_merge_agg_double("ranks").alias("ranks"), F.count_if(number).alias("_numbers"),
+    )
+    return g.select("column", "type", "n", "nulls", F.hll_sketch_estimate("keys").alias("distinct"), "low", "high", "keys", F.when(F.col("_numbers") > 0, F.col("ranks")).alias("ranks"))
+
+
+def quantiles(profiles: DataFrame, at: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """(column, quantiles): of every number column that has values, one value for each rank in at."""
+    filled = profiles.where(F.col("ranks").isNotNull() & (F.col("n") > F.col("nulls")))
+    return filled.select("column", F.array(*[F.kll_sketch_get_quantile_double("ranks", F.lit(float(q))) for q in at]).alias("quantiles"))
+
+
 def convert(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), codec: str | None = None) -> DataFrame:
     """Write df in a format, partitioned and compressed, and read it back."""
     w = df.write.mode("overwrite").format(fmt)
