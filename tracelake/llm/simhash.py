@@ -85,6 +85,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 #: Members of a bucket that are compared directly where they are of different groups; larger buckets are divided first.
 LARGE = 64
 LEVELS = 3
+#: Members of mixed buckets beyond which further rounds of stars are tried before all that are left are compared.
+MANY = 1 << 14
 
 
 def _joined(labels: DataFrame | None, more: DataFrame) -> DataFrame:
@@ -111,10 +113,10 @@ def bucket_groups(points: DataFrame, divide: Callable[[DataFrame, int], DataFram
     divide(rows, level) adds k, the buckets of that level, to rows (x, root, and what divide itself adds); near(pairs,
     ends) keeps those of pairs (a, ra, b), roots ra of a, that are links, given the present roots (b, rb) of all. Links
     are those of members of one bucket with different roots, and roots are the smallest of their group. In each bucket
-    the members are linked to the one that meets most others, then, stars - 1 times, those that are not of its largest
-    group to another member of that; and of those that are then still of different groups, all are compared. Buckets of
-    over large members are divided by the next level first, as long as there is one. With tag() (x, s), that comparison
-    is of s, within the join, and only pairs whose s meet leave it.
+    the members are linked to the one that meets most others, then, stars - 1 times and on while it pays, those that are
+    not of its largest group to another member of that; and those that are then still of other groups are compared with
+    all members. Buckets of over large members are divided by the next level first, as long as there is one. With tag()
+    (x, s), that comparison is of s, within the join, and only pairs whose s meet leave it.
     """
     own = points.select(F.col("x").alias("b"), "root")
     labels, rows, cross = None, points, None
@@ -144,25 +146,34 @@ def bucket_groups(points: DataFrame, divide: Callable[[DataFrame, int], DataFram
         met = met.drop("n")
         star = met.join(pivot, "k").where("x <> p").select(F.col("x").alias("a"), F.col("root").alias("ra"), F.col("p").alias("b"))
         met = settle(star if cross is None else cross.unionByName(star), met)
-        for i in range(1, stars):
-            met = cut(met.join(mixed(met), "k", "left_semi"))
-            if met.isEmpty():
+        before, i = None, 0
+        while stars > 1:
+            met, i = cut(met.join(mixed(met), "k", "left_semi")), i + 1
+            n_met = met.count()
+            if not n_met:
                 break
+            # past the given rounds, more of them as long as they pay: comparing all that are left costs their square
+            if i >= stars and (n_met < MANY or n_met > 0.8 * before):
+                break
+            before = n_met
             groups = met.groupBy("k", "root").agg(F.count("*").alias("n"), F.max_by("x", F.xxhash64("x", F.lit(i))).alias("x"))
             main = groups.groupBy("k").agg(F.max_by("x", "n").alias("p"))
             met = settle(met.join(main, "k").where("x <> p").select(F.col("x").alias("a"), F.col("root").alias("ra"), F.col("p").alias("b")), met)
-        left = met.join(mixed(met), "k")
+        # of two members of different groups one at least is not of the bucket's largest: those are held against all
+        sizes = met.groupBy("k", "root").agg(F.count("*").alias("m"))
+        largest = sizes.groupBy("k").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.sum("m").alias("n"), F.count("*").alias("r")).where("r > 1").select("k", "top", "n")
+        left = met.join(largest, "k").select("x", "root", "k", "n", (F.col("root") == F.col("top")).alias("main"), *[c for c in met.columns if c not in ("x", "root", "k", "n")])
         left = cut(left if tag is None else left.join(tag(), "x"))
         last = level + 1 == levels
         small = left if last else left.where(F.col("n") <= large)
         also = [] if tag is None else ["s"]
-        x = small.select("k", F.col("x").alias("a"), F.col("root").alias("ra"), *also)
-        y = small.select("k", F.col("x").alias("b"), F.col("root").alias("rb2"), *[F.col(c).alias("s2") for c in also])
+        x = small.where("not main").select("k", F.col("x").alias("a"), F.col("root").alias("ra"), *also)
+        y = small.select("k", F.col("x").alias("b"), F.col("root").alias("rb2"), "main", *[F.col(c).alias("s2") for c in also])
         n_large = 0 if last else left.where(F.col("n") > large).count()
-        apart = F.col("ra") < F.col("rb2")
+        apart = (F.col("ra") != F.col("rb2")) & (F.col("main") | (F.col("a") < F.col("b")))
         both = x.join(y, "k").where(apart if meets is None else apart & meets(F.col("s"), F.col("s2")))
         cross = both.select("a", "ra", "b") if n_large or not left.isEmpty() else None
-        rows = left.where(F.col("n") > large).drop("k", "n").distinct() if n_large else None
+        rows = left.where(F.col("n") > large).drop("k", "n", "main").distinct() if n_large else None
     return labels
 
 
@@ -329,6 +340,8 @@ def copy_groups(nodes: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_
     agree = lambda x, y: _agreeing(x, y) >= AGREE
     shared = lambda x, y: F.size(F.array_intersect(x, y))
     similar = lambda x, y: shared(x, y) * (1 + similarity) >= similarity * (F.size(x) + F.size(y)) - 1e-9
+    # sets of very different sizes can't be similar
+    sized = lambda x, y: (F.size(x) >= similarity * F.size(y) - 1e-9) & (F.size(y) >= similarity * F.size(x) - 1e-9)
     sets: list[DataFrame] = []
 
     def divide(rows: DataFrame, _: int) -> DataFrame:
@@ -342,12 +355,12 @@ def copy_groups(nodes: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_
         pairs = pairs.join(ends, "b").where("ra <> rb").select("a", "ra", "b")
         alike = pairs.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b").where(agree(F.col("sa"), F.col("sb"))).select("a", "ra", "b")
         met = alike.join(sets[0].toDF("a", "ha"), "a").join(sets[0].toDF("b", "hb"), "b")
-        return met.where(similar(F.col("ha"), F.col("hb"))).select("a", "ra", "b").distinct()
+        return met.where(sized(F.col("ha"), F.col("hb")) & similar(F.col("ha"), F.col("hb"))).select("a", "ra", "b").distinct()
 
     def tag() -> DataFrame:
         return sigs.join(sets[0].toDF("x", "h"), "x").select("x", F.struct("s", "h").alias("s"))
 
-    return bucket_groups(nodes.select(F.col("node").alias("x"), "root"), divide, near, 1, stars=STARS, tag=tag, meets=lambda x, y: agree(x["s"], y["s"]) & similar(x["h"], y["h"]))
+    return bucket_groups(nodes.select(F.col("node").alias("x"), "root"), divide, near, 1, stars=STARS, tag=tag, meets=lambda x, y: sized(x["h"], y["h"]) & agree(x["s"], y["s"]) & similar(x["h"], y["h"]))
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, similarity: float = 0.8) -> DataFrame:
