@@ -667,7 +667,14 @@ PAGES = [
     ("<article><p>One</p><div class='related-work'><p>Kept, prose</p></div><div class='related-reading'><a href=x>Link</a> <a href=y>Link</a></div><div class='search-tips'>Ask <input name=q></div></article>", "One Kept, prose"),
     ("<article><p>One</p><p class='ad'>Buy</p><div class='ad-slot'>Buy</div><div class='cookieBanner'>We use</div><section id='post-comments'><p>reader</p></section><pre><span class='hljs-comment'># note</span> <span class='comment'># two</span></pre></article>", "One # note # two"),
     ("<article><p class='hidden-gems menu-prices'>Kept</p><svg><text>label</text></svg><canvas>drawn</canvas></article>", "Kept labeldrawn"),
-    ("<div class='search results'><p title='a hidden b'>Odd, class.</p><p>But, text.</p></div>", ""),
+    ("<div class='search results'><p title='a hidden b'>Odd, class.</p><p>But, text.</p></div>", "Odd, class. But, text."),
+    ("<article><p id='cookies'>Section about cookies in baking, and more.</p><p class='cookies'>We use them</p></article>", "Section about cookies in baking, and more."),
+    ("<body><div id='search'><p>One paragraph, of text.</p><p>And another, too.</p></div></body>", "One paragraph, of text. And another, too."),
+    ("<div><p>First, part of it.</p></div><div><p>Second, part of it.</p></div>", "First, part of it. Second, part of it."),
+    ("<h1>Title</h1><div id=content><p>A, b, c, d.</p><p>E, f, g, h.</p><p>I, j.</p></div><p>After.</p><div class='story-tail'><p>The tail</p></div>", "Title A, b, c, d. E, f, g, h. I, j. After. The tail"),
+    ("<body><p>Intro</p><div><p>A, long, one here.</p><p>Two, of them.</p></div><ul><li><a href=x>more</a></ul><div><p>Join us</p><input name=q></div></body>", "Intro A, long, one here. Two, of them."),
+    ("<div style='display:none'><p>Hidden, long, text, of, many, commas</p></div><div><p>Seen</p></div>", "Seen"),
+    ("<div class='sidebar'><p>Much longer, than, the article</p><p>and more, text</p></div><article><p>Short</p></article>", "Short"),
     ("", ""), (None, ""), ("<p></p>", ""), ("5 < 6 & 7 > 3", "5 < 6 & 7 > 3"),
     ("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>", "deep"),
 ]

@@ -44,7 +44,7 @@ PLAIN = frozenset("html body article main p pre blockquote li dd dt td th tr tbo
 ASKS = frozenset("input select textarea button form".split())
 PARAGRAPHS = frozenset("p pre blockquote td dd li h1 h2 h3 h4 h5 h6".split())
 #: What attributes say of an element: nothing, perhaps no article, no article, an advert, reader comments.
-NOTHING, PERHAPS, PART, ADVERT, COMMENT = range(5)
+NOTHING, PERHAPS, PART, ADVERT, COMMENT, HIDDEN = range(6)
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -65,22 +65,22 @@ def _token(token: str, in_article: bool) -> int:
     return NOTHING
 
 
-def _mark(attrs: str, in_article: bool) -> int:
-    """What an element's attributes say; an article's header holds its title."""
+def _mark(attrs: str, in_article: bool, ids: bool) -> int:
+    """What an element's attributes say, with or without its id; an article's header holds its title."""
     if not attrs or attrs.isspace():
         return NOTHING
     told = NOTHING
     for name, x, y, z in _ATTR.findall(attrs):
         value, name = x or y or z, name.lower()
-        if name in ("class", "id"):
+        if name == "class" or ids and name == "id":
             told = max([told, *(_token(t, in_article) for t in value.split())])
         elif name == "role":
             if value.strip().lower() in ROLES:
                 told = max(told, PART)
         elif name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            told = max(told, PART)
+            told = HIDDEN
     if re.search(r"(?:^|\s)hidden(?:\s|/|$)", _ATTR.sub(" ", attrs)):
-        told = max(told, PART)
+        told = HIDDEN
     return told
 
 
@@ -90,7 +90,7 @@ class Tree:
     def __init__(self, html: str):
         self.tag, self.parent, self.end, self.cut = ["#"], [-1], [0], [False]
         marked: list[int] = [NOTHING]
-        asks: list[int] = []
+        self.asks: list[int] = []
         self.chunks: list[tuple[int, str]] = []
         stack, at, size = [0], 0, len(html)
         counts: dict[str, int] = {}
@@ -143,7 +143,7 @@ class Tree:
             if name in BLOCK or name in ("br", "xmp"):
                 self.chunks.append((stack[-1], " "))
             if name in ASKS:
-                asks.append(stack[-1])
+                self.asks.append(stack[-1])
             if name in VOID:
                 continue
             top = stack[-1]
@@ -153,7 +153,8 @@ class Tree:
             self.parent.append(top)
             self.end.append(i + 1)
             self.cut.append(name in DROPPED and not (name == "header" and in_article))
-            found = _mark(attrs, in_article)
+            # an id on a paragraph is where links go, as to a section about cookies
+            found = _mark(attrs, in_article, name not in PLAIN)
             if name in PLAIN and not (found == COMMENT and name == "article" or found == ADVERT and name in PARAGRAPHS):
                 found = NOTHING
             marked.append(found)
@@ -183,11 +184,29 @@ class Tree:
             for i in around:
                 marked[i] = NOTHING
         if PERHAPS in marked:
-            self._decide(marked, asks)
+            self._decide(marked)
+        if not articles:
+            self._spare(marked)
         for i in range(1, len(self.tag)):
             self.cut[i] = self.cut[self.parent[i]] or self.cut[i] or marked[i] > NOTHING
 
-    def _decide(self, marked: list[int], asks: list[int]) -> None:
+    def _spare(self, marked: list[int]) -> None:
+        """Of a page without an article, what holds most of the text of its paragraphs is not cut for what its class or id says."""
+        n = len(self.tag)
+        size, within = [0] * n, [False] * n
+        out = [False] * n
+        for i in range(1, n):
+            within[i] = self.tag[i] in PARAGRAPHS or within[self.parent[i]]
+            out[i] = self.cut[i] or self.tag[i] == "a" or marked[i] in (COMMENT, HIDDEN) or out[self.parent[i]]
+        for i, t in self.chunks:
+            size[i] += len(t.strip()) if within[i] and not out[i] else 0
+        for i in range(n - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+        for i in range(1, n):
+            if marked[i] in (PART, ADVERT) and 2 * size[i] > size[0]:
+                marked[i] = NOTHING
+
+    def _decide(self, marked: list[int]) -> None:
         """Of elements that are perhaps no article, those that are mostly links or ask for input are none."""
         n = len(self.tag)
         size, links, forms, in_link = [0] * n, [0] * n, [0] * n, [False] * n
@@ -196,7 +215,7 @@ class Tree:
         for i, t in self.chunks:
             size[i] += len(t.strip())
             links[i] += len(t.strip()) if in_link[i] else 0
-        for i in asks:
+        for i in self.asks:
             forms[i] += 1
         for i in range(n - 1, 0, -1):
             for total in (size, links, forms):
@@ -281,13 +300,17 @@ def extract(html: str | None) -> str:
         best = next((i for i in range(n) if tree.tag[i] in ("article", "main") and words[i] and not tree.cut[i]), next((i for i in range(n) if tree.tag[i] == "body"), 0))
     best = _article_of(tree, best, words)
     keep = [(best, tree.end[best])]
-    if tree.parent[best] > 0:
-        bar = max(10.0, 0.2 * score[best])
+    if tree.parent[best] >= 0 and tree.tag[best] not in ("article", "main"):
+        # text beside the best container that is no list of links and asks for nothing: a title, an intro, further parts
+        asks = [0] * n
+        for i in tree.asks:
+            asks[i] += 1
+        for i in range(n - 1, 0, -1):
+            asks[tree.parent[i]] += asks[i]
         for i in range(1, n):
-            if tree.parent[i] == tree.parent[best] and i != best and not tree.cut[i]:
-                density = links[i] / words[i] if words[i] else 1.0
-                reads = tree.tag[i] == "p" and (words[i] > 80 and density < 0.25 or words[i] and density == 0 and commas[i] > 0)
-                if score[i] >= bar or reads and tree.tag[best] not in ("article", "main"):
+            if tree.parent[i] == tree.parent[best] and i != best and not tree.cut[i] and words[i]:
+                reads = tree.tag[i] in PARAGRAPHS or score[i] > 0
+                if reads and 4 * links[i] < words[i] and not asks[i]:
                     keep.append((i, tree.end[i]))
     if len(keep) == 1:
         lo, hi = keep[0]
