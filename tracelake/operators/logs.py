@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelake.operators.relational import newest_per_key
+
 _NAMED = re.compile(r"\(\?P<(\w+)>")
 
 
@@ -112,6 +114,25 @@ def exploded_api(pages: DataFrame, schema: str, body: str, items: str) -> DataFr
     return parsed.select(*pages.columns, whole).select(*[c for c in pages.columns if c != body], "_x.i.*", F.col("_x.r").alias("raw"))
 
 
+def api_levels(pages: DataFrame, body: str, levels: Sequence[tuple[str, str]], key: str, fetched: str) -> DataFrame:
+    """Rows of the innermost level of nested JSON lists, as runs, their jobs and their steps, with the columns of all levels around it.
+
+    levels: of each level the name of its list and its columns ("id bigint, name string"), which come back as list_column.
+    Of the items of the first level that have the same key, the copy of the page that was fetched last is taken. An item
+    whose list is empty or missing is one row with nulls for the levels below; a page without items gives no row.
+    """
+    rows = pages.select(F.col(fetched).alias("_fetched"), F.col(body).alias("raw"))
+    for i, (name, columns) in enumerate(levels):
+        before = rows.columns
+        rows = exploded_api(rows, f"{name} array<struct<{', '.join(c.strip().replace(' ', ': ', 1) for c in columns.split(','))}>>", "raw", name)
+        own = [c for c in rows.columns if c not in before and c != "raw"]
+        rows = rows.withColumnsRenamed({c: f"{name}_{c}" for c in own})
+        if i == 0:
+            first = f"{name}_{key}"
+            rows = newest_per_key(rows.where(F.col(first).isNotNull()), [first], ["_fetched", "raw"])
+    return rows.drop("_fetched", "raw")
+
+
 def timed(jobs: DataFrame, started: str, ended: str, status: str, conclusion: str) -> DataFrame:
     """Completed, unskipped jobs with whole, unnegative seconds."""
     seconds = F.unix_seconds(F.col(ended).cast("timestamp")) - F.unix_seconds(F.col(started).cast("timestamp"))

@@ -121,6 +121,50 @@ def with_neighbours(cells: DataFrame) -> DataFrame:
     return cells.join(spread, ["cx", "cy"], "left").withColumn("around", F.coalesce("around", F.lit(0)))
 
 
+def hex_cell(x: Column, y: Column, size: float) -> Column:
+    """Axial coordinates (q, r) of the hexagon that holds a point of the plane: hexagons of the given side stand on a corner, the one of (0, 0) around the origin.
+
+    The three cube coordinates are rounded, halves up, and the one that was moved most is set by the other two.
+    """
+    q, r = (F.sqrt(F.lit(3.0)) / 3 * x - y / 3.0) / size, F.lit(2.0) / 3 * y / size
+    s = -q - r
+    rq, rr, rs = (F.floor(c + 0.5) for c in (q, r, s))
+    dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs - s)
+    most_q, most_r = (dq > dr) & (dq > ds), dr > ds
+    return F.struct(F.when(most_q, -rr - rs).otherwise(rq).cast("long").alias("q"), F.when(~most_q & most_r, -rq - rs).otherwise(rr).cast("long").alias("r"))
+
+
+def hex_centre(q: Column, r: Column, size: float) -> Column:
+    """The centre (x, y) of a hexagon."""
+    return F.struct((size * F.sqrt(F.lit(3.0)) * (q + r / 2)).alias("x"), (F.lit(1.5) * size * r).alias("y"))
+
+
+def hex_boundary(q: Column, r: Column, size: float) -> Column:
+    """The closed ring (array of lon, lat) of a hexagon: six corners from the upper right on, and the first again."""
+    c = hex_centre(q, r, size)
+    corner = lambda i: F.struct((c["x"] + size * math.cos(math.radians(60 * (i % 6) + 30))).alias("lon"), (c["y"] + size * math.sin(math.radians(60 * (i % 6) + 30))).alias("lat"))
+    return F.array(*[corner(i) for i in range(7)])
+
+
+def hex_disk(k: int) -> list[tuple[int, int]]:
+    """Steps (q, r) to all hexagons at most k away, the middle one among them."""
+    return [(q, r) for q in range(-k, k + 1) for r in range(max(-k, -q - k), min(k, -q + k) + 1)]
+
+
+def hex_density(df: DataFrame, lon: str, lat: str, size: float) -> DataFrame:
+    """(q, r, n, lon, lat, ring): counts by hexagon, with its centre and boundary; rows without a place are not counted."""
+    g = df.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).groupBy(hex_cell(F.col(lon), F.col(lat), size).alias("_h")).agg(F.count("*").alias("n"))
+    c = hex_centre(F.col("_h.q"), F.col("_h.r"), size)
+    return g.select("_h.q", "_h.r", "n", c["x"].alias("lon"), c["y"].alias("lat"), hex_boundary(F.col("_h.q"), F.col("_h.r"), size).alias("ring"))
+
+
+def with_hex_rings(cells: DataFrame, k: int) -> DataFrame:
+    """cells with around: the count of all other hexagons at most k away."""
+    steps = [F.struct((F.col("q") + q).alias("q"), (F.col("r") + r).alias("r")) for q, r in hex_disk(k) if (q, r) != (0, 0)]
+    spread = cells.select(F.explode(F.array(*steps)).alias("c"), "n").groupBy("c.q", "c.r").agg(F.sum("n").alias("around"))
+    return cells.join(spread, ["q", "r"], "left").withColumn("around", F.coalesce("around", F.lit(0)))
+
+
 def measures(df: DataFrame, key: str, ring: str) -> DataFrame:
     """(key, area, length, cx, cy): planar area, perimeter and mean corner of closed rings."""
     edge = F.transform(F.sequence(F.lit(0), F.size(ring) - 2), lambda i: F.struct(F.get(ring, i).alias("a"), F.get(ring, i + 1).alias("b")))

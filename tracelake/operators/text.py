@@ -134,6 +134,29 @@ def md_code_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return t.groupBy("id", "fence_no").agg(lang.alias("language"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("fenced"), F.struct("line_no", "line")))), lambda x: x["line"]), "\n").alias("code"))
 
 
+def md_links(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, line_no, pos, image, label, url): inline links and images of Markdown lines outside code fences and code spans, in order."""
+    t = md_lines(docs, id_col, text_col).where("not fenced and not fence")
+    found = F.regexp_extract_all(F.regexp_replace("line", "`[^`]*`", ""), F.lit(r'(!?\[[^\[\]]*\]\(\s*<?[^\s()<>]+>?(?:\s+"[^"]*")?\s*\))'), F.lit(1))
+    part = lambda i: F.regexp_extract("m", r'^(!?)\[([^\[\]]*)\]\(\s*<?([^\s()<>]+)', i)
+    return t.select("id", "line_no", F.posexplode(found).alias("pos", "m")).select("id", "line_no", "pos", (part(1) == "!").alias("image"), part(2).alias("label"), part(3).alias("url"))
+
+
+def md_front_matter(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, fields, body): the `key: value` lines between a first line of three dashes and the next, as a map, and the rest of the text.
+
+    Values lose blanks around them and one pair of quotes; of a key that is there twice the last value counts. A text
+    that does not begin so has an empty map and is its own body; a null text has a null body.
+    """
+    head = F.regexp_extract(F.coalesce(text_col, F.lit("")), r"^---[ \t]*\r?\n((?:(?!---[ \t]*(?:\r?\n|$))[^\n]*\n)*)---[ \t]*(?:\r?\n|$)", 0)
+    lines = F.filter(F.split(head, r"\r?\n"), lambda x: x.rlike(r"^[A-Za-z_][\w-]*\s*:"))
+    bare = lambda v: F.regexp_replace(F.regexp_replace(F.trim(v), r'^"(.*)"$', "$1"), r"^'(.*)'$", "$1")
+    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.split_part(x, F.lit(":"), F.lit(1))).alias("key"), bare(F.regexp_replace(x, r"^[^:]*:", "")).alias("value")))
+    # the last of a key: what comes later is met first
+    kept = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    return docs.select(F.col(id_col).alias("id"), F.map_from_entries(kept).alias("fields"), F.substr(F.col(text_col), F.length(head) + 1).alias("body"))
+
+
 def audit_lines(docs: DataFrame, needles: dict[str, str], id_col: str, text_col: str) -> DataFrame:
     """(id, line_no, rule) of code lines that hold a rule's needle."""
     hits = F.array_compact(F.array(*[F.when(F.contains("line", F.lit(n)), F.lit(k)) for k, n in needles.items()]))

@@ -328,6 +328,15 @@ def i9_density(spark: SparkSession, d: str) -> DataFrame:
     return S.with_neighbours(S.density(_places(spark, d)[0], "lon", "lat", 20.0)).select("cx", "cy", "n", "around")
 
 
+@query(_PLACES + """, a AS (SELECT (sqrt(3.0) / 3 * lon - lat / 3.0) / 10.0 AS q, 2.0 / 3 * lat / 10.0 AS r FROM c), o AS (SELECT q, r, -q - r AS s, floor(q + 0.5) AS rq, floor(r + 0.5) AS rr, floor(-q - r + 0.5) AS rs FROM a),
+h AS (SELECT CAST(CASE WHEN abs(rq - q) > abs(rr - r) AND abs(rq - q) > abs(rs - s) THEN -rr - rs ELSE rq END AS BIGINT) AS q, CAST(CASE WHEN abs(rq - q) > abs(rr - r) AND abs(rq - q) > abs(rs - s) THEN rr WHEN abs(rr - r) > abs(rs - s) THEN -rq - rs ELSE rr END AS BIGINT) AS r FROM o), g AS (SELECT q, r, count(*) AS n FROM h GROUP BY ALL)
+SELECT g.q, g.r, g.n, CAST(coalesce(sum(x.n), 0) AS BIGINT) AS around FROM g LEFT JOIN g x ON (abs(x.q - g.q) + abs(x.r - g.r) + abs(x.q + x.r - g.q - g.r)) / 2 BETWEEN 1 AND 2 GROUP BY ALL""")
+def i9_hex_density(spark: SparkSession, d: str) -> DataFrame:
+    """Hexagons of ten degrees and the count of the two rings around each."""
+    cells = S.hex_density(_places(spark, d)[0], "lon", "lat", 10.0)
+    return S.with_hex_rings(cells, 2).select("q", "r", "n", "around")
+
+
 @query("SELECT n_nationkey AS zone, 300.0::DOUBLE AS area, round(50 + sqrt(1300), 6) AS length FROM nation")
 def i10_measures(spark: SparkSession, d: str) -> DataFrame:
     return S.measures(_zones(spark, d), "zone", "ring").select("zone", F.round("area", 6).alias("area"), F.round("length", 6).alias("length"))
@@ -390,9 +399,10 @@ def j5_similar(spark: SparkSession, d: str) -> DataFrame:
     return J.similar(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", 5).withColumn("cosine", F.round("cosine", 6))
 
 
-@query(_CODES + ", o AS (SELECT code, min(vec_id) AS k FROM e GROUP BY 1) SELECT a.k AS a, b.k AS b, bit_count(xor(a.code, b.code)) AS bits FROM o a JOIN o b ON a.k < b.k AND bit_count(xor(a.code, b.code)) <= 12 UNION ALL SELECT o.k, e.vec_id, 0 FROM e JOIN o ON o.code = e.code WHERE e.vec_id <> o.k")
+@query(_CODES + ", s AS (SELECT vec_id, code % 16777216 AS code FROM e), o AS (SELECT code, min(vec_id) AS k FROM s GROUP BY 1) SELECT a.k AS a, b.k AS b, bit_count(xor(a.code, b.code)) AS bits FROM o a JOIN o b ON a.k < b.k AND bit_count(xor(a.code, b.code)) <= 3 UNION ALL SELECT o.k, s.vec_id, 0 FROM s JOIN o ON o.code = s.code WHERE s.vec_id <> o.k")
 def j6_near_dupes(spark: SparkSession, d: str) -> DataFrame:
-    return J.near_dupes(_codes(spark, d), "vec_id", "code", 12, 63)
+    """Codes of 24 bits within three of each other."""
+    return J.near_dupes(_codes(spark, d).withColumn("code", F.col("code") % (1 << 24)), "vec_id", "code", 3, 24)
 
 
 # inventories

@@ -159,6 +159,15 @@ def e17_jobs_from_json(spark: SparkSession, d: str) -> DataFrame:
     return jobs.withColumn("unknown", F.get_json_object("raw", "$.unknown")).drop("raw")
 
 
+@query("""SELECT o_custkey AS runs_id, 'new' AS runs_state, o_orderkey AS jobs_id, o_orderstatus AS jobs_conclusion, l_linenumber AS steps_number, l_returnflag AS steps_name FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber > 1""")
+def e17_runs_jobs_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as runs, their orders as jobs, order lines but the first as steps, in one body a run, fetched twice: the first copy has another state."""
+    lines = table(spark, d, "lineitem").where("l_linenumber > 1").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct(F.col("l_linenumber").alias("number"), F.col("l_returnflag").alias("name"))).alias("steps"))
+    jobs = table(spark, d, "orders").join(lines, "o_orderkey", "left").groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("conclusion"), F.coalesce("steps", F.array().cast(lines.schema["steps"].dataType)).alias("steps"))).alias("jobs"))
+    copy = lambda state, day: jobs.select(F.lit(f"2024-01-0{day}").alias("fetched"), F.to_json(F.struct(F.array(F.struct(F.col("o_custkey").alias("id"), F.lit(state).alias("state"), "jobs")).alias("runs"))).alias("body"))
+    return L.api_levels(copy("new", 2).unionByName(copy("old", 1)), "body", [("runs", "id bigint, state string"), ("jobs", "id bigint, conclusion string"), ("steps", "number int, name string")], "id", "fetched")
+
+
 _JOBS = """WITH jobs AS (SELECT o_custkey AS run, o_orderkey AS id, o_orderdate AS started, l_shipdate AS ended, CASE WHEN l_linestatus = 'F' THEN 'completed' ELSE 'running' END AS status, CASE l_returnflag WHEN 'A' THEN 'skipped' WHEN 'N' THEN '' ELSE 'ok' END AS conclusion, l_partkey AS name FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
 timed AS (SELECT *, CAST(epoch(ended) - epoch(started) AS BIGINT) AS seconds FROM jobs WHERE status = 'completed' AND conclusion NOT IN ('skipped', '') AND ended >= started) """
 

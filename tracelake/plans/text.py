@@ -92,6 +92,23 @@ def f9_md_sections(spark: SparkSession, d: str) -> DataFrame:
     return s.select("id", F.col("section").cast("int").alias("section"), "level", "title", "breadcrumb", F.md5(F.encode("content", "utf-8")).alias("content_md5"))
 
 
+@query(r"""SELECT doc_id AS id, 1 AS line, 0 AS pos, false AS image, lang AS label, 'https://x.example/' || doc_id AS url FROM documents UNION ALL SELECT doc_id, 1, 1, true, '', source FROM documents""")
+def f9_md_links(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents, their own brackets taken away, after a line with a link and an image; the links of code are none."""
+    plain = F.translate("text", "[]()`", "")
+    md = F.concat(F.lit("see ["), "lang", F.lit("](https://x.example/"), "doc_id", F.lit(") and ![]("), "source", F.lit(' "t") not `[a](b)`\n'), plain, F.lit("\n```\n[c](d)\n```\n"))
+    links = X.md_links(table(spark, d, "documents").select("doc_id", md.alias("md")), "doc_id", "md")
+    return links.select("id", F.col("line_no").cast("int").alias("line"), F.col("pos").cast("int").alias("pos"), "image", "label", "url")
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 > 0 THEN 'Doc: ' || doc_id END AS title, CASE WHEN doc_id % 3 > 0 THEN lang END AS lang, md5(CASE WHEN doc_id % 3 > 0 THEN text ELSE 'no front' || chr(10) || '---' || chr(10) || text END) AS body_md5 FROM documents")
+def f9_md_front_matter(spark: SparkSession, d: str) -> DataFrame:
+    front = F.concat(F.lit('---\ntitle: "Doc: '), "doc_id", F.lit('"\nlang: old\n# a remark\nlang:  '), "lang", F.lit(" \n---\n"), "text")
+    md = F.when(F.col("doc_id") % 3 > 0, front).otherwise(F.concat(F.lit("no front\n---\n"), "text"))
+    t = X.md_front_matter(table(spark, d, "documents").select("doc_id", md.alias("md")), "doc_id", "md")
+    return t.select("id", F.col("fields")["title"].alias("title"), F.col("fields")["lang"].alias("lang"), F.md5(F.encode("body", "utf-8")).alias("body_md5"))
+
+
 @query("SELECT doc_id AS id, 'sql' AS language, '# not a heading' || chr(10) || 'SELECT ' || n_chars || ';' AS code FROM documents")
 def f9_md_code_blocks(spark: SparkSession, d: str) -> DataFrame:
     return X.md_code_blocks(_markdown(spark, d), "doc_id", "md").select("id", "language", "code")
