@@ -351,6 +351,19 @@ def i11_relate_boxes(spark: SparkSession, d: str) -> DataFrame:
     return S.relate_boxes(b, b, "k").select("a_id", "b_id", "relation")
 
 
+@query("""WITH b AS (SELECT s_suppkey AS id, (s_suppkey * 7) % 60 AS x, (s_suppkey * 11) % 50 AS y, 1 + s_suppkey % 6 AS w, 1 + s_suppkey % 4 AS h FROM supplier)
+SELECT a.id AS a_id, b.id AS b_id, CASE WHEN (a.x, a.y, a.w, a.h) = (b.x, b.y, b.w, b.h) THEN 'equal' WHEN a.x <= b.x AND a.y <= b.y AND a.x + a.w >= b.x + b.w AND a.y + a.h >= b.y + b.h THEN 'contains' WHEN b.x <= a.x AND b.y <= a.y AND b.x + b.w >= a.x + a.w AND b.y + b.h >= a.y + a.h THEN 'within'
+WHEN a.x + a.w = b.x OR b.x + b.w = a.x OR a.y + a.h = b.y OR b.y + b.h = a.y THEN 'touches' ELSE 'intersects' END AS relation FROM b a JOIN b ON a.x <= b.x + b.w AND b.x <= a.x + a.w AND a.y <= b.y + b.h AND b.y <= a.y + a.h""")
+def i11_relate_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as rectangles, begun at any corner and turned either way; test_polygons has other shapes."""
+    k = F.col("s_suppkey")
+    x, y, w, h = (k * 7) % 60, (k * 11) % 50, 1 + k % 6, 1 + k % 4
+    p = lambda dx, dy: F.struct((x + dx).cast("double").alias("lon"), (y + dy).cast("double").alias("lat"))
+    ring = F.when(k % 2 == 0, F.array(p(0, 0), p(w, 0), p(w, h), p(0, h), p(0, 0))).otherwise(F.array(p(w, h), p(w, 0), p(0, 0), p(0, h), p(w, h)))
+    zones = table(spark, d, "supplier").select(k.alias("id"), ring.alias("ring"))
+    return S.relate_polygons(zones, zones, "id", "id", cell=4.0)
+
+
 # similarity
 
 _CODES = "WITH e AS (SELECT vec_id, vec_id % 10 AS stream, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 1)::INT) ELSE 0 END))::BIGINT AS code FROM embeddings) "
