@@ -100,6 +100,7 @@ class View:
     def __init__(self, counts: np.ndarray, blocks: tuple[tuple[int, int], ...]):
         self.blocks = blocks
         size = counts[:, -1:]
+        self.size = counts[:, -1].copy()
         chance = (counts[:, :-1] + 0.5) / (size + 1.0)
         self.weight = (np.log(chance[1]) - np.log(chance[0])).astype(np.float32)
         self.edges, self.value = np.zeros(0), np.full(1, (size[1, 0] + 1) / (size.sum() + 2))
@@ -193,6 +194,19 @@ def _calibrate(rows: DataFrame, views: tuple[View, View]) -> None:
         views[k].calibrate(hist[:, k * _BINS : (k + 1) * _BINS])
 
 
+def co_train(rows: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, pseudo_weight: float = PSEUDO_WEIGHT) -> tuple[tuple[View, View], list[tuple[int, str, int, int]]]:
+    """The calibrated views after so many rounds over features, and what was exchanged: (round, view, bad, good), the documents that the other view has labelled for a view."""
+    views = _train(rows, None, confident, pseudo_weight)
+    _calibrate(rows, views)
+    labelled, told = views[0].size, []
+    for r in range(rounds):
+        views = _train(rows, views, confident, pseudo_weight)
+        _calibrate(rows, views)
+        given = [np.rint((v.size - labelled) / pseudo_weight).astype(int).tolist() for v in views]
+        told += [(r + 1, name, *n) for name, n in zip(("text", "meta"), given, strict=True)]
+    return views, told
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rounds: int = ROUNDS, confident: float = CONFIDENT, pseudo_weight: float = PSEUDO_WEIGHT, keep_at: float = 0.5) -> DataFrame:
     """(doc_id, held_out, p_text, p_meta, score, kept): one row per row of docs.
 
@@ -202,11 +216,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     labels every score is 0.5. Repeated rows each come back and each count. Extra columns are not read.
     """
     rows = features(docs, labels, id_col, text_col, label_col)
-    views = _train(rows, None, confident, pseudo_weight)
-    _calibrate(rows, views)
-    for _ in range(rounds):
-        views = _train(rows, views, confident, pseudo_weight)
-        _calibrate(rows, views)
+    views, _ = co_train(rows, rounds, confident, pseudo_weight)
     base = rows.where(F.col("part") == TRAIN).agg(F.avg("label")).first()[0]
     prior = min(max(0.5 if base is None else base, 1e-3), 1 - 1e-3)
 
