@@ -255,11 +255,22 @@ def digest_cards(parts: DataFrame) -> DataFrame:
     return parts.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda x: x["l"]), "\n").alias("card"))
 
 
-def chunk_text(df: DataFrame, id_col: str, text_col: str, size: int, overlap: int) -> DataFrame:
-    """(id, chunk, chunk_text): pieces of size characters, each beginning overlap before the last one's end."""
+def chunk_text(df: DataFrame, id_col: str, text_col: str, size: int, overlap: int, carry: Sequence[str] = ()) -> DataFrame:
+    """(id, carry, chunk, chunk_text): pieces of size characters, each beginning overlap before the last one's end.
+
+    carry: columns that every piece of a row keeps, as the headings above it. A piece is cut in time of its own length:
+    in four bytes a character it is found without counting from the start. Null and empty texts have no pieces.
+    """
     step = size - overlap
     n = F.greatest(F.lit(1), F.ceil((F.length(text_col) - overlap) / F.lit(step))).cast("int")
-    return df.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(text_col), i * step + 1, F.lit(size)))).alias("chunk", "chunk_text"))
+    piece = lambda b: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.decode(F.substring(b, 4 * i * step + 1, F.lit(4 * size)), "UTF-32"))
+    pieces = F.flatten(F.transform(F.array(F.encode(text_col, "UTF-32")), piece))  # the array holds the one text
+    return df.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), *carry, F.posexplode(pieces).alias("chunk", "chunk_text"))
+
+
+def chunk_sections(docs: DataFrame, id_col: str, text_col: str, size: int, overlap: int) -> DataFrame:
+    """(id, section, breadcrumb, chunk, chunk_text): pieces of the sections of Markdown, each with the headings above it; no piece reaches over a heading."""
+    return chunk_text(md_sections(docs, id_col, text_col), "id", "content", size, overlap, ["section", "breadcrumb"])
 
 
 def words_to_lines(words: DataFrame, gap: float = 0.5) -> DataFrame:

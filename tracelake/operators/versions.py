@@ -92,6 +92,16 @@ def audit_results(stored: DataFrame, again: DataFrame, keys: Sequence[str], valu
     return j.where(~F.col("stored").eqNullSafe(F.col("again")) | F.col("_s").isNull() | F.col("_n").isNull()).drop("_s", "_n")
 
 
+def compare_sides(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, left, right, verdict): every input with what two implementations made of it: agree, differ, left only or right only.
+
+    Keys are unique on each side; null values agree with each other; keys that are null meet no one.
+    """
+    j = left.select(*keys, F.col(value).alias("left"), F.lit(1).alias("_l")).join(right.select(*keys, F.col(value).alias("right"), F.lit(1).alias("_r")), list(keys), "full_outer")
+    verdict = F.when(F.col("_l").isNull(), "right only").when(F.col("_r").isNull(), "left only").when(F.col("left").eqNullSafe(F.col("right")), "agree").otherwise("differ")
+    return j.withColumn("verdict", verdict).drop("_l", "_r")
+
+
 def status(current: DataFrame, recorded: DataFrame, path: str, blob: str) -> DataFrame:
     """Paths that are new, changed or gone against what was recorded."""
     j = current.select(path, F.col(blob).alias("_c")).join(recorded.select(path, F.col(blob).alias("_r")), path, "full_outer")

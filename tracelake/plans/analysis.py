@@ -125,11 +125,15 @@ def g10_audit_results(spark: SparkSession, d: str) -> DataFrame:
     return G.audit_results(*_sides(spark, d), ["l_orderkey"], "v")
 
 
+@query(_SIDES + """SELECT l_orderkey, stored AS "left", again AS "right", CASE WHEN again IS NULL THEN 'left only' WHEN stored = again THEN 'agree' ELSE 'differ' END AS verdict FROM j""")
+def g11_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return G.compare_sides(*_sides(spark, d), ["l_orderkey"], "v")
+
+
 @query(_SIDES + "SELECT count(*) AS n, count_if(stored IS DISTINCT FROM again) AS different, count_if(again IS NULL) AS missing FROM j")
 def g11_compare_sides(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _sides(spark, d)
-    j = a.withColumnRenamed("v", "stored").join(b.withColumnRenamed("v", "again"), "l_orderkey", "full_outer")
-    return j.agg(F.count("*").alias("n"), F.count_if(~F.col("stored").eqNullSafe(F.col("again"))).alias("different"), F.count_if(F.col("again").isNull()).alias("missing"))
+    v = F.col("verdict")
+    return G.compare_sides(*_sides(spark, d), ["l_orderkey"], "v").agg(F.count("*").alias("n"), F.count_if(v != "agree").alias("different"), F.count_if(v == "left only").alias("missing"))
 
 
 @query("""WITH c AS (SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 7 <> 0), r AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 6 <> 0)
@@ -274,6 +278,15 @@ def i1_points(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
 
 
+@query(_PLACES + """, p AS (SELECT c.id, c.lon, c.lat, c.lon + (c.id % 9 - 4) * 0.05 AS x, c.lat + (c.id % 7 - 3) * 0.05 AS y FROM c), m AS (SELECT *, radians((lat + y) / 2) AS mid, 1 - pow(6356752.314245 / 6378137.0, 2) AS e2 FROM p), n AS (SELECT *, 1 - e2 * pow(sin(mid), 2) AS den FROM m)
+SELECT id, round(sqrt(pow(radians(y - lat) * 6378137.0 * (1 - e2) / pow(den, 1.5), 2) + pow(radians(x - lon) * cos(mid) * 6378137.0 / sqrt(den), 2)), 3) AS metres FROM n""")
+def i2_ellipsoid_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Each place to one some kilometres off, on the WGS84 ellipsoid."""
+    c, _ = _places(spark, d)
+    x, y = F.col("lon") + (F.col("id") % 9 - 4) * 0.05, F.col("lat") + (F.col("id") % 7 - 3) * 0.05
+    return c.select("id", F.round(S.ellipsoid_distance(F.col("lon"), F.col("lat"), x, y), 3).alias("metres"))
+
+
 @query(_PLACES + f"SELECT id, sid, round({_CS}, 3) AS metres FROM c JOIN s ON s.sid = c.id")
 def i2_geo_distance(spark: SparkSession, d: str) -> DataFrame:
     c, s = _places(spark, d)

@@ -109,6 +109,15 @@ def a8_parquet_stats(spark: SparkSession, d: str) -> DataFrame:
     return S.parquet_stats(spark, base).groupBy(F.regexp_extract("file_path", "event_type=([^/]+)", 1).alias("event_type")).agg(F.sum("rows").alias("rows"))
 
 
+@query("SELECT event_type, count(*) AS rows, 0::BIGINT AS nulls, min(event_id) AS low, max(event_id) AS high, true AS groups FROM events GROUP BY 1")
+def a8_row_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Events written in row groups of at most some kilobytes: their rows and what their footers say of event_id."""
+    base = scratch(spark, "groups")
+    table(spark, d, "events").repartition(2, "event_type").write.option("parquet.block.size", 16384).partitionBy("event_type").parquet(base)
+    g = S.row_groups(spark, base).select(F.regexp_extract("file_path", "event_type=([^/]+)", 1).alias("event_type"), "row_group", "rows", F.filter("columns", lambda c: c["name"] == "event_id")[0].alias("c"))
+    return g.groupBy("event_type").agg(F.sum("rows").alias("rows"), F.sum("c.nulls").alias("nulls"), F.min(F.col("c.low").cast("long")).alias("low"), F.max(F.col("c.high").cast("long")).alias("high"), (F.count("*") > 0).alias("groups"))
+
+
 _LINEITEM = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
 
 

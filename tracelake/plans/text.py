@@ -221,6 +221,14 @@ def f21_chunk_text(spark: SparkSession, d: str) -> DataFrame:
     return X.chunk_text(table(spark, d, "documents"), "doc_id", "text", 500, 100).select("id", "chunk", F.md5(F.encode("chunk_text", "utf-8")).alias("chunk_md5"))
 
 
+@query("""WITH s AS (SELECT doc_id AS id, s.n AS section, CASE s.n WHEN 1 THEN 'Doc ' || doc_id ELSE 'Doc ' || doc_id || ' > Source ' || source END AS breadcrumb, CASE s.n WHEN 1 THEN '> ' || replace(text, chr(10), chr(10) || '> ') || chr(10) || '```sql' || chr(10) || '# not a heading' || chr(10) || 'SELECT ' || n_chars || ';' || chr(10) || '```' ELSE 'tail' END AS content FROM documents, (VALUES (1), (2)) s(n))
+SELECT id, section, breadcrumb, i::INT AS chunk, md5(substring(content, i::INT * 700 + 1, 800)) AS chunk_md5 FROM (SELECT *, unnest(range(greatest(1, ceil((length(content) - 100) / 700)::BIGINT))) AS i FROM s)""")
+def f21_chunk_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of sections with the headings above them."""
+    c = X.chunk_sections(_markdown(spark, d), "doc_id", "md", 800, 100)
+    return c.select("id", F.col("section").cast("int").alias("section"), "breadcrumb", "chunk", F.md5(F.encode("chunk_text", "utf-8")).alias("chunk_md5"))
+
+
 @query("""WITH w AS (SELECT o_custkey AS file, 1 AS page, o_orderkey % 3 AS y, o_orderkey * 1.0 AS x0, o_orderkey + CASE WHEN o_orderkey % 2 = 0 THEN 5000 ELSE 0.3 END AS x1, o_orderstatus AS word FROM orders), g AS (SELECT *, lag(x1) OVER (PARTITION BY file, page, y ORDER BY x0) AS px FROM w)
 SELECT file, y, string_agg(CASE WHEN px IS NULL OR x0 - px < 0.5 THEN '' ELSE ' ' END || word, '' ORDER BY x0) AS line FROM g GROUP BY ALL""")
 def f22_words_to_lines(spark: SparkSession, d: str) -> DataFrame:

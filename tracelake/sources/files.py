@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,6 +115,40 @@ def parquet_stats(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("file_path", norm("file_path")).join(sizes.withColumn("file_path", norm("file_path")), "file_path")
 
 
+def row_groups(spark: SparkSession, path: str) -> DataFrame:
+    """(file_path, row_group, rows, bytes, columns): one row a row group of Parquet files, from their footers; no data page is read.
+
+    columns: of every leaf column its compressed bytes, nulls, and least and greatest value as strings, where the writer
+    has left them. Files are listed by Spark and their footers read in tasks, with the file systems that Arrow knows
+    (file, hdfs, s3, gs); other stores are refused by it. Hidden files are left out.
+    """
+    share_code(spark)
+    paths = list_files(spark, path).where(F.col("path").endswith(".parquet")).select("path")
+    kind = "file_path string, row_group int, rows long, bytes long, columns array<struct<name: string, bytes: long, nulls: long, low: string, high: string>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column = pa.struct([("name", pa.string()), ("bytes", pa.int64()), ("nulls", pa.int64()), ("low", pa.string()), ("high", pa.string())])
+        for batch in batches:
+            out: list[tuple] = []
+            for p in batch.column(0).to_pylist():
+                store, where = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", p))
+                with store.open_input_file(where) as f:
+                    meta = pq.read_metadata(f)
+                for g in range(meta.num_row_groups):
+                    group, columns = meta.row_group(g), []
+                    for c in range(group.num_columns):
+                        col = group.column(c)
+                        s = col.statistics
+                        told = s is not None and s.has_min_max
+                        columns.append({"name": col.path_in_schema, "bytes": col.total_compressed_size, "nulls": s.null_count if s is not None and s.has_null_count else None, "low": str(s.min) if told else None, "high": str(s.max) if told else None})
+                    out.append((p, g, group.num_rows, group.total_byte_size, columns))
+            cols = [[r[i] for r in out] for i in range(5)]
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(column)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["file_path", "row_group", "rows", "bytes", "columns"])
+
+    return paths.repartition(max(1, min(200, paths.count() // 16))).mapInArrow(run, kind)
+
+
 _NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 #: Items of a quantile sketch: 400 keep ranks within about 0.7 % (a KLL sketch), in some 4 kB.
 SKETCH_K = 400
