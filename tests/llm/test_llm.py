@@ -420,6 +420,67 @@ def test_exact_passages_against_all_pairs(spark):
     assert all(want[i] <= found.get(i, set()) for i, _ in rows)
 
 
+@pytest.mark.parametrize("held_later", [False, True])
+def test_passages_whose_phrases_smaller_ids_hold(spark, held_later):
+    """Holders at any places, where smaller ids hold all phrases of the passage apart, or hold those before the passage itself."""
+    rng = random.Random(5)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    p = new(60)
+    phrases = lambda: [w for a in range(0, 60, 5) for w in new(7) + p[a : a + 9]]
+    rows = [(0, " ".join(phrases() + new(9) + p + new(9)))] if held_later else [(i, " ".join(phrases())) for i in range(12)]
+    ids = list(range(20, 60))
+    places = dict(zip(ids, rng.sample(range(400), len(ids)), strict=True))
+    rows += [(i, " ".join(new(places[i]) + p + new(50))) for i in ids]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    spans = {}
+    for r in got:
+        spans.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    assert set(spans) == set(ids[0 if held_later else 1 :])
+    assert all(spans[i] >= set(range(places[i], places[i] + 60)) for i in spans)
+
+
+def test_holders_stream_over_batches(spark):
+    """The pairs of seeds that go over many Arrow batches are those of one batch."""
+    rng = random.Random(3)
+    vocab = [f"v{i}" for i in range(30)]
+    phrase = [rng.choice(vocab) for _ in range(40)]
+    rows = [(i, " ".join(rng.choices(vocab, k=rng.randrange(9)) + phrase[: rng.randrange(5, 40)] + rng.choices(vocab, k=5))) for i in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    pairs = lambda: {(r["doc"], r["rdoc"], tuple(sorted(map(tuple, r["m"])))) for r in substring_dedup.matches(docs).collect()}
+    whole = pairs()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in ("1", "3", "7"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            assert pairs() == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(whole) > 60
+
+
+def test_pieces_by_hand():
+    rng = np.random.default_rng(2)
+    for trial in range(300):
+        n, wide = int(rng.integers(0, 40)), 30 if trial % 2 else 400
+        start = rng.integers(0, wide, n)
+        end, holder = start + rng.integers(1, wide // 2, n), rng.integers(0, 8, n)
+        pieces = list(zip(start.tolist(), end.tolist(), holder.tolist(), strict=True))
+        want = [not any(h < m and a <= s and b >= e for a, b, h in pieces) for s, e, m in pieces]
+        assert substring_dedup.first_held(start, end, holder).tolist() == want
+        # a gap of up to 8 words is bridged
+        covered = {w for s, e, _ in pieces for w in range(s, e + 8)}
+
+        def words_around(s, at=covered):
+            lo = hi = s
+            while lo - 1 in at:
+                lo -= 1
+            while hi in at:
+                hi += 1
+            return hi - 8 - lo
+
+        assert substring_dedup.long_spans(start, end, 50).tolist() == [words_around(s) >= 50 for s, _, _ in pieces]
+
+
 def test_holders_of_a_hot_seed_make_chunks():
     rng = np.random.default_rng(1)
     h, doc = np.repeat(np.array([7, 9], np.uint64), (500, 3)), np.concatenate((rng.permutation(500), [1, 2, 3])).astype(np.int64)
