@@ -1,5 +1,6 @@
 """Relations of polygons against the unit squares that they are made of, and by hand."""
 
+import json
 import random
 
 import numpy as np
@@ -90,3 +91,23 @@ def test_by_hand(a, b, want):
 def test_points_agree_with_polygons(spark):
     square = F.array(*[F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in ((0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0))])
     assert spark.range(1).select(spatial.inside(F.lit(1.0), F.lit(1.0), square).alias("i"), spatial.inside(F.lit(3.0), F.lit(1.0), square).alias("o")).first() == (True, False)
+
+
+def test_geojson_in_and_out(spark):
+    texts = [
+        ('{"type": "Point", "coordinates": [1.5, -2]}', (1.5, -2.0)), ('{"type":"Point","coordinates":[1,2,30]}', (1.0, 2.0)),
+        ('{"type":"Feature","properties":null,"geometry":{"coordinates":[3,4],"type":"Point"}}', (3.0, 4.0)),
+        ('{"type":"Point","coordinates":[1]}', (None, None)), ('{"type":"Point","coordinates":[]}', (None, None)),
+        ('{"type":"LineString","coordinates":[[1,2],[3,4]]}', (None, None)), ("no json", (None, None)), ("", (None, None)), (None, (None, None)),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i int, t string")
+    got = {r["i"]: tuple(r["p"]) for r in df.select("i", spatial.parse_geojson_point(F.col("t")).alias("p")).collect()}
+    assert [got[i] for i in range(len(texts))] == [want for _, want in texts]
+    ring, hole = [(0.0, 0.0), (9.5, 0.0), (0.0, 9.0), (0.0, 0.0)], [(1.0, 1.0), (2.0, 1.0), (1.0, 2.0), (1.0, 1.0)]
+    rings = spark.createDataFrame([(1, [ring, hole]), (2, None), (3, [])], "i int, r array<array<struct<lon:double,lat:double>>>")
+    out = {r["i"]: r for r in rings.select("i", spatial.geojson_polygon(F.col("r")).alias("t")).select("i", "t", spatial.parse_geojson_polygon(F.col("t")).alias("r")).collect()}
+    assert json.loads(out[1]["t"]) == {"type": "Polygon", "coordinates": [[list(p) for p in x] for x in (ring, hole)]}
+    assert [[tuple(p) for p in x] for x in out[1]["r"]] == [ring, hole]
+    assert out[2]["t"] is None and out[2]["r"] is None and out[3]["r"] == []
+    assert df.select(spatial.parse_geojson_polygon(F.col("t")).alias("r")).where("r is not null").count() == 0
+    assert df.select(spatial.geojson_point(F.lit(None).cast("double"), F.lit(1.0)).alias("p")).where("p is not null").count() == 0

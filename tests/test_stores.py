@@ -1,6 +1,6 @@
 """Stores that batches change at the cost of the batch: nothing is lost at any cut, nothing is taken in twice."""
 
-from datetime import datetime
+from datetime import date, datetime
 from pathlib import Path
 
 import pytest
@@ -134,3 +134,28 @@ def test_streams_take_each_batch_in_once(spark, tmp_path):
     assert kv(jobs.read_store(spark, f"{tmp_path}/s")) == [("a", 1), ("a", 1), ("b", 2)]
     run("two")
     assert len(kv(jobs.read_store(spark, f"{tmp_path}/s"))) == 6
+
+
+def test_landed_days_expire_and_batches_land_once(spark, tmp_path):
+    out = f"{tmp_path}/signals"
+    day = lambda d: None if d is None else datetime(2024, 1, d, 12)
+    rows = lambda *r: spark.createDataFrame([(k, day(d), v) for k, d, v in r], "kind string, ts timestamp, v int")
+    schema = rows().schema
+    told = lambda: sorted(((r["kind"], r["ds"], r["v"]) for r in jobs.read_signals(spark, out, schema).collect()), key=str)
+    put = jobs.land_batch(out, "kind", "ts")
+    assert told() == [] and jobs.expire_days(spark, out, date(2024, 1, 3)) == []
+    first = rows(("log", 1, 1), ("log", 1, 1), ("trace", 2, 2), ("log", 3, 3), (None, 3, 4), ("log", None, 5))
+    put(first, 0)
+    put(rows(("log", 1, 6)), 1)
+    put(first, 0)  # a batch that is run again
+    put(rows().where("false"), 2)
+    assert told() == sorted([("log", "2024-01-01", 1), ("log", "2024-01-01", 1), ("log", "2024-01-01", 6), ("trace", "2024-01-02", 2), ("log", "2024-01-03", 3), (None, "2024-01-03", 4), ("log", None, 5)], key=str)
+    assert jobs.expire_days(spark, out, date(2024, 1, 3)) == ["2024-01-01", "2024-01-02"]
+    assert not list(Path(out).glob("ds=2024-01-0[12]"))
+    left = [("log", "2024-01-03", 3), (None, "2024-01-03", 4), ("log", None, 5)]
+    assert told() == sorted(left, key=str)
+    put(rows(("log", 1, 7)), 3)  # a row that comes late lands, and goes at the next call
+    assert ("log", "2024-01-01", 7) in told() and jobs.expire_days(spark, out, date(2024, 1, 3)) == ["2024-01-01"]
+    assert told() == sorted(left, key=str)
+    with pytest.raises(ValueError):
+        put(first.withColumnRenamed("v", "ds"), 4)

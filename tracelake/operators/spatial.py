@@ -30,6 +30,37 @@ def parse_wkt_point(wkt: Column) -> Column:
     return F.struct(get(1).alias("lon"), get(2).alias("lat"))
 
 
+def geojson_point(lon: Column, lat: Column) -> Column:
+    """A GeoJSON point; null if a coordinate is null."""
+    return F.when(lon.isNotNull() & lat.isNotNull(), F.to_json(F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates"))))
+
+
+def geojson_polygon(rings: Column) -> Column:
+    """A GeoJSON polygon of rings (arrays of lon, lat structs), the outer one first; a null array gives null."""
+    flat = F.transform(rings, lambda ring: F.transform(ring, lambda p: F.array(p["lon"], p["lat"])))
+    return F.when(rings.isNotNull(), F.to_json(F.struct(F.lit("Polygon").alias("type"), flat.alias("coordinates"))))
+
+
+def _geometry(text: Column, kind: str, coordinates: str) -> Column:
+    """The coordinates of a GeoJSON geometry of a kind, bare or within a feature; null for any other text."""
+    bare = F.when(F.get_json_object(text, "$.type") == "Feature", F.get_json_object(text, "$.geometry")).otherwise(text)
+    read = F.from_json(bare, f"type string, coordinates {coordinates}")
+    return F.when(read["type"] == kind, read["coordinates"])
+
+
+def parse_geojson_point(text: Column) -> Column:
+    """A struct of lon and lat; nulls if the text is no point. A height is left out."""
+    at = _geometry(text, "Point", "array<double>")
+    good = F.size(at) >= 2
+    return F.struct(F.when(good, F.get(at, F.lit(0))).alias("lon"), F.when(good, F.get(at, F.lit(1))).alias("lat"))
+
+
+def parse_geojson_polygon(text: Column) -> Column:
+    """The rings of a polygon, arrays of lon, lat structs, the outer one first; null if the text is no polygon."""
+    rings = _geometry(text, "Polygon", "array<array<array<double>>>")
+    return F.transform(rings, lambda ring: F.transform(ring, lambda p: F.struct(F.get(p, F.lit(0)).alias("lon"), F.get(p, F.lit(1)).alias("lat"))))
+
+
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Metres between two points on a sphere of the earth's mean radius."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)

@@ -278,6 +278,20 @@ def i1_points(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
 
 
+@query(_PLACES + """, g AS (SELECT id, json_object('type', 'Feature', 'geometry', json_object('type', 'Point', 'coordinates', [lon, lat])) AS p, json_object('type', 'Polygon', 'coordinates', [[[lon - 1, lat - 1], [lon + 1, lat - 1], [lon, lat + 1], [lon - 1, lat - 1]]]) AS t FROM c)
+SELECT id, round((p->'$.geometry.coordinates[0]')::DOUBLE, 6) AS lon, round((p->'$.geometry.coordinates[1]')::DOUBLE, 6) AS lat, json_array_length(t, '$.coordinates[0]')::INTEGER AS corners, round((t->'$.coordinates[0][0][0]')::DOUBLE, 6) AS west, round((t->'$.coordinates[0][2][1]')::DOUBLE, 6) AS north FROM g""")
+def i1_geojson(spark: SparkSession, d: str) -> DataFrame:
+    """Points as GeoJSON features and a triangle around each, written and read back."""
+    c, _ = _places(spark, d)
+    lon, lat = F.col("lon"), F.col("lat")
+    corner = lambda x, y: F.struct((lon + x).alias("lon"), (lat + y).alias("lat"))
+    ring = F.array(corner(-1, -1), corner(1, -1), corner(0, 1), corner(-1, -1))
+    feature = F.concat(F.lit('{"type": "Feature", "properties": {}, "geometry": '), S.geojson_point(lon, lat), F.lit("}"))
+    g = c.select("id", feature.alias("p"), S.geojson_polygon(F.array(ring)).alias("t"))
+    read = g.select("id", S.parse_geojson_point(F.col("p")).alias("p"), S.parse_geojson_polygon(F.col("t"))[0].alias("r"))
+    return read.select("id", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"), F.size("r").alias("corners"), F.round(F.col("r")[0]["lon"], 6).alias("west"), F.round(F.col("r")[2]["lat"], 6).alias("north"))
+
+
 @query(_PLACES + """, p AS (SELECT c.id, c.lon, c.lat, c.lon + (c.id % 9 - 4) * 0.05 AS x, c.lat + (c.id % 7 - 3) * 0.05 AS y FROM c), m AS (SELECT *, radians((lat + y) / 2) AS mid, 1 - pow(6356752.314245 / 6378137.0, 2) AS e2 FROM p), n AS (SELECT *, 1 - e2 * pow(sin(mid), 2) AS den FROM m)
 SELECT id, round(sqrt(pow(radians(y - lat) * 6378137.0 * (1 - e2) / pow(den, 1.5), 2) + pow(radians(x - lon) * cos(mid) * 6378137.0 / sqrt(den), 2)), 3) AS metres FROM n""")
 def i2_ellipsoid_distance(spark: SparkSession, d: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.operators.rules import Rule
-from tracelake.session import ensure_checkpoint_dir, scratch, table
+from tracelake.session import cut, ensure_checkpoint_dir, scratch, table
 from tracelake.streaming import jobs as J
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -126,18 +128,29 @@ def l7_sliding_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, ts::DATE::VARCHAR AS ds, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY ALL")
 def l8_land_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Events by day and signal, of which the days before the tenth are deleted."""
+    s, base = _landed(spark, d)
+    J.land_signals(s, f"{base}/out", f"{base}/ck", "event_type", "ts").awaitTermination()
+    J.expire_days(spark, f"{base}/out", date(2024, 1, 10))
+    return J.read_signals(spark, f"{base}/out", s.schema).groupBy("event_type", "ds").agg(F.count("*").alias("n"))
+
+
+@query("SELECT ts::DATE::VARCHAR AS ds, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-10' GROUP BY 1")
+def l8_expired_days(spark: SparkSession, d: str) -> DataFrame:
+    """The days that a retention of telemetry takes away, with the rows that go."""
     s, base = _landed(spark, d)
     J.land_signals(s, f"{base}/out", f"{base}/ck", "event_type", "ts").awaitTermination()
-    kept = J.retained(spark.read.schema(s.schema.add("ds", "string")).parquet(f"{base}/out"), F.lit("2024-01-10").cast("timestamp"))
-    return kept.groupBy("event_type", "ds").agg(F.count("*").alias("n"))
+    landed = cut(J.read_signals(spark, f"{base}/out", s.schema).groupBy("ds").agg(F.count("*").alias("n")))
+    gone = spark.createDataFrame([(x,) for x in J.expire_days(spark, f"{base}/out", date(2024, 1, 10))], "ds string")
+    return landed.join(gone, "ds")
 
 
 @query("SELECT event_type AS signal, count(*) AS n, count(DISTINCT ts::DATE) AS days FROM events GROUP BY 1")
 def k11_telemetry(spark: SparkSession, d: str) -> DataFrame:
-    """Signals told apart by kind land in their own date-partitioned folders."""
+    """Signals told apart by kind land in folders of their own within a day's."""
     s, base = _landed(spark, d)
     J.land_signals(s, f"{base}/otlp", f"{base}/ck", "event_type", "ts").awaitTermination()
-    return spark.read.schema(s.schema.add("ds", "string")).parquet(f"{base}/otlp").groupBy(F.col("event_type").alias("signal")).agg(F.count("*").alias("n"), F.countDistinct("ds").alias("days"))
+    return J.read_signals(spark, f"{base}/otlp", s.schema).groupBy(F.col("event_type").alias("signal")).agg(F.count("*").alias("n"), F.countDistinct("ds").alias("days"))
 
 
 @query("SELECT page_id FROM pages WHERE page_id NOT IN (SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-01 05:00:00')")

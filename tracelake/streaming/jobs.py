@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from tracelake.operators.activity import mark_repeats
 from tracelake.operators.relational import newest_per_key
 from tracelake.operators.rules import Rule, verdict_columns
+from tracelake.sources.commits import child_folders, delete_folder
 from tracelake.streaming.store import BucketStore, batch_source
 
 
@@ -148,15 +152,51 @@ def windowed_counts(stream: DataFrame, ts: str, kind: str, size: str, slide: str
     return t.groupBy(w.alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("started"), kind, "n")
 
 
+#: Partition columns of landed telemetry: the day of a row, and the stream and batch that brought it.
+DAY, BROUGHT = "ds", "brought_by"
+
+
+def land_batch(out: str, kind: str, ts: str) -> Callable[[DataFrame, int], None]:
+    """A batch function that lands rows by day, batch and signal; a batch that is run again replaces what it wrote before.
+
+    A day lies in one folder, so that expire_days takes it away at once. Rows without a time lie in a folder that does
+    not expire. Rows may not have columns called as DAY or BROUGHT.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        if {DAY, BROUGHT} & {c.lower() for c in batch.columns}:
+            raise ValueError(f"a column is called {DAY} or {BROUGHT}")
+        rows = batch.withColumns({DAY: F.date_format(ts, "yyyy-MM-dd"), BROUGHT: F.lit(f"{batch_source(batch)}-{number}")})
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY, BROUGHT, kind).parquet(out)
+
+    return run
+
+
 def land_signals(stream: DataFrame, out: str, checkpoint: str, kind: str, ts: str, every: str = "5 seconds", once: bool = True) -> StreamingQuery:
-    """Telemetry rows to Parquet by signal and date, every few seconds, or once over what is there."""
-    w = stream.withColumn("ds", F.date_format(ts, "yyyy-MM-dd")).writeStream.format("parquet").partitionBy(kind, "ds").option("checkpointLocation", checkpoint)
-    return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start(out)
+    """Telemetry rows to Parquet by day and signal, every few seconds, or once over what is there. Cases as in land_batch."""
+    w = stream.writeStream.foreachBatch(land_batch(out, kind, ts)).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()
+
 
+def read_signals(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    """What has landed, with the day of each row; schema is that of the rows. Nothing landed gives no rows."""
+    if not child_folders(spark, out):
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField(DAY, T.StringType())]))
+    stored = T.StructType([*schema.fields, T.StructField(DAY, T.StringType()), T.StructField(BROUGHT, T.StringType())])
+    return spark.read.schema(stored).parquet(out).select(*[F.col(f"`{c}`") for c in schema.names], DAY)
 
-def retained(df: DataFrame, since: Column, ds: str = "ds") -> DataFrame:
-    """What a retention by date keeps; a filter on the partition column."""
-    return df.where(F.col(ds) >= F.date_format(since, "yyyy-MM-dd"))
+
+def expire_days(spark: SparkSession, out: str, before: date) -> list[str]:
+    """Delete the days before a date with all that landed for them; the days that went, in order.
+
+    One deletion a day, however much it holds. A row that comes late for such a day lands again and goes at the next
+    call; a query that is reading a day while it goes fails and has to be run again. Run again after a failure it goes on.
+    """
+    days = [name.removeprefix(f"{DAY}=") for name in child_folders(spark, out)]
+    gone = sorted(d for d in days if re.fullmatch(r"\d{4}-\d\d-\d\d", d) and d < before.isoformat())
+    for d in gone:
+        delete_folder(spark, f"{out}/{DAY}={d}")
+    return gone
 
 
 def stream_verdicts(stream: DataFrame, rules: Sequence[Rule], keys: Sequence[str]) -> DataFrame:
