@@ -183,3 +183,22 @@ def contains_all(df: DataFrame, rules: DataFrame, tokens: str, words: str) -> Da
     keyed = rules.where(F.size(words) > 0).withColumn("_first", F.array_min(words))
     spread = df.withColumn("_first", F.explode(F.array_distinct(tokens)))
     return spread.join(keyed, "_first").where(F.size(F.array_except(words, tokens)) == 0).drop("_first")
+
+
+def join_in_blocks(left: DataFrame, right: DataFrame, on: Sequence[str], rows: int = 2048, pairs: int = 1 << 22) -> DataFrame:
+    """left.join(right, on) for keys with so many rows on both sides that their pairs are the work.
+
+    The rows of a key are dealt into blocks of about so many, and every two blocks meet under a key of their own, in as
+    many partitions as there are times so many pairs: no task has a key's pairs, and a small table of one file does not
+    leave all of them to one task. A row is shuffled once for each block that it meets.
+    """
+    on, keys = list(on), [*on, "_bl", "_br"]
+    n = left.groupBy(*on).agg(F.count("*").alias("_nl")).join(right.groupBy(*on).agg(F.count("*").alias("_nr")), on)
+    total = n.agg(F.sum(F.col("_nl") * F.col("_nr"))).first()[0] or 0
+    parts = int(min(2000, 1 + total // pairs))
+    n = n.select(*on, F.ceil(F.col("_nl") / rows).alias("_nl"), F.ceil(F.col("_nr") / rows).alias("_nr"))
+    own = lambda df, size: F.pmod(F.xxhash64(*df.columns), F.col(size))
+    every = lambda size: F.explode(F.sequence(F.lit(0).cast("long"), F.col(size) - 1))
+    x = left.join(n, on).withColumn("_bl", own(left, "_nl")).withColumn("_br", every("_nr")).drop("_nl", "_nr")
+    y = right.join(n, on).withColumn("_br", own(right, "_nr")).withColumn("_bl", every("_nl")).drop("_nl", "_nr")
+    return x.repartition(parts, *keys).hint("merge").join(y.repartition(parts, *keys), keys).drop("_bl", "_br")

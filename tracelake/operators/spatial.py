@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.session import share_code
+from tracelake.operators.relational import join_in_blocks
+from tracelake.session import cut, share_code
 
 EARTH_M = 6_371_008.8
 DEGREE_M = math.pi * EARTH_M / 180
@@ -81,10 +82,10 @@ def ellipsoid_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -
 
 
 def distance_matrix(df: DataFrame, group: str, key: str, lon: str, lat: str) -> DataFrame:
-    """(group, a, b, metres) of all pairs a < b within a group; groups are small sets by nature (sites of one area)."""
+    """(group, a, b, metres) of all pairs a < b within a group. Rows grow with the squares of the groups; pairs are dealt out evenly."""
     left = df.select(group, F.col(key).alias("a"), F.col(lon).alias("_x"), F.col(lat).alias("_y"))
     right = df.select(group, F.col(key).alias("b"), F.col(lon).alias("_x2"), F.col(lat).alias("_y2"))
-    return left.join(right, group).where("a < b").select(group, "a", "b", haversine(F.col("_x"), F.col("_y"), F.col("_x2"), F.col("_y2")).alias("metres"))
+    return join_in_blocks(left, right, [group]).where("a < b").select(group, "a", "b", haversine(F.col("_x"), F.col("_y"), F.col("_x2"), F.col("_y2")).alias("metres"))
 
 
 def in_box(df: DataFrame, lon: str, lat: str, box: tuple[float, float, float, float]) -> DataFrame:
@@ -123,24 +124,62 @@ def points_in_polygons(points: DataFrame, zones: DataFrame, lon: str, lat: str,
     return p.join(z, ["_cx", "_cy"]).where(inside(F.col(lon), F.col(lat), F.col("ring"))).drop("_cx", "_cy", "ring")
 
 
-def knn(a: DataFrame, b: DataFrame, key: str, other: str, lon: str, lat: str, metres: float, k: int) -> DataFrame:
-    """(key, other, metres, rank): the k nearest rows of b within a radius of each row of a.
+#: Rows in a cell beyond which knn looks near at hand first.
+DENSE = 64
 
-    Points share a grid of cells one radius wide; each of a's points asks its own cell and those around it. Columns of
-    longitude shrink towards the poles, so rows ask as many columns as the radius spans at their latitude.
-    """
+
+def _cell(lon: str, lat: str, metres: float) -> tuple[Column, Column]:
+    """Column and line of the cell of a place, on a grid of cells one radius wide; about the poles, where a radius may span all columns, lines have the one column -1."""
     size = metres / DEGREE_M
     columns = max(1, math.floor(360 / size))  # whole columns, so that the first and the last are neighbours
-    column = lambda c: F.pmod(F.floor((F.col(c) + 180) * columns / 360), F.lit(columns)).cast("long")
-    line = lambda c: F.floor(F.col(c) / size).cast("long")
-    reach = F.ceil(1 / F.greatest(F.lit(0.02), F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.col("_y")) + size))))).cast("long")
-    left = a.select(F.col(key), F.col(lon).alias("_x"), F.col(lat).alias("_y"), column(lon).alias("_cx"), line(lat).alias("_cy"))
-    around = F.array_distinct(F.transform(F.sequence(F.col("_cx") - reach, F.col("_cx") + reach), lambda x: F.pmod(x, F.lit(columns))))
-    left = left.withColumn("_gx", F.explode(around)).withColumn("_gy", F.explode(F.sequence(F.col("_cy") - 1, F.col("_cy") + 1)))
-    right = b.select(F.col(other), F.col(lon).alias("_x2"), F.col(lat).alias("_y2"), column(lon).alias("_gx"), line(lat).alias("_gy"))
-    d = left.join(right, ["_gx", "_gy"]).withColumn("metres", haversine(F.col("_x"), F.col("_y"), F.col("_x2"), F.col("_y2"))).where(F.col("metres") <= metres)
-    rank = F.row_number().over(W.partitionBy(key).orderBy("metres", other))
-    return d.withColumn("rank", rank).where(F.col("rank") <= k).select(key, other, "metres", "rank")
+    column = F.pmod(F.floor((F.col(lon) + 180) * columns / 360), F.lit(columns)).cast("long")
+    return F.when(F.abs(F.col(lat)) >= 89 - 2 * size, F.lit(-1).cast("long")).otherwise(column), F.floor(F.col(lat) / size).cast("long")
+
+
+def _nearest(places: DataFrame, right: DataFrame, other: str, metres: float, k: int) -> DataFrame:
+    """(_x, _y, other, metres, rank): the k nearest rows of right (other, _x2, _y2) within a radius of each place.
+
+    Each place asks its own cell and those around it. Columns of longitude shrink towards the poles, so places ask as
+    many columns as the radius spans at their latitude.
+    """
+    size = metres / DEGREE_M
+    columns = max(1, math.floor(360 / size))
+    reach = F.ceil(1 / F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.col("_y")) + size)))).cast("long")
+    reach = F.least(reach, F.lit(columns).cast("long"))
+    cx, cy = F.floor((F.col("_x") + 180) * columns / 360).cast("long"), F.floor(F.col("_y") / size).cast("long")
+    around = F.transform(F.sequence(cx - reach, cx + reach), lambda x: F.pmod(x, F.lit(columns)).cast("long"))
+    around = F.array_distinct(F.when(F.abs(F.col("_y")) >= 89 - 3 * size, F.array_append(around, F.lit(-1).cast("long"))).otherwise(around))
+    left = places.withColumn("_gx", F.explode(around)).withColumn("_gy", F.explode(F.sequence(cy - 1, cy + 1)))
+    gx, gy = _cell("_x2", "_y2", metres)
+    d = join_in_blocks(left, right.withColumns({"_gx": gx, "_gy": gy}), ["_gx", "_gy"])
+    d = d.withColumn("metres", haversine(F.col("_x"), F.col("_y"), F.col("_x2"), F.col("_y2"))).where(F.col("metres") <= metres)
+    rank = F.row_number().over(W.partitionBy("_x", "_y").orderBy("metres", other))
+    return d.withColumn("rank", rank).where(F.col("rank") <= k).select("_x", "_y", other, "metres", "rank")
+
+
+def knn(a: DataFrame, b: DataFrame, key: str, other: str, lon: str, lat: str, metres: float, k: int) -> DataFrame:
+    """(key, other, metres, rank): the k nearest rows of b within a radius of each row of a; equal distances by other.
+
+    Rows of a at one place are asked for once, and of rows of b at one place only the first k can be among the nearest.
+    Where b is dense, a part of the radius is looked at first: who has k rows there has the nearest ones, the others ask
+    four times as far until the radius is reached.
+    """
+    left = a.select(F.col(key), F.col(lon).alias("_x"), F.col(lat).alias("_y"))
+    first = F.row_number().over(W.partitionBy("_x2", "_y2").orderBy(other))
+    right = b.select(F.col(other), F.col(lon).alias("_x2"), F.col(lat).alias("_y2")).where(F.col("_x2").isNotNull() & F.col("_y2").isNotNull())
+    right = cut(right.withColumn("_r", first).where(F.col("_r") <= k).drop("_r"))
+    most = right.groupBy(*_cell("_x2", "_y2", metres)).count().agg(F.max("count")).first()[0] or 0
+    halved = math.ceil(math.log(max(1, most / DENSE), 4))
+    places, found = left.select("_x", "_y").where(F.col("_x").isNotNull() & F.col("_y").isNotNull()).distinct(), None
+    while halved > 0:
+        near = _nearest(places, right, other, metres / 2**halved, k)
+        full = cut(near.withColumn("_n", F.max("rank").over(W.partitionBy("_x", "_y"))).where(F.col("_n") >= k).drop("_n"))
+        found = full if found is None else found.unionByName(full)
+        places = cut(places.join(full.select("_x", "_y").distinct(), ["_x", "_y"], "left_anti"))
+        halved -= 2
+    near = _nearest(places, right, other, metres, k)
+    found = near if found is None else found.unionByName(near)
+    return left.join(found, ["_x", "_y"]).select(key, other, "metres", "rank")
 
 
 def density(df: DataFrame, lon: str, lat: str, degrees: float) -> DataFrame:
@@ -214,7 +253,7 @@ def measures(df: DataFrame, key: str, ring: str) -> DataFrame:
 def relate_boxes(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
     """(a, b, relation) of boxes (xmin, ymin, xmax, ymax) that share a key: equal, contains, within, intersects, disjoint."""
     side = lambda df, p: df.select(on, *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != on])
-    j = side(a, "a").join(side(b, "b"), on)
+    j = join_in_blocks(side(a, "a"), side(b, "b"), [on])
     c = {f"{p}{k}": F.col(f"{p}_{k}") for p in "ab" for k in ("xmin", "ymin", "xmax", "ymax")}
     holds = lambda p, q: (c[p + "xmin"] <= c[q + "xmin"]) & (c[p + "ymin"] <= c[q + "ymin"]) & (c[p + "xmax"] >= c[q + "xmax"]) & (c[p + "ymax"] >= c[q + "ymax"])
     apart = (c["axmin"] > c["bxmax"]) | (c["bxmin"] > c["axmax"]) | (c["aymin"] > c["bymax"]) | (c["bymin"] > c["aymax"])
@@ -295,28 +334,35 @@ def relate_polygons(a: DataFrame, b: DataFrame, id_a: str, id_b: str, ring: str
     Rings are arrays of (lon, lat), closed and without crossings; contains and within allow shared borders, touches means
     that borders meet and areas don't. Pairs whose boxes do not meet are disjoint and not listed, so that no pair is made
     of polygons far apart: both sides are dealt over the grid cells of their boxes, and a pair is looked at in the one
-    cell where both have begun. Null rings and those of fewer than three edges are left out. Choose the cell near the
-    size of a common polygon.
+    cell where both have begun. Equal rings are looked at once, and what is found holds for all pairs of their rows.
+    Null rings and those of fewer than three edges are left out. Choose the cell near the size of a common polygon.
     """
     at = lambda c: F.floor(c / cell)
 
-    def dealt(df: DataFrame, key: str, side: str) -> DataFrame:
+    def shaped(df: DataFrame, key: str, side: str) -> tuple[DataFrame, DataFrame]:
+        """Rows (id, shape), and distinct shapes."""
         xs, ys = F.transform(ring, lambda p: p["lon"].cast("double")), F.transform(ring, lambda p: p["lat"].cast("double"))
         t = df.where(F.size(ring) >= 4).select(F.col(key).alias(f"{side}_id"), xs.alias(f"{side}_xs"), ys.alias(f"{side}_ys"))
+        of = [f"{side}_xs", f"{side}_ys"]
+        shapes = cut(t.select(*of).distinct().withColumn(f"{side}_shape", F.monotonically_increasing_id()))
+        return t.join(shapes, of).select(f"{side}_id", f"{side}_shape"), shapes
+
+    def dealt(t: DataFrame, side: str) -> DataFrame:
         t = t.select("*", *[f(F.col(f"{side}_{c}s")).alias(f"{side}_{c}{n}") for c in "xy" for n, f in (("lo", F.array_min), ("hi", F.array_max))])
         return t.withColumn("_cx", F.explode(F.sequence(at(F.col(f"{side}_xlo")), at(F.col(f"{side}_xhi"))))).withColumn("_cy", F.explode(F.sequence(at(F.col(f"{side}_ylo")), at(F.col(f"{side}_yhi")))))
 
-    j = dealt(a, id_a, "a").join(dealt(b, id_b, "b"), ["_cx", "_cy"])
+    (rows_a, shapes_a), (rows_b, shapes_b) = shaped(a, id_a, "a"), shaped(b, id_b, "b")
+    j = join_in_blocks(dealt(shapes_a, "a"), dealt(shapes_b, "b"), ["_cx", "_cy"], 256, 1 << 14)
     first = (F.col("_cx") == at(F.greatest("a_xlo", "b_xlo"))) & (F.col("_cy") == at(F.greatest("a_ylo", "b_ylo")))
     boxes = (F.col("a_xlo") <= F.col("b_xhi")) & (F.col("b_xlo") <= F.col("a_xhi")) & (F.col("a_ylo") <= F.col("b_yhi")) & (F.col("b_ylo") <= F.col("a_yhi"))
-    met = j.where(first & boxes).select("a_id", "b_id", "a_xs", "a_ys", "b_xs", "b_ys")
+    met = j.where(first & boxes).select("a_shape", "b_shape", "a_xs", "a_ys", "b_xs", "b_ys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = [batch.column(i) for i in range(2, 6)]
             told = [relation(np.stack([x1.values.to_numpy(), y1.values.to_numpy()], 1), np.stack([x2.values.to_numpy(), y2.values.to_numpy()], 1)) for x1, y1, x2, y2 in zip(*cols, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(told, pa.string())], names=["a_id", "b_id", "relation"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(told, pa.string())], names=["a_shape", "b_shape", "relation"])
 
     share_code(a.sparkSession)
-    kinds = [f"{n} {met.schema[n].dataType.simpleString()}" for n in ("a_id", "b_id")]
-    return met.mapInArrow(run, ", ".join([*kinds, "relation string"]))
+    found = cut(met.mapInArrow(run, "a_shape long, b_shape long, relation string"))
+    return join_in_blocks(rows_a.join(found, "a_shape").drop("a_shape"), rows_b, ["b_shape"]).select("a_id", "b_id", "relation")
