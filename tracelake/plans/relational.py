@@ -173,11 +173,14 @@ def c21_detail_and_total(spark: SparkSession, d: str) -> DataFrame:
 round(sum(value) OVER (PARTITION BY user_id), 2) AS whole, bool_or(event_type = 'error') OVER (PARTITION BY user_id, event_type) AS err, arg_max(event_id, value) OVER (PARTITION BY user_id) AS best,
 max(value) OVER (PARTITION BY user_id) AS top FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)""")
 def c22_windows(spark: SparkSession, d: str) -> DataFrame:
-    w, p = W.partitionBy("user_id").orderBy("ts"), W.partitionBy("user_id")
+    """Equal times go by event_id, and of equal highest values the first event's is taken; the running sum has all rows of its time, as RANGE says."""
+    p = W.partitionBy("user_id")
+    w, peers = p.orderBy("ts", "event_id"), p.orderBy("ts")
+    best = F.max_by("event_id", F.struct("value", -F.col("event_id"))).over(p)
     return table(spark, d, "events").select(
         "event_id", F.row_number().over(w).cast("long").alias("rn"), F.lag("value").over(w).alias("prev"), F.lead("value").over(w).alias("next"), F.first("value").over(w).alias("first_v"),
-        F.round(F.sum("value").over(w), 2).alias("running"), F.round(F.sum("value").over(p), 2).alias("whole"), F.bool_or(F.col("event_type") == "error").over(W.partitionBy("user_id", "event_type")).alias("err"),
-        F.max_by("event_id", "value").over(p).alias("best"), F.max("value").over(p).alias("top"),
+        F.round(F.sum("value").over(peers), 2).alias("running"), F.round(F.sum("value").over(p), 2).alias("whole"), F.bool_or(F.col("event_type") == "error").over(W.partitionBy("user_id", "event_type")).alias("err"),
+        best.alias("best"), F.max("value").over(p).alias("top"),
     )
 
 
