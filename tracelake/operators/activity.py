@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.operators.relational import contains_all
+from tracelake.operators.relational import contains_all, join_in_blocks
 from tracelake.session import cut, share_code
 
 
@@ -136,15 +136,19 @@ def turns(prompts: DataFrame, replies: DataFrame, key: str, ts: str, take: Seque
 
 
 def live_sessions(last_seen: DataFrame, now: Column, minutes: int, exempt: Sequence[str]) -> DataFrame:
-    """(session, branch, idle, n_others): sessions (session, branch, last) active in the last minutes, with idle minutes and how many others are live on their branch.
+    """(session, branch, idle, n_others, others): sessions (session, branch, last) active in the last minutes, with idle minutes and the other live sessions of their branch in order.
 
-    Exempt branches have no others. Who the others are is the rows of the same branch: a session's row does not list
-    them, so that a busy branch costs no pairs.
+    Exempt branches have no others. The sessions of a branch are listed once and meet its rows in blocks, so that a busy
+    branch costs no pairs beyond the lists that its rows hold.
     """
     idle = F.floor((F.unix_seconds(now) - F.unix_seconds(F.col("last").cast("timestamp"))) / 60)
-    live = last_seen.withColumn("idle", idle).where(F.col("idle").between(0, minutes))
-    many = live.where(F.col("branch").isNotNull() & ~F.col("branch").isin(*exempt)).groupBy("branch").agg((F.count("*") - 1).alias("n_others"))
-    return live.join(many, "branch", "left").select("session", "branch", "idle", F.coalesce("n_others", F.lit(0)).cast("long").alias("n_others"))
+    live = last_seen.withColumn("idle", idle).where(F.col("idle").between(0, minutes)).select("session", "branch", "idle")
+    shares = F.coalesce(F.col("branch").isNotNull() & ~F.col("branch").isin(*exempt), F.lit(False))
+    lists = live.where(shares).groupBy("branch").agg(F.sort_array(F.collect_list("session")).alias("_all"), (F.count("*") - 1).alias("n_others"))
+    none = F.array().cast(live.select(F.array("session")).schema[0].dataType)
+    others = F.when(F.col("session").isNull(), F.col("_all")).otherwise(F.array_remove("_all", F.col("session")))
+    met = join_in_blocks(live.where(shares), lists, ["branch"], 1024, 256).select("session", "branch", "idle", "n_others", others.alias("others"))
+    return met.unionByName(live.where(~shares).withColumns({"n_others": F.lit(0).cast("long"), "others": none}))
 
 
 def external_actions(calls: DataFrame, rules: DataFrame, text: str) -> DataFrame:

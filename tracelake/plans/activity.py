@@ -117,11 +117,12 @@ def d12_latest_turn(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT user_id AS session, arg_max(event_type, ts) AS branch, max(ts) AS last FROM events WHERE ts <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1),
 l AS (SELECT *, CAST(floor((epoch(TIMESTAMP '2024-01-20 00:00:00') - floor(epoch(last))) / 60) AS BIGINT) AS idle FROM s), v AS (SELECT * FROM l WHERE idle BETWEEN 0 AND 600)
-SELECT session, branch, idle, CASE WHEN branch = 'error' THEN 0 ELSE count(*) OVER (PARTITION BY branch) - 1 END AS n_others FROM v""")
+SELECT v.session, v.branch, v.idle, count(o.session) AS n_others, coalesce(string_agg(o.session, ',' ORDER BY o.session), '') AS others FROM v LEFT JOIN v o ON o.branch = v.branch AND o.session <> v.session AND o.branch <> 'error' GROUP BY ALL""")
 def d13_live_sessions(spark: SparkSession, d: str) -> DataFrame:
     now = F.lit("2024-01-20 00:00:00").cast("timestamp")
     seen = table(spark, d, "events").where(F.col("ts") <= now).groupBy(F.col("user_id").alias("session")).agg(F.max_by("event_type", "ts").alias("branch"), F.max("ts").alias("last"))
-    return A.live_sessions(seen, now, 600, ["error"])
+    live = A.live_sessions(seen, now, 600, ["error"])
+    return live.withColumn("others", F.array_join(F.col("others").cast("array<string>"), ","))
 
 
 @query("""WITH rules(rule, words) AS (VALUES ('notice', ['licensed', 'under']), ('both', ['the', 'and', 'of', 'that']), ('german', ['der', 'die', 'und', 'zu'])),
