@@ -3,11 +3,12 @@
 import math
 import random
 
-import numpy as np
 from pyspark.sql import functions as F
 
-from tracelake.operators import spatial
+from tracelake.operators import similarity, spatial
+from tracelake.operators.activity import live_sessions
 from tracelake.operators.relational import join_in_blocks
+from tracelake.plans import registry
 
 
 def metres(x1, y1, x2, y2):
@@ -56,3 +57,38 @@ def test_equal_rings_are_related_once(spark, monkeypatch, tmp_path):
     got = spatial.relate_polygons(rows, rows, "id", "id").groupBy("relation").count().collect()
     assert sorted(map(tuple, got)) == [("equal", 5000), ("intersects", 5000)]
     assert log.read_text() == "xxxx"
+
+
+def test_equal_times_and_values_of_windows_go_by_id(spark, tmp_path):
+    rows = [(i, 1 + i % 2, i // 8, float(i * 7 % 5), "view") for i in range(40)]
+    spark.createDataFrame(rows, "event_id long, user_id long, s int, value double, event_type string").withColumn("ts", F.timestamp_seconds("s")).orderBy(F.desc("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_id"]: r for r in registry.queries()["c22_windows"](spark, str(tmp_path)).collect()}
+    for u in (1, 2):
+        mine = [r for r in rows if r[1] == u]
+        for n, (i, _, s, _, _) in enumerate(mine):
+            assert got[i]["rn"] == n + 1
+            assert got[i]["prev"] == (mine[n - 1][3] if n else None)
+            assert got[i]["running"] == sum(r[3] for r in mine if r[2] <= s)
+            assert got[i]["best"] == min(r[0] for r in mine if r[3] == 4.0)
+
+
+def test_live_sessions_list_the_others(spark):
+    seen = spark.createDataFrame([(3, "a", 100), (1, "a", 100), (2, "a", 100), (4, "b", 100), (5, "x", 100), (6, "x", 100), (7, None, 100), (8, "a", 0)], "session int, branch string, s int").withColumn("last", F.timestamp_seconds("s"))
+    got = {r["session"]: (r["n_others"], r["others"]) for r in live_sessions(seen, F.timestamp_seconds(F.lit(160)), 1, ["x"]).collect()}
+    assert got == {1: (2, [2, 3]), 2: (2, [1, 3]), 3: (2, [1, 2]), 4: (0, []), 5: (0, []), 6: (0, []), 7: (0, [])}
+
+
+def test_whole_codes_are_compared_across_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    codes = [rng.getrandbits(63) for _ in range(60)]
+    codes += [c ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(20))) for c in codes] + codes[:5] + [-1, None]
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    rows = list(enumerate(codes))
+    got = sorted(map(tuple, similarity.near_dupes(spark.createDataFrame(rows, "id int, c long"), "id", "c", 16, 63).collect()))
+    first = {}
+    for i, c in rows:
+        first.setdefault(c, i)
+    first.pop(None)
+    near = [(i, j, n) for c, i in first.items() for d, j in first.items() if i < j and (n := ((c ^ d) & (2**64 - 1)).bit_count()) <= 16]
+    assert got == sorted(near + [(first[c], i, 0) for i, c in rows if c is not None and first[c] != i])
+    assert len(near) > 30

@@ -7,12 +7,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.operators.relational import islands
-from tracelake.session import share_code
+from tracelake.session import cut, share_code
 
 
 def sign_hash(vector: str, bits: int = 63) -> Column:
@@ -96,16 +97,57 @@ def similar(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, bl
     return every.withColumn("_r", F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("cosine", 12)), "key"))).where(F.col("_r") <= k).drop("_r")
 
 
+#: Codes in a block of which all pairs are compared.
+BLOCK = 1 << 14
+
+
+def _pairs_in_blocks(one: DataFrame, radius: int) -> DataFrame:
+    """(a, b, bits): pairs of the distinct codes of one (key, c) within a radius, each code compared with every other.
+
+    Codes are dealt into blocks of bounded size by a hash; every two blocks, and each with itself, are one row that a task
+    compares in slices.
+    """
+    share_code(one.sparkSession)
+    one = cut(one)
+    blocks = max(1, -(-one.count() // BLOCK))
+    packed = one.groupBy(F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int").alias("_b")).agg(F.collect_list(F.struct("key", "c")).alias("_r"))
+    packed = cut(packed.select("_b", F.col("_r.key").alias("k"), F.col("_r.c").alias("c")))
+    parts = min(2000, blocks * (blocks + 1) // 2)
+    x = packed.select(F.col("_b").alias("i"), F.explode(F.sequence("_b", F.lit(blocks - 1))).alias("j"), F.col("k").alias("ka"), F.col("c").alias("ca")).repartition(parts, "i", "j")
+    y = packed.select(F.explode(F.sequence(F.lit(0), "_b")).alias("i"), F.col("_b").alias("j"), F.col("k").alias("kb"), F.col("c").alias("cb")).repartition(parts, "i", "j")
+    key = one.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                same = batch.column(0)[row].as_py() == batch.column(1)[row].as_py()
+                ka, ca, kb, cb = (batch.column(n)[row].values for n in range(2, 6))
+                m, n = ca.to_numpy().view(np.uint64), cb.to_numpy().view(np.uint64)
+                for at in range(0, len(m), 16):
+                    bits = np.bitwise_count(m[at : at + 16, None] ^ n)
+                    p, q = np.nonzero(bits <= radius)
+                    if same:
+                        p, q = p[p + at < q], q[p + at < q]
+                    if len(p):
+                        yield pa.RecordBatch.from_arrays([ka.take(pa.array(p + at)), kb.take(pa.array(q)), pa.array(bits[p, q].astype(np.int32))], names=["x", "y", "bits"])
+
+    met = x.hint("merge").join(y, ["i", "j"]).select("i", "j", "ka", "ca", "kb", "cb").mapInArrow(run, f"x {key}, y {key}, bits int")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "bits")
+
+
 def near_dupes(df: DataFrame, key: str, code: str, radius: int, width: int = 64) -> DataFrame:
     """(a, b, bits): pairs of distinct codes within a radius, each by its least key; and every other row of a code with its least key, at 0 bits.
 
-    The width bits are cut in radius + 1 bands; codes within the radius agree in one band at least, the join key.
+    The width bits are cut in radius + 1 bands; codes within the radius agree in one band at least, the join key. Bands
+    of so few bits that they leave more than one pair in a thousand tell too little: then all codes are compared, in blocks.
     """
-    one = df.groupBy(code).agg(F.min(key).alias("key"))
+    one = df.where(F.col(code).isNotNull()).groupBy(F.col(code).alias("c")).agg(F.min(key).alias("key"))
+    copies = df.select(F.col(key).alias("b"), F.col(code).alias("c")).join(one.select(F.col("key").alias("a"), "c"), "c").where("a <> b").select("a", "b", F.lit(0).alias("bits"))
     size = -(-width // (radius + 1))
-    bands = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(code, i * size).bitwiseAND(F.lit((1 << size) - 1)).alias("part")) for i in range(radius + 1)]
-    t = one.select(F.col("key"), F.col(code).alias("c"), F.explode(F.array(*bands)).alias("x")).select("key", "c", "x.*")
+    if (radius + 1) / 2**size > 1e-3:
+        return _pairs_in_blocks(one.select("key", F.col("c").cast("long").alias("c")), radius).unionByName(copies)
+    bands = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("c", i * size).bitwiseAND(F.lit((1 << size) - 1)).alias("part")) for i in range(radius + 1)]
+    t = one.select("key", "c", F.explode(F.array(*bands)).alias("x")).select("key", "c", "x.*")
     j = t.select(F.col("key").alias("a"), F.col("c").alias("ca"), "band", "part").join(t.select(F.col("key").alias("b"), F.col("c").alias("cb"), "band", "part"), ["band", "part"])
     bits = F.bit_count(F.col("ca").bitwiseXOR(F.col("cb")))
-    copies = df.select(F.col(key).alias("b"), F.col(code).alias("c")).join(one.select(F.col("key").alias("a"), F.col(code).alias("c")), "c").where("a <> b").select("a", "b", F.lit(0).alias("bits"))
     return j.where((F.col("a") < F.col("b")) & (bits <= radius)).select("a", "b", bits.alias("bits")).distinct().unionByName(copies)
