@@ -6,8 +6,8 @@ one, and what a full cell cannot give is asked of the others of its margin in th
 leaves the shares of all categories where they were, which also ends them where caps keep targets out of reach. Documents
 are then drawn by their cell's probability and a hash of their id.
 
-Topics are learned: spherical k-means over hashed terms, weighted by their rarity, of at most TOPIC_SAMPLE documents;
-every document is then given the topic whose centre is nearest to the terms of its whole text.
+Topics are learned: spherical k-means over hashed terms, weighted by their rarity, of all documents; every document is
+then given the topic whose centre is nearest to the terms of its whole text.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ MARGINS = ("source", "lang", "topic")
 #: Cells up to which raking runs on the driver in numpy; beyond, the same steps run as Spark jobs.
 DRIVER_CELLS = 100_000
 ROUNDS, TOLERANCE = 100, 1e-5
-#: Topics, hashed terms, and documents from which topics are learned at most.
-TOPICS, TERM_BITS, TOPIC_SAMPLE = 8, 10, 8192
+#: Topics, hashed terms, and rounds in which centres move at most.
+TOPICS, TERM_BITS, TOPIC_ROUNDS = 8, 10, 12
+#: Weights of terms are summed as whole numbers of this size, so that sums do not depend on the order of tasks.
+_UNIT = 1 << 20
 #: The category of rows whose value is null, and the topic of texts without words.
 NONE = "(none)"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -39,51 +41,109 @@ def terms_of(text: str | None) -> tuple[int, np.ndarray]:
     return len(words), np.bincount(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) & ((1 << TERM_BITS) - 1), minlength=1 << TERM_BITS)
 
 
+def _norm(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9) if len(x) else x
+
+
 class Topics:
     """Centres of topics, for texts as damped counts of their terms times the terms' rarity."""
 
-    def __init__(self, counts: np.ndarray, topics: int = TOPICS, rounds: int = 12):
-        there = (counts > 0).sum(0)
-        self.rarity = (np.log((1 + len(counts)) / (1 + there))).astype(np.float32)
-        x = self._unit(counts)
-        rng, picked = np.random.default_rng(5), [0] if len(x) else []
-        # the first centres are far from each other
-        for _ in range(1, min(topics, len(x))):
-            far = np.clip(1 - (x @ x[picked].T).max(1), 0, None).astype(float)
-            if far.sum() <= 1e-6:
-                break
-            picked.append(int(rng.choice(len(x), p=far / far.sum())))
-        self.centre = x[picked]
-        for _ in range(rounds):
-            near = (x @ self.centre.T).argmax(1) if picked else np.zeros(len(x), np.int64)
-            self.centre = self._norm(np.array([x[near == k].sum(0) if (near == k).any() else self.centre[k] for k in range(len(picked))], np.float32).reshape(len(picked), x.shape[1]))
-
-    @staticmethod
-    def _norm(x: np.ndarray) -> np.ndarray:
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9) if len(x) else x
-
-    def _unit(self, counts: np.ndarray) -> np.ndarray:
-        return self._norm(np.log1p(counts).astype(np.float32) * self.rarity)
+    def __init__(self, rarity: np.ndarray, centre: np.ndarray):
+        self.rarity, self.centre = rarity.astype(np.float32), centre.astype(np.float32)
+
+    def unit(self, counts: np.ndarray) -> np.ndarray:
+        return _norm(np.log1p(counts).astype(np.float32) * self.rarity)
 
     def of(self, counts: np.ndarray) -> np.ndarray:
-        return (self._unit(counts) @ self.centre.T).argmax(1) if len(self.centre) else np.zeros(len(counts), np.int64)
+        return (self.unit(counts) @ self.centre.T).argmax(1) if len(self.centre) else np.zeros(len(counts), np.int64)
+
+
+def _weights(terms: pa.ListArray, times: pa.ListArray, rarity: np.ndarray) -> np.ndarray:
+    """Topics.unit of texts that are given by their terms."""
+    x = np.zeros((len(terms), len(rarity)), np.float32)
+    at, n = terms.flatten().to_numpy(), times.flatten().to_numpy()
+    x[np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy())), at] = np.log1p(n).astype(np.float32) * rarity[at]
+    return _norm(x)
 
 
-def learn_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topics: int = TOPICS, sample: int = TOPIC_SAMPLE) -> Topics:
-    """Topics of at most about so many documents, drawn by a hash of their ids; their terms alone reach the driver."""
+def _summed(counts: DataFrame, slots: int, add) -> np.ndarray:
+    """Whole numbers by slot, summed over all texts: add(terms, times) gives those of a batch; a task sends one row a slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                total += add(batch.column(1), batch.column(2))
+        have = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(have.astype(np.int32)), pa.array(total[have])], names=["i", "v"])
+
+    out = np.zeros(slots, np.int64)
+    for r in counts.mapInArrow(run, "i int, v long").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r["i"]] = r["v"]
+    return out
+
+
+def _picked(counts: DataFrame, topics: Topics, turn: int) -> np.ndarray | None:
+    """The counts of one text of all, drawn by a hash with a chance in proportion to its distance from the nearest centre; None if all lie on centres."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _weights(batch.column(1), batch.column(2), topics.rarity)
+            # texts of common terms alone have no weight, and are far from nothing
+            far = np.where(x.any(1), np.clip(1 - (x @ topics.centre.T).max(1), 0, None), 0).astype(float) if len(topics.centre) else np.ones(len(x))
+            draw = batch.column(0).to_numpy().view(np.uint64) ^ np.uint64(turn)
+            for _ in range(2):
+                draw = (draw ^ (draw >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            wait = -np.log((draw >> np.uint64(11)).astype(float) / 2**53 + 2**-54) / np.maximum(far, 1e-12)
+            first = int(np.lexsort((batch.column(0).to_numpy(), np.where(far > 1e-6, wait, np.inf)))[0])
+            if far[first] > 1e-6:
+                yield pa.RecordBatch.from_arrays([pa.array([wait[first]]), *(batch.column(i).slice(first, 1) for i in range(3))], names=["w", "d", "t", "n"])
+
+    best = counts.mapInArrow(run, "w double, d long, t array<smallint>, n array<int>").agg(F.min(F.struct("w", "d", "t", "n")).alias("b")).first()["b"]
+    return None if best is None else np.bincount(best["t"], best["n"], 1 << TERM_BITS)[None]
+
+
+def learn_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topics: int = TOPICS, rounds: int = TOPIC_ROUNDS) -> Topics:
+    """Topics of all documents. Term counts of whole texts are written once; each centre's first place, and each round, is one pass over them whose sums alone reach the driver."""
     share_code(docs.sparkSession)
-    share = min(1.0, sample / max(1, docs.count()))
-    drawn = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("topic")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    width = 1 << TERM_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [terms_of(t.as_py()) for t in batch.column(1)]
-            kept = [(i, c) for i, (n, c) in zip(batch.column(0).to_pylist(), found, strict=True) if n]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.string()), pa.array([zlib.compress(np.minimum(c, 65535).astype(np.uint16).tobytes(), 1) for _, c in kept], pa.binary())], names=["i", "c"])
-
-    rows = drawn.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).mapInArrow(run, "i string, c binary").limit(2 * sample).collect()
-    counts = [np.frombuffer(zlib.decompress(r["c"]), np.uint16) for r in sorted(rows, key=lambda r: (r["i"] or "", r["c"]))]
-    return Topics(np.array(counts, np.uint16).reshape(len(counts), 1 << TERM_BITS), topics)
+            kept = np.flatnonzero([n > 0 for n, _ in found])
+            have = [np.flatnonzero(found[i][1]) for i in kept]
+            ends = pa.array(np.concatenate(([0], np.cumsum([len(h) for h in have]))).astype(np.int32))
+            flat = lambda parts, kind: pa.array(np.concatenate([np.zeros(0, kind), *parts]).astype(kind))
+            lists = [pa.ListArray.from_arrays(ends, flat(have, np.int16)), pa.ListArray.from_arrays(ends, flat([found[i][1][h] for i, h in zip(kept, have, strict=True)], np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), *lists], names=["d", "t", "n"])
+
+    draw = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col)), F.lit("topic"))
+    counts = cut(docs.select(draw.alias("d"), F.col(text_col).alias("t")).mapInArrow(run, "d long, t array<smallint>, n array<int>"))
+    there = _summed(counts, width + 1, lambda terms, _: np.append(np.bincount(terms.flatten().to_numpy(), minlength=width), len(terms)))
+    made = Topics(np.log((1 + there[width]) / (1 + there[:width])), np.zeros((0, width)))
+    for turn in range(topics):
+        found = _picked(counts, made, turn)
+        if found is None:
+            break
+        made = Topics(made.rarity, np.concatenate([made.centre, made.unit(found)]))
+    before = None
+    for _ in range(rounds if len(made.centre) else 0):
+
+        def add(terms: pa.ListArray, times: pa.ListArray, made=made) -> np.ndarray:
+            x = _weights(terms, times, made.rarity)
+            near = (x @ made.centre.T).argmax(1) == np.arange(len(made.centre))[:, None]
+            # whole numbers, exact in doubles
+            return (near.astype(float) @ np.rint(x * _UNIT).astype(float)).astype(np.int64).ravel()
+
+        sums = _summed(counts, len(made.centre) * width, add)
+        if before is not None and (sums == before).all():
+            break
+        before, sums = sums, sums.reshape(-1, width)
+        made = Topics(made.rarity, np.where(sums.any(1)[:, None], _norm(sums.astype(float)), made.centre))
+    return made
 
 
 def told(topics: Topics | None) -> Column:
