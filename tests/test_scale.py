@@ -2,6 +2,7 @@
 
 import math
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -92,3 +93,12 @@ def test_whole_codes_are_compared_across_blocks(spark, monkeypatch):
     near = [(i, j, n) for c, i in first.items() for d, j in first.items() if i < j and (n := ((c ^ d) & (2**64 - 1)).bit_count()) <= 16]
     assert got == sorted(near + [(first[c], i, 0) for i, c in rows if c is not None and first[c] != i])
     assert len(near) > 30
+
+
+def test_published_objects_are_not_dealt_by_source(spark, tmp_path):
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("one").alias("source"))
+    rows.repartition(4).write.option("maxRecordsPerFile", 10).parquet(f"{tmp_path}/documents.parquet")
+    df = registry.queries()["a24_publish_objects"](spark, str(tmp_path))
+    assert [tuple(r) for r in df.collect()] == [("ok", True, 40)]
+    newest = max(Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).glob("evidence-*"), key=lambda f: f.stat().st_mtime)
+    assert len(list(newest.glob("producer=crawler/run=r1/data/*.parquet"))) > 1

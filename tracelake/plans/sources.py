@@ -217,7 +217,7 @@ def a23_semantic_types(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT 'ok' AS verdict, true AS complete, count(*) AS rows FROM documents")
 def a24_publish_objects(spark: SparkSession, d: str) -> DataFrame:
     base = scratch(spark, "evidence")
-    manifest = S.publish_objects(table(spark, d, "documents").repartition(4, "source"), base, "crawler", "r1")
+    manifest = S.publish_objects(table(spark, d, "documents"), base, "crawler", "r1")
     audited = S.audit_objects(spark, base, "crawler", "r1").join(manifest.select("file", "rows"), "file", "left")
     return audited.groupBy("verdict").agg((F.count("*") == F.count("rows")).alias("complete"), F.sum("rows").alias("rows"))
 
