@@ -10,6 +10,7 @@ from tracelake.operators import similarity, spatial
 from tracelake.operators.activity import live_sessions
 from tracelake.operators.relational import join_in_blocks
 from tracelake.plans import registry
+from tracelake.session import cut
 
 
 def metres(x1, y1, x2, y2):
@@ -102,3 +103,13 @@ def test_published_objects_are_not_dealt_by_source(spark, tmp_path):
     assert [tuple(r) for r in df.collect()] == [("ok", True, 40)]
     newest = max(Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).glob("evidence-*"), key=lambda f: f.stat().st_mtime)
     assert len(list(newest.glob("producer=crawler/run=r1/data/*.parquet"))) > 1
+
+
+def test_what_is_cut_leaves_no_shuffle_files(spark):
+    made = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    shuffles = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().shuffleManager().shuffleBlockResolver().getStoredShuffles().size()
+    before = shuffles()
+    once = cut(made)
+    assert shuffles() == before and cut(once.join(made, "k")).count() == 10
+    # other queries keep theirs
+    assert made.collect() and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
