@@ -439,6 +439,44 @@ def test_passages_whose_phrases_smaller_ids_hold(spark, held_later):
     assert all(spans[i] >= set(range(places[i], places[i] + 60)) for i in spans)
 
 
+def test_passages_between_whose_holders_others_stand(spark):
+    """Of each passage of fifty words smaller ids hold all phrases, and others, between its two holders, all parts of up to 45 words."""
+    rng = random.Random(8)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], {}
+    for base in range(0, 20000, 1000):
+        p = new(50)
+        rows += [(base + i, " ".join(new(9) + p[i : i + 9] + new(9))) for i in range(42)] + [(base + 100, " ".join(new(20) + p + new(20)))]
+        rows += [(base + 200 + i, " ".join(new(9) + p[i : i + 45] + new(9))) for i in range(6)] + [(base + 300 + i, " ".join(new(9) + p[max(0, i - 22) : i + 22] + new(9))) for i in range(50)]
+        rows.append((base + 900, " ".join(new(30) + p + new(30))))
+        want[base + 900] = set(range(30, 80))
+    spans = {}
+    for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        spans.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+        assert r["match_id"] // 1000 == r["doc_id"] // 1000
+    assert all(spans.get(i, set()) >= w for i, w in want.items())
+    # each passage is told by one piece that an earlier document holds whole
+    got = substring_dedup.matches(spark.createDataFrame(rows, "doc_id long, text string")).where("doc % 1000 = 900 and rdoc % 1000 = 100").count()
+    assert got == len(want)
+
+
+def test_windows_of_periodic_texts_are_covered():
+    rng = np.random.default_rng(2)
+    for period in (1, 2, 7, 25, 26, 49, 50, 60):
+        text = np.concatenate((rng.integers(0, 1 << 32, 40), np.tile(rng.integers(0, 1 << 32, period), 400 // period), rng.integers(0, 1 << 32, 40))).astype(np.uint64)
+        _, at, w = substring_dedup.window_rows([text, text], [substring_dedup.seeds(text)[0], np.zeros(0, np.int64)])
+        h = substring_dedup._run_hashes(text) >> np.uint64(32)
+        kept, every = {}, {}
+        for x in range(len(text) - 49):
+            off = int(h[x : x + 46].argmin())
+            every.setdefault(text[x : x + 50].tobytes(), []).append(x)
+            if x + off in set(at.tolist()):
+                kept.setdefault(text[x : x + 50].tobytes(), []).append(x)
+        assert len(set(w.tolist())) == len(every) and len(at) < len(every) + 2 * len(text) // 25 * min(period, 50)
+        for k, places in every.items():
+            assert {i for x in places for i in range(x, x + 50)} <= {i for x in kept[k] for i in range(x, x + 50)}
+
+
 def test_holders_stream_over_batches(spark):
     """The pairs of seeds that go over many Arrow batches are those of one batch."""
     rng = random.Random(3)
