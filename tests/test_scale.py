@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tracelake.operators import similarity, spatial
 from tracelake.operators.activity import live_sessions
 from tracelake.operators.relational import join_in_blocks
+from tracelake.operators.text import postings
 from tracelake.plans import registry
 from tracelake.session import cut
 
@@ -113,3 +115,17 @@ def test_what_is_cut_leaves_no_shuffle_files(spark):
     assert shuffles() == before and cut(once.join(made, "k")).count() == 10
     # other queries keep theirs
     assert made.collect() and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_postings_are_counted_without_a_shuffle(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["a", "B", "b", "c1", "\u00e9", "dd", "-"], k=rng.randrange(40))) for _ in range(30)] + [None, "", "--", "z"]
+    got = postings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", 3)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    counts = {}
+    for r in got.collect():
+        assert 0 <= r["bucket"] < 3 and r["n_terms"] == sum(Counter(texts[r["id"]].replace("-", "").split()).values())
+        for term, tf in zip(r["terms"].split(" "), r["tfs"], strict=True):
+            assert (r["id"], term) not in counts
+            counts[r["id"], term] = tf
+    assert counts == {(i, w): n for i, t in enumerate(texts) for w, n in Counter((t or "").lower().replace("-", "").split()).items()}

@@ -197,10 +197,25 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}]+"), "")
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(term, id, tf, n_terms): the inverted index of a text column."""
-    t = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    return t.select("id", F.size("t").alias("n_terms"), F.explode_outer("t").alias("term")).where("term is not null").groupBy("term", "id", "n_terms").agg(F.count("*").alias("tf")).select("term", "id", "tf", "n_terms")
+def _ends(s: Column, same: Callable[[Column, Column], Column]) -> Column:
+    """Where runs of like elements of an array that isn't empty end, after a zero."""
+    return F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == 0) | (i == F.size(s)) | ~same(F.get(s, i - 1), F.get(s, i)))
+
+
+def _runs_of(s: Column, same: Callable[[Column, Column], Column], made: Callable[[Column, Column], Column]) -> Column:
+    """made(begin, end) of every run of like elements of an array that isn't empty; s is to be cheap to name, as a lambda's variable is."""
+    runs = lambda e: F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda j: made(F.get(e, j - 1), F.get(e, j)))
+    return F.flatten(F.transform(F.array(_ends(s, same)), runs))
+
+
+def postings(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    """(id, n_terms, bucket, terms, tfs): of each row of docs, by bucket of terms, its terms, joined by spaces, and how often each is there; nothing is shuffled."""
+    t = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")).where(F.size("t") > 0)
+    sort = F.sort_array(F.transform("t", lambda x: F.struct(F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int").alias("b"), x.alias("x"))))
+    count = lambda s: _runs_of(s, lambda x, y: x["x"] == y["x"], lambda i, j: F.struct(F.get(s, i)["b"].alias("b"), F.get(s, i)["x"].alias("x"), (j - i).alias("tf")))
+    deal = lambda s: _runs_of(s, lambda x, y: x["b"] == y["b"], lambda i, j: F.struct(F.get(s, i)["b"].alias("bucket"), F.array_join(F.slice(s["x"], i + 1, j - i), " ").alias("terms"), F.slice(s["tf"], i + 1, j - i).alias("tfs")))
+    dealt = F.flatten(F.transform(F.transform(F.array(sort), count), deal))  # the arrays hold the one list
+    return t.select("id", F.size("t").alias("n_terms"), F.inline(dealt))
 
 
 def bm25(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -59,7 +59,10 @@ class TextIndex:
         return met.where(F.col("_last").isNull() | (F.col("_last") == F.col("segment"))).drop("_last")
 
     def _write(self, segment: str, post: DataFrame, docs: DataFrame, n: int) -> None:
-        post.withColumn("bucket", _bucket("term", n)).hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
+        """post: (id, n_terms, bucket, terms, tfs), shuffled as lists, which take a fraction of single postings; docs: (id, n_terms)."""
+        rows = post.hint("rebalance", F.col("bucket")).select("id", "n_terms", "bucket", F.inline(F.arrays_zip(F.split("terms", " ").alias("term"), F.col("tfs").alias("tf"))))
+        rows = rows.select("term", "id", F.col("tf").cast("long").alias("tf"), "n_terms", "bucket")
+        rows.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
         docs.withColumn("bucket", _bucket("id", n)).hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(f"{self.path}/docs/segment={segment}")
 
     def refresh(self, changed: DataFrame, removed: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> dict:
@@ -80,7 +83,7 @@ class TextIndex:
             if removed is not None:
                 gone = removed.select(F.col(f"`{id_col}`").cast(state["id_type"]).alias("id")).where("id is not null").distinct().join(lengths, "id", "left_anti")
                 lengths = lengths.unionByName(gone.withColumn("n_terms", F.lit(None).cast("int")))
-            post = postings(own, "id", "text").withColumn("id", F.col("id").cast(state["id_type"]))
+            post = postings(own, "id", "text", n).withColumn("id", F.col("id").cast(state["id_type"]))
             self._write(segment, post, lengths, n)
             fresh = self._read(state | {"segments": [segment]}, "docs")
             # of the documents before, those of the touched buckets are read
@@ -113,7 +116,8 @@ class TextIndex:
                 return state or self._new
             segment = f"{last + 1:012d}-{uuid.uuid4().hex}"
             docs = self._newest(self._read(state, "docs")).where("n_terms is not null").select("id", "n_terms")
-            self._write(segment, self._in_use(state, self._read(state, "postings")).select("term", "id", "tf", "n_terms"), docs, state["buckets"])
+            used = self._in_use(state, self._read(state, "postings"))
+            self._write(segment, used.select("id", "n_terms", "bucket", F.col("term").alias("terms"), F.array(F.col("tf").cast("int")).alias("tfs")), docs, state["buckets"])
             entry = state | {"segments": [segment]}
             if self.log.commit(last + 1, entry):
                 return entry
