@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from tracelake.operators import similarity, spatial
 from tracelake.operators.activity import live_sessions
 from tracelake.operators.relational import join_in_blocks
-from tracelake.operators.text import postings
+from tracelake.operators.text import contents, postings
 from tracelake.plans import registry
-from tracelake.session import cut
+from tracelake.session import cut, parts_of
 
 
 def metres(x1, y1, x2, y2):
@@ -129,3 +129,11 @@ def test_postings_are_counted_without_a_shuffle(spark):
             assert (r["id"], term) not in counts
             counts[r["id"], term] = tf
     assert counts == {(i, w): n for i, t in enumerate(texts) for w, n in Counter((t or "").lower().replace("-", "").split()).items()}
+
+
+def test_partitions_grow_with_rows(spark):
+    assert [parts_of(spark.range(n), 100) for n in (0, 1, 100, 101, 1000)] == [1, 1, 1, 2, 10]
+    chunks = spark.createDataFrame([(f, i, f"H {i // 2}", i, i + 1) for f in range(9) for i in range(4)], "file long, chunk_idx long, heading string, page_start long, page_end long")
+    outline = chunks.limit(0).selectExpr("file", "chunk_idx AS ord", "heading AS title")
+    got = contents(outline, chunks, 7)
+    assert got.rdd.getNumPartitions() == 7 and sorted(map(tuple, got.collect())) == sorted(map(tuple, contents(outline, chunks).collect())) != []

@@ -253,15 +253,21 @@ def key_terms(docs: DataFrame, section: str, text_col: str, k: int, min_chars: i
     return s.withColumn("_r", F.row_number().over(W.partitionBy(section).orderBy(F.desc(F.round("score", 9)), "term"))).where(F.col("_r") <= k).select(section, "term", "tf", "score")
 
 
-def contents(outline: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(file, ord, title, page_start, page_end): declared outlines, else heading changes between a file's chunks."""
+def contents(outline: DataFrame, chunks: DataFrame, parts: int | None = None) -> DataFrame:
+    """(file, ord, title, page_start, page_end): declared outlines, else heading changes between a file's chunks.
+
+    parts: partitions for the join of titles with pages; if not given, as many as the session takes.
+    """
     w = W.partitionBy("file").orderBy("chunk_idx")
     told = chunks.withColumn("_new", ~F.lag("heading").over(w).eqNullSafe(F.col("heading"))).where("_new and heading is not null")
     made = told.join(outline.select("file").distinct(), "file", "left_anti").select("file", F.row_number().over(W.partitionBy("file").orderBy("chunk_idx")).cast("long").alias("ord"), F.col("heading").alias("title"))
     every = outline.select("file", "ord", "title").unionByName(made)
     flat = lambda c: F.lower(F.replace(F.col(c), F.lit(" "), F.lit("")))
     pages = chunks.where("heading is not null").groupBy("file", flat("heading").alias("_h")).agg(F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"))
-    return every.withColumn("_h", flat("title")).join(pages, ["file", "_h"], "left").drop("_h")
+    every = every.withColumn("_h", flat("title"))
+    if parts:
+        every, pages = (x.repartition(parts, "file", "_h") for x in (every, pages))
+    return every.join(pages, ["file", "_h"], "left").drop("_h")
 
 
 def digest_cards(parts: DataFrame) -> DataFrame:

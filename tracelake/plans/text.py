@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.operators import text as X
 from tracelake.operators.text_index import TextIndex
-from tracelake.session import scratch, table
+from tracelake.session import parts_of, scratch, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -186,11 +186,12 @@ def f18_key_terms(spark: SparkSession, d: str) -> DataFrame:
     return X.key_terms(table(spark, d, "documents"), "source", "text", 10).withColumn("score", F.round("score", 6))
 
 
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
+def _chunks(spark: SparkSession, d: str, parts: int) -> DataFrame:
     """Line items of an order as chunks of a file, the ship year as the heading."""
     from pyspark.sql import Window as W
 
-    l = table(spark, d, "lineitem")
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    l = l.repartition(parts, "l_orderkey")
     n = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).cast("long")
     return l.select(F.col("l_orderkey").alias("file"), n.alias("chunk_idx"), F.concat(F.lit("Year "), F.year("l_shipdate")).alias("heading"), n.alias("page_start"), (n + 1).alias("page_end"))
 
@@ -201,19 +202,20 @@ m AS (SELECT file, row_number() OVER (PARTITION BY file ORDER BY i) AS ord, head
 p AS (SELECT file, lower(replace(heading, ' ', '')) AS h, min(i) AS page_start, max(i + 1) AS page_end FROM c GROUP BY ALL), r AS (SELECT e.file, ord, title, page_start, page_end FROM e LEFT JOIN p ON p.file = e.file AND p.h = lower(replace(title, ' ', ''))) """
 
 
-def _contents(spark: SparkSession, d: str) -> DataFrame:
+def _contents(spark: SparkSession, d: str, parts: int) -> DataFrame:
     outline = table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("file"), F.lit(1).cast("long").alias("ord"), F.concat(F.lit("YEAR"), F.year("o_orderdate")).alias("title"))
-    return X.contents(outline, _chunks(spark, d))
+    return X.contents(outline, _chunks(spark, d, parts), parts)
 
 
 @query(_CONTENTS + "SELECT * FROM r")
 def f19_contents(spark: SparkSession, d: str) -> DataFrame:
-    return _contents(spark, d)
+    return _contents(spark, d, parts_of(table(spark, d, "lineitem")))
 
 
 @query(_CONTENTS + "SELECT file, string_agg('  ' || title || CASE WHEN page_start IS NULL THEN '' ELSE ' p.' || page_start || '-' || page_end END, chr(10) ORDER BY ord) AS card FROM r GROUP BY file")
 def f20_digest_cards(spark: SparkSession, d: str) -> DataFrame:
-    return X.digest_cards(_contents(spark, d))
+    parts = parts_of(table(spark, d, "lineitem"))
+    return X.digest_cards(_contents(spark, d, parts).repartition(parts, "file"))
 
 
 @query("SELECT doc_id AS id, i::INT AS chunk, md5(substring(text, i::INT * 400 + 1, 500)) AS chunk_md5 FROM (SELECT doc_id, text, unnest(range(greatest(1, ceil((length(text) - 100) / 400)::BIGINT))) AS i FROM documents WHERE length(text) > 0)")
