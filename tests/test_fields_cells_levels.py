@@ -124,3 +124,20 @@ def test_idle_sessions_in_any_order(spark, tmp_path):
         want.append((key, *held))
     got = spark.read.parquet(f"{tmp_path}/out").select("k", "started", "last_seen", "n").where("k is null or k <> 'end'").collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_idle_state_grows_with_buckets_not_with_keys(spark, tmp_path):
+    big = (1 << 60) + 1  # and no double on the way
+    df = spark.range(2000).selectExpr("case when id > 0 then id + %d end as k" % big, "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id) as ts")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([(-1, datetime(2024, 6, 1))], "k long, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    try:
+        run = jobs.run_available(jobs.idle_sessions(jobs.read_stream(spark, f"{tmp_path}/in", df.schema, max_files=1), "k", "ts", 3600, "40 days"), f"{tmp_path}/out", f"{tmp_path}/ck")
+        run.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    assert max(o["numRowsTotal"] for p in run.recentProgress for o in p["stateOperators"]) <= 4 * 256
+    got = spark.read.parquet(f"{tmp_path}/out").where("k is null or k >= 0").collect()
+    assert sorted((r["k"] or 0, r["started"], r["last_seen"], r["n"]) for r in got) == sorted((r["k"] or 0, r["ts"], r["ts"], 1) for r in df.collect())

@@ -6,7 +6,9 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 from datetime import date
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,65 +82,94 @@ def live_windows(stream: DataFrame, key: str, ts: str, gap: str, late: str) -> D
 
 
 class _LastSeen(StatefulProcessor):
-    """Per key the stretches of activity that may still grow; one that has been silent for gap seconds of event time is sent and forgotten."""
+    """Of a bucket of keys the stretches of activity that may still grow; one that has been silent for gap seconds of event time is sent and forgotten.
+
+    A bucket's stretches are one value, an Arrow table, so that calls of the state store grow with buckets, not with keys.
+    """
 
     def __init__(self, gap_s: int) -> None:
-        self._gap = pd.Timedelta(seconds=gap_s)
+        self._gap = gap_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._open = handle.getListState("open", "started timestamp, seen timestamp, n bigint")
+        self._open = handle.getValueState("stretches", "held binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = [tuple(r) for r in self._open.get()] if self._open.exists() else []
+        parts = [self._held()]
         for pdf in rows:
-            held += [(t, t, 1) for t in pdf["ts"].dropna()]
-        merged: list[tuple] = []
-        for started, seen, n in sorted((pd.Timestamp(a), pd.Timestamp(b), int(n)) for a, b, n in held):
-            if merged and started - merged[-1][1] < self._gap:
-                merged[-1] = (merged[-1][0], max(seen, merged[-1][1]), merged[-1][2] + n)
-            else:
-                merged.append((started, seen, n))
-        self._keep(merged)
+            seen = pdf[pdf["ts"].notna()]
+            at = seen["ts"].to_numpy("datetime64[us]").astype("int64")
+            parts.append(pd.DataFrame({"key": seen["key"].to_numpy(object), "started": at, "seen": at, "n": np.ones(len(at), np.int64)}))
+        self._keep(_merged(pd.concat([p for p in parts if len(p)] or parts[:1]), self._gap))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = timerValues.getCurrentWatermarkInMs()
-        held = [(pd.Timestamp(a), pd.Timestamp(b), int(n)) for a, b, n in (tuple(r) for r in self._open.get())] if self._open.exists() else []
-        over = [x for x in held if _ms(x[1] + self._gap) <= now]
-        self._keep([x for x in held if x not in over])
-        if over:
-            yield pd.DataFrame({"key": [key[0]] * len(over), "started": [x[0] for x in over], "last_seen": [x[1] for x in over], "n": [x[2] for x in over]})
-
-    def _keep(self, held: list[tuple]) -> None:
+        held = self._held()
+        over = _ms(held["seen"] + self._gap) <= timerValues.getCurrentWatermarkInMs()
+        self._keep(held[~over])
+        if over.any():
+            gone = held[over]
+            yield pd.DataFrame({"key": gone["key"], "started": gone["started"].astype("datetime64[us]"), "last_seen": gone["seen"].astype("datetime64[us]"), "n": gone["n"]})
+
+    def _held(self) -> pd.DataFrame:
+        value = self._open.get()
+        if value is None:
+            return pd.DataFrame({"key": np.zeros(0, object), **{c: np.zeros(0, np.int64) for c in ("started", "seen", "n")}})
+        t = pa.ipc.open_stream(bytes(value[0])).read_all()
+        return pd.DataFrame({"key": np.array(t["key"].to_pylist(), object), **{c: t[c].to_numpy() for c in ("started", "seen", "n")}})
+
+    def _keep(self, held: pd.DataFrame) -> None:
         for timer in self._handle.listTimers():
             self._handle.deleteTimer(timer)
-        if held:
-            self._open.put(held)
-            self._handle.registerTimer(min(_ms(seen + self._gap) for _, seen, _ in held))
-        else:
+        if not len(held):
             self._open.clear()
+            return
+        made = pa.record_batch({"key": pa.array(held["key"].to_numpy(object), pa.string(), from_pandas=True), **{c: pa.array(held[c].to_numpy()) for c in ("started", "seen", "n")}})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, made.schema) as out:
+            out.write_batch(made)
+        self._open.update((sink.getvalue().to_pybytes(),))
+        self._handle.registerTimer(int(_ms(held["seen"].min() + self._gap)))
 
     def close(self) -> None:
         pass
 
 
-def _ms(t: pd.Timestamp) -> int:
-    """Milliseconds, up: a timer must not go off before its time."""
-    return -(-t.value // 1_000_000)
+def _merged(held: pd.DataFrame, gap: int) -> pd.DataFrame:
+    """Stretches of keys (null is one) in any order, with those joined that lie less than gap microseconds apart."""
+    if not len(held):
+        return held
+    code = pd.factorize(held["key"])[0]
+    order = np.lexsort((held["started"].to_numpy(), code))
+    code, held = code[order], held.iloc[order]
+    seen = held["seen"].groupby(code).cummax().to_numpy()
+    first = np.append(0, 1 + np.flatnonzero((code[1:] != code[:-1]) | (held["started"].to_numpy()[1:] - seen[:-1] >= gap)))
+    last = np.append(first[1:], len(held)) - 1
+    return pd.DataFrame({"key": held["key"].to_numpy(object)[first], "started": held["started"].to_numpy()[first], "seen": seen[last], "n": np.add.reduceat(held["n"].to_numpy(), first)})
+
+
+def _ms(us):
+    """Milliseconds of microseconds, up: a timer must not go off before its time."""
+    return -(-us // 1000)
 
 
-def idle_sessions(stream: DataFrame, key: str, ts: str, gap_seconds: int, late: str) -> DataFrame:
+def idle_sessions(stream: DataFrame, key: str, ts: str, gap_seconds: int, late: str, buckets: int = 256) -> DataFrame:
     """(key, started, last_seen, n): a key's stretch of activity, once it has been silent for so long.
 
-    Last-seen state by key with a timer: a stretch is sent when the watermark passes its last row by the gap, and its
-    state goes with it, so that state holds what was active within the gap and the lateness. Rows may come in any order
-    within the lateness; a row without a time tells nothing; a null key is a key. The same stretches as a batch finds.
-    Needs the state store of RocksDB (spark.sql.streaming.stateStore.providerClass).
+    Last-seen state with a timer, for buckets of keys by their hash: a stretch is sent when the watermark passes its last
+    row by the gap, and its state goes with it, so that state holds what was active within the gap and the lateness. A
+    batch reads and writes the buckets that its keys fall into; one bucket's state is held in memory at a time, so that
+    buckets should grow with the keys (256 for some millions of open stretches), and stay as they are for a checkpoint.
+    Rows may come in any order within the lateness; a row without a time tells nothing; a null key is a key, of a type
+    whose text can be cast back. The same stretches as a batch finds. Needs the state store of RocksDB
+    (spark.sql.streaming.stateStore.providerClass).
     """
-    kind = stream.schema[key].dataType.simpleString()
-    slim = stream.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", late)
-    return slim.groupBy("key").transformWithStateInPandas(_LastSeen(gap_seconds), f"key {kind}, started timestamp, last_seen timestamp, n bigint", "Append", "EventTime").withColumnRenamed("key", key)
+    kind = stream.schema[key].dataType
+    if not isinstance(kind, T.AtomicType):
+        raise ValueError(f"{key} is of type {kind.simpleString()}; its text can't be cast back")
+    slim = stream.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", late)
+    sent = slim.groupBy("bucket").transformWithStateInPandas(_LastSeen(gap_seconds), "key string, started timestamp, last_seen timestamp, n bigint", "Append", "EventTime")
+    return sent.select(F.col("key").cast(kind).alias(key), "started", "last_seen", "n")
 
 
 #: The state store that keyed state with timers asks for.
