@@ -32,3 +32,13 @@ def test_topics_of_few_texts(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert len(mixing.learn_topics(empty).centre) == 0
     assert len(mixing.learn_topics(spark.createDataFrame([(1, "a b"), (2, "a b"), (None, None)], "doc_id long, text string")).centre) <= 2
+
+
+def test_counts_go_as_bytes(spark, monkeypatch):
+    column = mixing._packed([np.array([1, 1023]), np.zeros(0), np.array([7]), np.array([5, 6])], np.int16)
+    n, flat = mixing._unpacked(column.slice(1, 2), np.int16)
+    assert (n.tolist(), flat.tolist()) == ([0, 1], [7])
+    kept, cut = [], mixing.cut
+    monkeypatch.setattr(mixing, "cut", lambda df: kept.append(df.dtypes) or cut(df))
+    mixing.learn_topics(spark.createDataFrame([(1, "a b a"), (2, "c")], "doc_id long, text string"))
+    assert [[kind for _, kind in d] for d in kept] == [["bigint", "binary", "binary"]]

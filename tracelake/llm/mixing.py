@@ -58,16 +58,31 @@ class Topics:
         return (self.unit(counts) @ self.centre.T).argmax(1) if len(self.centre) else np.zeros(len(counts), np.int64)
 
 
-def _weights(terms: pa.ListArray, times: pa.ListArray, rarity: np.ndarray) -> np.ndarray:
-    """Topics.unit of texts that are given by their terms."""
-    x = np.zeros((len(terms), len(rarity)), np.float32)
-    at, n = terms.flatten().to_numpy(), times.flatten().to_numpy()
-    x[np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy())), at] = np.log1p(n).astype(np.float32) * rarity[at]
-    return _norm(x)
+def _packed(parts: list[np.ndarray], kind: type) -> pa.BinaryArray:
+    """Numbers of each text as bytes: Spark hands those on whole, an array number by number."""
+    flat = np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
+    ends = np.concatenate(([0], np.cumsum([len(p) for p in parts]))) * flat.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
+
+
+def _unpacked(column: pa.BinaryArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """How many numbers each text has, and those of all."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.diff(ends) // np.dtype(kind).itemsize, np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind)
+
+
+def _weights(terms: pa.BinaryArray, logs: pa.BinaryArray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Topics.unit of texts that are given by their terms; and the places in it that are not zero."""
+    n, at = _unpacked(terms, np.int16)
+    rows = np.repeat(np.arange(len(n)), n)
+    x = np.zeros((len(n), len(rarity)), np.float32)
+    x[rows, at] = _unpacked(logs, np.float32)[1] * rarity[at]
+    return _norm(x), rows, at
 
 
 def _summed(counts: DataFrame, slots: int, add) -> np.ndarray:
-    """Whole numbers by slot, summed over all texts: add(terms, times) gives those of a batch; a task sends one row a slot."""
+    """Whole numbers by slot, summed over all texts: add(terms, logs) gives those of a batch; a task sends one row a slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.int64)
@@ -84,13 +99,13 @@ def _summed(counts: DataFrame, slots: int, add) -> np.ndarray:
 
 
 def _picked(counts: DataFrame, topics: Topics, turn: int) -> np.ndarray | None:
-    """The counts of one text of all, drawn by a hash with a chance in proportion to its distance from the nearest centre; None if all lie on centres."""
+    """Topics.unit of one text of all, drawn by a hash with a chance in proportion to its distance from the nearest centre; None if all lie on centres."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _weights(batch.column(1), batch.column(2), topics.rarity)
+            x = _weights(batch.column(1), batch.column(2), topics.rarity)[0]
             # texts of common terms alone have no weight, and are far from nothing
             far = np.where(x.any(1), np.clip(1 - (x @ topics.centre.T).max(1), 0, None), 0).astype(float) if len(topics.centre) else np.ones(len(x))
             draw = batch.column(0).to_numpy().view(np.uint64) ^ np.uint64(turn)
@@ -99,10 +114,10 @@ def _picked(counts: DataFrame, topics: Topics, turn: int) -> np.ndarray | None:
             wait = -np.log((draw >> np.uint64(11)).astype(float) / 2**53 + 2**-54) / np.maximum(far, 1e-12)
             first = int(np.lexsort((batch.column(0).to_numpy(), np.where(far > 1e-6, wait, np.inf)))[0])
             if far[first] > 1e-6:
-                yield pa.RecordBatch.from_arrays([pa.array([wait[first]]), *(batch.column(i).slice(first, 1) for i in range(3))], names=["w", "d", "t", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([wait[first]]), *(batch.column(i).slice(first, 1) for i in range(3))], names=["w", "d", "t", "l"])
 
-    best = counts.mapInArrow(run, "w double, d long, t array<smallint>, n array<int>").agg(F.min(F.struct("w", "d", "t", "n")).alias("b")).first()["b"]
-    return None if best is None else np.bincount(best["t"], best["n"], 1 << TERM_BITS)[None]
+    best = counts.mapInArrow(run, "w double, d long, t binary, l binary").agg(F.min(F.struct("w", "d", "t", "l")).alias("b")).first()["b"]
+    return None if best is None else _weights(pa.array([bytes(best["t"])], pa.binary()), pa.array([bytes(best["l"])], pa.binary()), topics.rarity)[0]
 
 
 def learn_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topics: int = TOPICS, rounds: int = TOPIC_ROUNDS) -> Topics:
@@ -115,28 +130,26 @@ def learn_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [terms_of(t.as_py()) for t in batch.column(1)]
             kept = np.flatnonzero([n > 0 for n, _ in found])
             have = [np.flatnonzero(found[i][1]) for i in kept]
-            ends = pa.array(np.concatenate(([0], np.cumsum([len(h) for h in have]))).astype(np.int32))
-            flat = lambda parts, kind: pa.array(np.concatenate([np.zeros(0, kind), *parts]).astype(kind))
-            lists = [pa.ListArray.from_arrays(ends, flat(have, np.int16)), pa.ListArray.from_arrays(ends, flat([found[i][1][h] for i, h in zip(kept, have, strict=True)], np.int32))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), *lists], names=["d", "t", "n"])
+            logs = [np.log1p(found[i][1][h]) for i, h in zip(kept, have, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept)), _packed(have, np.int16), _packed(logs, np.float32)], names=["d", "t", "l"])
 
     draw = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col)), F.lit("topic"))
-    counts = cut(docs.select(draw.alias("d"), F.col(text_col).alias("t")).mapInArrow(run, "d long, t array<smallint>, n array<int>"))
-    there = _summed(counts, width + 1, lambda terms, _: np.append(np.bincount(terms.flatten().to_numpy(), minlength=width), len(terms)))
+    counts = cut(docs.select(draw.alias("d"), F.col(text_col).alias("t")).mapInArrow(run, "d long, t binary, l binary"))
+    there = _summed(counts, width + 1, lambda terms, _: np.append(np.bincount(_unpacked(terms, np.int16)[1], minlength=width), len(terms)))
     made = Topics(np.log((1 + there[width]) / (1 + there[:width])), np.zeros((0, width)))
     for turn in range(topics):
         found = _picked(counts, made, turn)
         if found is None:
             break
-        made = Topics(made.rarity, np.concatenate([made.centre, made.unit(found)]))
+        made = Topics(made.rarity, np.concatenate([made.centre, found]))
     before = None
     for _ in range(rounds if len(made.centre) else 0):
 
-        def add(terms: pa.ListArray, times: pa.ListArray, made=made) -> np.ndarray:
-            x = _weights(terms, times, made.rarity)
-            near = (x @ made.centre.T).argmax(1) == np.arange(len(made.centre))[:, None]
+        def add(terms: pa.BinaryArray, logs: pa.BinaryArray, made=made) -> np.ndarray:
+            x, rows, at = _weights(terms, logs, made.rarity)
+            near = (x @ made.centre.T).argmax(1)
             # whole numbers, exact in doubles
-            return (near.astype(float) @ np.rint(x * _UNIT).astype(float)).astype(np.int64).ravel()
+            return np.bincount(near[rows] * width + at, np.rint(x[rows, at] * _UNIT), len(made.centre) * width).astype(np.int64)
 
         sums = _summed(counts, len(made.centre) * width, add)
         if before is not None and (sums == before).all():
