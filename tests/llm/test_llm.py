@@ -158,6 +158,17 @@ def test_bundles_add_up():
     assert np.allclose(direct, e.bundle(g, c)) and np.allclose(direct, next(e.bundles([(g, c)])))
 
 
+def test_languages_are_told_once_and_in_little_memory(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"some words {i}", "en", "web") for i in range(8)], "doc_id long, text string, lang string, source string")
+    assert langid.keep_identified(docs)._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert langid.keep_identified(docs).count() == 8
+    e = langid.Encoder()
+    assert e.bound.nbytes <= 1 << 24
+    monkeypatch.setattr(langid, "_ROWS", 5)
+    g, c = langid.ngrams("the cat and the hat")
+    assert np.array_equal(e.bundle(g, c), next(e.bundles([(g, c)]))) and np.array_equal((c << 24) @ e.bind(g).astype(float), next(e.bundles([(g, c << 24)])))
+
+
 # simhash
 
 

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from tracelake.session import free_names, share_code
 
 DIM = 512
-#: 3-grams whose vectors a task keeps, and texts that it handles together.
-_CACHE_ROWS, _TEXTS = 1 << 15, 256
+#: 3-grams whose vectors a task keeps, and those that it copies at once; texts that it handles together.
+_CACHE_ROWS, _ROWS, _TEXTS = 1 << 15, 1 << 12, 256
 _WIDE = 21
 
 
@@ -58,7 +58,7 @@ class Encoder:
         self.vectors: dict[int, np.ndarray] = {}
         # kept 3-grams in order, and the rows of bound that hold their vectors
         self.known, self.slots = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.bound = np.zeros((_CACHE_ROWS, dim), np.float32)
+        self.bound = np.zeros((_CACHE_ROWS, dim), np.int8)
 
     def _rows(self, numbers: np.ndarray, turn: int) -> np.ndarray:
         """Letter vectors, rotated by their place; a letter's is drawn from its code point, the blank's from 0."""
@@ -73,7 +73,7 @@ class Encoder:
         v = self._rows(grams >> 2 * _WIDE, 2)
         v *= self._rows(grams >> _WIDE & low, 1)
         v *= self._rows(grams & low, 0)
-        return v.astype(np.float32)
+        return v
 
     def bundle(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The sum of the 3-grams' vectors, each by its count, as whole numbers."""
@@ -100,9 +100,13 @@ class Encoder:
             order = np.argsort(known)
             self.known, self.slots = known[order], np.concatenate([self.slots, np.arange(first, len(known))])[order]
         for grams, counts in texts:
-            rows = self.bound[self.slots[np.searchsorted(self.known, grams)]]
+            slots, out = self.slots[np.searchsorted(self.known, grams)], np.zeros(self.dim)
             # float32 is exact below 2^24
-            yield counts @ rows if counts.sum() >= 1 << 24 else (counts.astype(np.float32) @ rows).astype(np.float64)
+            kind = np.float64 if counts.sum() >= 1 << 24 else np.float32
+            counts = counts.astype(kind)
+            for i in range(0, len(slots), _ROWS):
+                out += counts[i : i + _ROWS] @ self.bound[slots[i : i + _ROWS]].astype(kind)
+            yield out
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: int = DIM) -> dict[str, np.ndarray]:
@@ -139,7 +143,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dim:
 
 
 def identify(prototypes: dict[str, np.ndarray], dim: int = DIM) -> Column:
-    """A function of a text column: struct(lang, score). und with score 0: null text, no letter, or nothing learned."""
+    """A function of a text column: struct(lang, score). und with score 0: null text, no letter, or nothing learned.
+
+    It counts as not deterministic, else Spark runs it twice, in two Python workers a task, where a filter reads it too.
+    """
     langs = sorted(prototypes)
     matrix = np.array([prototypes[k] for k in langs], np.float32).reshape(len(langs), dim)
     state: list[Encoder] = []
@@ -160,7 +167,7 @@ def identify(prototypes: dict[str, np.ndarray], dim: int = DIM) -> Column:
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "lang string, score double")
+    return F.arrow_udf(run, "lang string, score double").asNondeterministic()
 
 
 def held_out(id_col: str = "doc_id") -> Column:
