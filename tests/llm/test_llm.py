@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from oracle import difference
@@ -550,6 +552,82 @@ def test_parts_of_a_chain_that_reach_the_identity():
     assert substring_dedup.align(a, three, [(0, 0, 60), (60, 85, 60), (120, 170, 60)]) == [(0, 120, 0, 145, 120), (60, 180, 85, 230, 120)]
 
 
+@pytest.mark.parametrize("room", [1, 60, 1 << 20])
+def test_words_of_many_texts_are_read_at_once(monkeypatch, room):
+    texts = ["", "Ab c", " x", "y ", "é ü\u3000Z9-q", "", "a b c d e f " * 40, "\n", "one two " * 3, "a", ""]
+    calls = []
+    monkeypatch.setattr(substring_dedup, "_TEXTS", room)
+    monkeypatch.setattr(substring_dedup.zlib, "crc32", lambda w, crc32=zlib.crc32: calls.append(w) or crc32(w))
+    words = [[w for w in re.split(rb"[^0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode())) if w] for t in texts]
+    for array in (pa.array(texts), pa.array(["skipped", *texts, "too"])[1:-1]):
+        got, seen = [], 0
+        calls.clear()
+        for i, codes, begin in substring_dedup.coded(array):
+            assert i == seen and begin[-1] == len(codes)
+            # each word is read once, however often it occurs
+            assert sorted(calls) == sorted({w for t in words[i : i + len(begin) - 1] for w in t})
+            calls.clear()
+            got += [c.tolist() for c in np.split(codes, begin[1:-1])]
+            seen += len(begin) - 1
+        assert got == [[zlib.crc32(w) for w in t] for t in words]
+        calls.clear()
+    assert not list(substring_dedup.coded(pa.array([], pa.string())))
+
+
+def test_seeds_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(5)
+    tile = lambda n, times: np.tile(rng.integers(0, 1 << 32, n), times)
+    texts = [rng.integers(0, 1 << 32, n) for n in (0, 3, 4, 5, 6, 50, 400, 0, 49, 2000)] + [tile(n, 60) for n in (1, 2, 7, 45, 47)] + [np.zeros(0, np.int64), rng.integers(0, 1 << 32, 7)]
+    texts = [t.astype(np.uint64) for t in texts]
+    begin = np.append(0, np.cumsum([len(t) for t in texts]))
+    codes = np.concatenate(texts)
+    at, h, text, repeats = substring_dedup._seeds(codes, begin)
+    ctx = substring_dedup._context(codes, begin, at, text)
+    assert repeats.any() and (np.diff(at) > 0).all()
+    for k, one in enumerate(texts):
+        edges, mine = np.array([0, len(one)]), text == k
+        alone = substring_dedup._seeds(one, edges)
+        assert [c[mine].tolist() for c in (h, repeats)] == [alone[1].tolist(), alone[3].tolist()] and (at[mine] - begin[k]).tolist() == alone[0].tolist()
+        bit = lambda i, one=one: int(one[i]) >> 9 & 1 if 0 <= i < len(one) else 0
+        want = [int("".join(str(bit(p + d)) for d in [*range(5, 21), *range(-1, -17, -1)]), 2) for p in alone[0].tolist()]
+        assert ctx[mine].view(np.uint32).tolist() == want
+
+
+def test_chains_of_one_run_are_aligned_together():
+    rng = np.random.default_rng(3)
+    pairs, at, runs = ([], []), [], []
+    for trial in range(600):
+        a = rng.integers(0, 1 << 20, int(rng.integers(5, 150)))
+        cut = int(rng.integers(0, len(a)))
+        b = np.concatenate((rng.integers(0, 1 << 20, int(rng.integers(0, 40))), a[cut:], rng.integers(0, 1 << 20, int(rng.integers(0, 40)))))
+        b[rng.random(len(b)) < (0, 0.03, 0.1, 0.3)[trial % 4]] = 7
+        before = len(b) - len(a[cut:]) if len(b) else 0
+        y = int(rng.integers(0, before + 1))
+        at.append([sum(map(len, p)) + e for p, e in ((pairs[0], 0), (pairs[0], len(a)), (pairs[1], 0), (pairs[1], len(b)))])
+        x = cut if trial % 3 else int(rng.integers(0, len(a)))
+        d = next((i for i in range(len(b)) if x < len(a) and b[i] == a[x]), y)
+        runs.append((x, d, min(int(rng.integers(1, 60)), len(a) - x, len(b) - d)))
+        pairs[0].append(a)
+        pairs[1].append(b)
+    found, told = substring_dedup.align_runs(*map(np.concatenate, pairs), np.array(at), *np.array(runs).T)
+    want = [substring_dedup.align(a, b, [run]) for a, b, run in zip(*pairs, runs, strict=True)]
+    assert 300 < told.sum() < 600
+    assert all(w == [tuple(f)] for w, f, t in zip(want, found.tolist(), told, strict=True) if t)
+
+
+def test_passages_of_an_id_that_has_two_texts(spark):
+    """Seeds of a second text of an id may lie beyond the end of the first, which counts."""
+    rng = random.Random(12)
+    new = lambda n: ["z" + "".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    p = new(60)
+    rows = [(0, " ".join(new(20) + p))]
+    for n in (0, 5, 9, 30, 33):
+        rows += [(n + 1, " ".join(["a", *new(n)])), (n + 1, " ".join(new(30) + p + new(20)))]
+    rows += [(100, " ".join(new(10) + p))]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["match_id"], r["start"], r["end"]) for r in got] == [(100, 0, 10, 70)]
+
+
 def test_fenwick_chain_is_the_best_chain():
     rng = random.Random(7)
     for _ in range(40):
