@@ -1,6 +1,7 @@
 """Training-data operators: brute force, round trips, held-out accuracy, and odd rows of every kind."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -234,6 +235,38 @@ def test_large_groups_of_fingerprints_by_hand(spark, n, spread, large):
     assert {p: got.get(p, p) for p in points} == _brute_groups(points)
 
 
+def test_exploded_rows_are_not_broadcast_by_a_guess(spark, monkeypatch):
+    """Spark sizes exploded rows as if each made one; here that is within the limit, and what they are is 30 times beyond it."""
+    limit, plans, plain = "200000", [], simhash.cut
+
+    def seen(df):
+        run = df.select("*")
+        run.collect()
+        plans.append(run._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return plain(df)
+
+    def under(plan, node):
+        """The plans of what stands under each such node."""
+        lines = plan.split("\n")
+        depth = lambda x: len(x) - len(x.lstrip(" :+-*"))
+        for i, x in enumerate(lines):
+            if node in x:
+                yield "\n".join(itertools.takewhile(lambda y, d=depth(x): depth(y) > d, lines[i + 1 :]))
+
+    monkeypatch.setattr(simhash, "cut", seen)
+    points = spark.createDataFrame([(int(p),) for p in np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 3000)], "fp long").groupBy("fp").count().select("fp")
+    name, other = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, limit)
+    try:
+        simhash.fingerprint_groups(points).collect()
+        assert spark.conf.get(name) == limit and spark.conf.get(other, None) is None
+    finally:
+        spark.conf.set(name, before)
+    assert any("Generate" in p for p in plans)
+    assert not [x for p in plans for x in under(p, "BroadcastExchange") if "Generate" in x]
+
+
 def test_cost_of_a_group_within_eight_bits(spark, monkeypatch):
     rng = random.Random(4)
     centre = rng.getrandbits(62)

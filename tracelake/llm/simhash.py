@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.functions.graph import connected_components
-from tracelake.session import cut, free_names, share_code
+from tracelake.session import cut, free_names, measured, share_code
 
 BITS = 64
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -189,7 +189,9 @@ def fingerprint_groups(points: DataFrame, radius: int = 4, large: int = LARGE) -
     def near(pairs: DataFrame, _: DataFrame) -> DataFrame:
         return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
 
-    groups = bucket_groups(points.select(F.col("fp").alias("x"), F.col("fp").alias("root")), divide, near, LEVELS, large)
+    # rows are exploded, which Spark sizes as if they weren't
+    with measured(points.sparkSession):
+        groups = bucket_groups(points.select(F.col("fp").alias("x"), F.col("fp").alias("root")), divide, near, LEVELS, large)
     return points.select("fp", F.col("fp").alias("root")).limit(0) if groups is None else groups.withColumnRenamed("node", "fp")
 
 
@@ -360,7 +362,8 @@ def copy_groups(nodes: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_
     def tag() -> DataFrame:
         return sigs.join(sets[0].toDF("x", "h"), "x").select("x", F.struct("s", "h").alias("s"))
 
-    return bucket_groups(nodes.select(F.col("node").alias("x"), "root"), divide, near, 1, stars=STARS, tag=tag, meets=lambda x, y: sized(x["h"], y["h"]) & agree(x["s"], y["s"]) & similar(x["h"], y["h"]))
+    with measured(docs.sparkSession):
+        return bucket_groups(nodes.select(F.col("node").alias("x"), "root"), divide, near, 1, stars=STARS, tag=tag, meets=lambda x, y: sized(x["h"], y["h"]) & agree(x["s"], y["s"]) & similar(x["h"], y["h"]))
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, similarity: float = 0.8) -> DataFrame:
