@@ -5,6 +5,9 @@ import random
 from collections import Counter
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from oracle import difference
 from pyspark.sql import functions as F
 
 from tracelake.operators import similarity, spatial
@@ -137,3 +140,14 @@ def test_partitions_grow_with_rows(spark):
     outline = chunks.limit(0).selectExpr("file", "chunk_idx AS ord", "heading AS title")
     got = contents(outline, chunks, 7)
     assert got.rdd.getNumPartitions() == 7 and sorted(map(tuple, got.collect())) == sorted(map(tuple, contents(outline, chunks).collect())) != []
+
+
+def test_answers_of_empty_and_null_texts(spark, tmp_path):
+    """An empty text's share of letters is 0 / 0: it says 1 in SQL, a null text 0."""
+    texts = ["", "", None, "", "lowercase", "UPPER", "", None, "\n", "ünder", "abcdefg123", None]
+    quality = [1, 1, 0, 0, 1, 0, None, 1, 1]
+    pq.write_table(pa.table({"doc_id": range(len(texts)), "text": texts}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"doc_id": [*range(len(quality)), 40], "quality": [*quality, 1]}), tmp_path / "labels.parquet")
+    got = {r["doc_id"]: (r["said"], r["verdict"]) for r in registry.queries()["f24_evaluate"](spark, str(tmp_path)).collect()}
+    assert got[1] == (1, "agree") and got[2] == (0, "agree") and got[3] == (1, "disagree") and got[6] == (1, "missing") and got[11] == (0, "missing") and got[40] == (None, "missing")
+    assert difference(registry.queries()["f24_evaluate"](spark, str(tmp_path)), str(tmp_path), registry.oracle_sql()["f24_evaluate"]) == ""

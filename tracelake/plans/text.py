@@ -249,7 +249,10 @@ def f23_judge(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT coalesce(l.doc_id, a.doc_id) AS doc_id, quality AS truth, said, CASE WHEN said IS NULL OR quality IS NULL THEN 'missing' WHEN said = quality THEN 'agree' ELSE 'disagree' END AS verdict FROM labels l
 FULL JOIN (SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^a-z]', '', 'g')) / length(text) >= 0.7 THEN 1 ELSE 0 END AS said FROM documents WHERE doc_id % 4 > 0) a ON a.doc_id = l.doc_id""")
 def f24_evaluate(spark: SparkSession, d: str) -> DataFrame:
-    answers = table(spark, d, "documents").where("doc_id % 4 > 0").select("doc_id", (F.length(F.regexp_replace("text", "[^a-z]", "")) / F.length("text")).alias("score"))
+    # an empty text has the share 0 / 0, which is not a number and so above any threshold (Spark raises an error instead); a null text says 0
+    n, letters = F.length("text"), F.length(F.regexp_replace("text", "[^a-z]", ""))
+    score = F.when(n == 0, float("nan")).when(n > 0, letters / n).otherwise(0.0)
+    answers = table(spark, d, "documents").where("doc_id % 4 > 0").select("doc_id", score.alias("score"))
     return X.evaluate(answers, table(spark, d, "labels"), "doc_id", "score", "quality", 0.7)
 
 
