@@ -420,6 +420,26 @@ def test_fuzzy_passages_are_found_by_few_seeds(spark):
     assert share[0] >= 32 and share[1] >= 36 and share[2] >= 38
 
 
+def with_words_more_and_less(rng, passage, new, share):
+    """The passage, some of whose words are dropped and some followed by a new one."""
+    return [v for w in passage for v in ([w] if rng.random() >= share else [] if rng.random() < 0.5 else [w, *new(1)])]
+
+
+def test_passages_with_words_more_and_less_are_found(spark):
+    """What stands around a seed shifts with every such word; it leaves out no holder."""
+    rng = random.Random(12)
+    new = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    rows = []
+    for _ in range(60):
+        i, p = len(rows), new(80)
+        rows += [(i, " ".join(new(100) + p + new(100))), (i + 1, " ".join(new(100) + with_words_more_and_less(rng, p, new, 0.1) + new(100)))]
+    words = {}
+    for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r["doc_id"] % 2 and r["match_id"] == r["doc_id"] - 1
+        words.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    assert len([w for w in words.values() if len(w) >= 50]) >= 50
+
+
 def test_passages_whose_seeds_others_hold_first(spark):
     rng = random.Random(9)
     new = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
