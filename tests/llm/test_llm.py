@@ -440,6 +440,25 @@ def test_passages_with_words_more_and_less_are_found(spark):
     assert len([w for w in words.values() if len(w) >= 50]) >= 50
 
 
+def test_every_run_is_a_seed(spark):
+    codes = np.random.default_rng(0).integers(0, 1 << 32, 500).astype(np.uint64)
+    assert substring_dedup.seeds(codes)[0].tolist() == list(range(500 - substring_dedup.K + 1))
+    parts = [substring_dedup._seeds(codes, np.array([0, 500]), part)[0].tolist() for part in range(substring_dedup.PARTS)]
+    assert sorted(itertools.chain(*parts)) == list(range(496)) and all(parts)
+    # a passage may have few runs that are left whole
+    rng = random.Random(13)
+    new = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    rows = []
+    for _ in range(60):
+        i, p = len(rows), new(80)
+        rows += [(i, " ".join(new(100) + p + new(100))), (i + 1, " ".join(new(100) + with_words_more_and_less(rng, p, new, 0.15) + new(100)))]
+    words = {}
+    for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r["doc_id"] % 2 and r["match_id"] == r["doc_id"] - 1
+        words.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    assert len([w for w in words.values() if len(w) >= 50]) >= 57
+
+
 def test_passages_whose_seeds_others_hold_first(spark):
     rng = random.Random(9)
     new = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
